@@ -1 +1,298 @@
-"""(pending)"""
+"""Revenue forecasting for many series at once.
+
+The reference trains a proprietary ARIMA model. Here a model Spark can fit
+with grouped aggregates: per series, a least-squares trend on the day
+index, a weekday effect (mean residual per weekday) and the residual
+standard deviation; bounds are value +- z * sigma * sqrt(1 + 1/n). The fit
+is one ``groupBy`` per stage over (series, day) rows, so it scales with the
+number of series, never collects a series to the driver, and a hot series
+is only as large as its number of days.
+
+The trend uses exact integer sums (n, sum t, sum y, sum t^2, sum t*y), so
+slope and intercept are reproducible bit for bit; outputs are rounded to
+whole currency units.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.timefilter import time_filter
+from ..lake import ORDERS_AS_OF
+from ..oracle.sql import avg_pct_sql, with_ctes
+from ..registry import lake, register
+from ..schemas import Z_BY_CONFIDENCE
+from ..session import materialize
+
+c = F.col
+KEY = "series"
+
+
+def revenue_series(sales: DataFrame, ts_col: str = "order_ts", unit: str = "day",
+                   keys: list[str] | None = None) -> DataFrame:
+    """Training set: sum(net_revenue) per time bucket (and series keys)."""
+    keys = keys or []
+    bucket = F.date_trunc(unit, ts_col).alias("time_bucket")
+    return sales.groupBy(*keys, bucket).agg(F.sum("net_revenue").alias("net_revenue"))
+
+
+def _daily(series: DataFrame, keys: list[str]) -> DataFrame:
+    """(series, date, y) with one row per series and day."""
+    s = series.withColumn("date", F.to_date("time_bucket"))
+    key = F.concat_ws("|", *[c(k).cast("string") for k in keys]) if keys else F.lit("all")
+    return s.groupBy(key.alias(KEY), "date").agg(F.sum("net_revenue").alias("y"))
+
+
+def forecast_fit(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per series: start date, last date, n, slope, intercept,
+    weekday effects (map weekday -> effect) and residual sigma."""
+    return fit_daily(_daily(series, keys or []))
+
+
+def fit_daily(d: DataFrame) -> DataFrame:
+    """``forecast_fit`` on (series, date, y) rows. The daily frame is read by
+    four stages, so it is checkpointed once (it has one row per series and
+    day, however large the sales fact)."""
+    d = materialize(d)
+    start = d.groupBy(KEY).agg(F.min("date").alias("start"), F.max("date").alias("last"))
+    dt_ = d.join(start, KEY).withColumn("t", F.datediff("date", "start").cast("long"))
+    sums = dt_.groupBy(KEY, "start", "last").agg(
+        F.count("*").alias("n"), F.sum("t").alias("st"), F.sum("y").alias("sy"),
+        F.sum(c("t") * c("t")).alias("stt"), F.sum(c("t") * c("y")).alias("sty"))
+    den = c("n") * c("stt") - c("st") * c("st")
+    fit = sums.withColumn(
+        "slope", F.when(den != 0, (c("n") * c("sty") - c("st") * c("sy")).cast("double") / den.cast("double"))
+                  .otherwise(F.lit(0.0)))
+    fit = fit.withColumn("intercept", (c("sy").cast("double") - c("slope") * c("st").cast("double")) / c("n"))
+    # weekday effect: mean residual of the trend per weekday, from exact sums
+    wd = (dt_.groupBy(KEY, F.dayofweek("date").alias("wd"))
+             .agg(F.count("*").alias("nw"), F.sum("t").alias("stw"), F.sum("y").alias("syw")))
+    wd = wd.join(fit.select(KEY, "slope", "intercept"), KEY).withColumn(
+        "effect", (c("syw").cast("double") - c("intercept") * c("nw") - c("slope") * c("stw").cast("double")) / c("nw"))
+    # residual sigma after trend + weekday effect
+    res = (dt_.withColumn("wd", F.dayofweek("date"))
+              .join(wd.select(KEY, "wd", "effect", "slope", "intercept"), [KEY, "wd"])
+              .withColumn("r", c("y") - (c("intercept") + c("slope") * c("t") + c("effect"))))
+    sig = res.groupBy(KEY).agg(F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sigma"))
+    effects = wd.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("wd", "effect"))).alias("weekday_effect"))
+    return (fit.join(effects, KEY).join(sig, KEY)
+               .select(KEY, "start", "last", "n", "slope", "intercept", "weekday_effect", "sigma"))
+
+
+def forecast(fit: DataFrame, horizon: int = 30, confidence: float = 0.95) -> DataFrame:
+    """date, revenue, lower_bound, upper_bound for the ``horizon`` days after
+    each series' last day."""
+    z = Z_BY_CONFIDENCE[confidence]
+    f = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    f = f.withColumn("date", F.date_add("last", c("h")))
+    t = F.datediff("date", "start").cast("double")
+    eff = F.coalesce(F.try_element_at("weekday_effect", F.dayofweek("date")), F.lit(0.0))
+    value = c("intercept") + c("slope") * t + eff
+    half = F.lit(z) * c("sigma") * F.sqrt(F.lit(1.0) + F.lit(1.0) / c("n"))
+    return f.select(KEY, "date", F.round(value, 0).alias("revenue"),
+                    F.round(value - half, 0).alias("lower_bound"), F.round(value + half, 0).alias("upper_bound"))
+
+
+def history(fs: DataFrame, days: int, as_of=None) -> DataFrame:
+    return (fs.filter(time_filter("date_key", days, as_of=as_of)).groupBy(c("date_key").alias("date"))
+              .agg(F.sum("net_revenue").alias("revenue"), F.sum("gross_profit").alias("gross_profit"),
+                   (F.try_divide(F.sum(F.round(c("gross_margin_pct") * 100).cast("long")), F.count("gross_margin_pct"))
+                    / F.lit(100.0)).alias("avg_margin"),
+                   F.count_distinct("order_id").alias("orders"))
+              .orderBy("date"))
+
+
+def forecast_vs_actual(series: DataFrame, holdout_days: int = 7, confidence: float = 0.95) -> DataFrame:
+    """Hold-out backtest (Q13): fit on days before the cut-off, forecast the
+    held-out days, join actuals by date; ape % and CI hit per day."""
+    d = materialize(_daily(series, []))
+    last = d.groupBy(KEY).agg(F.max("date").alias("m"))
+    train = d.join(last, KEY).filter(c("date") <= F.date_sub("m", holdout_days)).drop("m")
+    fc = forecast(fit_daily(train), holdout_days, confidence)
+    actual = d.select(KEY, "date", c("y").alias("actual"))
+    j = fc.join(actual, [KEY, "date"])
+    return j.select(
+        "date", c("revenue").alias("predicted"), "lower_bound", "upper_bound", "actual",
+        (F.abs(c("revenue") - c("actual")) / F.nullif(c("actual"), F.lit(0)) * 100).alias("mape_pct"),
+        F.when(c("actual").between(c("lower_bound"), c("upper_bound")), "Within CI")
+         .otherwise("Outside CI").alias("ci_hit")).orderBy("date")
+
+
+def category_forecast(fs: DataFrame, horizon: int, days: int, as_of=None) -> DataFrame:
+    b = (fs.filter(time_filter("date_key", days, as_of=as_of)).groupBy("category")
+           .agg(F.sum("net_revenue").alias("revenue_last30"), F.count_distinct("date_key").alias("days_active")))
+    b = b.withColumn("avg_daily", c("revenue_last30") / c("days_active"))
+    return (b.select("category", "revenue_last30", "avg_daily",
+                     F.round(c("avg_daily") * horizon, 0).alias("projected_revenue"))
+             .orderBy(c("projected_revenue").desc_nulls_last(), "category"))
+
+
+def top_products_forecast(fs: DataFrame, horizon: int, days: int, as_of=None, limit: int = 10) -> DataFrame:
+    b = (fs.filter(time_filter("date_key", days, as_of=as_of)).groupBy("product_name", "category", "brand")
+           .agg((F.sum("net_revenue") / F.count_distinct("date_key")).alias("avg_daily_revenue"),
+                (F.try_divide(F.sum(F.round(c("gross_margin_pct") * 100).cast("long")), F.count("gross_margin_pct"))
+                 / F.lit(100.0)).alias("avg_margin")))
+    return (b.select("product_name", "category", "brand",
+                     F.round(c("avg_daily_revenue") * horizon, 0).alias("projected_revenue"), "avg_margin")
+             .orderBy(c("projected_revenue").desc_nulls_last(), "product_name", "category", "brand").limit(limit))
+
+
+def forecast_summary(fc: DataFrame, series: DataFrame) -> DataFrame:
+    """Totals of one forecast, plus first forecast vs last actual in %."""
+    d = _daily(series, [])
+    last_actual = d.groupBy(KEY).agg(F.max_by("y", "date").alias("last_actual"))
+    s = fc.groupBy(KEY).agg(F.sum("revenue").alias("total_forecast"), F.avg("revenue").alias("avg_daily_forecast"),
+               F.max("revenue").alias("peak_forecast"), F.min("revenue").alias("trough_forecast"),
+               F.avg(c("upper_bound") - c("lower_bound")).alias("ci_width_avg"),
+               F.min_by("revenue", "date").alias("first_forecast"))
+    j = s.join(last_actual, KEY, "left").drop(KEY)
+    return j.withColumn("delta_first_vs_last_pct",
+                        F.try_divide(c("first_forecast") - c("last_actual"), c("last_actual")) * 100)
+
+
+def forecast_accuracy(fva: DataFrame) -> DataFrame:
+    return fva.agg(F.round(F.avg("mape_pct"), 6).alias("mape"),
+                   F.count_if(c("ci_hit") == "Within CI").alias("ci_hits"), F.count("*").alias("ci_total"),
+                   F.try_divide(F.count_if(c("ci_hit") == "Within CI") * 100, F.count("*")).alias("ci_pct"))
+
+
+def forecast_worst_misses(fva: DataFrame, limit: int = 5) -> DataFrame:
+    return (fva.filter(c("ci_hit") == "Outside CI").orderBy(c("mape_pct").desc_nulls_last(), "date").limit(limit)
+               .select("date", "actual", "predicted", "mape_pct"))
+
+
+def forecast_error_bars(fc: DataFrame) -> DataFrame:
+    return fc.select("date", "revenue", (c("upper_bound") - c("revenue")).alias("error_plus"),
+                     (c("revenue") - c("lower_bound")).alias("error_minus"))
+
+
+# ------------------------------------------------------------ registration
+HORIZON, CONF, HOLDOUT, DAYS = 30, 0.95, 7, 3650
+_TF = "date_key >= CAST(TIMESTAMP '2001-08-02 00:00:00' AS DATE) - INTERVAL 3650 DAY"
+
+
+def _series(spark, d):
+    return revenue_series(lake(spark, d).table("fact_sales_stream"))
+
+
+def _fc(spark, d):
+    return forecast(forecast_fit(_series(spark, d)), HORIZON, CONF)
+
+
+def _fva(spark, d):
+    return forecast_vs_actual(_series(spark, d), HOLDOUT, CONF)
+
+
+# Oracle pieces: the same model in DuckDB SQL.
+_DAILY = """daily AS (SELECT 'all' AS series, CAST(date_trunc('day', order_ts) AS DATE) AS date,
+                  CAST(sum(net_revenue) AS BIGINT) AS y FROM fact_sales_stream GROUP BY 2)"""
+
+
+def _fit_sql(src: str) -> str:
+    return f"""
+st AS (SELECT series, min(date) AS start, max(date) AS last FROM {src} GROUP BY 1),
+dt AS (SELECT d.*, s.start, s.last, CAST(date_diff('day', s.start, d.date) AS BIGINT) AS t
+       FROM {src} d JOIN st s USING (series)),
+sums AS (SELECT series, start, last, count(*) AS n, sum(t) AS st, sum(y) AS sy, sum(t * t) AS stt,
+                sum(t * y) AS sty FROM dt GROUP BY 1, 2, 3),
+fit0 AS (SELECT *, CASE WHEN n * stt - st * st <> 0
+                   THEN CAST(n * sty - st * sy AS DOUBLE) / CAST(n * stt - st * st AS DOUBLE) ELSE 0.0 END AS slope
+         FROM sums),
+fit AS (SELECT *, (CAST(sy AS DOUBLE) - slope * CAST(st AS DOUBLE)) / n AS intercept FROM fit0),
+wd AS (SELECT d.series, dayofweek(d.date) + 1 AS wd, count(*) AS nw, sum(t) AS stw, sum(y) AS syw
+       FROM dt d GROUP BY 1, 2),
+eff AS (SELECT w.series, w.wd, (CAST(syw AS DOUBLE) - f.intercept * nw - f.slope * CAST(stw AS DOUBLE)) / nw AS effect
+        FROM wd w JOIN fit f USING (series)),
+sig AS (SELECT d.series, coalesce(stddev_samp(d.y - (f.intercept + f.slope * d.t + e.effect)), 0.0) AS sigma
+        FROM dt d JOIN fit f USING (series) JOIN eff e ON e.series = d.series AND e.wd = dayofweek(d.date) + 1
+        GROUP BY 1)"""
+
+
+def _fc_sql(horizon: int, conf: float) -> str:
+    z = Z_BY_CONFIDENCE[conf]
+    return f"""
+fch AS (SELECT f.*, s.sigma, h, CAST(f.last + CAST(h AS INTEGER) AS DATE) AS date
+        FROM fit f JOIN sig s USING (series), (SELECT unnest(generate_series(1, {horizon})) AS h)),
+fcv AS (SELECT series, date, n, sigma,
+               intercept + slope * CAST(date_diff('day', start, date) AS DOUBLE)
+                 + coalesce((SELECT effect FROM eff e WHERE e.series = fch.series AND e.wd = dayofweek(fch.date) + 1), 0.0)
+                 AS v FROM fch),
+fc AS (SELECT series, date, round(v, 0) AS revenue,
+              round(v - CAST({z} AS DOUBLE) * sigma * sqrt(CAST(1 AS DOUBLE) + CAST(1 AS DOUBLE) / n), 0) AS lower_bound,
+              round(v + CAST({z} AS DOUBLE) * sigma * sqrt(CAST(1 AS DOUBLE) + CAST(1 AS DOUBLE) / n), 0) AS upper_bound
+       FROM fcv)"""
+
+
+_FC_SQL = f"WITH {_DAILY}, {_fit_sql('daily')}, {_fc_sql(HORIZON, CONF)}"
+_FVA_SQL = (f"WITH {_DAILY}, train AS (SELECT * FROM daily WHERE date <= (SELECT max(date) FROM daily) - {HOLDOUT}),"
+            f" {_fit_sql('train')}, {_fc_sql(HOLDOUT, CONF)},"
+            """ fva AS (SELECT fc.date, fc.revenue AS predicted, fc.lower_bound, fc.upper_bound, d.y AS actual,
+                       abs(fc.revenue - d.y) / nullif(d.y, 0) * 100 AS mape_pct,
+                       CASE WHEN d.y BETWEEN fc.lower_bound AND fc.upper_bound THEN 'Within CI'
+                            ELSE 'Outside CI' END AS ci_hit
+                FROM fc JOIN daily d USING (date))""")
+
+
+def _nest(sql_with: str, final: str) -> str:
+    """Put a forecast ``WITH`` block after the layer CTEs."""
+    return with_ctes("").rstrip() + ",\n" + sql_with[len("WITH "):] + "\n" + final
+
+
+register("revenue_series", with_ctes("""
+SELECT date_trunc('day', order_ts) AS time_bucket, CAST(sum(net_revenue) AS BIGINT) AS net_revenue
+FROM fact_sales_stream GROUP BY 1"""))(lambda spark, d: _series(spark, d))
+
+register("forecast_fit", _nest(_FC_SQL, """
+SELECT f.series, f.start, f.last, f.n, CAST(round(CAST(f.slope AS DECIMAL(38, 12)), 6) AS DOUBLE) AS slope,
+       CAST(round(CAST(f.intercept AS DECIMAL(38, 12)), 2) AS DOUBLE) AS intercept,
+       CAST(round(CAST(s.sigma AS DECIMAL(38, 12)), 2) AS DOUBLE) AS sigma FROM fit f JOIN sig s USING (series)"""))(
+    lambda spark, d: forecast_fit(_series(spark, d)).select(
+        KEY, "start", "last", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"),
+        F.round("sigma", 2).alias("sigma")))
+
+register("forecast", _nest(_FC_SQL, "SELECT * FROM fc"))(lambda spark, d: _fc(spark, d))
+
+register("history", with_ctes(f"""
+SELECT date_key AS date, CAST(sum(net_revenue) AS BIGINT) AS revenue, CAST(sum(gross_profit) AS BIGINT) AS gross_profit,
+       {avg_pct_sql('gross_margin_pct')} AS avg_margin, count(DISTINCT order_id) AS orders
+FROM fact_sales WHERE {_TF} GROUP BY 1 ORDER BY 1"""))(
+    lambda spark, d: history(lake(spark, d).table("fact_sales"), DAYS, ORDERS_AS_OF))
+
+register("forecast_vs_actual", _nest(_FVA_SQL, "SELECT * FROM fva"))(lambda spark, d: _fva(spark, d))
+
+register("category_forecast", with_ctes(f"""
+SELECT category, CAST(sum(net_revenue) AS BIGINT) AS revenue_last30,
+       sum(net_revenue) / count(DISTINCT date_key) AS avg_daily,
+       round(sum(net_revenue) / count(DISTINCT date_key) * {HORIZON}, 0) AS projected_revenue
+FROM fact_sales WHERE {_TF} GROUP BY 1 ORDER BY 4 DESC"""))(
+    lambda spark, d: category_forecast(lake(spark, d).table("fact_sales"), HORIZON, DAYS, ORDERS_AS_OF))
+
+register("top_products_forecast", with_ctes(f"""
+SELECT product_name, category, brand,
+       round(sum(net_revenue) / count(DISTINCT date_key) * {HORIZON}, 0) AS projected_revenue,
+       {avg_pct_sql('gross_margin_pct')} AS avg_margin
+FROM fact_sales WHERE {_TF} GROUP BY 1, 2, 3 ORDER BY 4 DESC NULLS LAST, 1, 2, 3 LIMIT 10"""))(
+    lambda spark, d: top_products_forecast(lake(spark, d).table("fact_sales"), HORIZON, DAYS, ORDERS_AS_OF))
+
+register("forecast_summary", _nest(_FC_SQL, """
+SELECT sum(revenue) AS total_forecast, avg(revenue) AS avg_daily_forecast, max(revenue) AS peak_forecast,
+       min(revenue) AS trough_forecast, avg(upper_bound - lower_bound) AS ci_width_avg,
+       min_by(revenue, date) AS first_forecast, (SELECT max_by(y, date) FROM daily) AS last_actual,
+       (min_by(revenue, date) - (SELECT max_by(y, date) FROM daily)) / (SELECT max_by(y, date) FROM daily) * 100
+         AS delta_first_vs_last_pct
+FROM fc"""))(lambda spark, d: forecast_summary(_fc(spark, d), _series(spark, d)))
+
+register("forecast_accuracy", _nest(_FVA_SQL, """
+SELECT CAST(round(CAST(avg(mape_pct) AS DECIMAL(38, 12)), 6) AS DOUBLE) AS mape,
+       CAST(count_if(ci_hit = 'Within CI') AS BIGINT) AS ci_hits, count(*) AS ci_total,
+       count_if(ci_hit = 'Within CI') * 100 / count(*) AS ci_pct FROM fva"""))(
+    lambda spark, d: forecast_accuracy(_fva(spark, d)))
+
+register("forecast_worst_misses", _nest(_FVA_SQL, """
+SELECT date, actual, predicted, mape_pct FROM fva WHERE ci_hit = 'Outside CI'
+ORDER BY mape_pct DESC NULLS LAST, date LIMIT 5"""))(lambda spark, d: forecast_worst_misses(_fva(spark, d)))
+
+register("forecast_error_bars", _nest(_FC_SQL, """
+SELECT date, revenue, upper_bound - revenue AS error_plus, revenue - lower_bound AS error_minus FROM fc"""))(
+    lambda spark, d: forecast_error_bars(_fc(spark, d)))
