@@ -381,9 +381,10 @@ FROM evg WHERE topic = 'ecommerce.cart'""")
 
 cte("fact_promo_events", f"""
 SELECT event_id, etype AS event_type, user_id, session_id,
-       CASE WHEN etype = 'promo_applied' THEN 'PROMO001' END AS promo_id,
-       CASE etype WHEN 'promo_applied' THEN 'SAVE10' WHEN 'promo_removed' THEN 'SAVE10'
-            ELSE 'BAD' || {_vs('k')} END AS promo_code,
+       CASE WHEN etype = 'promo_applied' THEN ['PROMO001', 'PROMO003', 'PROMO002'][CAST(k % 3 AS INTEGER) + 1] END
+         AS promo_id,
+       CASE etype WHEN 'promo_applied' THEN ['SAVE10', 'SPRING10', 'WELCOME10'][CAST(k % 3 AS INTEGER) + 1]
+            WHEN 'promo_removed' THEN 'SAVE10' ELSE 'BAD' || {_vs('k')} END AS promo_code,
        CASE WHEN etype = 'promo_applied' THEN CAST(10.0 AS FLOAT) END AS discount_percent,
        etype = 'promo_applied' AS is_applied, etype = 'promo_invalid' AS is_invalid,
        CAST(event_ts AS DATE) AS date_key, event_ts

@@ -107,8 +107,10 @@ _PAYLOAD = {
         'old_quantity', old_q,
         'new_quantity', CASE etype WHEN 'item_added' THEN old_q + 1 WHEN 'item_qty_updated' THEN old_q + 2 ELSE 0 END""",
     "ecommerce.promo": """
-        'promo_id', IF(etype = 'promo_applied', 'PROMO001', NULL),
-        'promo_code', CASE etype WHEN 'promo_applied' THEN ' save10 ' WHEN 'promo_removed' THEN 'SAVE10'
+        'promo_id', IF(etype = 'promo_applied', element_at(array('PROMO001', 'PROMO003', 'PROMO002'),
+                    cast(k % 3 as int) + 1), NULL),
+        'promo_code', CASE etype WHEN 'promo_applied' THEN element_at(array(' save10 ', 'spring10 ', ' Welcome10'),
+                      cast(k % 3 as int) + 1) WHEN 'promo_removed' THEN 'SAVE10'
                       ELSE concat('bad', cast(k as string)) END,
         'discount_percent', IF(etype = 'promo_applied', cast(10.0 as float), NULL)""",
     "ecommerce.order": """
