@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.economics import line_economics, unit_margin_pct
-from ..functions.quality import Rule, dedup_first, split_valid
+from ..functions.quality import Rule, dedup_first, first_failure, passes, split_valid
 from ..schemas import (TOPIC_CART, TOPIC_INVENTORY, TOPIC_ORDER, TOPIC_PAGE_VIEW,
                        TOPIC_PROMO, TOPIC_REVIEW, TOPIC_SCHEMAS, TOPIC_USER,
                        VALID_EVENT_TYPES)
@@ -270,6 +270,16 @@ class TopicFrames:
     exploded: DataFrame | None = None
 
 
+def passes_envelope(topic: str):
+    """TRUE when a parsed row passes every rule of its topic."""
+    return passes(envelope_rules(topic) + TOPICS[topic].extra_rules())
+
+
+def quality_reason(topic: str):
+    """Name of the first rule a parsed row fails, NULL for a good row."""
+    return first_failure(envelope_rules(topic) + TOPICS[topic].extra_rules())
+
+
 def split_topic(parsed: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
     spec = TOPICS[topic]
     good, bad = split_valid(parsed, envelope_rules(topic) + spec.extra_rules())

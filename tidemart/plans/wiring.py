@@ -1 +1,250 @@
-"""(pending)"""
+"""Sources, sinks, Bronze and the stream stages as registered round trips
+(SURVEY §2.1, §2.2, §2.6, §2.7 Silver tables).
+
+Sinks are checked write-then-read: the operator writes under the shared
+checkpoint folder and the query returns what was read back. Clock columns
+(``quarantined_at``) are dropped before comparison.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..lake import EVENTS_AS_OF, FIXED_BATCH_ID, ORDERS_AS_OF
+from ..operators import bronze as B
+from ..operators import silver as S
+from ..operators import stream_topics as ST
+from ..oracle.sql import AS_OF, BATCH_ID, EV_AS_OF, with_ctes
+from ..registry import lake, register
+from ..schemas import ALL_TOPICS, TOPIC_ORDER, TOPIC_USER
+from ..session import scratch_path
+from ..sources import io
+from ..streaming import runner
+
+c = F.col
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+def date_spine(orders: DataFrame, col: str = "o_orderdate") -> DataFrame:
+    """One row per day between the first and last value of ``col``."""
+    b = orders.agg(F.min(F.to_date(col)).alias("d0"), F.max(F.to_date(col)).alias("d1"))
+    return b.select(F.explode(F.sequence("d0", "d1", F.expr("INTERVAL 1 DAY"))).alias("date_key"))
+
+
+_RAW_DIRS: dict[tuple, str] = {}
+
+
+def raw_files(spark: SparkSession, sf_dir: str, n_files: int = 4) -> str:
+    """The raw event log written as ``n_files`` parquet files (the Kafka
+    source's file twin), split by offset so files are successive batches."""
+    key = (id(spark), sf_dir)
+    if key not in _RAW_DIRS:
+        path = _fresh(spark, "raw-events")
+        raw = lake(spark, sf_dir).raw_events()
+        (raw.repartitionByRange(n_files, "offset").write.mode("overwrite").parquet(path))
+        _RAW_DIRS[key] = path
+    return _RAW_DIRS[key]
+
+
+# ------------------------------------------------------------ sources
+def _jdbc(spark, d):
+    url = f"jdbc:derby:memory:tidemart_{uuid.uuid4().hex[:8]};create=true"
+    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    inv = lake(spark, d).src.entity("inventory")
+    io.write_jdbc(inv, url, "INVENTORY", mode="overwrite", properties=props)
+    return io.read_jdbc(spark, url, "INVENTORY", partition_column="stock_quantity", lower=-2, upper=58,
+                        num_partitions=4, properties=props).select(
+        c("PRODUCT_ID").alias("product_id"), c("IMPORT_PRICE").alias("import_price"),
+        c("STOCK_QUANTITY").alias("stock_quantity"), c("LAST_RESTOCK_DATE").alias("last_restock_date"))
+
+
+register("source_jdbc", with_ctes("SELECT * FROM a_inventory"))(_jdbc)
+
+
+def _kafka_twin(spark, d):
+    src = raw_files(spark, d)
+    out, ck = _fresh(spark, "kafka-twin-out"), _fresh(spark, "kafka-twin-ck")
+    q = (io.read_raw_files_stream(spark, src, max_files_per_trigger=1).writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("json_str")
+
+
+register("source_kafka", with_ctes("""
+SELECT topic, partition, eid * 2 + cp.copy AS offset, kafka_timestamp
+FROM ev, (SELECT unnest([0, 1]) AS copy) cp WHERE cp.copy < copies"""))(_kafka_twin)
+
+register("source_static_rows", with_ctes("SELECT * FROM a_promotions"))(
+    lambda spark, d: lake(spark, d).src.entity("promotions"))
+
+register("source_date_spine", with_ctes("""
+SELECT CAST(d AS DATE) AS date_key FROM (
+  SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d
+  FROM (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders))"""))(
+    lambda spark, d: date_spine(lake(spark, d).raw("orders")))
+
+
+# -------------------------------------------------------------- sinks
+def _sink_table(spark, d):
+    path = _fresh(spark, "fact_sales")
+    io.write_table(lake(spark, d).table("fact_sales"), path)
+    return spark.read.parquet(path)
+
+
+register("sink_table", with_ctes("SELECT * FROM fact_sales"))(_sink_table)
+
+
+def _sink_quarantine(spark, d):
+    path = _fresh(spark, "quarantine_orders")
+    io.write_quarantine(lake(spark, d).quarantine("orders"), path)
+    return spark.read.parquet(path).drop("quarantined_at")
+
+
+register("sink_quarantine", with_ctes("SELECT * FROM q_orders"))(_sink_quarantine)
+
+
+def _stream_append(spark, d):
+    root, ck = _fresh(spark, "stream-out"), _fresh(spark, "stream-ck")
+    runner.run_files_available_now(spark, raw_files(spark, d), root, ck, topics=[TOPIC_ORDER])
+    return runner.read_layer(spark, root, "gold", "fact_orders_stream").drop("batch_id")
+
+
+register("sink_stream_append", with_ctes("SELECT * FROM fact_orders_stream"))(_stream_append)
+
+# JSON text formatting differs between engines, so this one is rows-only.
+register("sink_event_json")(lambda spark, d: io.to_event_json(lake(spark, d).table("fact_orders_stream")))
+
+
+# ------------------------------------------------------------- bronze
+_AUDIT = f"{AS_OF} AS ingested_at, {BATCH_ID} AS batch_id"
+register("bronze_snapshot", with_ctes(f"SELECT *, {_AUDIT}, 'postgresql.orders' AS source FROM a_orders"))(
+    lambda spark, d: lake(spark, d).bronze("orders"))
+register("bronze_users", with_ctes(f"""
+SELECT user_id, username, full_name, email, phone, gender, location, created_at, is_active, {_AUDIT},
+       'postgresql.users' AS source FROM a_users"""))(lambda spark, d: lake(spark, d).bronze("users"))
+register("bronze_raw_events")(lambda spark, d: B.bronze_raw_events(lake(spark, d).raw_events(), EVENTS_AS_OF))
+
+
+def dedup_two_runs(lk) -> DataFrame:
+    """Two Bronze runs of orders; the second is newer and moved updated_at
+    forward. Silver dedup must keep exactly the second run's rows."""
+    later = ORDERS_AS_OF + dt.timedelta(days=1)
+    b1 = lk.bronze("orders")
+    b2 = B.bronze_snapshot(lk.src.entity("orders").withColumn("updated_at", c("updated_at") + F.expr("INTERVAL 1 DAY")),
+                           "orders", later.strftime("%Y%m%d_%H%M%S"), later)
+    good, _ = S.split_valid(b1.unionByName(b2), S.rules("orders"))
+    return S.dedup("orders", S.project("orders", good))
+
+
+register("dedup_latest", with_ctes("""
+SELECT * REPLACE (updated_at + INTERVAL 1 DAY AS updated_at, TIMESTAMP '2001-08-03 00:00:00' AS ingested_at,
+                  '20010803_000000' AS batch_id) FROM s_orders"""))(lambda spark, d: dedup_two_runs(lake(spark, d)))
+
+
+# ------------------------------------------------------- stream stages
+def _parsed(spark, d, topic):
+    raw = lake(spark, d).raw_events().filter(c("topic") == topic)
+    return ST.parse(raw, topic, EVENTS_AS_OF)
+
+
+_RAW_USER = f"""
+SELECT CASE WHEN reject IN (0, 6) THEN NULL ELSE event_id END AS event_id,
+       CASE WHEN reject IN (4, 6) THEN NULL WHEN reject = 5 THEN 'cart_cleared' ELSE etype END AS event_type,
+       CASE WHEN reject IN (1, 6) THEN NULL WHEN reject = 2 THEN '2024-13-45 99:61:00'
+            ELSE strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END AS timestamp,
+       CASE WHEN reject = 6 THEN NULL ELSE session_id END AS session_id,
+       CASE WHEN reject IN (3, 6) THEN NULL ELSE user_id END AS user_id,
+       CASE WHEN reject = 6 THEN NULL ELSE ' ' || user_name || ' ' END AS user_name,
+       CASE WHEN reject = 6 THEN NULL ELSE location END AS location,
+       CASE WHEN reject = 6 THEN NULL ELSE device_type END AS device_type,
+       CASE WHEN reject = 6 THEN NULL ELSE os END AS os,
+       CASE WHEN reject = 6 THEN NULL ELSE ' USER' || CAST(uid AS VARCHAR) END AS username,
+       CASE WHEN reject = 6 THEN NULL ELSE ['Male', 'Female', 'Other'][CAST(uid % 3 AS INTEGER) + 1] END AS gender,
+       topic, partition, eid * 2 + cp.copy AS offset, kafka_timestamp, {EV_AS_OF} AS ingested_at
+FROM ev, (SELECT unnest([0, 1]) AS copy) cp WHERE cp.copy < copies AND topic = 'ecommerce.user'"""
+
+register("stream_parse", with_ctes(_RAW_USER))(
+    lambda spark, d: _parsed(spark, d, TOPIC_USER).drop("json_str", ST.CORRUPT))
+
+register("stream_dedup", with_ctes(f"SELECT * FROM ({_RAW_USER}) WHERE event_id IS NOT NULL AND \"offset\" % 2 = 0 "
+                                   "AND event_type IS NOT NULL AND timestamp NOT LIKE '%-13-%' "
+                                   "AND timestamp IS NOT NULL AND user_id IS NOT NULL AND event_type <> 'cart_cleared'"))(
+    lambda spark, d: ST.split_topic(_parsed(spark, d, TOPIC_USER), TOPIC_USER)[0].drop("json_str", ST.CORRUPT))
+
+
+def _validate_counts(spark, d):
+    out = None
+    for t in ALL_TOPICS:
+        p = _parsed(spark, d, t)
+        r = p.select(c("topic"), ST.quality_reason(t).alias("quarantine_reason"))
+        out = r if out is None else out.unionByName(r)
+    return out.groupBy("topic", "quarantine_reason").agg(F.count("*").alias("n"))
+
+
+register("stream_validate", with_ctes("""
+SELECT topic, CASE reject WHEN 6 THEN 'unparsable json' WHEN 0 THEN 'null event_id' WHEN 1 THEN 'null timestamp'
+            WHEN 2 THEN 'bad timestamp' WHEN 3 THEN 'null user_id' WHEN 4 THEN 'null event_type'
+            WHEN 5 THEN 'unknown event_type'
+            ELSE CASE WHEN topic = 'ecommerce.review' AND eid % 7 IN (0, 6) THEN 'null or out-of-range rating (1–5)'
+                 END END AS quarantine_reason, CAST(sum(copies) AS BIGINT) AS n
+FROM ev GROUP BY 1, 2"""))(_validate_counts)
+
+register("order_items_explode", with_ctes("""
+SELECT event_id, 'SO' || CAST(eid AS VARCHAR) AS order_id, i_product_id AS product_id, i_product_name AS product_name,
+       i_quantity AS quantity, i_unit_price AS unit_price, i_unit_cost AS unit_cost FROM ord_items"""))(
+    lambda spark, d: lake(spark, d).topic(TOPIC_ORDER).exploded.select(
+        "event_id", "order_id", c("i_product_id").alias("product_id"), c("i_product_name").alias("product_name"),
+        c("i_quantity").alias("quantity"), c("i_unit_price").alias("unit_price"), c("i_unit_cost").alias("unit_cost")))
+
+
+# Silver event tables: trimmed and typed topic fields + coordinates.
+_TAIL = f'topic, "partition", "offset", kafka_timestamp, {EV_AS_OF} AS ingested_at'
+_SILVER_EVENTS = {
+    "silver_user_events": ("ecommerce.user", f"""
+SELECT event_id, etype AS event_type, event_ts, session_id, user_id, user_name, 'user' || CAST(uid AS VARCHAR) AS username,
+       ['Male', 'Female', 'Other'][CAST(uid % 3 AS INTEGER) + 1] AS gender, location, device_type, os, {_TAIL}
+FROM evg WHERE topic = 'ecommerce.user'"""),
+    "silver_page_view_events": ("ecommerce.page_view", f"""
+SELECT v.event_id, v.event_type, v.event_ts, v.session_id, v.user_id, v.device_type, v.os, v.location, v.page_name,
+       v.product_id, v.product_name, v.category, v.brand, v.price, v.search_item AS search_term,
+       v.result_count AS results_count, v.trigger, e.{_TAIL.replace(', ', ', e.', 3)}
+FROM fact_page_views v JOIN evg e USING (event_id)"""),
+    "silver_cart_events": ("ecommerce.cart", f"""
+SELECT v.event_id, v.event_type, v.event_ts, v.session_id, v.user_id, v.device_type, v.os, v.product_id,
+       v.product_name, v.brand, v.category, v.unit_price,
+       CAST(CASE v.event_type WHEN 'item_added' THEN 1 WHEN 'item_qty_updated' THEN 2 ELSE -(e.k % 4) END AS BIGINT)
+         AS quantity, v.cart_quantity_after, v.old_quantity, v.new_quantity, e.{_TAIL.replace(', ', ', e.', 3)}
+FROM fact_cart_events v JOIN evg e USING (event_id)"""),
+    "silver_promo_events": ("ecommerce.promo", f"""
+SELECT v.event_id, v.event_type, v.event_ts, v.session_id, v.user_id, v.promo_id, v.promo_code, v.discount_percent,
+       e.{_TAIL.replace(', ', ', e.', 3)}
+FROM fact_promo_events v JOIN evg e USING (event_id)"""),
+    "silver_inventory_events": ("ecommerce.inventory", f"""
+SELECT v.event_id, v.event_type, v.event_ts, e.user_id, v.product_id, v.product_name, v.order_id,
+       CAST(CASE WHEN v.event_type = 'stock_updated_out' THEN 1 + e.k % 3 END AS BIGINT) AS quantity_sold,
+       CAST(CASE WHEN v.event_type = 'stock_updated_in' THEN 1 + e.k % 2 END AS BIGINT) AS quantity_returned,
+       CAST(CASE WHEN v.event_type IN ('restock_auto', 'restock_manual') THEN 50 END AS BIGINT) AS quantity_added,
+       v.stock_remaining, e.{_TAIL.replace(', ', ', e.', 3)}
+FROM fact_inventory_events v JOIN evg e USING (event_id)"""),
+    "silver_review_events": ("ecommerce.review", f"""
+SELECT v.event_id, v.event_type, v.event_ts, v.user_id, v.product_id, v.rating, v.comment_length,
+       e.{_TAIL.replace(', ', ', e.', 3)}
+FROM fact_review_events v JOIN evg e USING (event_id)"""),
+    "silver_order_events": ("ecommerce.order", f"""
+SELECT v.event_id, v.event_type, v.event_ts, v.session_id, v.user_id, v.device_type, v.os, v.location, v.order_id,
+       v.subtotal, v.shipping_fee, v.discount_amount, v.total_amount, v.payment_method, v.promo_id, v.promo_code,
+       v.order_status, v.reason, e.{_TAIL.replace(', ', ', e.', 3)}
+FROM fact_orders_stream v JOIN evg e USING (event_id)"""),
+}
+
+for _name, (_topic, _sql) in _SILVER_EVENTS.items():
+    register(_name, with_ctes(_sql))(
+        (lambda t: lambda spark, d: lake(spark, d).topic(t).silver.drop("items"))(_topic))
