@@ -60,22 +60,39 @@ class Lake:
     def raw_events(self) -> DataFrame:
         return self._get("raw_events", lambda: raw_event_log(self.src.t("events")))
 
+    def _read(self, *parts: str) -> DataFrame:
+        df = self.spark.read.parquet(os.path.join(self.stored, *parts))
+        return df.drop(*[c for c in df.columns if c in ("dw_loaded_at", "dw_updated_at", "quarantined_at")])
+
     def silver(self, entity: str) -> DataFrame:
+        if self.stored:
+            return self._get(f"silver_{entity}", lambda: self._read("silver", entity))
         return self._get(f"silver_{entity}", lambda: S.silver(entity, self.bronze(entity))[0])
 
     def quarantine(self, entity: str) -> DataFrame:
+        if self.stored:
+            return self._get(f"quarantine_{entity}", lambda: self._read("quarantine", entity))
         return self._get(f"quarantine_{entity}", lambda: S.silver(entity, self.bronze(entity))[1])
 
     def topic(self, topic: str) -> ST.TopicFrames:
+        if self.stored:
+            return self._get(f"topic_{topic}", lambda: self._stored_topic(topic))
         return self._get(f"topic_{topic}", lambda: ST.process_static(self.raw_events(), topic,
                                                                       ingested_at=self.events_as_of))
 
+    def _stored_topic(self, topic: str) -> ST.TopicFrames:
+        spec = ST.TOPICS[topic]
+        sv = self._read("silver", spec.silver_table)
+        gold = {n: self._read("gold", n) for n in spec.gold_tables}
+        ex = ST.order_items_explode(sv) if spec.exploded_gold else None
+        return ST.TopicFrames(self._read("quarantine", "events", topic.replace(".", "_")), sv, gold, ex)
+
     def table(self, name: str) -> DataFrame:
         if self.stored:
-            return self._get(name, lambda: self.spark.read.parquet(os.path.join(self.stored, name)))
-        return self._get(name, lambda: self._build(name))
+            return self._get(name, lambda: self._read("gold", name))
+        return self._get(name, lambda: self.build_gold(name))
 
-    def _build(self, name: str) -> DataFrame:
+    def build_gold(self, name: str) -> DataFrame:
         sp, s = self.spark, self.silver
         builders = {
             "dim_date": lambda: G.dim_date(sp),

@@ -17,16 +17,28 @@ from .oracle import sql as O
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _LAKES: dict[tuple, Lake] = {}
+STORED: dict[str, str] = {}   # sf_dir -> root of a stored batch run
 
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
-    key = (id(spark), sf_dir)
+    """The Lake of a data folder: built from the sources, or the layers a
+    batch run stored (``use_stored``), which is how the dashboard reads."""
+    key = (id(spark), sf_dir, STORED.get(sf_dir))
     if key not in _LAKES:
         _LAKES.clear()
-        _LAKES[key] = Lake(spark, sf_dir)
+        root = STORED.get(sf_dir)
+        _LAKES[key] = Lake.from_stored(spark, root) if root else Lake(spark, sf_dir)
+        _LAKES[key].src = Lake(spark, sf_dir).src
     return _LAKES[key]
 
 
+def use_stored(sf_dir: str, root: str | None) -> None:
+    if root is None:
+        STORED.pop(sf_dir, None)
+    else:
+        STORED[sf_dir] = root
+
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
