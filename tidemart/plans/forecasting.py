@@ -139,16 +139,23 @@ def top_products_forecast(fs: DataFrame, horizon: int, days: int, as_of=None, li
 
 
 def forecast_summary(fc: DataFrame, series: DataFrame) -> DataFrame:
-    """Totals of one forecast, plus first forecast vs last actual in %."""
+    """Totals of one forecast, plus first forecast vs last actual in %.
+    Forecast and actual rows are unioned and reduced by one aggregate per
+    series (no join between the two)."""
     d = _daily(series, [])
-    last_actual = d.groupBy(KEY).agg(F.max_by("y", "date").alias("last_actual"))
-    s = fc.groupBy(KEY).agg(F.sum("revenue").alias("total_forecast"), F.avg("revenue").alias("avg_daily_forecast"),
-               F.max("revenue").alias("peak_forecast"), F.min("revenue").alias("trough_forecast"),
-               F.avg(c("upper_bound") - c("lower_bound")).alias("ci_width_avg"),
-               F.min_by("revenue", "date").alias("first_forecast"))
-    j = s.join(last_actual, KEY, "left").drop(KEY)
-    return j.withColumn("delta_first_vs_last_pct",
-                        F.try_divide(c("first_forecast") - c("last_actual"), c("last_actual")) * 100)
+    nul = F.lit(None).cast("double")
+    u = (fc.select(KEY, "date", "revenue", (c("upper_bound") - c("lower_bound")).alias("width"),
+                   F.lit(None).cast("long").alias("y"))
+           .unionByName(d.select(KEY, "date", nul.alias("revenue"), nul.alias("width"), "y")))
+    is_fc = c("revenue").isNotNull()
+    s = u.groupBy(KEY).agg(
+        F.sum("revenue").alias("total_forecast"), F.avg("revenue").alias("avg_daily_forecast"),
+        F.max("revenue").alias("peak_forecast"), F.min("revenue").alias("trough_forecast"),
+        F.avg("width").alias("ci_width_avg"),
+        F.min_by("revenue", F.when(is_fc, c("date"))).alias("first_forecast"),
+        F.max_by("y", F.when(c("y").isNotNull(), c("date"))).alias("last_actual"))
+    return s.drop(KEY).withColumn("delta_first_vs_last_pct",
+                                  F.try_divide(c("first_forecast") - c("last_actual"), c("last_actual")) * 100)
 
 
 def forecast_accuracy(fva: DataFrame) -> DataFrame:

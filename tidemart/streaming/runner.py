@@ -1,15 +1,20 @@
 """Structured Streaming job: one query per topic, all layers per micro-batch.
 
-    raw topic records -> parse -> (validate key) -> watermark on ingest time
-      -> dropDuplicatesWithinWatermark -> foreachBatch:
-           Bronze raw, quarantine, Silver, Gold  (idempotent per batch_id)
+    raw topic records -> parse -> foreachBatch:
+        Bronze raw, validate -> quarantine, dedup -> Silver, Gold
 
 Exactly-once effect: every sink writes the ``batch_id=<n>`` partition with
 dynamic overwrite, so a micro-batch replayed after a failure replaces its
-own output instead of appending it twice (SURVEY Q15). Re-deliveries of a
-valid event id are dropped by streaming state within the watermark; rows
-that fail validation get a per-record key so they are never collapsed
-(Q4). The micro-batch frame is persisted once and released in ``finally``.
+own output instead of appending it twice (SURVEY Q15).
+
+Duplicates: within a batch the first delivery of an event id wins; across
+batches a stored table of seen ids (partitioned by event date and batch)
+is anti-joined, counting only ids from *earlier* batches so a replay
+reproduces the same rows. No row is dropped for being late: a watermark
+dedup would discard late events before any sink, so it is only used by the
+windowed twins, whose late rows still reach every layer here. Rows that
+fail validation are never collapsed (Q4). The batch is persisted once and
+released in ``finally``.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from ..schemas import ALL_TOPICS
 from ..sources.io import read_raw_files_stream, write_batch
 
 c = F.col
-DEFAULT_WATERMARK = "10 minutes"
 
 
 def topic_dir(topic: str) -> str:
@@ -33,16 +37,27 @@ def topic_dir(topic: str) -> str:
     return topic.replace(".", "_")
 
 
-def dedup_stream(raw: DataFrame, topic: str, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Parse and drop re-delivered valid events across micro-batches."""
-    parsed = ST.parse(raw, topic)
-    valid = ST.passes_envelope(topic)
-    key = F.when(valid, c("event_id")).otherwise(
-        F.concat_ws(":", F.lit("raw"), c("partition").cast("string"), c("offset").cast("string")))
-    return (parsed.withColumn("_dedup_key", key)
-                  .withWatermark("kafka_timestamp", watermark)
-                  .dropDuplicatesWithinWatermark(["_dedup_key"])
-                  .drop("_dedup_key"))
+def parse_stream(raw: DataFrame, topic: str) -> DataFrame:
+    return ST.parse(raw, topic)
+
+
+def drop_seen(good: DataFrame, seen_path: str, batch_id: int) -> DataFrame:
+    """Remove events whose id was already accepted by an earlier batch."""
+    good = good.withColumn("event_date", F.to_date(ST.event_ts()))
+    spark = good.sparkSession
+    try:
+        seen = spark.read.parquet(seen_path).filter(c("batch_id") < batch_id).select("event_date", "event_id")
+    except Exception:  # noqa: BLE001 - first batch: nothing seen yet
+        return good.drop("event_date"), None
+    fresh = good.join(seen, ["event_date", "event_id"], "left_anti")
+    return fresh.drop("event_date"), seen
+
+
+def remember(fresh: DataFrame, seen_path: str, batch_id: int) -> None:
+    ids = fresh.select(F.to_date(ST.event_ts()).alias("event_date"), "event_id",
+                       F.lit(int(batch_id)).alias("batch_id"))
+    (ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date", "batch_id").parquet(seen_path))
 
 
 def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str) -> dict[str, int]:
@@ -58,20 +73,27 @@ def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str) -> dic
         good, bad = ST.split_topic(batch, topic)
         counts["quarantine_events"] = write_batch(bad, os.path.join(root, "silver", "quarantine_events",
                                                                     topic_dir(topic)), batch_id)
-        sv, gold, _ = ST.silver_and_gold(good, topic)
-        spec = ST.TOPICS[topic]
-        counts[spec.silver_table] = write_batch(sv, os.path.join(root, "silver", spec.silver_table), batch_id)
-        for name, df in gold.items():
-            counts[name] = write_batch(df, os.path.join(root, "gold", name), batch_id)
+        seen_path = os.path.join(root, "state", "seen_event_ids", topic_dir(topic))
+        fresh, _ = drop_seen(good, seen_path, batch_id)
+        fresh = fresh.persist()
+        try:
+            remember(fresh, seen_path, batch_id)
+            sv, gold, _ = ST.silver_and_gold(fresh, topic)
+            spec = ST.TOPICS[topic]
+            counts[spec.silver_table] = write_batch(sv, os.path.join(root, "silver", spec.silver_table), batch_id)
+            for name, df in gold.items():
+                counts[name] = write_batch(df, os.path.join(root, "gold", name), batch_id)
+        finally:
+            fresh.unpersist()
     finally:
         batch.unpersist()
     return counts
 
 
 def start_topic(source: DataFrame, topic: str, root: str, checkpoint_root: str,
-                trigger: dict | None = None, watermark: str = DEFAULT_WATERMARK) -> StreamingQuery:
+                trigger: dict | None = None) -> StreamingQuery:
     """Start the query of one topic (trigger default: every 60 s)."""
-    stream = dedup_stream(source, topic, watermark)
+    stream = parse_stream(source, topic)
     w = (stream.writeStream.queryName(f"tidemart_{topic_dir(topic)}")
          .foreachBatch(lambda df, bid: process_batch(df, bid, topic, root))
          .option("checkpointLocation", os.path.join(checkpoint_root, topic_dir(topic))))
