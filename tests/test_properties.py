@@ -53,3 +53,30 @@ def test_dedup_is_idempotent(spark, sf_dir):
     again = S.dedup("orders", s)
     assert again.count() == s.count()
     assert again.exceptAll(s).count() == 0
+
+
+def test_batch_run_and_stored_lake_agree(spark, sf_dir):
+    import tempfile
+
+    from tidemart import registry
+    from tidemart.plans.batch_run import run_batch
+    from tidemart.plans.catalog import QueryCache, query_sql, register_views
+    root = tempfile.mkdtemp()
+    counts = run_batch(spark, sf_dir, root, clock="2001-08-02 00:00:00")
+    assert counts["gold/fact_sales"] == Lake(spark, sf_dir).table("fact_sales").count()
+    registry.load_marts()
+    fresh = registry.QUERIES["category_revenue"](spark, sf_dir).collect()
+    registry.use_stored(sf_dir, root)
+    try:
+        stored = registry.QUERIES["category_revenue"](spark, sf_dir).collect()
+        register_views(registry.lake(spark, sf_dir), ["fact_sales"])
+        n = query_sql(spark, "SELECT count(*) AS n FROM fact_sales").first().n
+        cache = QueryCache(spark, ttl_seconds=60)
+        a = cache.get("SELECT count(*) AS n FROM fact_sales")
+        assert cache.get("SELECT count(*) AS n FROM fact_sales") is a
+        cache.invalidate()
+        assert cache.get("SELECT count(*) AS n FROM fact_sales") is not a
+    finally:
+        registry.use_stored(sf_dir, None)
+    assert sorted(map(repr, fresh)) == sorted(map(repr, stored))
+    assert n == counts["gold/fact_sales"]

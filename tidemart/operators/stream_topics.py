@@ -297,6 +297,17 @@ def silver_and_gold(good: DataFrame, topic: str) -> tuple[DataFrame, dict[str, D
     return sv, gold, ex
 
 
+def silver_and_gold_from_silver(sv: DataFrame, topic: str):
+    """Gold of a topic from its (stored) Silver table."""
+    spec = TOPICS[topic]
+    gold = {name: fn(sv) for name, fn in spec.gold.items()}
+    ex = None
+    if spec.exploded_gold:
+        ex = order_items_explode(sv)
+        gold.update({name: fn(ex) for name, fn in spec.exploded_gold.items()})
+    return sv, gold, ex
+
+
 def process_static(raw: DataFrame, topic: str, ingested_at=None) -> TopicFrames:
     """All layers of one topic from a static raw log (all topics mixed)."""
     parsed = parse(raw.filter(c("topic") == topic), topic, ingested_at)

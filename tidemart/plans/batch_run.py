@@ -9,6 +9,7 @@ by ``date_key`` (the default at scale) so date filters prune files.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,48 +25,66 @@ from ..sources.io import write_table
 FACTS = {"fact_orders", "fact_order_items", "fact_sales", "fact_inventory_log", "fact_reviews"}
 
 
+def _in_parallel(tasks: dict, workers: int) -> dict:
+    """Run independent write jobs concurrently (Spark schedules jobs from
+    several threads side by side, so small tables do not leave cores idle)."""
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        futures = {k: pool.submit(fn) for k, fn in tasks.items()}
+        out = {}
+        for k, f in futures.items():
+            r = f.result()
+            out.update(r if isinstance(r, dict) else {k: r})
+        return out
+
+
 def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, batch_id: str = FIXED_BATCH_ID,
               fact_partition: str | None = "date_key", with_events: bool = True,
-              clock=None) -> dict[str, int]:
+              clock=None, workers: int = 4) -> dict[str, int]:
     """Write every layer under ``root``; return rows per table.
     ``clock`` stamps dw_loaded_at / quarantined_at (None: now)."""
     src_lake = Lake(spark, sf_dir, as_of=as_of, batch_id=batch_id)
-    counts: dict[str, int] = {}
     ts = F.current_timestamp() if clock is None else F.lit(str(clock)).cast("timestamp")
-    for e in Sources.ENTITIES:
-        bronze = src_lake.bronze(e)
-        counts[f"bronze/{e}"] = write_table(bronze, os.path.join(root, "bronze", e), mode="append",
+
+    def entity(e):
+        counts = {}
+        counts[f"bronze/{e}"] = write_table(src_lake.bronze(e), os.path.join(root, "bronze", e), mode="append",
                                             partition_by=["batch_id"])
         stored = spark.read.parquet(os.path.join(root, "bronze", e)).filter(F.col("batch_id") == batch_id)
         good, bad = S.silver(e, stored)
         counts[f"silver/{e}"] = write_table(good, os.path.join(root, "silver", e))
         counts[f"quarantine/{e}"] = write_table(bad.withColumn("quarantined_at", ts),
                                                 os.path.join(root, "quarantine", e), mode="append")
+        return counts
+
+    counts = _in_parallel({e: (lambda e=e: entity(e)) for e in Sources.ENTITIES}, workers)
     stored_lake = Lake.from_stored(spark, root, as_of=as_of)
-    for t in GOLD_TABLES:
+
+    def gold(t):
         df = stored_lake.build_gold(t)
-        stamp = "dw_loaded_at" if t.startswith("fact") else "dw_updated_at"
-        df = df.withColumn(stamp, ts)
+        df = df.withColumn("dw_loaded_at" if t.startswith("fact") else "dw_updated_at", ts)
         part = [fact_partition] if (fact_partition and t in FACTS) else None
         if part:
             df = df.sortWithinPartitions(*part)
-        counts[f"gold/{t}"] = write_table(df, os.path.join(root, "gold", t), partition_by=part)
+        return {f"gold/{t}": write_table(df, os.path.join(root, "gold", t), partition_by=part)}
+
+    counts.update(_in_parallel({t: (lambda t=t: gold(t)) for t in GOLD_TABLES}, workers))
     if with_events:
         raw = src_lake.raw_events()
-        for topic in ALL_TOPICS:
-            fr = ST.process_static(raw.filter(F.col("topic") == topic), topic, ingested_at=EVENTS_AS_OF)
-            spec = ST.TOPICS[topic]
-            counts[f"silver/{spec.silver_table}"] = write_table(fr.silver, os.path.join(root, "silver",
-                                                                                     spec.silver_table))
-            counts[f"quarantine/events/{topic}"] = write_table(
-                fr.quarantine, os.path.join(root, "quarantine", "events", topic.replace(".", "_")))
-            for name in spec.gold:
-                counts[f"gold/{name}"] = write_table(fr.gold[name], os.path.join(root, "gold", name))
-            if spec.exploded_gold:
-                stored_sv = spark.read.parquet(os.path.join(root, "silver", spec.silver_table))
-                ex = ST.order_items_explode(stored_sv)
-                for name, fn in spec.exploded_gold.items():
-                    counts[f"gold/{name}"] = write_table(fn(ex), os.path.join(root, "gold", name))
+
+        def topic(tp):
+            out = {}
+            fr = ST.process_static(raw.filter(F.col("topic") == tp), tp, ingested_at=EVENTS_AS_OF)
+            spec = ST.TOPICS[tp]
+            out[f"silver/{spec.silver_table}"] = write_table(fr.silver, os.path.join(root, "silver", spec.silver_table))
+            out[f"quarantine/events/{tp}"] = write_table(
+                fr.quarantine, os.path.join(root, "quarantine", "events", tp.replace(".", "_")))
+            stored_sv = spark.read.parquet(os.path.join(root, "silver", spec.silver_table))
+            _, gold_frames, _ = ST.silver_and_gold_from_silver(stored_sv, tp)
+            for name, df in gold_frames.items():
+                out[f"gold/{name}"] = write_table(df, os.path.join(root, "gold", name))
+            return out
+
+        counts.update(_in_parallel({tp: (lambda tp=tp: topic(tp)) for tp in ALL_TOPICS}, workers))
     return counts
 
 
