@@ -81,8 +81,9 @@ SELECT * FROM (VALUES
 ) AS t(promo_id, promo_code, discount_percent, start_date, end_date, is_active)""")
 
 cte("a_lines", """
-SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
-         l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS item_id,
+SELECT l_orderkey * 1000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+         ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+         l_shipdate) AS item_id,
        l_orderkey, l_partkey, l_returnflag, CAST(l_shipdate AS TIMESTAMP) AS l_shipdate,
        CASE WHEN l_orderkey % 101 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS quantity,
        CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS unit_price

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lake import EVENTS_AS_OF, FIXED_BATCH_ID, GOLD_TABLES, ORDERS_AS_OF, Lake
-from ..operators import gold as G
+from ..operators import bronze as B
 from ..operators import silver as S
 from ..operators import stream_topics as ST
 from ..schemas import ALL_TOPICS
@@ -69,7 +69,12 @@ def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, b
 
     counts.update(_in_parallel({t: (lambda t=t: gold(t)) for t in GOLD_TABLES}, workers))
     if with_events:
-        raw = src_lake.raw_events()
+        # Bronze raw events once, partitioned by topic; each topic job then
+        # reads only its own partition (one scan of the source in total).
+        bronze_raw = os.path.join(root, "bronze", "kafka_raw_events")
+        counts["bronze/kafka_raw_events"] = write_table(
+            B.bronze_raw_events(src_lake.raw_events(), EVENTS_AS_OF), bronze_raw, partition_by=["topic"])
+        raw = spark.read.parquet(bronze_raw)
 
         def topic(tp):
             out = {}

@@ -8,8 +8,8 @@ because the test tables hold no nulls. All money is LONG.
 Scale notes: ``users`` broadcasts ``nation`` (25 rows at every TPC-H scale);
 ``orders`` joins the per-order line sums, which is a partial aggregate of
 lineitem followed by a sort-merge join on the order key; ``order_items``
-numbers lines within an order with a window over ``l_orderkey`` (an order
-holds at most a handful of lines in TPC-H, so the window groups are small).
+numbers lines with a window over (order key, line number), whose groups
+hold a handful of rows.
 """
 
 from __future__ import annotations
@@ -94,13 +94,16 @@ def promotions(spark: SparkSession) -> DataFrame:
 
 
 def _numbered_lines(lineitem: DataFrame) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+    # Lines are numbered within (order, line number): TPC-H line numbers are
+    # 1..7 and a repeated pair is rare, so each window group holds a handful
+    # of rows even when one order is huge.
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     q = F.col("l_quantity").cast("long")
     unit_price = F.call_function("div", F.round(F.col("l_extendedprice") * 100).cast("long"), q)
     return lineitem.select(
-        (F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("item_id"),
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.row_number().over(w)).alias("item_id"),
         "l_orderkey", "l_partkey", "l_returnflag", _ts("l_shipdate").alias("l_shipdate"),
         F.when(F.col("l_orderkey") % 101 == 0, F.lit(0).cast("long")).otherwise(q).alias("quantity"),
         unit_price.alias("unit_price"),
