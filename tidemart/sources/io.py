@@ -72,6 +72,14 @@ def to_event_json(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- tables
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does a table folder exist (on any Hadoop file system)?"""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
                 fmt: str = "parquet") -> int:
     """Write a layer table; return its row count, observed during the write."""

@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import stream_topics as ST
 from ..schemas import ALL_TOPICS
-from ..sources.io import read_raw_files_stream, write_batch
+from ..sources.io import path_exists, read_raw_files_stream, write_batch
 
 c = F.col
 
@@ -43,14 +43,12 @@ def parse_stream(raw: DataFrame, topic: str) -> DataFrame:
 
 def drop_seen(good: DataFrame, seen_path: str, batch_id: int) -> DataFrame:
     """Remove events whose id was already accepted by an earlier batch."""
-    good = good.withColumn("event_date", F.to_date(ST.event_ts()))
     spark = good.sparkSession
-    try:
-        seen = spark.read.parquet(seen_path).filter(c("batch_id") < batch_id).select("event_date", "event_id")
-    except Exception:  # noqa: BLE001 - first batch: nothing seen yet
-        return good.drop("event_date"), None
-    fresh = good.join(seen, ["event_date", "event_id"], "left_anti")
-    return fresh.drop("event_date"), seen
+    if not path_exists(spark, seen_path):   # first batch: nothing seen yet
+        return good
+    seen = spark.read.parquet(seen_path).filter(c("batch_id") < batch_id).select("event_date", "event_id")
+    keyed = good.withColumn("event_date", F.to_date(ST.event_ts()))
+    return keyed.join(seen, ["event_date", "event_id"], "left_anti").drop("event_date")
 
 
 def remember(fresh: DataFrame, seen_path: str, batch_id: int) -> None:
@@ -74,7 +72,7 @@ def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str) -> dic
         counts["quarantine_events"] = write_batch(bad, os.path.join(root, "silver", "quarantine_events",
                                                                     topic_dir(topic)), batch_id)
         seen_path = os.path.join(root, "state", "seen_event_ids", topic_dir(topic))
-        fresh, _ = drop_seen(good, seen_path, batch_id)
+        fresh = drop_seen(good, seen_path, batch_id)
         fresh = fresh.persist()
         try:
             remember(fresh, seen_path, batch_id)
