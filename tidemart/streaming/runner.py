@@ -10,7 +10,8 @@ own output instead of appending it twice (SURVEY Q15).
 Duplicates: within a batch the first delivery of an event id wins; across
 batches a stored table of seen ids (partitioned by event date and batch)
 is anti-joined, counting only ids from *earlier* batches so a replay
-reproduces the same rows. No row is dropped for being late: a watermark
+reproduces the same rows, and reading only the dates of the batch plus a
+horizon (default 7 days), so a batch's cost does not grow with history. No row is dropped for being late: a watermark
 dedup would discard late events before any sink, so it is only used by the
 windowed twins, whose late rows still reach every layer here. Rows that
 fail validation are never collapsed (Q4). The batch is persisted once and
@@ -41,13 +42,28 @@ def parse_stream(raw: DataFrame, topic: str) -> DataFrame:
     return ST.parse(raw, topic)
 
 
-def drop_seen(good: DataFrame, seen_path: str, batch_id: int) -> DataFrame:
-    """Remove events whose id was already accepted by an earlier batch."""
+DEDUP_HORIZON_DAYS = 7
+
+
+def drop_seen(good: DataFrame, seen_path: str, batch_id: int, horizon_days: int = DEDUP_HORIZON_DAYS) -> DataFrame:
+    """Remove events whose id was already accepted by an earlier batch.
+
+    Only the seen-id partitions from ``horizon_days`` before the batch's
+    first event date up to its last one are read (partition pruning on
+    ``event_date``), so the cost of a batch does not grow with history.
+    A re-delivery older than the horizon passes through; nothing is ever
+    dropped for being late."""
     spark = good.sparkSession
     if not path_exists(spark, seen_path):   # first batch: nothing seen yet
         return good
-    seen = spark.read.parquet(seen_path).filter(c("batch_id") < batch_id).select("event_date", "event_id")
     keyed = good.withColumn("event_date", F.to_date(ST.event_ts()))
+    lo, hi = keyed.agg(F.min("event_date"), F.max("event_date")).first()
+    if lo is None:
+        return good
+    seen = (spark.read.parquet(seen_path)
+                 .filter(c("event_date").between(F.date_sub(F.lit(lo), horizon_days), F.lit(hi))
+                         & (c("batch_id") < batch_id))
+                 .select("event_date", "event_id"))
     return keyed.join(seen, ["event_date", "event_id"], "left_anti").drop("event_date")
 
 
