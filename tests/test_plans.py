@@ -39,3 +39,34 @@ def test_kpis_do_not_join_sales_to_orders(spark, sf_dir):
     df = batch_kpis(fs, lk.table("dim_order_status"), _tf("date_key"))
     # the only shuffle joins are the ones that build fact_sales itself
     assert _plan(df).count("SortMergeJoin") <= _plan(fs).count("SortMergeJoin")
+
+
+def test_hot_key_is_pre_aggregated_before_the_shuffle(spark):
+    """A key holding a third of all rows is reduced map-side (partial
+    aggregate before the Exchange) in dedup and cart state."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidemart.functions.quality import dedup_latest
+    from tidemart.plans.commerce_ops import cart_state
+    t = dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 == 0 else f"k{i}", t + dt.timedelta(seconds=i), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, ts timestamp, v long").repartition(8)
+    d = dedup_latest(df, "id", [F.col("ts"), F.col("v")])
+    assert d.filter(F.col("id") == "hot").first().v == 2997
+    plan = _plan(d)
+    # partial aggregate below the hash exchange on the key
+    assert plan.index("partial_max_by") > plan.index("Exchange hashpartitioning(id"), plan
+    ev = (df.withColumnRenamed("id", "session_id").withColumn("product_id", F.lit("P1"))
+            .withColumn("cart_quantity_after", F.col("v")).withColumn("event_ts", F.col("ts"))
+            .withColumn("event_id", F.col("v").cast("string")))
+    cs = cart_state(ev)
+    assert cs.filter(F.col("session_id") == "hot").first().quantity == 2997
+    assert "partial_max_by" in _plan(cs)
+
+
+def test_cli_batch(spark, sf_dir, tmp_path):
+    from tidemart.__main__ import main
+    main(["batch", "--sf-dir", sf_dir, "--out", str(tmp_path), "--as-of", "2001-08-02 00:00:00"])
+    assert spark.read.parquet(str(tmp_path / "gold" / "fact_sales")).count() > 0
