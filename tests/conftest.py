@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,8 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from tidemart.session import build_session
-    s = build_session("local[4]", app="tidemart-tests", shuffle_partitions=4,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidemart-test-ckpt-")})
+    # spark.checkpoint.dir comes from the environment's defaults when set;
+    # tidemart.session.checkpoint_dir() creates one only when it is unset
+    s = build_session("local[4]", app="tidemart-tests", shuffle_partitions=4)
     yield s
     s.stop()
 
