@@ -19,6 +19,7 @@ from .operators import silver as S
 from .operators import stream_topics as ST
 from .sources import adapters as A
 from .sources.events import raw_event_log
+from .sources.io import bucketed_name
 
 # Default clocks of the test data (orders end 2001-08-01, events 2024-01-30).
 ORDERS_AS_OF = dt.datetime(2001, 8, 2)
@@ -61,7 +62,13 @@ class Lake:
         return self._get("raw_events", lambda: raw_event_log(self.src.t("events")))
 
     def _read(self, *parts: str) -> DataFrame:
-        df = self.spark.read.parquet(os.path.join(self.stored, *parts))
+        # a bucketed table of this run, when the catalog knows it, keeps its
+        # bucketing (shuffle-free joins on the bucket key); else plain files
+        name = bucketed_name(self.stored, *parts) if len(parts) == 2 else None
+        if name and self.spark.catalog.tableExists(name):
+            df = self.spark.table(name)
+        else:
+            df = self.spark.read.parquet(os.path.join(self.stored, *parts))
         return df.drop(*[c for c in df.columns if c in ("dw_loaded_at", "dw_updated_at", "quarantined_at")])
 
     def silver(self, entity: str) -> DataFrame:

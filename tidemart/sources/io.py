@@ -103,3 +103,20 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> int:
     replay of the same batch overwrites that partition only."""
     return write_table(df.withColumn("batch_id", F.lit(int(batch_id))), path, mode="overwrite",
                        partition_by=["batch_id"])
+
+
+def bucketed_name(root: str, layer: str, name: str) -> str:
+    """Catalog name of a bucketed layer table stored under ``root``."""
+    import hashlib
+    return f"tm_{hashlib.md5(root.encode()).hexdigest()[:10]}_{layer}_{name}"
+
+
+def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int) -> int:
+    """Write an external table bucketed and sorted by ``key`` (one file per
+    bucket), registered in the session catalog so joins on ``key`` between
+    tables with the same bucket count skip the shuffle."""
+    obs = Observation(f"rows_{uuid.uuid4().hex}")
+    (df.observe(obs, F.count(F.lit(1)).alias("rows")).repartition(buckets, key)
+       .write.mode("overwrite").format("parquet").option("path", path)
+       .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    return int(obs.get.get("rows", 0))
