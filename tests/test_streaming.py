@@ -63,3 +63,20 @@ def test_windowed_twin_matches_batch_for_closed_windows(spark, sf_dir):
     assert got, "no window was closed"
     for m, v in got.items():
         assert batch.get(m, (0, 0)) == v
+
+
+def test_stock_direction_twin_matches_batch_for_closed_windows(spark, sf_dir):
+    raw_dir = raw_files(spark, sf_dir)
+    src = spark.readStream.schema(spark.read.parquet(raw_dir).schema).option("maxFilesPerTrigger", 1).parquet(raw_dir)
+    out, ck = os.path.join(tempfile.mkdtemp(), "o"), tempfile.mkdtemp()
+    q = (windowed.stock_direction_stream(src.filter(F.col("topic") == TOPIC_INVENTORY)).writeStream
+         .format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.time_period: (r.stock_in, r.stock_out) for r in spark.read.parquet(out).collect()}
+    from tidemart.plans.live import stock_direction
+    batch = {r.time_period: (r.stock_in, r.stock_out) for r in
+             stock_direction(Lake(spark, sf_dir).table("fact_inventory_events"), 100000, "2030-01-01").collect()}
+    assert got
+    for m, v in got.items():
+        assert batch.get(m) == v

@@ -202,16 +202,29 @@ def silver_inventory_events(g):
                     _long("quantity_returned"), _long("quantity_added"), _long("stock_remaining"), *_TAIL)
 
 
+RESTOCK_TYPES = ("restock_manual", "restock_auto")
+
+
+def inventory_quantity_changed():
+    """Units moved by an inventory event, by type (null for alerts)."""
+    et = c("event_type")
+    return (F.when(et == "stock_updated_out", c("quantity_sold")).when(et == "stock_updated_in", c("quantity_returned"))
+             .when(et.isin(*RESTOCK_TYPES), c("quantity_added")).cast("long"))
+
+
+def inventory_direction():
+    """+1 stock in, -1 stock out, 0 otherwise."""
+    et = c("event_type")
+    return (F.when(et.isin("stock_updated_in", *RESTOCK_TYPES), 1)
+             .when(et == "stock_updated_out", -1).otherwise(0))
+
+
 def fact_inventory_events(sv):
     et = c("event_type")
-    restock = et.isin("restock_manual", "restock_auto")
     return sv.select(
         "event_id", "event_type", "product_id", "product_name", "order_id",
-        F.when(et == "stock_updated_out", c("quantity_sold")).when(et == "stock_updated_in", c("quantity_returned"))
-         .when(restock, c("quantity_added")).alias("quantity_changed"),
-        F.when(et.isin("stock_updated_in", "restock_manual", "restock_auto"), 1)
-         .when(et == "stock_updated_out", -1).otherwise(0).alias("stock_direction"),
-        "stock_remaining", (et == "low_stock_alert").alias("is_alert"), restock.alias("is_restock"),
+        inventory_quantity_changed().alias("quantity_changed"), inventory_direction().alias("stock_direction"),
+        "stock_remaining", (et == "low_stock_alert").alias("is_alert"), et.isin(*RESTOCK_TYPES).alias("is_restock"),
         F.to_date("event_ts").alias("date_key"), "event_ts")
 
 

@@ -34,9 +34,9 @@ def orders_per_minute_stream(raw: DataFrame, watermark: str = "10 minutes") -> D
 
 def stock_direction_stream(raw: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     ev = _valid_events(raw, TOPIC_INVENTORY, watermark)
-    facts = ST.fact_inventory_events(ST.silver_inventory_events(ev.drop("event_ts")))
-    facts = facts.filter(c("stock_direction") != 0).withWatermark("event_ts", watermark)
-    return (facts.groupBy(F.window("event_ts", "1 minute").alias("w"))
-                 .agg(F.sum(F.when(c("stock_direction") == 1, c("quantity_changed")).otherwise(0)).alias("stock_in"),
-                      F.sum(F.when(c("stock_direction") == -1, -c("quantity_changed")).otherwise(0)).alias("stock_out"))
+    moves = (ev.select("event_ts", ST.inventory_direction().alias("d"), ST.inventory_quantity_changed().alias("q"))
+               .filter(c("d") != 0))
+    return (moves.groupBy(F.window("event_ts", "1 minute").alias("w"))
+                 .agg(F.sum(F.when(c("d") == 1, c("q")).otherwise(0)).alias("stock_in"),
+                      F.sum(F.when(c("d") == -1, -c("q")).otherwise(0)).alias("stock_out"))
                  .select(c("w.start").alias("time_period"), "stock_in", "stock_out"))
