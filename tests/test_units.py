@@ -149,3 +149,27 @@ def test_cart_state_latest_wins(spark):
                                "event_id string")
     got = {(r.product_id): r.quantity for r in C.cart_state(ev).collect()}
     assert got == {"P1": 0, "P2": 2}
+
+
+def _half_up(fr):
+    from fractions import Fraction
+    sign = -1 if fr < 0 else 1
+    a = abs(fr)
+    return sign * int(a + Fraction(1, 2)) if a.denominator != 1 else int(fr)
+
+
+def test_money_matches_exact_fractions(spark):
+    """Integer HALF_UP allocation and percentages equal exact rational
+    arithmetic on random rows (including negatives and zero denominators)."""
+    import random
+    from fractions import Fraction
+    rnd = random.Random(7)
+    rows = [(rnd.randint(-10**9, 10**9), rnd.choice([0, rnd.randint(-10**6, 10**6)]) or 0) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "n long, d long").repartition(5)
+    got = df.select("n", "d", div_half_up("n", "d").alias("q"), pct_half_up("n", "d").alias("p")).collect()
+    for r in got:
+        if r.d == 0:
+            assert r.q is None and r.p is None
+            continue
+        assert r.q == _half_up(Fraction(r.n, r.d))
+        assert r.p == _half_up(Fraction(r.n * 10000, r.d)) / 100.0
