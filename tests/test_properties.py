@@ -80,3 +80,15 @@ def test_batch_run_and_stored_lake_agree(spark, sf_dir):
         registry.use_stored(sf_dir, None)
     assert sorted(map(repr, fresh)) == sorted(map(repr, stored))
     assert n == counts["gold/fact_sales"]
+
+
+def test_batch_run_is_idempotent(spark, sf_dir):
+    import tempfile
+
+    from tidemart.plans.batch_run import run_batch
+    root = tempfile.mkdtemp()
+    a = run_batch(spark, sf_dir, root, with_events=False, clock="2001-08-02 00:00:00")
+    b = run_batch(spark, sf_dir, root, with_events=False, clock="2001-08-02 00:00:00")   # retry of the same run
+    assert a == b
+    for layer, name in [("bronze", "orders"), ("quarantine", "orders"), ("silver", "order_items")]:
+        assert spark.read.parquet(f"{root}/{layer}/{name}").count() == a[f"{layer}/{name}"]

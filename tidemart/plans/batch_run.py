@@ -1,4 +1,8 @@
-"""One medallion batch run: Bronze (append), Silver + quarantine, Gold.
+"""One medallion batch run: Bronze (per-run partitions), Silver + quarantine, Gold.
+
+Every write is idempotent: Bronze and quarantine overwrite their own
+``batch_id`` partition, Silver and Gold are overwritten, so a run that is
+retried after a failure leaves the same tables as a clean run.
 
 Each layer is written once and the next layer reads the stored previous
 layer (SURVEY Q14), so a run costs one scan of each source. Row counts
@@ -52,7 +56,9 @@ def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, b
 
     def entity(e):
         counts = {}
-        counts[f"bronze/{e}"] = write_table(src_lake.bronze(e), os.path.join(root, "bronze", e), mode="append",
+        # Bronze keeps every run (one batch_id partition each); a retried run
+        # overwrites only its own partition, so a rerun never doubles rows
+        counts[f"bronze/{e}"] = write_table(src_lake.bronze(e), os.path.join(root, "bronze", e), mode="overwrite",
                                             partition_by=["batch_id"])
         stored = spark.read.parquet(os.path.join(root, "bronze", e)).filter(F.col("batch_id") == batch_id)
         good, bad = S.silver(e, stored)
@@ -62,7 +68,8 @@ def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, b
         else:
             counts[f"silver/{e}"] = write_table(good, os.path.join(root, "silver", e))
         counts[f"quarantine/{e}"] = write_table(bad.withColumn("quarantined_at", ts),
-                                                os.path.join(root, "quarantine", e), mode="append")
+                                                os.path.join(root, "quarantine", e), mode="overwrite",
+                                                partition_by=["batch_id"])
         return counts
 
     counts = _in_parallel({e: (lambda e=e: entity(e)) for e in Sources.ENTITIES}, workers)
