@@ -21,8 +21,9 @@ released in ``finally``.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,7 +46,8 @@ def parse_stream(raw: DataFrame, topic: str) -> DataFrame:
 DEDUP_HORIZON_DAYS = 7
 
 
-def drop_seen(good: DataFrame, seen_path: str, batch_id: int, horizon_days: int = DEDUP_HORIZON_DAYS) -> DataFrame:
+def drop_seen(good: DataFrame, seen_path: str, batch_id: int, horizon_days: int = DEDUP_HORIZON_DAYS,
+              bounds: tuple | None = None) -> DataFrame:
     """Remove events whose id was already accepted by an earlier batch.
 
     Only the seen-id partitions from ``horizon_days`` before the batch's
@@ -57,7 +59,7 @@ def drop_seen(good: DataFrame, seen_path: str, batch_id: int, horizon_days: int
     if not path_exists(spark, seen_path):   # first batch: nothing seen yet
         return good
     keyed = good.withColumn("event_date", F.to_date(ST.event_ts()))
-    lo, hi = keyed.agg(F.min("event_date"), F.max("event_date")).first()
+    lo, hi = bounds if bounds else keyed.agg(F.min("event_date"), F.max("event_date")).first()
     if lo is None:
         return good
     seen = (spark.read.parquet(seen_path)
@@ -81,14 +83,20 @@ def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str) -> dic
         return counts
     batch = batch.persist()
     try:
+        # the Bronze write reads every row of the batch anyway: observe the
+        # event-date range there instead of running a separate job for it
+        obs = Observation(f"dates_{uuid.uuid4().hex}")
+        d = F.to_date(ST.event_ts())
+        bronze = batch.observe(obs, F.min(d).alias("lo"), F.max(d).alias("hi"))
         counts["bronze_raw_events"] = write_batch(
-            batch.select(*ST.COORDS, "json_str", "ingested_at"), os.path.join(root, "bronze", "kafka_raw_events",
-                                                                              topic_dir(topic)), batch_id)
+            bronze.select(*ST.COORDS, "json_str", "ingested_at"), os.path.join(root, "bronze", "kafka_raw_events",
+                                                                               topic_dir(topic)), batch_id)
+        bounds = (obs.get.get("lo"), obs.get.get("hi"))
         good, bad = ST.split_topic(batch, topic)
         counts["quarantine_events"] = write_batch(bad, os.path.join(root, "silver", "quarantine_events",
                                                                     topic_dir(topic)), batch_id)
         seen_path = os.path.join(root, "state", "seen_event_ids", topic_dir(topic))
-        fresh = drop_seen(good, seen_path, batch_id)
+        fresh = drop_seen(good, seen_path, batch_id, bounds=bounds)
         fresh = fresh.persist()
         try:
             remember(fresh, seen_path, batch_id)
