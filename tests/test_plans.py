@@ -25,10 +25,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in p
 
 
-def test_status_dimension_is_broadcast(spark, sf_dir):
+def test_small_dimension_is_broadcast_by_measured_size(spark, sf_dir):
+    """No hint on the payment dimension: AQE broadcasts it because it is small."""
     import __spark_entry__ as E2
-    p = _plan(E2.queries()["payment_split"](spark, sf_dir))
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+    df = E2.queries()["payment_split"](spark, sf_dir)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p
 
 
 def test_kpis_do_not_join_sales_to_orders(spark, sf_dir):

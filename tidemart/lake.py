@@ -102,12 +102,13 @@ class Lake:
     def build_gold(self, name: str) -> DataFrame:
         sp, s = self.spark, self.silver
         builders = {
-            "dim_date": lambda: G.dim_date(sp),
+            "dim_date": lambda: G.dim_date_spanning(G.date_span(
+                (self.src.t("orders"), "o_orderdate"), (self.src.t("events"), "ts"))),
             "dim_users": lambda: G.dim_users(s("users"), self.as_of),
             "dim_products": lambda: G.dim_products(s("products"), s("inventory")),
             "dim_promotions": lambda: G.dim_promotions(s("promotions")),
-            "dim_payment_method": lambda: G.dim_payment_method(sp),
-            "dim_order_status": lambda: G.dim_order_status(sp),
+            "dim_payment_method": lambda: G.dim_payment_method(sp, s("orders")),
+            "dim_order_status": lambda: G.dim_order_status(sp, s("orders")),
             "fact_orders": lambda: G.fact_orders(s("orders")),
             "fact_order_items": lambda: G.fact_order_items(s("order_items"), s("orders")),
             "fact_sales": lambda: G.fact_sales(s("order_items"), s("orders"), s("products")),

@@ -1,10 +1,11 @@
 """Gold (batch): star-schema dimensions and facts from Silver.
 
-Joins are expressed plainly and left to Catalyst and AQE: dimensions of a
-fixed size (order status, payment method) are broadcast explicitly; for
-``products`` no hint is given, so it is broadcast only when its measured
-size is under ``spark.sql.autoBroadcastJoinThreshold`` and sort-merge
-joined otherwise. ``as_of`` fixes the clock columns (SURVEY Q9).
+Joins are expressed plainly and left to Catalyst and AQE: no hint is given,
+so a side is broadcast only when its measured size is under the broadcast
+threshold and sort-merge joined otherwise. The payment and status
+dimensions are their fixed lookup rows plus any code the orders use that
+the lookup lacks; ``dim_date`` spans the dates of the data. ``as_of`` fixes
+the clock columns (SURVEY Q9).
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ def dim_date(spark: SparkSession, start: str = "2023-01-01", end: str = "2030-12
     """One row per day; day_of_week_num 1 = Sunday; ISO week of year."""
     d = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"),
                                                    F.expr("INTERVAL 1 DAY"))).alias("date_key"))
+    return _date_attributes(d)
+
+
+def _date_attributes(d: DataFrame) -> DataFrame:
     k = c("date_key")
     return d.select(
         k, F.year(k).alias("year"), F.quarter(k).alias("quarter"), F.month(k).alias("month"),
@@ -69,15 +74,49 @@ def dim_promotions(silver_promotions: DataFrame) -> DataFrame:
         "is_active")
 
 
-def dim_payment_method(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+def date_span(*cols: tuple[DataFrame, str]) -> DataFrame:
+    """One row (start, end): first and last date over several
+    (frame, timestamp column) pairs."""
+    u = None
+    for df, col in cols:
+        part = df.select(F.to_date(col).alias("x"))
+        u = part if u is None else u.unionByName(part)
+    return u.agg(F.min("x").alias("start"), F.max("x").alias("end"))
+
+
+def dim_date_spanning(span: DataFrame) -> DataFrame:
+    """dim_date over the dates of the data: one row per day from the first
+    to the last date found (``span`` is the one-row result of date_span)."""
+    d = span.select(F.explode(F.sequence("start", "end", F.expr("INTERVAL 1 DAY"))).alias("date_key"))
+    return _date_attributes(d)
+
+
+def _with_unknown_codes(lookup: DataFrame, key: str, codes: DataFrame | None) -> DataFrame:
+    """The fixed lookup rows plus every code the data uses that the lookup
+    lacks (attributes null), so the dimension conforms to the facts."""
+    if codes is None:
+        return lookup
+    seen = codes.select(c(key)).where(c(key).isNotNull()).distinct()
+    unknown = seen.join(lookup.select(key), key, "left_anti")
+    for f in lookup.schema.fields:
+        if f.name != key:
+            unknown = unknown.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return lookup.unionByName(unknown)
+
+
+def dim_payment_method(spark: SparkSession, silver_orders: DataFrame | None = None) -> DataFrame:
+    lookup = spark.createDataFrame(
         PAYMENT_METHOD_ROWS,
         "payment_method_code string, payment_method_name string, payment_channel string, is_digital boolean")
+    codes = silver_orders.select(c("payment_method").alias("payment_method_code")) if silver_orders else None
+    return _with_unknown_codes(lookup, "payment_method_code", codes)
 
 
-def dim_order_status(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+def dim_order_status(spark: SparkSession, silver_orders: DataFrame | None = None) -> DataFrame:
+    lookup = spark.createDataFrame(
         ORDER_STATUS_ROWS, "status_code string, status_name_vi string, is_completed boolean, is_negative boolean")
+    codes = silver_orders.select(c("order_status").alias("status_code")) if silver_orders else None
+    return _with_unknown_codes(lookup, "status_code", codes)
 
 
 # ---------------------------------------------------------------------- facts

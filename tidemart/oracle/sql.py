@@ -78,7 +78,16 @@ SELECT * FROM (VALUES
   ('PROMO001', 'SAVE10', CAST(10.00 AS DECIMAL(5,2)), TIMESTAMP '1995-01-01 00:00:00', TIMESTAMP '1999-12-31 23:59:59', TRUE),
   ('PROMO002', ' welcome10 ', CAST(10.00 AS DECIMAL(5,2)), TIMESTAMP '1997-01-01 00:00:00', TIMESTAMP '2001-12-31 23:59:59', TRUE),
   ('PROMO003', 'SPRING10', CAST(10.00 AS DECIMAL(5,2)), TIMESTAMP '1996-01-01 00:00:00', CAST(NULL AS TIMESTAMP), TRUE)
-) AS t(promo_id, promo_code, discount_percent, start_date, end_date, is_active)""")
+) AS t(promo_id, promo_code, discount_percent, start_date, end_date, is_active)
+UNION ALL
+SELECT 'PV' || CAST(c_custkey AS VARCHAR),
+       CASE WHEN c_custkey % 200 <> 0 THEN ' vip' || CAST(c_custkey AS VARCHAR) || ' ' END,
+       CAST(c_custkey % 11 + 5 AS DECIMAL(5,2)),
+       CAST(DATE '2000-01-01' + CAST(c_custkey % 365 AS INTEGER) AS TIMESTAMP),
+       CASE WHEN c_custkey % 4 <> 0 THEN CAST(DATE '2000-01-01' + CAST(c_custkey % 365 AS INTEGER) AS TIMESTAMP)
+            + INTERVAL 180 DAY END,
+       c_custkey % 3 <> 0
+FROM customer WHERE c_custkey % 25 = 0""")
 
 cte("a_lines", """
 SELECT l_orderkey * 1000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
@@ -187,6 +196,9 @@ FROM a_users WHERE user_id IS NULL OR username IS NULL""")
 cte("q_products", f"""
 SELECT *, {_BRONZE}, 'postgresql.products' AS source, 'null product_id or invalid price' AS quarantine_reason
 FROM a_products WHERE product_id IS NULL OR price IS NULL OR price <= 0""")
+cte("q_promotions", f"""
+SELECT *, {_BRONZE}, 'postgresql.promotions' AS source, 'null promo_id or promo_code' AS quarantine_reason
+FROM a_promotions WHERE promo_id IS NULL OR promo_code IS NULL""")
 cte("q_orders", f"""
 SELECT *, {_BRONZE}, 'postgresql.orders' AS source,
        'null order_id/user_id or non-positive total' AS quarantine_reason
@@ -211,7 +223,9 @@ SELECT CAST(d AS DATE) AS date_key, year(d) AS year, quarter(d) AS quarter, mont
        strftime(d, '%B') AS month_name, day(d) AS day, dayofweek(d) + 1 AS day_of_week_num,
        strftime(d, '%A') AS day_of_week_name, weekofyear(d) AS week_of_year,
        dayofweek(d) IN (0, 6) AS is_weekend, strftime(d, '%Y-%m') AS year_month
-FROM (SELECT unnest(generate_series(DATE '2023-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS d)""")
+FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d
+      FROM (SELECT min(x) AS a, max(x) AS b FROM (
+              SELECT CAST(o_orderdate AS DATE) AS x FROM orders UNION ALL SELECT CAST(ts AS DATE) FROM events)))""")
 
 _MONTHS_BETWEEN = f"""
   ((year({AS_OF}) * 12 + month({AS_OF})) - (year(created_at) * 12 + month(created_at))
@@ -242,17 +256,27 @@ SELECT promo_id, promo_code, discount_percent, start_date, end_date,
        is_active
 FROM s_promotions""")
 
-cte("dim_payment_method", """
+cte("pay_lookup", """
 SELECT * FROM (VALUES ('COD', 'Cash on Delivery', 'Offline', FALSE), ('Credit Card', 'Credit Card', 'Online', TRUE),
   ('E-Wallet', 'Electronic Wallet', 'Online', TRUE), ('Bank Transfer', 'Bank Transfer', 'Online', TRUE))
   AS t(payment_method_code, payment_method_name, payment_channel, is_digital)""")
 
-cte("dim_order_status", """
+cte("dim_payment_method", """
+SELECT * FROM pay_lookup UNION ALL
+SELECT DISTINCT payment_method, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN) FROM s_orders
+WHERE payment_method IS NOT NULL AND payment_method NOT IN (SELECT payment_method_code FROM pay_lookup)""")
+
+cte("status_lookup", """
 SELECT * FROM (VALUES ('Pending', 'Chờ xác nhận', FALSE, FALSE), ('Processing', 'Đang xử lý', FALSE, FALSE),
   ('Shipped', 'Đang giao hàng', FALSE, FALSE), ('Delivered', 'Đã giao hàng', TRUE, FALSE),
   ('Cancelled', 'Đã hủy', FALSE, TRUE), ('Returned', 'Đã hoàn hàng', FALSE, TRUE))
   AS t(status_code, status_name_vi, is_completed, is_negative)""")
 
+cte("dim_order_status", """
+SELECT * FROM status_lookup UNION ALL
+SELECT DISTINCT order_status, CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN) FROM s_orders
+WHERE order_status IS NOT NULL AND order_status NOT IN (SELECT status_code FROM status_lookup)""")
+
 cte("fact_orders", """
 SELECT order_id, user_id, promo_id, payment_method, order_status, CAST(order_date AS DATE) AS date_key,
        subtotal, shipping_fee, discount_amount, total_amount, total_amount - shipping_fee AS net_revenue,

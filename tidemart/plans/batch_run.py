@@ -74,6 +74,7 @@ def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, b
 
     counts = _in_parallel({e: (lambda e=e: entity(e)) for e in Sources.ENTITIES}, workers)
     stored_lake = Lake.from_stored(spark, root, as_of=as_of)
+    stored_lake.src = src_lake.src   # dim_date spans the source dates
 
     def gold(t):
         df = stored_lake.build_gold(t)

@@ -60,7 +60,7 @@ def _table_query(name: str, getter, oracle_table: str | None):
 # ------------------------------------------------------------ silver layer
 for _e in ["users", "products", "inventory", "promotions", "orders", "order_items", "inventory_logs", "reviews"]:
     _table_query(f"silver_{_e}", (lambda e: lambda lk: lk.silver(e))(_e), f"s_{_e}")
-for _e in ["users", "products", "orders", "order_items", "inventory_logs", "reviews"]:
+for _e in ["users", "products", "promotions", "orders", "order_items", "inventory_logs", "reviews"]:
     _table_query(f"quarantine_{_e}", (lambda e: lambda lk: lk.quarantine(e))(_e), f"q_{_e}")
 
 # -------------------------------------------------------------- gold layer

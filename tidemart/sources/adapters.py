@@ -85,12 +85,24 @@ PROMOTION_ROWS = [
 ]
 
 
-def promotions(spark: SparkSession) -> DataFrame:
+def promotions(spark: SparkSession, customer: DataFrame) -> DataFrame:
+    """The seed codes plus personal voucher codes for every 25th customer
+    (percent 5..15, a 180-day window or open-ended, some inactive, some
+    with a missing code to exercise validation)."""
     import datetime as dt
     rows = [(a, b, c, dt.datetime.fromisoformat(d) if d else None,
              dt.datetime.fromisoformat(e) if e else None, f) for a, b, c, d, e, f in PROMOTION_ROWS]
-    df = spark.createDataFrame(rows, PROMOTION_SCHEMA)
-    return df.withColumn("discount_percent", F.col("discount_percent").cast("decimal(5,2)"))
+    seeds = spark.createDataFrame(rows, PROMOTION_SCHEMA)
+    k = F.col("c_custkey")
+    start = F.date_add(F.lit("2000-01-01").cast("date"), (k % 365).cast("int")).cast("timestamp")
+    vouchers = customer.filter(k % 25 == 0).select(
+        F.concat(F.lit("PV"), k.cast("string")).alias("promo_id"),
+        F.when(k % 200 != 0, F.concat(F.lit(" vip"), k.cast("string"), F.lit(" "))).alias("promo_code"),
+        (k % 11 + 5).cast("string").alias("discount_percent"),
+        start.alias("start_date"),
+        F.when(k % 4 != 0, start + F.expr("INTERVAL 180 DAYS")).alias("end_date"),
+        (k % 3 != 0).alias("is_active"))
+    return seeds.unionByName(vouchers).withColumn("discount_percent", F.col("discount_percent").cast("decimal(5,2)"))
 
 
 def _numbered_lines(lineitem: DataFrame) -> DataFrame:
@@ -211,7 +223,7 @@ class Sources:
             "users": lambda: users(t("customer"), t("nation")),
             "products": lambda: products(t("part")),
             "inventory": lambda: inventory(t("part")),
-            "promotions": lambda: promotions(self.spark),
+            "promotions": lambda: promotions(self.spark, t("customer")),
             "orders": lambda: orders(t("orders"), t("lineitem")),
             "order_items": lambda: order_items(t("lineitem")),
             "inventory_logs": lambda: inventory_logs(t("lineitem"), t("part")),
