@@ -66,7 +66,9 @@ def main() -> None:
         "metric": "total_sec", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": {k: round(v, 3) for k, v in timings.items()},
         "sf": float(sf.group(1)) if sf else sf_dir, "cpus": cpus,
-        "rows": {"fact_sales": counts.get("gold/fact_sales"), "fact_sales_stream": counts.get("gold/fact_sales_stream")},
+        "rows": {"fact_sales": counts.get("gold/fact_sales"), "fact_sales_stream": counts.get("gold/fact_sales_stream"),
+                 "raw_events": counts.get("bronze/kafka_raw_events")},
+        "stream_events_per_sec": round((counts.get("bronze/kafka_raw_events") or 0) / timings["stream_all_topics"], 1),
     }))
     spark.stop()
 
