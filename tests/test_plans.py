@@ -72,4 +72,9 @@ def test_hot_key_is_pre_aggregated_before_the_shuffle(spark):
 def test_cli_batch(spark, sf_dir, tmp_path):
     from tidemart.__main__ import main
     main(["batch", "--sf-dir", sf_dir, "--out", str(tmp_path), "--as-of", "2001-08-02 00:00:00"])
-    assert spark.read.parquet(str(tmp_path / "gold" / "fact_sales")).count() > 0
+    fs = spark.read.parquet(str(tmp_path / "gold" / "fact_sales"))
+    assert fs.count() > 0
+    # facts are partitioned by date_key: a date filter prunes files
+    from pyspark.sql import functions as F
+    p = _plan(fs.filter(F.col("date_key") >= F.lit("1999-01-01").cast("date")).select("net_revenue"))
+    assert "PartitionFilters: [isnotnull(date_key" in p and "ReadSchema: struct<net_revenue:bigint>" in p
