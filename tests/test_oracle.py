@@ -10,6 +10,8 @@ import __spark_entry__ as E  # noqa: E402
 from compare import duck, rows_of  # noqa: E402
 
 NAMES = sorted(E.queries())
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "float": "FLOAT"}
 ORACLES = E.oracle_sql()
 
 
@@ -32,8 +34,11 @@ def test_query_matches_oracle(spark, sf_dir, con, name):
         return
     cur = con.execute(ORACLES[name])
     dcols = [d[0] for d in cur.description]
+    dtypes = {d[0]: str(d[1]).replace(" ", "") for d in cur.description}
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    for col, t in df.dtypes:   # same column types in both engines
+        assert dtypes[col] == SPARK_TO_DUCK.get(t, t.upper().replace(" ", "")), (col, t, dtypes[col])
     assert len(rows) == len(drows)
     assert rows_of(df.columns, rows) == rows_of(dcols, drows)
 

@@ -108,7 +108,7 @@ SELECT 'ORD_' || {_vs('o.o_orderkey')} AS order_id,
        CASE WHEN o.o_orderkey % 103 <> 0 THEN 'U' || {_vs('o.o_custkey')} END AS user_id,
        CASE WHEN o.o_orderkey % 10 < 3 THEN 'PROMO00' || {_vs('o.o_orderkey % 10 + 1')} END AS promo_id,
        sub AS subtotal,
-       CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END AS shipping_fee,
+       CAST(CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END AS BIGINT) AS shipping_fee,
        disc AS discount_amount,
        CASE WHEN o.o_orderkey % 107 = 0 THEN 0
             ELSE sub - coalesce(disc, 0) + CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END END AS total_amount,
@@ -219,9 +219,10 @@ FROM a_reviews WHERE product_id IS NULL OR user_id IS NULL OR NOT coalesce(ratin
 
 # ------------------------------------------------------------------- gold
 cte("dim_date", """
-SELECT CAST(d AS DATE) AS date_key, year(d) AS year, quarter(d) AS quarter, month(d) AS month,
-       strftime(d, '%B') AS month_name, day(d) AS day, dayofweek(d) + 1 AS day_of_week_num,
-       strftime(d, '%A') AS day_of_week_name, weekofyear(d) AS week_of_year,
+SELECT CAST(d AS DATE) AS date_key, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter,
+       CAST(month(d) AS INTEGER) AS month, strftime(d, '%B') AS month_name, CAST(day(d) AS INTEGER) AS day,
+       CAST(dayofweek(d) + 1 AS INTEGER) AS day_of_week_num, strftime(d, '%A') AS day_of_week_name,
+       CAST(weekofyear(d) AS INTEGER) AS week_of_year,
        dayofweek(d) IN (0, 6) AS is_weekend, strftime(d, '%Y-%m') AS year_month
 FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d
       FROM (SELECT min(x) AS a, max(x) AS b FROM (
@@ -434,7 +435,8 @@ SELECT event_id, etype AS event_type, 'SO' || {_vs('eid')} AS order_id, user_id,
        CASE etype WHEN 'order_created' THEN 'Pending' WHEN 'order_paid' THEN 'Paid'
             WHEN 'order_cancelled' THEN 'Cancelled' ELSE 'Returned' END AS order_status,
        CASE WHEN etype = 'order_created' THEN sub END AS subtotal,
-       CASE WHEN etype = 'order_created' THEN CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END END AS shipping_fee,
+       CAST(CASE WHEN etype = 'order_created' THEN CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END END AS BIGINT)
+         AS shipping_fee,
        CASE WHEN etype = 'order_created' THEN coalesce(disc, 0) ELSE 0 END AS discount_amount,
        CASE etype WHEN 'order_created' THEN sub - coalesce(disc, 0) + CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END
             WHEN 'order_paid' THEN CAST(base_price AS BIGINT) END AS total_amount,
@@ -478,7 +480,7 @@ SELECT event_id AS source_event_id, 'SO' || {_vs('eid')} AS order_id, user_id,
        gross_revenue - allocated_discount - i_unit_cost * i_quantity AS gross_profit,
        {pct_sql('gross_revenue - allocated_discount - i_unit_cost * i_quantity', 'gross_revenue - allocated_discount')}
          AS gross_margin_pct,
-       sub AS order_subtotal, CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END AS shipping_fee,
+       sub AS order_subtotal, CAST(CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END AS BIGINT) AS shipping_fee,
        d0 AS order_discount_amount,
        sub - d0 + CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END AS order_total_amount,
        CAST(event_ts AS DATE) AS date_key, event_ts AS order_ts

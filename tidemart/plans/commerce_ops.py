@@ -212,7 +212,7 @@ acts AS (SELECT session_id, event_ts, event_id,
 latest AS (SELECT session_id, arg_max_null(pct, (event_ts, event_id)) AS pct FROM acts GROUP BY 1)""", f"""
 SELECT session_id, items, subtotal, CAST(coalesce(pct, 0) AS DECIMAL(5,2)) AS discount_percent,
        CAST(floor(CAST(subtotal AS DECIMAL(20,0)) * coalesce(pct, 0) / 100) AS BIGINT) AS discount_amount,
-       CASE WHEN subtotal < {FREE_SHIPPING_FROM} THEN {SHIPPING_FEE} ELSE 0 END AS shipping_fee,
+       CAST(CASE WHEN subtotal < {FREE_SHIPPING_FROM} THEN {SHIPPING_FEE} ELSE 0 END AS BIGINT) AS shipping_fee,
        subtotal - CAST(floor(CAST(subtotal AS DECIMAL(20,0)) * coalesce(pct, 0) / 100) AS BIGINT)
          + CASE WHEN subtotal < {FREE_SHIPPING_FROM} THEN {SHIPPING_FEE} ELSE 0 END AS total_amount
 FROM carts LEFT JOIN latest USING (session_id)"""))(
@@ -237,8 +237,8 @@ FROM s_inventory i LEFT JOIN s_products p USING (product_id)"""))(
 
 register("low_stock_alerts", with_ctes(f"""
 SELECT product_id, log_id, order_id, log_created_at, stock_after FROM (
-  SELECT m.*, coalesce(i.stock_quantity, 0) + sum(m.quantity_delta) OVER (PARTITION BY m.product_id
-           ORDER BY m.log_created_at, m.log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stock_after
+  SELECT m.*, CAST(coalesce(i.stock_quantity, 0) + sum(m.quantity_delta) OVER (PARTITION BY m.product_id
+           ORDER BY m.log_created_at, m.log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stock_after
   FROM fact_inventory_log m LEFT JOIN s_inventory i USING (product_id))
 WHERE transaction_type = 'OUT' AND stock_after < {LOW_STOCK_ALERT_BELOW}"""))(
     lambda spark, d: low_stock_alerts(lake(spark, d).table("fact_inventory_log"), _s(spark, d, "inventory")))
