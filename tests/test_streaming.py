@@ -99,3 +99,14 @@ def test_replayed_micro_batch_and_redelivery(spark, sf_dir):
     assert later["fact_orders_stream"] == 0 and later["fact_sales_stream"] == 0
     assert runner.read_layer(spark, root, "gold", "fact_orders_stream").count() == gold.count()
     assert runner.read_layer(spark, root, "bronze", "kafka_raw_events", "ecommerce_order").count() == 2 * raw.count()
+
+
+def test_seen_state_retention(spark):
+    import datetime as dt2
+    path = os.path.join(tempfile.mkdtemp(), "seen")
+    rows = [(dt2.date(2024, 1, d), f"E{d}", 0) for d in (1, 2, 3, 4)]
+    (spark.createDataFrame(rows, "event_date date, event_id string, batch_id int")
+          .write.partitionBy("event_date", "batch_id").parquet(path))
+    assert runner.prune_seen(spark, path, "2024-01-03") == 2
+    left = {r.event_id for r in spark.read.parquet(path).collect()}
+    assert left == {"E3", "E4"}

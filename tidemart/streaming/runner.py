@@ -69,6 +69,24 @@ def drop_seen(good: DataFrame, seen_path: str, batch_id: int, horizon_days: int
     return keyed.join(seen, ["event_date", "event_id"], "left_anti").drop("event_date")
 
 
+def prune_seen(spark: SparkSession, seen_path: str, keep_from: str) -> int:
+    """Retention for the seen-id state: delete the ``event_date`` partitions
+    older than ``keep_from`` (``yyyy-MM-dd``); ids older than the dedup
+    horizon are never read again. Returns the number of partitions removed."""
+    if not path_exists(spark, seen_path):
+        return 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(seen_path)
+    fs = root.getFileSystem(conf)
+    removed = 0
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("event_date=") and name.split("=", 1)[1] < keep_from:
+            fs.delete(st.getPath(), True)
+            removed += 1
+    return removed
+
+
 def remember(fresh: DataFrame, seen_path: str, batch_id: int) -> None:
     ids = fresh.select(F.to_date(ST.event_ts()).alias("event_date"), "event_id",
                        F.lit(int(batch_id)).alias("batch_id"))
