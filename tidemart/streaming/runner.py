@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -117,12 +118,16 @@ def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str) -> dic
         fresh = drop_seen(good, seen_path, batch_id, bounds=bounds)
         fresh = fresh.persist()
         try:
-            remember(fresh, seen_path, batch_id)
+            remember(fresh, seen_path, batch_id)        # also materialises ``fresh``
             sv, gold, _ = ST.silver_and_gold(fresh, topic)
             spec = ST.TOPICS[topic]
-            counts[spec.silver_table] = write_batch(sv, os.path.join(root, "silver", spec.silver_table), batch_id)
-            for name, df in gold.items():
-                counts[name] = write_batch(df, os.path.join(root, "gold", name), batch_id)
+            # Silver and Gold read the persisted batch and are independent:
+            # submit their writes side by side
+            outputs = {spec.silver_table: (sv, os.path.join(root, "silver", spec.silver_table))}
+            outputs.update({n: (df, os.path.join(root, "gold", n)) for n, df in gold.items()})
+            with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
+                futures = {n: pool.submit(write_batch, df, path, batch_id) for n, (df, path) in outputs.items()}
+                counts.update({n: f.result() for n, f in futures.items()})
         finally:
             fresh.unpersist()
     finally:
