@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.economics import line_economics, unit_margin_pct
 from ..functions.money import pct_half_up
 from ..functions.timefilter import as_of_ts
-from ..schemas import (ORDER_STATUS_ROWS, PAYMENT_METHOD_ROWS, STOCK_CRITICAL,
-                       STOCK_LOW, STOCK_MEDIUM)
+from ..schemas import (ORDER_STATUS_ROWS, PAYMENT_METHOD_ROWS, SENTIMENT_NEGATIVE, SENTIMENT_NEUTRAL,
+                       SENTIMENT_POSITIVE, STOCK_CRITICAL, STOCK_CRITICAL_LABEL, STOCK_HEALTHY_LABEL,
+                       STOCK_LOW, STOCK_LOW_LABEL, STOCK_MEDIUM, STOCK_MEDIUM_LABEL)
 
 c = F.col
 
@@ -51,8 +52,9 @@ def dim_users(silver_users: DataFrame, as_of=None) -> DataFrame:
 
 def stock_status(stock) -> F.Column:
     s = c(stock) if isinstance(stock, str) else stock
-    return (F.when(s.isNull(), "Unknown").when(s < STOCK_CRITICAL, "Critical")
-             .when(s < STOCK_LOW, "Low").when(s < STOCK_MEDIUM, "Medium").otherwise("Healthy"))
+    return (F.when(s.isNull(), "Unknown").when(s < STOCK_CRITICAL, STOCK_CRITICAL_LABEL)
+             .when(s < STOCK_LOW, STOCK_LOW_LABEL).when(s < STOCK_MEDIUM, STOCK_MEDIUM_LABEL)
+             .otherwise(STOCK_HEALTHY_LABEL))
 
 
 def dim_products(silver_products: DataFrame, silver_inventory: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def fact_inventory_log(silver_logs: DataFrame, compat: bool = False) -> DataFram
 
 def sentiment_label(rating) -> F.Column:
     r = c(rating) if isinstance(rating, str) else rating
-    return F.when(r >= 4, "Positive").when(r == 3, "Neutral").otherwise("Negative")
+    return F.when(r >= 4, SENTIMENT_POSITIVE).when(r == 3, SENTIMENT_NEUTRAL).otherwise(SENTIMENT_NEGATIVE)
 
 
 def fact_reviews(silver_reviews: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import Rule, dedup_latest, split_valid
+from ..schemas import REASON_ORDER_ITEMS, REASON_ORDERS, REASON_PRODUCTS, REASON_RATING, REASON_USERS
 
 c = F.col
 
@@ -32,25 +33,25 @@ _BUSINESS_TS = {
 
 def rules(name: str) -> list[Rule]:
     r = {
-        "users": [Rule("null user_id or username", c("user_id").isNotNull()),
-                  Rule("null user_id or username", c("username").isNotNull())],
-        "products": [Rule("null product_id or invalid price", c("product_id").isNotNull()),
-                     Rule("null product_id or invalid price", c("price") > 0)],
+        "users": [Rule(REASON_USERS, c("user_id").isNotNull()),
+                  Rule(REASON_USERS, c("username").isNotNull())],
+        "products": [Rule(REASON_PRODUCTS, c("product_id").isNotNull()),
+                     Rule(REASON_PRODUCTS, c("price") > 0)],
         "inventory": [Rule("null product_id", c("product_id").isNotNull())],
         "promotions": [Rule("null promo_id or promo_code", c("promo_id").isNotNull()),
                        Rule("null promo_id or promo_code", c("promo_code").isNotNull())],
-        "orders": [Rule("null order_id/user_id or non-positive total", c("order_id").isNotNull()),
-                   Rule("null order_id/user_id or non-positive total", c("user_id").isNotNull()),
-                   Rule("null order_id/user_id or non-positive total", c("total_amount") > 0)],
-        "order_items": [Rule("null FK or invalid qty/price", c("order_id").isNotNull()),
-                        Rule("null FK or invalid qty/price", c("product_id").isNotNull()),
-                        Rule("null FK or invalid qty/price", c("quantity") > 0),
-                        Rule("null FK or invalid qty/price", c("unit_price") > 0)],
+        "orders": [Rule(REASON_ORDERS, c("order_id").isNotNull()),
+                   Rule(REASON_ORDERS, c("user_id").isNotNull()),
+                   Rule(REASON_ORDERS, c("total_amount") > 0)],
+        "order_items": [Rule(REASON_ORDER_ITEMS, c("order_id").isNotNull()),
+                        Rule(REASON_ORDER_ITEMS, c("product_id").isNotNull()),
+                        Rule(REASON_ORDER_ITEMS, c("quantity") > 0),
+                        Rule(REASON_ORDER_ITEMS, c("unit_price") > 0)],
         "inventory_logs": [Rule("null product_id or transaction_type", c("product_id").isNotNull()),
                            Rule("null product_id or transaction_type", c("transaction_type").isNotNull())],
         "reviews": [Rule("null product_id or user_id", c("product_id").isNotNull()),
                     Rule("null product_id or user_id", c("user_id").isNotNull()),
-                    Rule("null or out-of-range rating (1–5)", c("rating").between(1, 5))],
+                    Rule(REASON_RATING, c("rating").between(1, 5))],
     }
     return r[name]
 

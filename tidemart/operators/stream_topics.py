@@ -20,8 +20,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.economics import line_economics, unit_margin_pct
 from ..functions.quality import Rule, dedup_first, first_failure, passes, split_valid
-from ..schemas import (TOPIC_CART, TOPIC_INVENTORY, TOPIC_ORDER, TOPIC_PAGE_VIEW,
-                       TOPIC_PROMO, TOPIC_REVIEW, TOPIC_SCHEMAS, TOPIC_USER,
+from ..schemas import (REASON_NULL_EVENT_ID, REASON_NULL_TIMESTAMP, REASON_NULL_USER_ID, REASON_RATING,
+                       REASON_UNKNOWN_EVENT_TYPE, TOPIC_CART, TOPIC_INVENTORY, TOPIC_ORDER,
+                       TOPIC_PAGE_VIEW, TOPIC_PROMO, TOPIC_REVIEW, TOPIC_SCHEMAS, TOPIC_USER,
                        VALID_EVENT_TYPES)
 from .gold import sentiment_label
 
@@ -58,12 +59,12 @@ def parse(raw: DataFrame, topic: str, ingested_at=None) -> DataFrame:
 def envelope_rules(topic: str) -> list[Rule]:
     return [
         Rule("unparsable json", c(CORRUPT).isNull()),
-        Rule("null event_id", c("event_id").isNotNull()),
-        Rule("null timestamp", c("timestamp").isNotNull()),
+        Rule(REASON_NULL_EVENT_ID, c("event_id").isNotNull()),
+        Rule(REASON_NULL_TIMESTAMP, c("timestamp").isNotNull()),
         Rule("bad timestamp", event_ts().isNotNull()),
-        Rule("null user_id", c("user_id").isNotNull()),
+        Rule(REASON_NULL_USER_ID, c("user_id").isNotNull()),
         Rule("null event_type", c("event_type").isNotNull()),
-        Rule("unknown event_type", c("event_type").isin(VALID_EVENT_TYPES[topic])),
+        Rule(REASON_UNKNOWN_EVENT_TYPE, c("event_type").isin(VALID_EVENT_TYPES[topic])),
     ]
 
 
@@ -271,7 +272,7 @@ TOPICS = {
                                {"fact_inventory_events": fact_inventory_events}),
     TOPIC_REVIEW: TopicSpec(TOPIC_REVIEW, "review_events", silver_review_events,
                             {"fact_review_events": fact_review_events},
-                            extra_rules=lambda: [Rule("null or out-of-range rating (1–5)", c("rating").between(1, 5))]),
+                            extra_rules=lambda: [Rule(REASON_RATING, c("rating").between(1, 5))]),
 }
 
 

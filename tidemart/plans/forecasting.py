@@ -22,7 +22,7 @@ from ..functions.timefilter import time_filter
 from ..lake import ORDERS_AS_OF
 from ..oracle.sql import avg_pct_sql, with_ctes
 from ..registry import lake, register
-from ..schemas import Z_BY_CONFIDENCE
+from ..schemas import CI_OUTSIDE, CI_WITHIN, Z_BY_CONFIDENCE
 from ..session import materialize
 
 c = F.col
@@ -115,8 +115,8 @@ def forecast_vs_actual(series: DataFrame, holdout_days: int = 7, confidence: flo
     return j.select(
         "date", c("revenue").alias("predicted"), "lower_bound", "upper_bound", "actual",
         (F.abs(c("revenue") - c("actual")) / F.nullif(c("actual"), F.lit(0)) * 100).alias("mape_pct"),
-        F.when(c("actual").between(c("lower_bound"), c("upper_bound")), "Within CI")
-         .otherwise("Outside CI").alias("ci_hit")).orderBy("date")
+        F.when(c("actual").between(c("lower_bound"), c("upper_bound")), CI_WITHIN)
+         .otherwise(CI_OUTSIDE).alias("ci_hit")).orderBy("date")
 
 
 def category_forecast(fs: DataFrame, horizon: int, days: int, as_of=None) -> DataFrame:
@@ -160,12 +160,12 @@ def forecast_summary(fc: DataFrame, series: DataFrame) -> DataFrame:
 
 def forecast_accuracy(fva: DataFrame) -> DataFrame:
     return fva.agg(F.round(F.avg("mape_pct"), 6).alias("mape"),
-                   F.count_if(c("ci_hit") == "Within CI").alias("ci_hits"), F.count("*").alias("ci_total"),
-                   F.try_divide(F.count_if(c("ci_hit") == "Within CI") * 100, F.count("*")).alias("ci_pct"))
+                   F.count_if(c("ci_hit") == CI_WITHIN).alias("ci_hits"), F.count("*").alias("ci_total"),
+                   F.try_divide(F.count_if(c("ci_hit") == CI_WITHIN) * 100, F.count("*")).alias("ci_pct"))
 
 
 def forecast_worst_misses(fva: DataFrame, limit: int = 5) -> DataFrame:
-    return (fva.filter(c("ci_hit") == "Outside CI").orderBy(c("mape_pct").desc_nulls_last(), "date").limit(limit)
+    return (fva.filter(c("ci_hit") == CI_OUTSIDE).orderBy(c("mape_pct").desc_nulls_last(), "date").limit(limit)
                .select("date", "actual", "predicted", "mape_pct"))
 
 
