@@ -49,10 +49,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
+    key = F.coalesce(col("doc_id").cast("long"), F.lit(2**63 - 1))
     groups = simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, MAX_BITS)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    one = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
-    return _as_documents(one.dropDuplicates(["doc_id"]), docs)
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k"))
+    one = docs.withColumn("__k", key).join(stay, "__k", "left_semi").dropDuplicates(["__k"])
+    return _as_documents(one, docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
