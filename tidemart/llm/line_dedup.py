@@ -174,9 +174,6 @@ def _results(texts, verdicts) -> list[pa.Array]:
     return [pa.array(k, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())]
 
 
-FIELDS = [field("text", "string"), field("n_lines", "bigint"), field("n_dropped", "bigint")]
-
-
 def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", doc_id: str = "doc_id",
                 broadcast_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
     """``docs`` without the lines whose key is in ``min_docs`` documents or
@@ -187,7 +184,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", doc_id:
     loses all lines becomes empty. An empty table gives an empty result."""
     prepare(docs.sparkSession)
     index, shards, size = build_index(key_counts(docs, text), min_docs)
-    fields = [field(text, "string"), *FIELDS[1:]]
+    fields = [field(text, "string"), field("n_lines", "bigint"), field("n_dropped", "bigint")]
     if size <= broadcast_bytes:
         held = docs.sparkSession.sparkContext.broadcast({r.shard: r.arrays for r in index.toLocalIterator()})
 
