@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,7 +197,12 @@ class BlindTrie:
 # ------------------------------------------------------------------ the steps
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return [zstandard.compress(np.ascontiguousarray(a).tobytes(), 1) for a in arrays]
+
+
+def _unpack(held: list[tuple], kinds: list) -> tuple[np.ndarray, ...]:
+    """The arrays of packed rows, joined column by column."""
+    return tuple(np.concatenate([np.frombuffer(zstandard.decompress(x[k]), t) for x in held]) if held else np.empty(0, t) for k, t in enumerate(kinds))
 
 
 def _by(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,66 +228,104 @@ def _batch(names: list[str], kinds: list, rows: list[tuple]) -> pa.RecordBatch:
 
 _SHARED = (["bucket", "kind", "a", "b", "c", "d"], [pa.int64(), pa.int32(), *[pa.binary()] * 4])
 _LISTS = (["g", "docs", "ths", "hs"], [pa.int64(), *[pa.binary()] * 3])
+ROWS, HELD = 1 << 16, 1 << 20  # rows sorted at once (their number is packed in 16 bits); entries held for packing
+
+
+def _ordered(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, text hashes, texts) of slices of the batches, in order of id."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            ids, ths = part.column(first).to_numpy(), part.column(first + 1).to_numpy()
+            o = np.lexsort((ths, ids))
+            texts = part.column(first + 2).to_pylist()
+            yield ids[o], ths[o], [texts[i] for i in o.tolist()]
+
+
+class Packer:
+    """Entries by group of documents, packed into rows when many are held."""
+
+    def __init__(self, groups: int, names: list[str], kinds: list):
+        self.groups, self.names, self.kinds, self.held, self.size = groups, names, kinds, [], 0
+
+    def add(self, docs: np.ndarray, *rest: np.ndarray) -> None:
+        self.held.append((docs, *rest))
+        self.size += len(docs)
+
+    def rows(self) -> list[tuple]:
+        if not self.size:
+            return []
+        arrays = [np.concatenate([x[k] for x in self.held]) for k in range(len(self.held[0]))]
+        self.held, self.size = [], 0
+        order = np.argsort(arrays[0], kind="stable")
+        arrays = [a[order] for a in arrays]
+        return [(g, *_pack(*[a[o] for a in arrays])) for g, o in _by(_doc_group(arrays[0], self.groups), self.groups)]
+
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.size >= HELD or last:
+            if rows := self.rows():
+                yield _batch(self.names, self.kinds, rows)
 
 
 def _shared_anchors(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFrame:
-    """(g, docs, hs): anchors found in several documents, by group of documents."""
+    """(g, docs, ths, hs): anchors found in several documents, by group of
+    documents. Their hashes have 48 bits here; the sort decides what is equal."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            text, h, *_ = anchors(batch.column(2).to_pylist(), length)
+        for ids, ths, texts in _ordered(batches, 0):
+            text, h, *_ = anchors(texts, length)
             if not len(h):
                 continue
-            doc, th = ids[text], ths[text]
-            o = np.lexsort((th, doc, h))
-            h, doc, th = h[o], doc[o], th[o]
-            keep = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])
-            h, doc, th = h[keep], doc[keep], th[keep]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            key = np.sort(h >> np.uint64(16) << np.uint64(16) | text.astype(np.uint64))
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+            h, text = key >> np.uint64(16), (key & np.uint64(ROWS - 1)).astype(np.int64)
+            doc = ids[text]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            first = np.flatnonzero(new)
             sizes = np.diff(np.append(first, len(h)))
-            known = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), sizes)
+            known = np.repeat(doc[first] != doc[first + sizes - 1], sizes)
             # of anchors known to be shared, one entry is enough for the other batches
-            entry = np.flatnonzero(~known | np.isin(np.arange(len(h)), first))
+            entry = np.flatnonzero(~known | new)
+            entry = entry[np.argsort(text[entry].astype(np.uint16), kind="stable")]
             rows = []
             for k, at in _by((h[entry] % np.uint64(buckets)).astype(np.int64), buckets):
                 at = entry[at]
-                at = at[np.argsort(doc[at], kind="stable")]
-                rows.append((k, 0, *_pack(h[at], doc[at], th[at], known[at].astype(np.uint8))))
-            for k, at in _by(_doc_group(doc[known], groups), groups):
-                rows.append((k, 1, *_pack(doc[known][at], th[known][at], h[known][at]), b""))
-            yield _batch(*_SHARED, rows)
+                rows.append((k, 0, *_pack(h[at], np.diff(doc[at], prepend=0), ths[text[at]], known[at].astype(np.uint8))))
+            told = Packer(groups, *_LISTS)
+            told.add(doc[known], ths[text[known]], h[known])
+            yield _batch(*_SHARED, rows + [(g, 1, *x, b"") for g, *x in told.rows()])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, told = None, [], Packer(groups, *_LISTS)
 
         def close():
-            h, d, th, known = (np.concatenate([np.frombuffer(x[k], t) for x in held]) for k, t in enumerate((np.uint64, np.int64, np.int64, np.uint8)))
-            o = np.argsort(h, kind="stable")
+            h, _, th, known = _unpack(held, [np.uint64, np.int64, np.int64, np.uint8])
+            d = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(x[1]), np.int64)) for x in held])
+            o = np.argsort(h)
             h, d, th, known = h[o], d[o], th[o], known[o]
-            sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h)))
-            first = np.cumsum(sizes) - sizes
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            sizes = np.diff(np.append(first, len(h)))
             # entries of one id alone share nothing
-            several = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))
+            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
             tell = np.repeat(several, sizes) & (known == 0)
-            rows = [(k, *_pack(d[tell][at], th[tell][at], h[tell][at])) for k, at in _by(_doc_group(d[tell], groups), groups)]
-            return _batch(*_LISTS, rows) if rows else None
+            told.add(d[tell], th[tell], h[tell])
 
         for batch in batches:
             done = []
-            for bucket, kind, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for bucket, kind, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 1:
-                    done.append((bucket, a, b, c))
+                    done.append((bucket, *x[:3]))
                     continue
                 if bucket != now and held:
-                    if (out := close()) is not None:
-                        yield out
+                    close()
                     held = []
                 now = bucket
-                held.append((a, b, c, d))
+                held.append(x)
             if done:
                 yield _batch(*_LISTS, done)
-        if held and (out := close()) is not None:
-            yield out
+            yield from told.batches()
+        if held:
+            close()
+        yield from told.batches(last=True)
 
     rows = docs.select("id", "th", "b").mapInArrow(gather, "bucket long, kind int, a binary, b binary, c binary, d binary")
     return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(match, "g long, docs binary, ths binary, hs binary")
@@ -312,64 +356,75 @@ def _streamed(batches: Iterator[pa.RecordBatch], kinds: list, lists: int):
                 parts += zip(*(part.column(part.num_columns - lists + k).to_pylist() for k in range(lists)), strict=True)
             else:
                 if ready is None:
-                    ready = tuple(np.concatenate([np.frombuffer(x[k], t) for x in parts]) if parts else np.empty(0, t) for k, t in enumerate(kinds))
+                    ready = _unpack(parts, kinds)
                     o = np.lexsort(tuple(reversed(ready)))
                     ready, parts = tuple(x[o] for x in ready), []
                 yield part, ready
 
 
-_CUT = (["bucket", "kind", "h", "doc", "th", "lead", "n", "ctx", "places", "starts"],
-        [pa.int64(), pa.int32(), *[pa.binary()] * 8])
+_CUT = (["bucket", "kind", "h", "doc", "th", "lead", "n", "ctx", "starts"],
+        [pa.int64(), pa.int32(), *[pa.binary()] * 7])
 _SPANS = (["g", "docs", "ths", "starts", "ends"], [pa.int64(), *[pa.binary()] * 4])
 
 
+def _texts(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The texts at ``starts`` as rows of bytes, with zeros after their ends."""
+    wide = -(-int(sizes.max()) // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(wide), np.uint8), wide)[starts]
+    rows[np.arange(wide) >= sizes[:, None]] = 0
+    return rows
+
+
+def _equal(cut: np.ndarray, lead: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): rows with equal texts and anchors at equal places stand
+    together, by id; new marks the first of each group. A hash brings them
+    together, the bytes decide."""
+    key = h + lead.astype(np.uint64)
+    for word in cut.view(np.uint64).T:
+        key = (key ^ word) * _M
+        key ^= key >> np.uint64(32)
+    o = np.lexsort((doc, key))
+    new = np.concatenate([[True], (key[o[1:]] != key[o[:-1]]) | (lead[o[1:]] != lead[o[:-1]]) | (cut[o[1:]] != cut[o[:-1]]).any(1)])
+    return o, new
+
+
 def _suffixes(docs: DataFrame, lists: DataFrame, length: int, buckets: int, groups: int) -> DataFrame:
     """The texts around shared anchors, packed by bucket (kind 0), and spans
     that a batch could decide itself (kind 1: bucket is the group; h, doc, th
     and lead are its documents, their text hashes, starts and ends)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = Packer(groups, *_SPANS)
         for part, (ld, lt, lh) in _streamed(batches, [np.int64, np.int64, np.uint64], 3):
             if not len(ld):
                 continue
             known = np.sort(lh ^ _row_hash(ld, lt))  # only a filter: what is cut out is compared
-            ids, ths, texts = part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_pylist()
-            text, h, p, first, last = anchors(texts, length)
-            if not len(h):
-                continue
-            key = h ^ _row_hash(ids, ths)[text]
-            i = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            at = np.flatnonzero(known[i] == key)
-            seen: dict[tuple[int, bytes], list] = {}
-            done: list[tuple[int, int, int, int]] = []
-            for t, x, d, th, lead, a, z in zip(text[at].tolist(), h[at].tolist(), ids[text[at]].tolist(), ths[text[at]].tolist(), (p - first)[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True):
-                own = (lead, texts[t][a:z + length])
-                e = seen.get(own)
-                if e is None or e[0][0][0] > d:
-                    for (d_, th_), places in zip(e[0], e[2], strict=True) if e else ():
-                        done += [(d_, th_, b, b + z + length - a) for b in places]
-                    seen[own] = [[(d, th)], x, [[a]]]
-                elif e[0][0][0] < d:
-                    done.append((d, th, a, z + length))
-                elif (d, th) == e[0][-1]:
-                    e[2][-1].append(a)
-                else:
-                    e[0].append((d, th))
-                    e[2].append([a])
-            rows = []
-            if seen:
-                flat = [(x, d, th, lead, c, places) for (lead, c), (own, x, all_) in seen.items() for (d, th), places in zip(own, all_, strict=True)]
-                hs, ds, ths_, lead = (np.array([r[k] for r in flat], t) for k, t in enumerate((np.uint64, np.int64, np.int64, np.uint8)))
-                n = np.array([len(r[4]) - length + 1 for r in flat], np.uint8)
-                count = np.array([len(r[5]) for r in flat], np.int32)
-                for k, o in _by((hs % np.uint64(buckets)).astype(np.int64), buckets):
-                    some = o.tolist()
-                    rows.append((k, 0, *_pack(hs[o], ds[o], ths_[o], lead[o], n[o]), b"".join([flat[j][4] for j in some]), *_pack(count[o], np.array([a for j in some for a in flat[j][5]], np.int64))))
-            if done:
-                d, th, a, z = (np.array(x, np.int64) for x in zip(*done, strict=True))
-                for k, o in _by(_doc_group(d, groups), groups):
-                    rows.append((k, 1, *_pack(d[o], th[o], a[o], z[o]), *[b""] * 4))
-            if rows:
+            for ids, ths, texts in _ordered([part], 2):
+                text, h, p, first, last = anchors(texts, length)
+                if not len(h):
+                    continue
+                key = (h >> np.uint64(16)) ^ _row_hash(ids, ths)[text]
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+                if not len(at):
+                    continue
+                begin = np.cumsum([0] + [len(t) for t in texts])
+                text, h, first, lead, n = text[at], h[at], first[at], (p - first)[at], (last - first)[at] + 1
+                cut = _texts(b"".join(texts), begin[text] + first, n + length - 1)
+                doc = ids[text]
+                # texts equal around an anchor: those of larger ids than the least are decided
+                o, new = _equal(cut, lead, doc, h)
+                least = np.repeat(doc[o[new]], np.diff(np.append(np.flatnonzero(new), len(o))))
+                gone = o[doc[o] > least]
+                told.add(doc[gone], ths[text[gone]], first[gone], first[gone] + n[gone] + length - 1)
+                o = np.sort(o[doc[o] == least])  # back in order of the documents
+                rows = []
+                for k, some in _by((h[o] % np.uint64(buckets)).astype(np.int64), buckets):
+                    some = o[some]
+                    whole = np.arange(cut.shape[1]) < (n[some] + length - 1)[:, None]
+                    rows.append((k, 0, *_pack(h[some], doc[some], ths[text[some]], lead[some].astype(np.uint8), n[some].astype(np.uint8), cut[some][whole], first[some])))
+                rows += [(g, 1, *x, *[b""] * 3) for g, *x in (told.rows() if told.size >= HELD else ())]
                 yield _batch(*_CUT, rows)
+        if rows := told.rows():
+            yield _batch(*_CUT, [(g, 1, *x, *[b""] * 3) for g, *x in rows])
 
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("kind", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _CUT[0][2:]]])
     return _with_lists(docs.select("id", "th", "b"), lists, groups).mapInArrow(run, schema)
@@ -377,36 +432,23 @@ def _suffixes(docs: DataFrame, lists: DataFrame, length: int, buckets: int, grou
 
 def _resolved(cut: DataFrame, length: int, groups: int) -> DataFrame:
     """(g, docs, starts, ends): removed spans, packed by group of documents."""
-    def close(held: list[tuple]) -> list[tuple]:
-        h, d, th, lead, n = (np.concatenate([np.frombuffer(x[k], t) for x in held]) for k, t in enumerate((np.uint64, np.int64, np.int64, np.uint8, np.uint8)))
-        count, starts = (np.concatenate([np.frombuffer(x[k], t) for x in held]) for k, t in ((6, np.int32), (7, np.int64)))
-        data = b"".join(x[5] for x in held)
+    def close(held: list[tuple], told: Packer) -> None:
+        h, d, th, lead, n, data, starts = _unpack(held, [np.uint64, np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.int64])
         size = n.astype(np.int64) + length - 1
         base = np.cumsum(size) - size
-        at = np.cumsum(count) - count
-        out: list[tuple[np.ndarray, ...]] = []
+        cut = _texts(data.tobytes(), base, size)
 
         def decide(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
-            """Remove the windows first..last (within the row's text) at all places of each row."""
-            c = count[rows]
-            rep = np.repeat(np.arange(len(rows)), c)
-            where = starts[np.repeat(at[rows], c) + np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c)]
-            out.append((d[rows][rep], th[rows][rep], where + first[rep], where + last[rep] + length))
+            """Remove the windows first..last (within the row's text)."""
+            told.add(d[rows], th[rows], starts[rows] + first, starts[rows] + last + length)
 
         # equal texts around an anchor: all but those of the least id go
-        least: dict[tuple[int, bytes], int] = {}
-        keys = [(a, data[b:b + s]) for a, b, s in zip(lead.tolist(), base.tolist(), size.tolist(), strict=True)]
-        ids = d.tolist()
-        for k, x in zip(keys, ids, strict=True):
-            if least.get(k, LAST) >= x:
-                least[k] = x
-        keep = np.array([least[k] == x for k, x in zip(keys, ids, strict=True)])
-        gone = np.flatnonzero(~keep)
-        if len(gone):
-            decide(gone, np.zeros(len(gone), np.int64), n[gone].astype(np.int64) - 1)
-        del least, keys, ids
+        o, new = _equal(cut, lead, d, h)
+        least = np.repeat(d[o[new]], np.diff(np.append(np.flatnonzero(new), len(o))))
+        gone = o[d[o] > least]
+        decide(gone, np.zeros(len(gone), np.int64), n[gone].astype(np.int64) - 1)
         # the rest: sort the suffixes around anchors that several rows hold
-        rows = np.flatnonzero(keep)
+        rows = o[d[o] == least]
         _, number, times = np.unique(h[rows], return_inverse=True, return_counts=True)
         rows, number = rows[times[number] > 1], number[times[number] > 1]
         if len(rows):
@@ -414,7 +456,7 @@ def _resolved(cut: DataFrame, length: int, groups: int) -> DataFrame:
             row = np.repeat(np.arange(len(rows)), c)
             j = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)
             group = number[row].astype(np.int64) * 256 + (lead[rows][row].astype(np.int64) - j)
-            order, same = suffix_groups(np.frombuffer(data, np.uint8), base[rows][row] + j, group, length)
+            order, same = suffix_groups(data, base[rows][row] + j, group, length)
             if len(order):
                 doc = d[rows][row[order]]
                 first = np.flatnonzero(~same)
@@ -425,13 +467,9 @@ def _resolved(cut: DataFrame, length: int, groups: int) -> DataFrame:
                     new = np.concatenate([[True], (np.diff(w) != 1) | (row[w[1:]] != row[w[:-1]])])
                     end = np.concatenate([new[1:], [True]])
                     decide(rows[row[w[new]]], j[w[new]], j[w[end]])
-        if not out:
-            return []
-        docs_, ths, a, z = (np.concatenate([x[k] for x in out]) for k in range(4))
-        return [(g, *_pack(docs_[o], ths[o], a[o], z[o])) for g, o in _by(_doc_group(docs_, groups), groups)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, told = None, [], Packer(groups, *_SPANS)
         for b in batches:
             done = []
             for bucket, kind, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -439,14 +477,16 @@ def _resolved(cut: DataFrame, length: int, groups: int) -> DataFrame:
                     done.append((bucket, *x[:4]))
                     continue
                 if bucket != now and held:
-                    done += close(held)
+                    close(held, told)
                     held = []
                 now = bucket
                 held.append(x)
             if done:
                 yield _batch(*_SPANS, done)
-        if held and (rows := close(held)):
-            yield _batch(*_SPANS, rows)
+            yield from told.batches()
+        if held:
+            close(held, told)
+        yield from told.batches(last=True)
 
     dealt = cut.repartition("bucket").sortWithinPartitions("kind", "bucket")
     return dealt.mapInArrow(run, "g long, docs binary, ths binary, starts binary, ends binary")
@@ -466,17 +506,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", doc_id
     as empty and nothing is removed from texts under ``length`` bytes. Rows of
     one id don't remove each other's strings (they are told apart by a hash of
     their texts); a null id counts as larger than
-    any other. ``buckets`` sets how finely anchors are dealt (four times the
+    any other. ``buckets`` sets how finely anchors are dealt (twice the
     session's shuffle partitions, unless given). An empty table gives an
     empty result."""
     if length < GRAM + 1 or length > GRAM + 127:
         raise ValueError(f"length must be between {GRAM + 1} and {GRAM + 127}")
     spark = docs.sparkSession
     prepare(spark)
-    groups = _prime(max(2, buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    base = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.hash(utf8(text)).cast("long").alias("th"), utf8(text).alias("b"))
-    lists = stage(_shared_anchors(base, length, groups, groups), "suffix-anchors")
-    cut = stage(_suffixes(base, lists, length, groups, groups), "suffix-texts")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups, buckets = _prime(max(2, partitions)), buckets or 2 * partitions
+    # rows of one id, if there are any, are told apart by a hash of their text
+    repeated = docs.groupBy(col(doc_id)).count().filter("count > 1").limit(1).count()
+    mark = F.hash(utf8(text)).cast("long") if repeated else F.lit(0).cast("long")
+    base = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(doc_id).cast("long"), F.lit(LAST)).alias("id"), mark.alias("th"), utf8(text).alias("b"))
+    lists = stage(_shared_anchors(base, length, buckets, groups), "suffix-anchors")
+    cut = stage(_suffixes(base, lists, length, buckets, groups), "suffix-texts")
     release(lists)
     found = stage(_resolved(cut, length, groups), "suffix-spans")
     release(cut)
