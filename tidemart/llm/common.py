@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 
-ARROW_ROWS, ARROW_BYTES = "2000", "16m"
+ARROW_ROWS, ARROW_BYTES = "2000", "8m"
 
 
 def prepare(spark: SparkSession) -> None:
