@@ -143,8 +143,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     kept = (base.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
             .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("class", F.expr("ids[0]")))
     kept = stage(kept, "ann-classes")
-    members = stage(asked.withColumn("qid", F.min("id").over(W.partitionBy("v"))), "ann-members")
-    heads = members.filter("id = qid").dropDuplicates(["qid"]).select("qid", "v")
+    heads = stage(asked.groupBy("v").agg(F.min("id").alias("qid")).select("qid", "v"), "ann-heads")
+    members = stage(asked.select("id", "v").join(heads, "v").select("id", "qid"), "ann-members")
     n = kept.count()
 
     leaves = int(min(max_leaves, max(1, n // leaf_rows)))
@@ -215,7 +215,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
 
     found = cells.mapInArrow(score, "qid long, vec_id long, score double")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1).drop("r")
-    each = members.select(F.col("id").alias("query_id"), "qid").join(top, "qid").filter("vec_id != query_id")
+    each = members.select(F.col("id").alias("query_id"), "qid").distinct().join(top, "qid").filter("vec_id != query_id")
     return (each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 

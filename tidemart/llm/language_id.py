@@ -81,7 +81,7 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, prior: np.ndarray):
         self.langs = langs
         log = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS))
-        self.matrix = np.vstack([log - log.mean(1, keepdims=True), np.zeros((1, len(langs)))])
+        self.matrix = np.vstack([log - (log.mean(1, keepdims=True) if langs else 0), np.zeros((1, len(langs)))])
         self.prior = np.log(prior / prior.sum())
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

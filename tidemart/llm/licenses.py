@@ -57,6 +57,7 @@ RULES = [
     *((x, (f"spdx-{x.lower()}",)) for x in SPDX),
 ]
 
+_TAG = re.compile(rb"(SPDX-License-Identifier:[ \t]*[^ \t\n]+)")
 _WRAP = re.compile(rb"\n[ \t*#/;]*([a-z])")
 _END = re.compile(rb"[.!?][ \t\r\n]+|\n")
 _WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -69,8 +70,9 @@ def normalise(sentence: bytes) -> bytes:
 
 def sentences(text: bytes) -> list[bytes]:
     """Normalised sentences: cut at sentence ends and line ends, after joining
-    a line that goes on with a lower-case letter to the one before."""
-    return [normalise(s) for s in _END.split(_WRAP.sub(rb" \1", text))]
+    a line that goes on with a lower-case letter to the one before (but none
+    to an SPDX tag)."""
+    return [normalise(s) for s in _END.split(_WRAP.sub(rb" \1", _TAG.sub(rb"\1\n", text)))]
 
 
 def known_sentences() -> dict[bytes, str]:
@@ -119,7 +121,7 @@ def duckdb_sql() -> str:
         steps.append(f"s{k + 1} AS (SELECT doc_id, ids, replace(r, {p}, '|') AS r, found || CASE WHEN contains(r, {p}) THEN [{q(RULES[k][0])}] ELSE [] END AS found FROM s{k})")
     return f"""
 WITH known(s, i) AS (VALUES {known}),
-cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '\\n[ \\t*#/;]*([a-z])', ' \\1', 'g'), '[.!?][ \\t\\r\\n]+|\\n') AS xs FROM documents),
+cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '(SPDX-License-Identifier:[ \\t]*[^ \\t\\n]+)', '\\1' || chr(10), 'g'), '\\n[ \\t*#/;]*([a-z])', ' \\1', 'g'), '[.!?][ \\t\\r\\n]+|\\n') AS xs FROM documents),
 one AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS n FROM cut),
 norm AS (SELECT doc_id, n, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')) AS s FROM one),
 hit AS (SELECT doc_id, string_agg(i, ',' ORDER BY n) AS ids FROM norm JOIN known USING (s) GROUP BY doc_id),

@@ -135,10 +135,12 @@ def suffix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth
     same = np.zeros(len(order), bool)
     two = begin[sizes == 2]  # a blind trie of two is one comparison
     a, b = starts[order[two]], starts[order[two + 1]]
-    equal = np.ones(len(two), bool)
+    least = np.zeros(len(two), np.int16)  # first difference of the two
     for d in range(SHALLOW, depth):
-        equal &= data[a + d] == data[b + d]
-    same[two + 1] = equal
+        least = np.where(least == 0, data[a + d].astype(np.int16) - data[b + d], least)
+    same[two + 1] = least == 0
+    turn = two[least > 0]
+    order[turn], order[turn + 1] = order[turn + 1], order[turn]
     for g, n in zip(begin[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
         mine = order[g:g + n].tolist()
         texts = [data[starts[i] + SHALLOW:starts[i] + depth].tobytes() for i in mine]
