@@ -7,12 +7,14 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from tidemart import registry  # noqa: E402
 from compare import duck, rows_of  # noqa: E402
 
-NAMES = sorted(E.queries())
+registry.load_marts()
+NAMES = sorted(registry.QUERIES)
 SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
                  "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "float": "FLOAT"}
-ORACLES = E.oracle_sql()
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")

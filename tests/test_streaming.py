@@ -11,7 +11,7 @@ from tidemart.streaming import runner, windowed
 
 
 def _cols(df):
-    return [c for c in df.columns if c not in ("batch_id", "ingested_at", "dw_loaded_at")]
+    return [c for c in df.columns if c not in ("batch_id", "run_id", "ingested_at", "dw_loaded_at")]
 
 
 def test_stream_equals_static_and_restart_adds_nothing(spark, sf_dir):
@@ -101,12 +101,78 @@ def test_replayed_micro_batch_and_redelivery(spark, sf_dir):
     assert runner.read_layer(spark, root, "bronze", "kafka_raw_events", "ecommerce_order").count() == 2 * raw.count()
 
 
-def test_seen_state_retention(spark):
-    import datetime as dt2
-    path = os.path.join(tempfile.mkdtemp(), "seen")
-    rows = [(dt2.date(2024, 1, d), f"E{d}", 0) for d in (1, 2, 3, 4)]
-    (spark.createDataFrame(rows, "event_date date, event_id string, batch_id int")
-          .write.partitionBy("event_date", "batch_id").parquet(path))
-    assert runner.prune_seen(spark, path, "2024-01-03") == 2
-    left = {r.event_id for r in spark.read.parquet(path).collect()}
-    assert left == {"E3", "E4"}
+def _user_events(spark, ids, ts="2024-01-05 23:59:30"):
+    from tidemart.operators import stream_topics as ST
+    from tidemart.schemas import RAW_EVENT_SCHEMA, TOPIC_USER
+    msg = '{"event_id": "%s", "event_type": "user_login", "timestamp": "%s", "user_id": "U1"}'
+    rows = [(TOPIC_USER, 0, i, None, msg % (e, ts)) for i, e in enumerate(ids)]
+    return ST.parse(spark.createDataFrame(rows, RAW_EVENT_SCHEMA), TOPIC_USER)
+
+
+def _gold_ids(spark, root):
+    return sorted(r.event_id for r in runner.read_layer(spark, root, "gold", "fact_user_events").collect())
+
+
+def test_new_checkpoint_keeps_rows_of_the_old_one(spark):
+    """Batches of another query count from 0 again and replace nothing."""
+    from tidemart.schemas import TOPIC_USER
+    root = tempfile.mkdtemp()
+    runner.process_batch(_user_events(spark, ["E1"]), 0, TOPIC_USER, root, "query-a")
+    runner.process_batch(_user_events(spark, ["E2"]), 1, TOPIC_USER, root, "query-a")
+    runner.process_batch(_user_events(spark, ["E3", "E1"]), 0, TOPIC_USER, root, "query-b")
+    assert _gold_ids(spark, root) == ["E1", "E2", "E3"]
+
+
+def test_restart_with_a_new_checkpoint(spark, sf_dir):
+    raw_dir = raw_files(spark, sf_dir)
+    root = tempfile.mkdtemp()
+    for _ in range(2):
+        runner.run_files_available_now(spark, raw_dir, root, tempfile.mkdtemp(), topics=[TOPIC_INVENTORY])
+    g = runner.read_layer(spark, root, "gold", "fact_inventory_events")
+    assert g.count() == g.select("event_id").distinct().count() == Lake(spark, sf_dir).table("fact_inventory_events").count()
+
+
+def test_redelivery_past_midnight_and_odd_timestamps(spark):
+    """One id again with another day's timestamp, or one of 1970, is one event."""
+    from tidemart.schemas import TOPIC_USER
+    root = tempfile.mkdtemp()
+    runner.process_batch(_user_events(spark, ["E1"]), 0, TOPIC_USER, root)
+    runner.process_batch(_user_events(spark, ["E1", "E2"], "2024-01-06 00:00:30"), 1, TOPIC_USER, root)
+    runner.process_batch(_user_events(spark, ["E1", "E2"], "1970-01-01 00:00:00"), 2, TOPIC_USER, root)
+    assert _gold_ids(spark, root) == ["E1", "E2"]
+
+
+def test_seen_state_is_bounded_by_the_runner(spark):
+    """An id counts for the horizon after its arrival; older days go."""
+    import datetime as dt
+
+    from tidemart.schemas import TOPIC_USER
+    root, day = tempfile.mkdtemp(), dt.date(2024, 1, 1)
+    state = os.path.join(runner.stream_root(root), "state", "seen_event_ids", "ecommerce_user")
+    for k, ids in ((0, ["E1"]), (5, ["E2", "E1"]), (9, ["E1", "E2", "E3"])):
+        runner.process_batch(_user_events(spark, ids), k, TOPIC_USER, root, today=day + dt.timedelta(days=k))
+    assert _gold_ids(spark, root) == ["E1", "E1", "E2", "E3"]      # E1 again 9 days after its arrival
+    assert runner.seen_days(spark, state) == ["2024-01-06", "2024-01-10"]
+
+
+def test_batch_and_stream_on_one_root(spark, sf_dir):
+    from tidemart.plans.batch_run import run_batch
+    root = tempfile.mkdtemp()
+    runner.run_files_available_now(spark, raw_files(spark, sf_dir), root, tempfile.mkdtemp(), topics=[TOPIC_ORDER])
+    streamed = runner.read_layer(spark, root, "gold", "fact_orders_stream").count()
+    run_batch(spark, sf_dir, root)
+    assert runner.read_layer(spark, root, "gold", "fact_orders_stream").count() == streamed
+    assert Lake.from_stored(spark, root).table("fact_orders_stream").count() == streamed
+
+
+def test_live_window_prunes_stored_days(spark, sf_dir):
+    import datetime as dt
+
+    from tidemart.plans.live import orders_per_minute
+    root = tempfile.mkdtemp()
+    runner.run_files_available_now(spark, raw_files(spark, sf_dir), root, tempfile.mkdtemp(), topics=[TOPIC_ORDER])
+    gold = runner.read_layer(spark, root, "gold", "fact_orders_stream")
+    df = orders_per_minute(gold, 1, dt.datetime(2024, 1, 20, 12))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date_key" in plan
+    assert df.count() <= orders_per_minute(gold, 100000, dt.datetime(2024, 1, 20, 12)).count()

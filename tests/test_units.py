@@ -173,3 +173,70 @@ def test_money_matches_exact_fractions(spark):
             continue
         assert r.q == _half_up(Fraction(r.n, r.d))
         assert r.p == _half_up(Fraction(r.n * 10000, r.d)) / 100.0
+
+
+def test_line_ids_never_collide(spark):
+    """250 lines of one order with two line numbers, and a two-digit line
+    number beside the next order: 252 + 1 ids, all different."""
+    from tidemart.sources.adapters import inventory_logs, order_items
+    row = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    import datetime as dt
+    base = (1.0, 10.0, 0.0, 0.0, "R", "F", dt.date(1996, 1, 1))
+    lines = [(7, 1, 1, 1 + i % 2, *base) for i in range(250)] + [(7, 1, 1, 10, *base), (8, 1, 1, 1, *base), (200000, 2, 1, 1, *base)]
+    df = spark.createDataFrame(lines, row)
+    ids = [r.item_id for r in order_items(df).select("item_id").collect()]
+    assert sorted(ids) == list(range(1, 254))
+    part = spark.createDataFrame([(1,), (2,)], "p_partkey long")
+    logs = [r.log_id for r in inventory_logs(df, part).select("log_id").collect()]
+    assert len(set(logs)) == len(logs) == 253 * 2 + 2
+
+
+def test_allocation_of_amounts_beyond_long_products(spark):
+    from fractions import Fraction
+
+    from tidemart.functions.economics import allocated_discount
+    rows = [(3 * 10**9, 4 * 10**9, 5 * 10**9), (10**18, 10**18, 3 * 10**18), (7, 3, 2), (10**12, 999_999_999_999, 1_000_000_000_001), (-(10**12), 10**12, 3), (1, 1, 2)]
+    got = spark.createDataFrame(rows, "d long, g long, s long").select("d", "g", "s", allocated_discount("d", "g", "s").alias("a"))
+    import math
+    for r in got.filter("d > 0").collect():
+        assert r.a == math.floor(Fraction(r.d * r.g, r.s) + Fraction(1, 2))
+
+
+def test_orders_beyond_int_are_valid_events(spark):
+    from tidemart.operators import stream_topics as ST
+    from tidemart.schemas import RAW_EVENT_SCHEMA, TOPIC_ORDER
+    msg = '{"event_id": "E1", "event_type": "order_created", "timestamp": "2024-01-05 10:00:00", "user_id": "U1", "order_id": "O1", "subtotal": 3000000000, "total_amount": 3000000000, "items": [{"product_id": "P1", "quantity": 1, "unit_price": 3000000000, "unit_cost": 2000000000}]}'
+    raw = spark.createDataFrame([(TOPIC_ORDER, 0, 1, None, msg)], RAW_EVENT_SCHEMA)
+    fr = ST.process_static(raw, TOPIC_ORDER)
+    assert fr.quarantine.count() == 0
+    assert fr.gold["fact_orders_stream"].first().total_amount == 3_000_000_000
+
+
+def test_fit_of_long_series_of_large_amounts(spark):
+    """2,400 days at 5e9 a day: the sums of the fit pass a LONG."""
+    import datetime as dt
+
+    from tidemart.plans.forecasting import forecast_fit
+    rows = [(dt.datetime(1995, 1, 1) + dt.timedelta(days=i), 5_000_000_000 + 1000 * i) for i in range(2400)]
+    fit = forecast_fit(spark.createDataFrame(rows, "time_bucket timestamp, net_revenue long")).first()
+    assert fit.n == 2400 and abs(fit.slope - 1000) < 1e-6 and abs(fit.intercept - 5e9) < 1
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(monkeypatch):
+    import pytest
+
+    from tidemart import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else None
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())

@@ -14,7 +14,7 @@ import argparse
 import json
 
 from .functions.timefilter import parse_as_of
-from .lake import ORDERS_AS_OF
+from .lake import FACT_MONTH, ORDERS_AS_OF
 from .operators.bronze import new_batch_id
 from .plans.batch_run import run_batch
 from .schemas import ALL_TOPICS
@@ -43,7 +43,7 @@ def main(argv=None) -> None:
     if a.cmd == "batch":
         as_of = parse_as_of(a.as_of) or ORDERS_AS_OF
         counts = run_batch(spark, a.sf_dir, a.out, as_of=as_of, batch_id=new_batch_id(),
-                           fact_partition=None if a.no_partition else "date_key")
+                           fact_partition=None if a.no_partition else FACT_MONTH)
         print(json.dumps(counts, indent=1))
         return
     if a.raw_dir and a.available_now:

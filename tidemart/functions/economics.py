@@ -8,7 +8,8 @@ For a line of an order:
   total_cost         = unit_cost * quantity
   gross_profit       = net_revenue - total_cost
   gross_margin_pct   = round(gross_profit / net_revenue * 100, 2), null at 0
-All money is LONG, so the products cannot overflow (SURVEY Q1, Q10, Q11).
+All money is LONG (SURVEY Q1, Q10, Q11). discount * gross_revenue can pass a
+LONG; then the division is done in DECIMAL(38,0), with the same result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import col_, div_half_up, pct_half_up
+from .money import col_, muldiv_half_up, pct_half_up
 
 
 def gross_revenue(quantity, unit_price) -> Column:
@@ -25,8 +26,8 @@ def gross_revenue(quantity, unit_price) -> Column:
 
 def allocated_discount(discount, gross, subtotal) -> Column:
     d, g, s = col_(discount).cast("long"), col_(gross).cast("long"), col_(subtotal).cast("long")
-    return F.when((s > 0) & d.isNotNull() & g.isNotNull(), div_half_up(d * g, s)) \
-            .otherwise(F.when(g.isNotNull(), F.lit(0).cast("long")))
+    some = (s > 0) & d.isNotNull() & g.isNotNull()
+    return F.when(some, muldiv_half_up(d, g, s)).otherwise(F.when(g.isNotNull(), F.lit(0).cast("long")))
 
 
 def line_economics(quantity, unit_price, unit_cost, discount, subtotal) -> dict[str, Column]:

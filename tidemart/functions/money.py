@@ -30,6 +30,24 @@ def div_half_up(num, den) -> Column:
     return F.when(d != 0, sign * mag)
 
 
+#: factors below this have a doubled product that fits a LONG
+SAFE_FACTOR = 1 << 30
+
+
+def muldiv_half_up(a, b, den) -> Column:
+    """round(a * b / den) HALF_UP for LONGs of any size, den > 0: in LONG
+    where the product fits, else in DECIMAL(38,0)."""
+    a, b, d = (col_(x).cast("long") for x in (a, b, den))
+    small = (F.abs(a) < SAFE_FACTOR) & (F.abs(b) < SAFE_FACTOR) & (d < SAFE_FACTOR * SAFE_FACTOR)
+    x, y, z = (v.cast("decimal(19,0)") for v in (a, b, d))
+    product = (x * y).cast("decimal(38,0)")
+    mag = idiv(F.abs(product), z)
+    rest = F.abs(product) - mag.cast("decimal(19,0)") * z
+    sign = F.signum(a).cast("long") * F.signum(b).cast("long")
+    wide = sign * (mag + F.when(rest * 2 >= z, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.when(small, div_half_up(a * b, d)).otherwise(wide)
+
+
 def pct_half_up(num, den, scale: int = 2) -> Column:
     """round(num / den * 100, scale) HALF_UP as a DOUBLE, computed exactly in
     integers; null when den is 0."""

@@ -41,6 +41,14 @@ def since_hours(ts_col, hours: int, as_of=None) -> Column:
     return col_(ts_col) >= as_of_ts(as_of) - F.make_interval(hours=F.lit(int(hours)))
 
 
+def recent(df, ts_col: str, hours: int, as_of=None):
+    """Rows of the last ``hours``. Event facts carry the day of ``ts_col`` as
+    ``date_key`` and are stored by it: filtering on both reads those days only."""
+    start = as_of_ts(as_of) - F.make_interval(hours=F.lit(int(hours)))
+    out = df.filter(col_(ts_col) >= start)
+    return out.filter(F.col("date_key") >= F.to_date(start)) if "date_key" in df.columns else out
+
+
 def parse_as_of(s) -> dt.datetime | None:
     if s is None or isinstance(s, dt.datetime):
         return s

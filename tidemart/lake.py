@@ -12,6 +12,7 @@ import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import bronze as B
 from .operators import gold as G
@@ -19,12 +20,12 @@ from .operators import silver as S
 from .operators import stream_topics as ST
 from .sources import adapters as A
 from .sources.events import raw_event_log
-from .sources.io import bucketed_name
 
 # Default clocks of the test data (orders end 2001-08-01, events 2024-01-30).
 ORDERS_AS_OF = dt.datetime(2001, 8, 2)
 EVENTS_AS_OF = dt.datetime(2024, 1, 31)
 FIXED_BATCH_ID = "20010802_000000"
+FACT_MONTH = "date_month"   # partition column of stored facts: first day of date_key's month
 
 GOLD_TABLES = ["dim_date", "dim_users", "dim_products", "dim_promotions", "dim_payment_method",
                "dim_order_status", "fact_orders", "fact_order_items", "fact_sales",
@@ -62,14 +63,19 @@ class Lake:
         return self._get("raw_events", lambda: raw_event_log(self.src.t("events")))
 
     def _read(self, *parts: str) -> DataFrame:
-        # a bucketed table of this run, when the catalog knows it, keeps its
-        # bucketing (shuffle-free joins on the bucket key); else plain files
-        name = bucketed_name(self.stored, *parts) if len(parts) == 2 else None
-        if name and self.spark.catalog.tableExists(name):
-            df = self.spark.table(name)
-        else:
-            df = self.spark.read.parquet(os.path.join(self.stored, *parts))
-        return df.drop(*[c for c in df.columns if c in ("dw_loaded_at", "dw_updated_at", "quarantined_at")])
+        df = self.spark.read.parquet(os.path.join(self.stored, *parts))
+        return df.drop("dw_loaded_at", "dw_updated_at", "quarantined_at", "run_id", FACT_MONTH)
+
+    def table_since(self, name: str, days: int, as_of: dt.datetime | None = None) -> DataFrame:
+        """A fact for queries about the last ``days``: stored facts are
+        pruned to the months that can hold such rows."""
+        if not self.stored:
+            return self.table(name)
+        df = self.spark.read.parquet(os.path.join(self.stored, "gold", name))
+        if FACT_MONTH in df.columns:
+            first = ((as_of or dt.datetime.now()) - dt.timedelta(days=days)).date().replace(day=1)
+            df = df.filter(F.col(FACT_MONTH) >= F.lit(first))
+        return df.drop("dw_loaded_at", "dw_updated_at", "run_id", FACT_MONTH)
 
     def silver(self, entity: str) -> DataFrame:
         if self.stored:
@@ -107,8 +113,8 @@ class Lake:
             "dim_users": lambda: G.dim_users(s("users"), self.as_of),
             "dim_products": lambda: G.dim_products(s("products"), s("inventory")),
             "dim_promotions": lambda: G.dim_promotions(s("promotions")),
-            "dim_payment_method": lambda: G.dim_payment_method(sp, s("orders")),
-            "dim_order_status": lambda: G.dim_order_status(sp, s("orders")),
+            "dim_payment_method": lambda: G.dim_payment_method(sp),
+            "dim_order_status": lambda: G.dim_order_status(sp),
             "fact_orders": lambda: G.fact_orders(s("orders")),
             "fact_order_items": lambda: G.fact_order_items(s("order_items"), s("orders")),
             "fact_sales": lambda: G.fact_sales(s("order_items"), s("orders"), s("products")),

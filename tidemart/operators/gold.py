@@ -93,32 +93,17 @@ def dim_date_spanning(span: DataFrame) -> DataFrame:
     return _date_attributes(d)
 
 
-def _with_unknown_codes(lookup: DataFrame, key: str, codes: DataFrame | None) -> DataFrame:
-    """The fixed lookup rows plus every code the data uses that the lookup
-    lacks (attributes null), so the dimension conforms to the facts."""
-    if codes is None:
-        return lookup
-    seen = codes.select(c(key)).where(c(key).isNotNull()).distinct()
-    unknown = seen.join(lookup.select(key), key, "left_anti")
-    for f in lookup.schema.fields:
-        if f.name != key:
-            unknown = unknown.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return lookup.unionByName(unknown)
-
-
-def dim_payment_method(spark: SparkSession, silver_orders: DataFrame | None = None) -> DataFrame:
-    lookup = spark.createDataFrame(
+def dim_payment_method(spark: SparkSession) -> DataFrame:
+    """The fixed rows; an order with another code has no payment method."""
+    return spark.createDataFrame(
         PAYMENT_METHOD_ROWS,
         "payment_method_code string, payment_method_name string, payment_channel string, is_digital boolean")
-    codes = silver_orders.select(c("payment_method").alias("payment_method_code")) if silver_orders else None
-    return _with_unknown_codes(lookup, "payment_method_code", codes)
 
 
-def dim_order_status(spark: SparkSession, silver_orders: DataFrame | None = None) -> DataFrame:
-    lookup = spark.createDataFrame(
+def dim_order_status(spark: SparkSession) -> DataFrame:
+    """The fixed rows; an order with another code has no status."""
+    return spark.createDataFrame(
         ORDER_STATUS_ROWS, "status_code string, status_name_vi string, is_completed boolean, is_negative boolean")
-    codes = silver_orders.select(c("order_status").alias("status_code")) if silver_orders else None
-    return _with_unknown_codes(lookup, "status_code", codes)
 
 
 # ---------------------------------------------------------------------- facts

@@ -90,8 +90,7 @@ SELECT 'PV' || CAST(c_custkey AS VARCHAR),
 FROM customer WHERE c_custkey % 25 = 0""")
 
 cte("a_lines", """
-SELECT l_orderkey * 1000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-         ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
          l_shipdate) AS item_id,
        l_orderkey, l_partkey, l_returnflag, CAST(l_shipdate AS TIMESTAMP) AS l_shipdate,
        CASE WHEN l_orderkey % 101 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS quantity,
@@ -126,14 +125,14 @@ FROM (SELECT o.*, coalesce(s.sub, 0) AS sub,
                                FROM a_lines GROUP BY l_orderkey) s ON s.l_orderkey = o.o_orderkey) o""")
 
 cte("a_inventory_logs", f"""
-SELECT item_id * 10 + 1 AS log_id, 'P' || {_vs('l_partkey')} AS product_id, 'ORD_' || {_vs('l_orderkey')} AS order_id,
+SELECT item_id * 3 AS log_id, 'P' || {_vs('l_partkey')} AS product_id, 'ORD_' || {_vs('l_orderkey')} AS order_id,
        CASE WHEN l_orderkey % 211 <> 0 THEN ' out' END AS transaction_type, quantity AS quantity_changed,
        'checkout' AS note, l_shipdate AS created_at FROM a_lines
 UNION ALL
-SELECT item_id * 10 + 2, 'P' || {_vs('l_partkey')}, 'ORD_' || {_vs('l_orderkey')}, 'Return ', quantity, 'return',
+SELECT item_id * 3 + 1, 'P' || {_vs('l_partkey')}, 'ORD_' || {_vs('l_orderkey')}, 'Return ', quantity, 'return',
        l_shipdate + INTERVAL 10 DAY FROM a_lines WHERE l_returnflag = 'R'
 UNION ALL
-SELECT p_partkey * 10 + 3, 'P' || {_vs('p_partkey')}, CAST(NULL AS VARCHAR), 'IN', 50, 'restock',
+SELECT p_partkey * 3 + 2, 'P' || {_vs('p_partkey')}, CAST(NULL AS VARCHAR), 'IN', 50, 'restock',
        TIMESTAMP '1995-01-01 00:00:00' FROM part""")
 
 cte("a_reviews", f"""
@@ -262,10 +261,7 @@ SELECT * FROM (VALUES ('COD', 'Cash on Delivery', 'Offline', FALSE), ('Credit Ca
   ('E-Wallet', 'Electronic Wallet', 'Online', TRUE), ('Bank Transfer', 'Bank Transfer', 'Online', TRUE))
   AS t(payment_method_code, payment_method_name, payment_channel, is_digital)""")
 
-cte("dim_payment_method", """
-SELECT * FROM pay_lookup UNION ALL
-SELECT DISTINCT payment_method, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN) FROM s_orders
-WHERE payment_method IS NOT NULL AND payment_method NOT IN (SELECT payment_method_code FROM pay_lookup)""")
+cte("dim_payment_method", """SELECT * FROM pay_lookup""")
 
 cte("status_lookup", """
 SELECT * FROM (VALUES ('Pending', 'Chờ xác nhận', FALSE, FALSE), ('Processing', 'Đang xử lý', FALSE, FALSE),
@@ -273,10 +269,7 @@ SELECT * FROM (VALUES ('Pending', 'Chờ xác nhận', FALSE, FALSE), ('Processi
   ('Cancelled', 'Đã hủy', FALSE, TRUE), ('Returned', 'Đã hoàn hàng', FALSE, TRUE))
   AS t(status_code, status_name_vi, is_completed, is_negative)""")
 
-cte("dim_order_status", """
-SELECT * FROM status_lookup UNION ALL
-SELECT DISTINCT order_status, CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN) FROM s_orders
-WHERE order_status IS NOT NULL AND order_status NOT IN (SELECT status_code FROM status_lookup)""")
+cte("dim_order_status", """SELECT * FROM status_lookup""")
 
 cte("fact_orders", """
 SELECT order_id, user_id, promo_id, payment_method, order_status, CAST(order_date AS DATE) AS date_key,
@@ -293,7 +286,7 @@ FROM s_order_items i LEFT JOIN s_orders o ON i.order_id = o.order_id""")
 
 
 def alloc_sql(disc, gross, sub):
-    return (f"CASE WHEN {sub} > 0 AND {disc} IS NOT NULL THEN ({disc} * {gross} * 2 + {sub}) // ({sub} * 2) "
+    return (f"CASE WHEN {sub} > 0 AND {disc} IS NOT NULL THEN CAST((CAST({disc} AS HUGEINT) * {gross} * 2 + {sub}) // (CAST({sub} AS HUGEINT) * 2) AS BIGINT) "
             f"ELSE 0 END")
 
 

@@ -1,13 +1,18 @@
 """One medallion batch run: Bronze (per-run partitions), Silver + quarantine, Gold.
 
 Every write is idempotent: Bronze and quarantine overwrite their own
-``batch_id`` partition, Silver and Gold are overwritten, so a run that is
-retried after a failure leaves the same tables as a clean run.
+``batch_id`` partition, Silver and Gold tables are replaced whole, so a run
+that is retried after a failure leaves the same tables as a clean run and a
+corrected row leaves no copy in an older partition. The streaming job has
+its own layers below ``stream/`` of the same root.
 
 Each layer is written once and the next layer reads the stored previous
 layer (SURVEY Q14), so a run costs one scan of each source. Row counts
-come from ``observe`` during the writes. Facts can be written partitioned
-by ``date_key`` (the default at scale) so date filters prune files.
+come from ``observe`` during the writes. Facts are written partitioned by
+month and event facts by day, with the rows of a partition rebalanced first,
+so date filters prune files and a partition has few of them. Tables keyed by
+order have no fixed bucket count: their joins are sort-merge joins whose
+skewed partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -18,15 +23,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lake import EVENTS_AS_OF, FIXED_BATCH_ID, GOLD_TABLES, ORDERS_AS_OF, Lake
+from ..lake import EVENTS_AS_OF, FACT_MONTH, FIXED_BATCH_ID, GOLD_TABLES, ORDERS_AS_OF, Lake
 from ..operators import bronze as B
 from ..operators import silver as S
 from ..operators import stream_topics as ST
 from ..schemas import ALL_TOPICS
 from ..sources.adapters import Sources
-from ..sources.io import bucketed_name, write_bucketed, write_table
+from ..sources.io import write_table
 
-ORDER_KEYED = {"orders", "order_items"}
 FACTS = {"fact_orders", "fact_order_items", "fact_sales", "fact_inventory_log", "fact_reviews"}
 
 
@@ -43,14 +47,11 @@ def _in_parallel(tasks: dict, workers: int) -> dict:
 
 
 def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, batch_id: str = FIXED_BATCH_ID,
-              fact_partition: str | None = "date_key", with_events: bool = True,
-              clock=None, workers: int = 4, order_buckets: int | None = 16) -> dict[str, int]:
+              fact_partition: str | None = FACT_MONTH, with_events: bool = True,
+              clock=None, workers: int = 4) -> dict[str, int]:
     """Write every layer under ``root``; return rows per table.
     ``clock`` stamps dw_loaded_at / quarantined_at (None: now).
-    ``order_buckets``: Silver orders and order_items are bucketed and sorted
-    by order_id into this many buckets, so the Gold joins on order_id read
-    co-partitioned sides and need no shuffle (size it to the data: a few
-    hundred MB per bucket)."""
+    ``fact_partition``: the month column, or None for unpartitioned facts."""
     src_lake = Lake(spark, sf_dir, as_of=as_of, batch_id=batch_id)
     ts = F.current_timestamp() if clock is None else F.lit(str(clock)).cast("timestamp")
 
@@ -59,17 +60,13 @@ def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, b
         # Bronze keeps every run (one batch_id partition each); a retried run
         # overwrites only its own partition, so a rerun never doubles rows
         counts[f"bronze/{e}"] = write_table(src_lake.bronze(e), os.path.join(root, "bronze", e), mode="overwrite",
-                                            partition_by=["batch_id"])
+                                            partition_by=["batch_id"], own_partitions=True)
         stored = spark.read.parquet(os.path.join(root, "bronze", e)).filter(F.col("batch_id") == batch_id)
         good, bad = S.silver(e, stored)
-        if order_buckets and e in ORDER_KEYED:
-            counts[f"silver/{e}"] = write_bucketed(good, os.path.join(root, "silver", e),
-                                                   bucketed_name(root, "silver", e), "order_id", order_buckets)
-        else:
-            counts[f"silver/{e}"] = write_table(good, os.path.join(root, "silver", e))
+        counts[f"silver/{e}"] = write_table(good, os.path.join(root, "silver", e))
         counts[f"quarantine/{e}"] = write_table(bad.withColumn("quarantined_at", ts),
                                                 os.path.join(root, "quarantine", e), mode="overwrite",
-                                                partition_by=["batch_id"])
+                                                partition_by=["batch_id"], own_partitions=True)
         return counts
 
     counts = _in_parallel({e: (lambda e=e: entity(e)) for e in Sources.ENTITIES}, workers)
@@ -79,10 +76,11 @@ def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, b
     def gold(t):
         df = stored_lake.build_gold(t)
         df = df.withColumn("dw_loaded_at" if t.startswith("fact") else "dw_updated_at", ts)
-        part = [fact_partition] if (fact_partition and t in FACTS) else None
-        if part:
-            df = df.sortWithinPartitions(*part)
-        return {f"gold/{t}": write_table(df, os.path.join(root, "gold", t), partition_by=part)}
+        path = os.path.join(root, "gold", t)
+        if not (fact_partition and t in FACTS):
+            return {f"gold/{t}": write_table(df, path)}
+        df = df.withColumn(fact_partition, F.trunc("date_key", "MM")).hint("rebalance", fact_partition)
+        return {f"gold/{t}": write_table(df, path, partition_by=[fact_partition])}
 
     counts.update(_in_parallel({t: (lambda t=t: gold(t)) for t in GOLD_TABLES}, workers))
     if with_events:
@@ -103,7 +101,8 @@ def run_batch(spark: SparkSession, sf_dir: str, root: str, as_of=ORDERS_AS_OF, b
             stored_sv = spark.read.parquet(os.path.join(root, "silver", spec.silver_table))
             _, gold_frames, _ = ST.silver_and_gold_from_silver(stored_sv, tp)
             for name, df in gold_frames.items():
-                out[f"gold/{name}"] = write_table(df, os.path.join(root, "gold", name))
+                out[f"gold/{name}"] = write_table(df.hint("rebalance", "date_key"), os.path.join(root, "gold", name),
+                                                  partition_by=["date_key"])
             return out
 
         counts.update(_in_parallel({tp: (lambda tp=tp: topic(tp)) for tp in ALL_TOPICS}, workers))

@@ -57,13 +57,16 @@ def fit_daily(d: DataFrame) -> DataFrame:
     d = materialize(d)
     start = d.groupBy(KEY).agg(F.min("date").alias("start"), F.max("date").alias("last"))
     dt_ = d.join(start, KEY).withColumn("t", F.datediff("date", "start").cast("long"))
+    # exact sums: n * sum(t * y) passes a LONG at a few thousand days of billions
+    big = lambda x: x.cast("decimal(38,0)")
     sums = dt_.groupBy(KEY, "start", "last").agg(
-        F.count("*").alias("n"), F.sum("t").alias("st"), F.sum("y").alias("sy"),
-        F.sum(c("t") * c("t")).alias("stt"), F.sum(c("t") * c("y")).alias("sty"))
-    den = c("n") * c("stt") - c("st") * c("st")
+        big(F.count("*")).alias("n"), big(F.sum("t")).alias("st"), big(F.sum(c("y").cast("decimal(20,0)"))).alias("sy"),
+        big(F.sum(c("t") * c("t"))).alias("stt"), big(F.sum(c("t").cast("decimal(10,0)") * c("y").cast("decimal(20,0)"))).alias("sty"))
+    den = big(c("n") * c("stt") - c("st") * c("st"))
     fit = sums.withColumn(
-        "slope", F.when(den != 0, (c("n") * c("sty") - c("st") * c("sy")).cast("double") / den.cast("double"))
+        "slope", F.when(den != 0, big(c("n") * c("sty") - c("st") * c("sy")).cast("double") / den.cast("double"))
                   .otherwise(F.lit(0.0)))
+    fit = fit.withColumn("n", c("n").cast("long"))
     fit = fit.withColumn("intercept", (c("sy").cast("double") - c("slope") * c("st").cast("double")) / c("n"))
     # weekday effect: mean residual of the trend per weekday, from exact sums
     wd = (dt_.groupBy(KEY, F.dayofweek("date").alias("wd"))

@@ -41,13 +41,19 @@ def date_spine(orders: DataFrame, col: str = "o_orderdate") -> DataFrame:
 _RAW_DIRS: dict[tuple, str] = {}
 
 
-def raw_files(spark: SparkSession, sf_dir: str, n_files: int = 4) -> str:
-    """The raw event log written as ``n_files`` parquet files (the Kafka
-    source's file twin), split by offset so files are successive batches."""
+#: rows of a file of the raw event log
+RAW_FILE_ROWS = 2_000_000
+
+
+def raw_files(spark: SparkSession, sf_dir: str, n_files: int | None = None) -> str:
+    """The raw event log written as parquet files (the Kafka source's file
+    twin), split by offset so files are successive batches. Their number
+    follows the number of events, four at least."""
     key = (id(spark), sf_dir)
     if key not in _RAW_DIRS:
         path = _fresh(spark, "raw-events")
         raw = lake(spark, sf_dir).raw_events()
+        n_files = n_files or max(4, -(-lake(spark, sf_dir).raw("events").count() // RAW_FILE_ROWS))
         (raw.repartitionByRange(n_files, "offset").write.mode("overwrite").parquet(path))
         _RAW_DIRS[key] = path
     return _RAW_DIRS[key]
@@ -113,7 +119,7 @@ register("sink_quarantine", with_ctes("SELECT * FROM q_orders"))(_sink_quarantin
 def _stream_append(spark, d):
     root, ck = _fresh(spark, "stream-out"), _fresh(spark, "stream-ck")
     runner.run_files_available_now(spark, raw_files(spark, d), root, ck, topics=[TOPIC_ORDER])
-    return runner.read_layer(spark, root, "gold", "fact_orders_stream").drop("batch_id")
+    return runner.read_layer(spark, root, "gold", "fact_orders_stream").drop("batch_id", "run_id")
 
 
 register("sink_stream_append", with_ctes("SELECT * FROM fact_orders_stream"))(_stream_append)

@@ -5,11 +5,10 @@ Every rule is deterministic arithmetic on keys, so the DuckDB twin in
 prices, zero quantities, unknown types) are injected from key residues,
 because the test tables hold no nulls. All money is LONG.
 
-Scale notes: ``users`` broadcasts ``nation`` (25 rows at every TPC-H scale);
-``orders`` joins the per-order line sums, which is a partial aggregate of
-lineitem followed by a sort-merge join on the order key; ``order_items``
-numbers lines with a window over (order key, line number), whose groups
-hold a handful of rows.
+Scale notes: ``orders`` joins the per-order line sums, which is a partial
+aggregate of lineitem followed by a sort-merge join on the order key;
+``order_items`` numbers lines with a window over (order key, line number) and
+adds the number of lines before that pair, from prefix sums of counts.
 """
 
 from __future__ import annotations
@@ -20,6 +19,10 @@ from pyspark.sql import functions as F
 from ..schemas import PROMOTION_SCHEMA
 
 
+#: keys of orders whose line counts one window sums up
+ORDERS_PER_RANGE = 1 << 16
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -29,7 +32,7 @@ def _ts(c):
 
 
 def users(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    n = F.broadcast(nation.select("n_nationkey", "n_name"))
+    n = nation.select("n_nationkey", "n_name")
     c = customer.join(n, customer.c_nationkey == n.n_nationkey, "left")
     k = F.col("c_custkey")
     return c.select(
@@ -105,17 +108,34 @@ def promotions(spark: SparkSession, customer: DataFrame) -> DataFrame:
     return seeds.unionByName(vouchers).withColumn("discount_percent", F.col("discount_percent").cast("decimal(5,2)"))
 
 
+def line_offsets(lineitem: DataFrame) -> DataFrame:
+    """(l_orderkey, l_linenumber, before): lines of smaller (order, line
+    number) pairs in the whole table.
+
+    Counts per pair are prefix-summed in three levels (pairs of an order,
+    orders of a range of keys, ranges), so no window holds more than the line
+    numbers of one order, the orders of one range, or the ranges."""
+    pairs = lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    pairs = pairs.withColumn("in_order", F.sum("n").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - F.col("n"))
+    per_order = pairs.groupBy("l_orderkey").agg(F.sum("n").alias("lines")).withColumn("part", F.floor(F.col("l_orderkey") / ORDERS_PER_RANGE))
+    per_order = per_order.withColumn("in_part", F.sum("lines").over(Window.partitionBy("part").orderBy("l_orderkey")) - F.col("lines"))
+    parts = per_order.groupBy("part").agg(F.sum("lines").alias("total"))
+    parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
+    order_start = per_order.join(parts, "part").select("l_orderkey", (F.col("start") + F.col("in_part")).alias("start"))
+    return pairs.join(order_start, "l_orderkey").select("l_orderkey", "l_linenumber", (F.col("start") + F.col("in_order")).alias("before"))
+
+
 def _numbered_lines(lineitem: DataFrame) -> DataFrame:
-    # Lines are numbered within (order, line number): TPC-H line numbers are
-    # 1..7 and a repeated pair is rare, so each window group holds a handful
-    # of rows even when one order is huge.
+    """Lines with a serial ``item_id``: 1, 2, ... in the order of all their
+    columns, as a database sequence would give them. Nothing is packed into
+    the number, so no count of lines makes two of them equal."""
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     q = F.col("l_quantity").cast("long")
     unit_price = F.call_function("div", F.round(F.col("l_extendedprice") * 100).cast("long"), q)
-    return lineitem.select(
-        (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.row_number().over(w)).alias("item_id"),
+    return lineitem.join(line_offsets(lineitem), ["l_orderkey", "l_linenumber"]).select(
+        (F.col("before") + F.row_number().over(w)).alias("item_id"),
         "l_orderkey", "l_partkey", "l_returnflag", _ts("l_shipdate").alias("l_shipdate"),
         F.when(F.col("l_orderkey") % 101 == 0, F.lit(0).cast("long")).otherwise(q).alias("quantity"),
         unit_price.alias("unit_price"),
@@ -173,17 +193,17 @@ def inventory_logs(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     order_id = F.concat(F.lit("ORD_"), F.col("l_orderkey").cast("string"))
     product_id = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
     out = n.select(
-        (F.col("item_id") * 10 + 1).alias("log_id"), product_id.alias("product_id"), order_id.alias("order_id"),
+        (F.col("item_id") * 3).alias("log_id"), product_id.alias("product_id"), order_id.alias("order_id"),
         F.when(F.col("l_orderkey") % 211 != 0, F.lit(" out")).alias("transaction_type"),
         F.col("quantity").alias("quantity_changed"), F.lit("checkout").alias("note"),
         F.col("l_shipdate").alias("created_at"))
     ret = n.filter(F.col("l_returnflag") == "R").select(
-        (F.col("item_id") * 10 + 2).alias("log_id"), product_id.alias("product_id"), order_id.alias("order_id"),
+        (F.col("item_id") * 3 + 1).alias("log_id"), product_id.alias("product_id"), order_id.alias("order_id"),
         F.lit("Return ").alias("transaction_type"), F.col("quantity").alias("quantity_changed"),
         F.lit("return").alias("note"), (F.col("l_shipdate") + F.expr("INTERVAL 10 DAYS")).alias("created_at"))
     k = F.col("p_partkey")
     restock = part.select(
-        (k * 10 + 3).alias("log_id"), F.concat(F.lit("P"), k.cast("string")).alias("product_id"),
+        (k * 3 + 2).alias("log_id"), F.concat(F.lit("P"), k.cast("string")).alias("product_id"),
         F.lit(None).cast("string").alias("order_id"), F.lit("IN").alias("transaction_type"),
         F.lit(50).cast("long").alias("quantity_changed"), F.lit("restock").alias("note"),
         F.lit("1995-01-01 00:00:00").cast("timestamp").alias("created_at"))

@@ -30,7 +30,7 @@ _STEPS = [
     ("k", "cast(get_json_object(props, '$.k') as int)"),
     ("eid", "event_id"),
     ("uid", "user_id"),
-    ("base_price", "cast(round(value * 100) as int) * 1000"),
+    ("base_price", "cast(round(value * 100) as bigint) * 1000"),
     ("topic", f"""CASE event_type
         WHEN 'signup' THEN 'ecommerce.user'
         WHEN 'view' THEN IF(eid % 5 = 0, 'ecommerce.review', 'ecommerce.page_view')
@@ -61,8 +61,8 @@ _STEPS = [
           'quantity', 1 + (k + j) % 3,
           'unit_price', base_price * j,
           'unit_cost', (base_price * j * 7) div 10)), NULL)"""),
-    ("subtotal", "cast(aggregate(coalesce(items, array()), 0L, (acc, x) -> acc + x.quantity * x.unit_price) as int)"),
-    ("discount", "CASE WHEN eid % 9 = 0 THEN NULL WHEN eid % 4 = 1 THEN cast((cast(subtotal as bigint) * 10) div 100 as int) ELSE 0 END"),
+    ("subtotal", "cast(aggregate(coalesce(items, array()), 0L, (acc, x) -> acc + x.quantity * x.unit_price) as bigint)"),
+    ("discount", "CASE WHEN eid % 9 = 0 THEN NULL WHEN eid % 4 = 1 THEN (subtotal * 10) div 100 ELSE 0 END"),
     ("shipping", "IF(subtotal < 10000000, 15000, 0)"),
     ("old_q", "k % 4"),
 ]

@@ -76,25 +76,22 @@ def to_event_json(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tables
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does a table folder exist (on any Hadoop file system)?"""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): probe by reading
-        try:
-            spark.read.parquet(path).schema
-            return True
-        except Exception:  # noqa: BLE001
-            return False
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
-                fmt: str = "parquet") -> int:
-    """Write a layer table; return its row count, observed during the write."""
+                fmt: str = "parquet", own_partitions: bool = False) -> int:
+    """Write a layer table; return its row count, observed during the write.
+
+    An overwrite replaces the whole table, so no partition of an earlier
+    build stays behind; with ``own_partitions`` it replaces only those that
+    ``df`` has rows for (a batch that writes its own partition again)."""
     obs = Observation(f"rows_{uuid.uuid4().hex}")
     w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).format(fmt)
     if partition_by:
-        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic" if own_partitions else "static")
     w.save(path)
     return int(obs.get.get("rows", 0))
 
@@ -105,25 +102,11 @@ def write_quarantine(bad: DataFrame, path: str, quarantined_at=None) -> int:
     return write_table(bad.withColumn("quarantined_at", ts), path, mode="append")
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> int:
-    """Idempotent micro-batch append: rows land in ``batch_id=<n>`` and a
-    replay of the same batch overwrites that partition only."""
-    return write_table(df.withColumn("batch_id", F.lit(int(batch_id))), path, mode="overwrite",
-                       partition_by=["batch_id"])
-
-
-def bucketed_name(root: str, layer: str, name: str) -> str:
-    """Catalog name of a bucketed layer table stored under ``root``."""
-    import hashlib
-    return f"tm_{hashlib.md5(root.encode()).hexdigest()[:10]}_{layer}_{name}"
-
-
-def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int) -> int:
-    """Write an external table bucketed and sorted by ``key`` (one file per
-    bucket), registered in the session catalog so joins on ``key`` between
-    tables with the same bucket count skip the shuffle."""
-    obs = Observation(f"rows_{uuid.uuid4().hex}")
-    (df.observe(obs, F.count(F.lit(1)).alias("rows")).repartition(buckets, key)
-       .write.mode("overwrite").format("parquet").option("path", path)
-       .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
-    return int(obs.get.get("rows", 0))
+def write_batch(df: DataFrame, path: str, batch_id: int, run_id: str = "run", by: str | None = None) -> int:
+    """Idempotent micro-batch append: rows land in ``run_id=<r>/batch_id=<n>``
+    (below ``<by>=...`` if given), and a replay of the same batch of the same
+    query overwrites only that. Batch numbers start again with a new
+    checkpoint, but its query has another id, so nothing older is touched."""
+    df = df.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(int(batch_id))})
+    return write_table(df, path, mode="overwrite", partition_by=[*([by] if by else []), "run_id", "batch_id"],
+                       own_partitions=True)

@@ -3,28 +3,34 @@
     raw topic records -> parse -> foreachBatch:
         Bronze raw, validate -> quarantine, dedup -> Silver, Gold
 
-Exactly-once effect: every sink writes the ``batch_id=<n>`` partition with
-dynamic overwrite, so a micro-batch replayed after a failure replaces its
-own output instead of appending it twice (SURVEY Q15).
-
-Duplicates: within a batch the first delivery of an event id wins; across
-batches a stored table of seen ids (partitioned by event date and batch)
-is anti-joined, counting only ids from *earlier* batches so a replay
-reproduces the same rows, and reading only the dates of the batch plus a
-horizon (default 7 days), so a batch's cost does not grow with history. No row is dropped for being late: a watermark
-dedup would discard late events before any sink, so it is only used by the
-windowed twins, whose late rows still reach every layer here. Rows that
-fail validation are never collapsed (Q4). The batch is persisted once and
-released in ``finally``.
+Layers live below ``<root>/stream``, apart from those of the batch run.
+Exactly-once effect: every sink writes its ``run_id=<query>/batch_id=<n>``
+partition with dynamic overwrite, so a micro-batch replayed after a failure
+replaces its own output instead of appending it twice (SURVEY Q15). The run
+id is the streaming query's id: it outlives restarts from a checkpoint, and a
+new checkpoint, whose batches count from 0 again, has another one. Gold is
+partitioned by ``date_key`` first, so live windows read their days only.
+
+Duplicates: the key is the event id, within a batch (first delivery wins)
+and across batches, where a stored table of seen ids is anti-joined, without
+those of the batch itself, so a replay reproduces the same rows. The table is
+partitioned by the day an id arrived; a batch reads the days of the dedup
+horizon (7 by default) by path and removes older ones, so neither its cost
+nor the listing grows with history, whatever timestamps events carry. An id
+delivered again later than the horizon after its first arrival passes. No row
+is dropped for being late: a watermark dedup would discard late events before
+any sink, so it is only used by the windowed twins, whose late rows still
+reach every layer here. Rows that fail validation are never collapsed (Q4).
+The batch is persisted once and released in ``finally``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,100 +53,106 @@ def parse_stream(raw: DataFrame, topic: str) -> DataFrame:
 DEDUP_HORIZON_DAYS = 7
 
 
-def drop_seen(good: DataFrame, seen_path: str, batch_id: int, horizon_days: int = DEDUP_HORIZON_DAYS,
-              bounds: tuple | None = None) -> DataFrame:
-    """Remove events whose id was already accepted by an earlier batch.
+def stream_root(root: str) -> str:
+    return os.path.join(root, "stream")
 
-    Only the seen-id partitions from ``horizon_days`` before the batch's
-    first event date up to its last one are read (partition pruning on
-    ``event_date``), so the cost of a batch does not grow with history.
-    A re-delivery older than the horizon passes through; nothing is ever
-    dropped for being late."""
+
+def seen_days(spark: SparkSession, seen_path: str) -> list[str]:
+    """Arrival days (``yyyy-MM-dd``) that the seen-id state holds; at most
+    the horizon's, as older ones are removed."""
+    if not path_exists(spark, seen_path):
+        return []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(seen_path)
+    names = [st.getPath().getName() for st in folder.getFileSystem(conf).listStatus(folder)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith("seen_on="))
+
+
+def drop_seen(good: DataFrame, seen_path: str, batch_id: int, run_id: str = "run", today: dt.date | None = None,
+              horizon_days: int = DEDUP_HORIZON_DAYS) -> DataFrame:
+    """Remove events whose id another batch accepted in the last ``horizon_days``."""
     spark = good.sparkSession
-    if not path_exists(spark, seen_path):   # first batch: nothing seen yet
-        return good
-    keyed = good.withColumn("event_date", F.to_date(ST.event_ts()))
-    lo, hi = bounds if bounds else keyed.agg(F.min("event_date"), F.max("event_date")).first()
-    if lo is None:
+    first = ((today or dt.date.today()) - dt.timedelta(days=horizon_days)).isoformat()
+    days = [os.path.join(seen_path, f"seen_on={d}") for d in seen_days(spark, seen_path) if d >= first]
+    if not days:
         return good
-    seen = (spark.read.parquet(seen_path)
-                 .filter(c("event_date").between(F.date_sub(F.lit(lo), horizon_days), F.lit(hi))
-                         & (c("batch_id") < batch_id))
-                 .select("event_date", "event_id"))
-    return keyed.join(seen, ["event_date", "event_id"], "left_anti").drop("event_date")
+    seen = spark.read.option("basePath", seen_path).parquet(*days)
+    own = (c("run_id").cast("string") == run_id) & (c("batch_id") >= batch_id)
+    return good.join(seen.filter(~own).select("event_id"), "event_id", "left_anti").select(*good.columns)
 
 
 def prune_seen(spark: SparkSession, seen_path: str, keep_from: str) -> int:
-    """Retention for the seen-id state: delete the ``event_date`` partitions
-    older than ``keep_from`` (``yyyy-MM-dd``); ids older than the dedup
-    horizon are never read again. Returns the number of partitions removed."""
-    if not path_exists(spark, seen_path):
-        return 0
+    """Delete the arrival days before ``keep_from`` (``yyyy-MM-dd``), which
+    no batch reads again. Returns their number."""
+    old = [d for d in seen_days(spark, seen_path) if d < keep_from]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(seen_path)
-    fs = root.getFileSystem(conf)
-    removed = 0
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("event_date=") and name.split("=", 1)[1] < keep_from:
-            fs.delete(st.getPath(), True)
-            removed += 1
-    return removed
-
-
-def remember(fresh: DataFrame, seen_path: str, batch_id: int) -> None:
-    ids = fresh.select(F.to_date(ST.event_ts()).alias("event_date"), "event_id",
-                       F.lit(int(batch_id)).alias("batch_id"))
+    for d in old:
+        folder = jvm.org.apache.hadoop.fs.Path(os.path.join(seen_path, f"seen_on={d}"))
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(old)
+
+
+def remember(fresh: DataFrame, seen_path: str, batch_id: int, run_id: str = "run", today: dt.date | None = None) -> None:
+    ids = fresh.select("event_id", F.lit((today or dt.date.today()).isoformat()).alias("seen_on"),
+                       F.lit(run_id).alias("run_id"), F.lit(int(batch_id)).alias("batch_id"))
     (ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id").parquet(seen_path))
+        .partitionBy("seen_on", "run_id", "batch_id").parquet(seen_path))
 
 
-def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str) -> dict[str, int]:
-    """All layers of one micro-batch of one topic; returns rows per table."""
+def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str, run_id: str = "run",
+                  today: dt.date | None = None) -> dict[str, int]:
+    """All layers of one micro-batch of one topic; returns rows per table.
+    ``today``: the arrival day (default: the clock's)."""
     counts: dict[str, int] = {}
     if batch.isEmpty():
         return counts
+    root, today = stream_root(root), today or dt.date.today()
+    spark = batch.sparkSession
     batch = batch.persist()
     try:
-        # the Bronze write reads every row of the batch anyway: observe the
-        # event-date range there instead of running a separate job for it
-        obs = Observation(f"dates_{uuid.uuid4().hex}")
-        d = F.to_date(ST.event_ts())
-        bronze = batch.observe(obs, F.min(d).alias("lo"), F.max(d).alias("hi"))
         counts["bronze_raw_events"] = write_batch(
-            bronze.select(*ST.COORDS, "json_str", "ingested_at"), os.path.join(root, "bronze", "kafka_raw_events",
-                                                                               topic_dir(topic)), batch_id)
-        bounds = (obs.get.get("lo"), obs.get.get("hi"))
+            batch.select(*ST.COORDS, "json_str", "ingested_at"),
+            os.path.join(root, "bronze", "kafka_raw_events", topic_dir(topic)), batch_id, run_id)
         good, bad = ST.split_topic(batch, topic)
-        counts["quarantine_events"] = write_batch(bad, os.path.join(root, "silver", "quarantine_events",
-                                                                    topic_dir(topic)), batch_id)
+        counts["quarantine_events"] = write_batch(
+            bad, os.path.join(root, "silver", "quarantine_events", topic_dir(topic)), batch_id, run_id)
         seen_path = os.path.join(root, "state", "seen_event_ids", topic_dir(topic))
-        fresh = drop_seen(good, seen_path, batch_id, bounds=bounds)
-        fresh = fresh.persist()
+        fresh = drop_seen(good, seen_path, batch_id, run_id, today).persist()
         try:
-            remember(fresh, seen_path, batch_id)        # also materialises ``fresh``
+            remember(fresh, seen_path, batch_id, run_id, today)        # also materialises ``fresh``
             sv, gold, _ = ST.silver_and_gold(fresh, topic)
             spec = ST.TOPICS[topic]
             # Silver and Gold read the persisted batch and are independent:
             # submit their writes side by side
-            outputs = {spec.silver_table: (sv, os.path.join(root, "silver", spec.silver_table))}
-            outputs.update({n: (df, os.path.join(root, "gold", n)) for n, df in gold.items()})
-            with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
-                futures = {n: pool.submit(write_batch, df, path, batch_id) for n, (df, path) in outputs.items()}
+            writes = {spec.silver_table: lambda: write_batch(sv, os.path.join(root, "silver", spec.silver_table), batch_id, run_id)}
+            for n, df in gold.items():
+                writes[n] = lambda n=n, df=df: write_batch(df.hint("rebalance", "date_key"), os.path.join(root, "gold", n),
+                                                           batch_id, run_id, by="date_key")
+            with ThreadPoolExecutor(max_workers=len(writes)) as pool:
+                futures = {n: pool.submit(w) for n, w in writes.items()}
                 counts.update({n: f.result() for n, f in futures.items()})
         finally:
             fresh.unpersist()
+        prune_seen(spark, seen_path, (today - dt.timedelta(days=DEDUP_HORIZON_DAYS)).isoformat())
     finally:
         batch.unpersist()
     return counts
 
 
+def _query_id(df: DataFrame) -> str:
+    """Id of the streaming query that runs this micro-batch."""
+    run = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not run:
+        raise RuntimeError("not called from a streaming query: pass run_id to process_batch")
+    return run
+
+
 def start_topic(source: DataFrame, topic: str, root: str, checkpoint_root: str,
                 trigger: dict | None = None) -> StreamingQuery:
     """Start the query of one topic (trigger default: every 60 s)."""
     stream = parse_stream(source, topic)
     w = (stream.writeStream.queryName(f"tidemart_{topic_dir(topic)}")
-         .foreachBatch(lambda df, bid: process_batch(df, bid, topic, root))
+         .foreachBatch(lambda df, bid: process_batch(df, bid, topic, root, _query_id(df)))
          .option("checkpointLocation", os.path.join(checkpoint_root, topic_dir(topic))))
     w = w.trigger(**(trigger or {"processingTime": "60 seconds"}))
     return w.start()
@@ -169,4 +181,5 @@ def run_files_available_now(spark: SparkSession, raw_dir: str, root: str, checkp
 
 
 def read_layer(spark: SparkSession, root: str, *parts: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, *parts))
+    """A layer table of the streaming job."""
+    return spark.read.parquet(os.path.join(stream_root(root), *parts))
