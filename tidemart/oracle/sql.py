@@ -521,5 +521,10 @@ def with_ctes(final_sql: str) -> str:
     return f"WITH {body}\n{final_sql}"
 
 
+def with_more(extra: str, final_sql: str) -> str:
+    """A query over the layers and further CTEs of its own."""
+    return with_ctes("").rstrip() + ",\n" + extra + "\n" + final_sql
+
+
 def table(name: str) -> str:
     return with_ctes(f"SELECT * FROM {name}")

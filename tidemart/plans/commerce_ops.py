@@ -55,10 +55,13 @@ def promo_validation(promo_events: DataFrame, promos: DataFrame) -> DataFrame:
     p = promos.filter(c("is_active")).select("promo_code", "promo_id", "discount_percent",
                                               "start_date", "end_date").alias("p")
     on = (c("e.submitted_code") == c("p.promo_code")) & _open_range(c("e.event_ts"))
-    j = sub.join(p, on, "left")
+    # one promotion per submission, as the storefront looks up one: of several
+    # with the code, the least id
+    j = sub.join(p, on, "left").groupBy("event_id", "user_id", "session_id", "submitted_code", "event_ts").agg(
+        F.min(F.struct("promo_id", "discount_percent")).alias("best"))
     return j.select("event_id", "user_id", "session_id", "submitted_code",
-                    F.when(c("promo_id").isNotNull(), "promo_applied").otherwise("promo_invalid").alias("result"),
-                    "promo_id", "discount_percent", "event_ts")
+                    F.when(c("best.promo_id").isNotNull(), "promo_applied").otherwise("promo_invalid").alias("result"),
+                    "best.promo_id", "best.discount_percent", "event_ts")
 
 
 def cart_state(cart_events: DataFrame) -> DataFrame:
@@ -73,9 +76,10 @@ def cart_pricing(state: DataFrame, products: DataFrame, validation: DataFrame, p
     """Per cart: subtotal = sum(price * qty); the session's latest promo
     action decides the percent (applied and valid, else none); discount is
     int(subtotal * pct / 100); shipping below the free threshold."""
-    lines = state.filter(c("quantity") > 0).join(products.select("product_id", "price"), "product_id")
+    # a line of an unknown product stays, at price 0
+    lines = state.filter(c("quantity") > 0).join(products.select("product_id", "price"), "product_id", "left")
     carts = lines.groupBy("session_id").agg(F.sum("quantity").alias("items"),
-                                            F.sum(c("price") * c("quantity")).alias("subtotal"))
+                                            F.sum(F.coalesce("price", F.lit(0)) * c("quantity")).alias("subtotal"))
     actions = (validation.select("session_id", "event_ts", "event_id",
                                  F.when(c("result") == "promo_applied", c("discount_percent")).alias("pct"))
                .unionByName(promo_events.filter(c("event_type") == "promo_removed")
@@ -120,24 +124,25 @@ def restock_events(candidates: DataFrame, amount: int = RESTOCK_AMOUNT) -> DataF
 
 
 def low_stock_alerts(moves: DataFrame, inventory: DataFrame, below: int = LOW_STOCK_ALERT_BELOW) -> DataFrame:
-    """Stock after every movement = opening stock + running sum of deltas in
-    (time, log_id) order; an OUT movement that leaves less than ``below``
-    is an alert.
+    """The inventory holds the stock after all movements, so the stock after
+    one of them is that stock less all later movements, in (time, log_id)
+    order; an OUT movement that leaves less than ``below`` is an alert.
 
     Skew-safe running sum: deltas are summed per (product, hour) bucket, the
-    bucket totals are prefix-summed per product (one row per bucket, so a
-    hot product is bounded by its number of hours), and the exact running
-    sum is finished inside each (product, hour) group."""
+    bucket totals are summed up per product (one row per bucket, so a hot
+    product is bounded by its number of hours), and the exact running sum is
+    finished inside each (product, hour) group."""
     m = moves.select("product_id", "log_id", "order_id", "transaction_type", "quantity_delta",
                      "log_created_at", F.date_trunc("hour", "log_created_at").alias("bucket"))
     buckets = m.groupBy("product_id", "bucket").agg(F.sum("quantity_delta").alias("bsum"))
     wp = Window.partitionBy("product_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("offset", F.coalesce(F.sum("bsum").over(wp), F.lit(0).cast("long")))
+    total = F.sum("bsum").over(Window.partitionBy("product_id"))
+    buckets = buckets.withColumn("offset", F.coalesce(F.sum("bsum").over(wp), F.lit(0).cast("long")) - total)
     wi = (Window.partitionBy("product_id", "bucket").orderBy("log_created_at", "log_id")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     j = (m.join(buckets.select("product_id", "bucket", "offset"), ["product_id", "bucket"])
-          .join(inventory.select("product_id", c("stock_quantity").alias("opening")), "product_id", "left"))
-    j = j.withColumn("stock_after", F.coalesce(c("opening"), F.lit(0).cast("long")) + c("offset")
+          .join(inventory.select("product_id", c("stock_quantity").alias("current")), "product_id", "left"))
+    j = j.withColumn("stock_after", F.coalesce(c("current"), F.lit(0).cast("long")) + c("offset")
                      + F.sum("quantity_delta").over(wi))
     return (j.filter((c("transaction_type") == "OUT") & (c("stock_after") < below))
              .select("product_id", "log_id", "order_id", "log_created_at", "stock_after"))
@@ -181,11 +186,11 @@ WHERE is_active AND (start_date IS NULL OR start_date <= TIMESTAMP '{ORDERS_AS_O
 
 _VALID_SQL = """
 val AS (SELECT e.event_id, e.user_id, e.session_id, e.promo_code AS submitted_code,
-               CASE WHEN p.promo_id IS NOT NULL THEN 'promo_applied' ELSE 'promo_invalid' END AS result,
-               p.promo_id, p.discount_percent, e.event_ts
+               CASE WHEN count(p.promo_id) > 0 THEN 'promo_applied' ELSE 'promo_invalid' END AS result,
+               min(p.promo_id) AS promo_id, arg_min(p.discount_percent, p.promo_id) AS discount_percent, e.event_ts
         FROM fact_promo_events e LEFT JOIN s_promotions p ON p.promo_code = e.promo_code AND p.is_active
              AND (p.start_date IS NULL OR p.start_date <= e.event_ts) AND (p.end_date IS NULL OR p.end_date >= e.event_ts)
-        WHERE e.event_type IN ('promo_applied', 'promo_invalid'))"""
+        WHERE e.event_type IN ('promo_applied', 'promo_invalid') GROUP BY ALL)"""
 
 
 def _nest(extra: str, final: str) -> str:
@@ -203,8 +208,8 @@ register("cart_state", _nest(_STATE_SQL, "SELECT * FROM st"))(
     lambda spark, d: cart_state(lake(spark, d).table("fact_cart_events")))
 
 register("cart_pricing", _nest(_VALID_SQL + "," + _STATE_SQL + """,
-carts AS (SELECT session_id, CAST(sum(quantity) AS BIGINT) AS items, CAST(sum(price * quantity) AS BIGINT) AS subtotal
-          FROM st JOIN s_products USING (product_id) WHERE quantity > 0 GROUP BY 1),
+carts AS (SELECT session_id, CAST(sum(quantity) AS BIGINT) AS items, CAST(sum(coalesce(price, 0) * quantity) AS BIGINT) AS subtotal
+          FROM st LEFT JOIN s_products USING (product_id) WHERE quantity > 0 GROUP BY 1),
 acts AS (SELECT session_id, event_ts, event_id,
                 CASE WHEN result = 'promo_applied' THEN discount_percent END AS pct FROM val
          UNION ALL SELECT session_id, event_ts, event_id, CAST(NULL AS DECIMAL(5,2)) FROM fact_promo_events
@@ -237,8 +242,8 @@ FROM s_inventory i LEFT JOIN s_products p USING (product_id)"""))(
 
 register("low_stock_alerts", with_ctes(f"""
 SELECT product_id, log_id, order_id, log_created_at, stock_after FROM (
-  SELECT m.*, CAST(coalesce(i.stock_quantity, 0) + sum(m.quantity_delta) OVER (PARTITION BY m.product_id
-           ORDER BY m.log_created_at, m.log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stock_after
+  SELECT m.*, CAST(coalesce(i.stock_quantity, 0) - coalesce(sum(m.quantity_delta) OVER (PARTITION BY m.product_id
+           ORDER BY m.log_created_at DESC, m.log_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stock_after
   FROM fact_inventory_log m LEFT JOIN s_inventory i USING (product_id))
 WHERE transaction_type = 'OUT' AND stock_after < {LOW_STOCK_ALERT_BELOW}"""))(
     lambda spark, d: low_stock_alerts(lake(spark, d).table("fact_inventory_log"), _s(spark, d, "inventory")))
@@ -248,6 +253,31 @@ SELECT product_id, product_name, brand, category, price FROM s_products
 WHERE is_active AND (contains(lower(product_name), 'rod') OR contains(lower(brand), 'rod'))"""))(
     lambda spark, d: product_search(_s(spark, d, "products"), "rod"))
 
+_FOUND = "is_active AND (contains(lower(product_name), 'rod') OR contains(lower(brand), 'rod'))"
+_CATEGORY = "PROMO"
+
+register("product_search_in_category", with_ctes(f"""
+SELECT product_id, product_name, brand, category, price FROM s_products WHERE category = '{_CATEGORY}'
+INTERSECT SELECT product_id, product_name, brand, category, price FROM s_products
+WHERE is_active AND (position('a' IN lower(product_name)) > 0 OR position('a' IN lower(brand)) > 0)"""))(
+    lambda spark, d: product_search(_s(spark, d, "products"), "A", _CATEGORY))
+
+register("product_search_count", with_ctes(f"""
+SELECT count(*) AS results FROM s_products WHERE {_FOUND}"""))(
+    lambda spark, d: product_search(_s(spark, d, "products"), "rod").agg(F.count("*").alias("results")))
+
+_LOW = f"""s_products JOIN s_inventory USING (product_id) WHERE stock_quantity <= {RESTOCK_THRESHOLD}"""
+
+register("restock_logs", with_ctes(f"""
+SELECT product_id, 'IN' AS transaction_type, CAST({RESTOCK_AMOUNT} AS BIGINT) AS quantity_changed, 'Restock' AS note,
+       TIMESTAMP '{ORDERS_AS_OF}' AS created_at FROM {_LOW}"""))(
+    lambda spark, d: restock_logs(restock_candidates(_s(spark, d, "inventory"), _s(spark, d, "products")), as_of=ORDERS_AS_OF))
+
+register("restock_events", with_ctes(f"""
+SELECT product_id, product_name, 'restock_auto' AS event_type, CAST({RESTOCK_AMOUNT} AS INTEGER) AS quantity_added,
+       stock_quantity + {RESTOCK_AMOUNT} AS stock_remaining FROM {_LOW}"""))(
+    lambda spark, d: restock_events(restock_candidates(_s(spark, d, "inventory"), _s(spark, d, "products"))))
+
 register("category_list", with_ctes("""
 SELECT DISTINCT category FROM s_products WHERE is_active ORDER BY 1"""))(
     lambda spark, d: category_list(_s(spark, d, "products")))

@@ -146,6 +146,9 @@ register("bronze_snapshot", with_ctes(f"SELECT *, {_AUDIT}, 'postgresql.orders'
 register("bronze_users", with_ctes(f"""
 SELECT user_id, username, full_name, email, phone, gender, location, created_at, is_active, {_AUDIT},
        'postgresql.users' AS source FROM a_users"""))(lambda spark, d: lake(spark, d).bronze("users"))
+for _e in ["products", "inventory", "promotions", "order_items", "inventory_logs", "reviews"]:
+    register(f"bronze_{_e}", with_ctes(f"SELECT *, {_AUDIT}, 'postgresql.{_e}' AS source FROM a_{_e}"))(
+        (lambda e: lambda spark, d: lake(spark, d).bronze(e))(_e))
 register("bronze_raw_events", with_ctes(f"""
 SELECT topic, partition, eid * 2 + cp.copy AS offset, kafka_timestamp, {EV_AS_OF} AS ingested_at,
        CASE WHEN reject IN (0, 6) THEN NULL ELSE event_id END AS raw_event_id
@@ -263,10 +266,20 @@ FROM fact_review_events v JOIN evg e USING (event_id)"""),
     "silver_order_events": ("ecommerce.order", f"""
 SELECT v.event_id, v.event_type, v.event_ts, v.session_id, v.user_id, v.device_type, v.os, v.location, v.order_id,
        v.subtotal, v.shipping_fee, v.discount_amount, v.total_amount, v.payment_method, v.promo_id, v.promo_code,
-       v.order_status, v.reason, e.{_TAIL.replace(', ', ', e.', 3)}
-FROM fact_orders_stream v JOIN evg e USING (event_id)"""),
+       v.order_status, v.reason, i.items, e.{_TAIL.replace(', ', ', e.', 3)}
+FROM fact_orders_stream v JOIN evg e USING (event_id) LEFT JOIN (
+  SELECT event_id, string_agg(concat_ws(':', i_product_id, i_product_name, i_quantity, i_unit_price, i_unit_cost), '|' ORDER BY j) AS items
+  FROM ord_items GROUP BY ALL) i USING (event_id)"""),
 }
 
+def _flat_items(silver: DataFrame) -> DataFrame:
+    """Item arrays as one text, field by field, which both engines print alike."""
+    if "items" not in silver.columns:
+        return silver
+    fields = ("product_id", "product_name", "quantity", "unit_price", "unit_cost")
+    return silver.withColumn("items", F.array_join(F.transform("items", lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), "|"))
+
+
 for _name, (_topic, _sql) in _SILVER_EVENTS.items():
     register(_name, with_ctes(_sql))(
-        (lambda t: lambda spark, d: lake(spark, d).topic(t).silver.drop("items"))(_topic))
+        (lambda t: lambda spark, d: _flat_items(lake(spark, d).topic(t).silver))(_topic))
