@@ -2,11 +2,12 @@
 
 The reference trains a proprietary ARIMA model. Here a model Spark can fit
 with grouped aggregates: per series, a least-squares trend on the day
-index, a weekday effect (mean residual per weekday) and the residual
-standard deviation; bounds are value +- z * sigma * sqrt(1 + 1/n). The fit
-is one ``groupBy`` per stage over (series, day) rows, so it scales with the
-number of series, never collects a series to the driver, and a hot series
-is only as large as its number of days.
+index (days, hours or minutes), a seasonal effect (mean residual per weekday,
+or hour of the day), an optional holiday effect and the residual standard
+deviation; bounds are value +- z * sigma * sqrt(1 + 1/n). The fit
+reads the (series, bucket) rows once: every figure follows from sums per
+(series, slot), so it scales with the number of series, has no self join and
+no checkpoint, and never brings a series to the driver.
 
 The trend uses exact integer sums (n, sum t, sum y, sum t^2, sum t*y), so
 slope and intercept are reproducible bit for bit; outputs are rounded to
@@ -15,7 +16,9 @@ whole currency units.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefilter import time_filter
@@ -23,7 +26,6 @@ from ..lake import ORDERS_AS_OF
 from ..oracle.sql import avg_pct_sql, with_ctes
 from ..registry import lake, register
 from ..schemas import CI_OUTSIDE, CI_WITHIN, Z_BY_CONFIDENCE
-from ..session import materialize
 
 c = F.col
 KEY = "series"
@@ -37,61 +39,108 @@ def revenue_series(sales: DataFrame, ts_col: str = "order_ts", unit: str = "day"
     return sales.groupBy(*keys, bucket).agg(F.sum("net_revenue").alias("net_revenue"))
 
 
-def _daily(series: DataFrame, keys: list[str]) -> DataFrame:
-    """(series, date, y) with one row per series and day."""
-    s = series.withColumn("date", F.to_date("time_bucket"))
+UNIT_SECONDS = {"minute": 60, "hour": 3600}   # units below the day
+
+
+def _steps(start, end, unit: str):
+    """Whole units from ``start`` to ``end``."""
+    if unit == "day":
+        return F.datediff(end, start).cast("long")
+    return F.call_function("div", F.unix_seconds(end) - F.unix_seconds(start), F.lit(UNIT_SECONDS[unit]))
+
+
+def _season(col, unit: str):
+    """The seasonal slot: weekday for days, hour of the day below."""
+    return F.dayofweek(col) if unit == "day" else F.hour(col)
+
+
+def _buckets(series: DataFrame, keys: list[str], unit: str = "day") -> DataFrame:
+    """(series, date, y) with one row per series and bucket; ``date`` is a
+    date for days, else the bucket's timestamp."""
+    at = F.to_date("time_bucket") if unit == "day" else F.date_trunc(unit, "time_bucket")
     key = F.concat_ws("|", *[c(k).cast("string") for k in keys]) if keys else F.lit("all")
-    return s.groupBy(key.alias(KEY), "date").agg(F.sum("net_revenue").alias("y"))
+    return series.groupBy(key.alias(KEY), at.alias("date")).agg(F.sum("net_revenue").alias("y"))
+
+
+def forecast_fit(series: DataFrame, keys: list[str] | None = None, unit: str = "day",
+                 holidays: DataFrame | None = None) -> DataFrame:
+    """One row per series (all, or one per value of ``keys``): start date,
+    last date, n, slope, intercept, seasonal effects (map slot -> effect),
+    holiday effect and residual sigma. ``holidays``: a frame of dates."""
+    return fit_buckets(_buckets(series, keys or [], unit), unit, holidays)
+
+
+def _is_holiday(df: DataFrame, holidays: DataFrame | None) -> DataFrame:
+    if holidays is None:
+        return df.withColumn("holiday", F.lit(False))
+    h = holidays.select(F.to_date("date").alias("_h")).distinct().withColumn("_y", F.lit(True))
+    return df.join(h, F.to_date("date") == c("_h"), "left").withColumn("holiday", c("_y").isNotNull()).drop("_h", "_y")
 
 
-def forecast_fit(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per series: start date, last date, n, slope, intercept,
-    weekday effects (map weekday -> effect) and residual sigma."""
-    return fit_daily(_daily(series, keys or []))
+def _index(col, unit: str):
+    """Whole units since 1970-01-01."""
+    return _steps(F.lit("1970-01-01").cast("date" if unit == "day" else "timestamp"), col, unit)
 
 
-def fit_daily(d: DataFrame) -> DataFrame:
-    """``forecast_fit`` on (series, date, y) rows. The daily frame is read by
-    four stages, so it is checkpointed once (it has one row per series and
-    day, however large the sales fact)."""
-    d = materialize(d)
-    start = d.groupBy(KEY).agg(F.min("date").alias("start"), F.max("date").alias("last"))
-    dt_ = d.join(start, KEY).withColumn("t", F.datediff("date", "start").cast("long"))
-    # exact sums: n * sum(t * y) passes a LONG at a few thousand days of billions
+def fit_buckets(d: DataFrame, unit: str = "day", holidays: DataFrame | None = None) -> DataFrame:
+    """``forecast_fit`` on (series, date, y) rows, read once: exact sums per
+    (series, slot), gathered per series (at most 24 slots), hold all that
+    trend, seasonal and holiday effects and the spread of the rest need."""
+    wide, i, y = (lambda x: F.sum(x.cast("decimal(38,0)"))), c("i").cast("decimal(12,0)"), c("y").cast("decimal(20,0)")
+    d = _is_holiday(d, holidays).withColumn("i", _index(c("date"), unit))
+    hol = lambda x: F.sum(F.when(c("holiday"), x.cast("decimal(38,0)")).otherwise(0))
+    slots = d.groupBy(KEY, _season("date", unit).alias("wd")).agg(
+        F.min("date").alias("start"), F.max("date").alias("last"), F.count("*").alias("n"), wide(i).alias("si"), wide(i * i).alias("sii"),
+        wide(y).alias("sy"), wide(i * y).alias("siy"), wide((y * y).cast("decimal(38,0)")).alias("syy"),
+        F.count_if("holiday").alias("hn"), hol(i).alias("hi"), hol(y).alias("hy"))
     big = lambda x: x.cast("decimal(38,0)")
-    sums = dt_.groupBy(KEY, "start", "last").agg(
-        big(F.count("*")).alias("n"), big(F.sum("t")).alias("st"), big(F.sum(c("y").cast("decimal(20,0)"))).alias("sy"),
-        big(F.sum(c("t") * c("t"))).alias("stt"), big(F.sum(c("t").cast("decimal(10,0)") * c("y").cast("decimal(20,0)"))).alias("sty"))
+    sums = ["n", "si", "sii", "sy", "siy"]
+    f = slots.groupBy(KEY).agg(F.min("start").alias("start"), F.max("last").alias("last"), *[big(F.sum(x)).alias(x) for x in sums],
+                               F.sum("hn").alias("hn"), F.collect_list(F.struct("wd", *sums, "syy", "hn", "hi", "hy")).alias("slots"))
+    f = f.withColumn("i0", _index(c("start"), unit).cast("decimal(12,0)"))
+    # sums of t = i - i0; n * sum(t * y) passes a LONG at a few thousand days of billions
+    f = f.withColumns({"st": big(c("si") - c("n") * c("i0")), "stt": big(c("sii") - 2 * c("i0") * c("si") + c("n") * c("i0") * c("i0")),
+                       "sty": big(c("siy") - c("i0") * c("sy"))})
     den = big(c("n") * c("stt") - c("st") * c("st"))
-    fit = sums.withColumn(
-        "slope", F.when(den != 0, big(c("n") * c("sty") - c("st") * c("sy")).cast("double") / den.cast("double"))
-                  .otherwise(F.lit(0.0)))
-    fit = fit.withColumn("n", c("n").cast("long"))
-    fit = fit.withColumn("intercept", (c("sy").cast("double") - c("slope") * c("st").cast("double")) / c("n"))
-    # weekday effect: mean residual of the trend per weekday, from exact sums
-    wd = (dt_.groupBy(KEY, F.dayofweek("date").alias("wd"))
-             .agg(F.count("*").alias("nw"), F.sum("t").alias("stw"), F.sum("y").alias("syw")))
-    wd = wd.join(fit.select(KEY, "slope", "intercept"), KEY).withColumn(
-        "effect", (c("syw").cast("double") - c("intercept") * c("nw") - c("slope") * c("stw").cast("double")) / c("nw"))
-    # residual sigma after trend + weekday effect
-    res = (dt_.withColumn("wd", F.dayofweek("date"))
-              .join(wd.select(KEY, "wd", "effect", "slope", "intercept"), [KEY, "wd"])
-              .withColumn("r", c("y") - (c("intercept") + c("slope") * c("t") + c("effect"))))
-    sig = res.groupBy(KEY).agg(F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sigma"))
-    effects = wd.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("wd", "effect"))).alias("weekday_effect"))
-    return (fit.join(effects, KEY).join(sig, KEY)
-               .select(KEY, "start", "last", "n", "slope", "intercept", "weekday_effect", "sigma"))
-
-
-def forecast(fit: DataFrame, horizon: int = 30, confidence: float = 0.95) -> DataFrame:
-    """date, revenue, lower_bound, upper_bound for the ``horizon`` days after
-    each series' last day."""
+    f = f.withColumn("slope", F.when(den != 0, big(c("n") * c("sty") - c("st") * c("sy")).cast("double") / den.cast("double")).otherwise(F.lit(0.0)))
+    f = f.withColumn("n", c("n").cast("long"))
+    f = f.withColumn("intercept", (c("sy").cast("double") - c("slope") * c("st").cast("double")) / c("n"))
+
+    def parts(x):
+        """Of a slot, as doubles: sums over t, its level (trend at 0 plus effect) and effect."""
+        i0 = c("i0")
+        t, tt, ty = big(x.si - x.n * i0), big(x.sii - 2 * i0 * x.si + x.n * i0 * i0), big(x.siy - i0 * x.sy)
+        ht = big(x.hi - x.hn * i0)
+        t, tt, ty, ht, sy, syy, hy = (v.cast("double") for v in (t, tt, ty, ht, x.sy, x.syy, x.hy))
+        effect = (sy - c("intercept") * x.n - c("slope") * t) / x.n
+        level = c("intercept") + effect
+        ssr = (syy - 2 * level * sy - 2 * c("slope") * ty + x.n * level * level + 2 * level * c("slope") * t + c("slope") * c("slope") * tt)
+        return effect, ssr, hy - level * x.hn - c("slope") * ht
+
+    f = f.withColumns({
+        "weekday_effect": F.map_from_entries(F.transform("slots", lambda x: F.struct(x.wd.alias("wd"), parts(x)[0].alias("effect")))),
+        "ssr": F.aggregate("slots", F.lit(0.0), lambda acc, x: acc + parts(x)[1]),
+        "on_holidays": F.aggregate("slots", F.lit(0.0), lambda acc, x: acc + parts(x)[2])})
+    f = f.withColumn("holiday_effect", F.when(c("hn") > 0, c("on_holidays") / c("hn")).otherwise(F.lit(0.0)))
+    # what is left after the holiday effect: sum of squares, and its mean (that of the residuals is 0)
+    h, mean = c("holiday_effect"), -c("hn") * c("holiday_effect") / c("n")
+    left = c("ssr") - 2 * h * c("on_holidays") + c("hn") * h * h - c("n") * mean * mean
+    f = f.withColumn("sigma", F.when(c("n") > 1, F.sqrt(F.greatest(left, F.lit(0.0)) / (c("n") - 1))).otherwise(F.lit(0.0)))
+    return f.select(KEY, "start", "last", "n", "slope", "intercept", "weekday_effect", "holiday_effect", "sigma")
+
+
+def forecast(fit: DataFrame, horizon: int = 30, confidence: float = 0.95, unit: str = "day",
+             holidays: DataFrame | None = None) -> DataFrame:
+    """date, revenue, lower_bound, upper_bound for the ``horizon`` units after
+    each series' last one."""
     z = Z_BY_CONFIDENCE[confidence]
     f = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
-    f = f.withColumn("date", F.date_add("last", c("h")))
-    t = F.datediff("date", "start").cast("double")
-    eff = F.coalesce(F.try_element_at("weekday_effect", F.dayofweek("date")), F.lit(0.0))
-    value = c("intercept") + c("slope") * t + eff
+    f = f.withColumn("date", F.date_add("last", c("h")) if unit == "day"
+                     else F.timestamp_seconds(F.unix_seconds("last") + c("h") * UNIT_SECONDS[unit]))
+    f = _is_holiday(f, holidays)
+    t = _steps(c("start"), c("date"), unit).cast("double")
+    eff = F.coalesce(F.try_element_at("weekday_effect", _season("date", unit)), F.lit(0.0))
+    value = c("intercept") + c("slope") * t + eff + F.when(c("holiday"), c("holiday_effect")).otherwise(F.lit(0.0))
     half = F.lit(z) * c("sigma") * F.sqrt(F.lit(1.0) + F.lit(1.0) / c("n"))
     return f.select(KEY, "date", F.round(value, 0).alias("revenue"),
                     F.round(value - half, 0).alias("lower_bound"), F.round(value + half, 0).alias("upper_bound"))
@@ -106,14 +155,19 @@ def history(fs: DataFrame, days: int, as_of=None) -> DataFrame:
               .orderBy("date"))
 
 
-def forecast_vs_actual(series: DataFrame, holdout_days: int = 7, confidence: float = 0.95) -> DataFrame:
+def forecast_vs_actual(series: DataFrame, holdout_days: int = 7, confidence: float = 0.95, shift_days: int = 0) -> DataFrame:
     """Hold-out backtest (Q13): fit on days before the cut-off, forecast the
-    held-out days, join actuals by date; ape % and CI hit per day."""
-    d = materialize(_daily(series, []))
-    last = d.groupBy(KEY).agg(F.max("date").alias("m"))
-    train = d.join(last, KEY).filter(c("date") <= F.date_sub("m", holdout_days)).drop("m")
-    fc = forecast(fit_daily(train), holdout_days, confidence)
-    actual = d.select(KEY, "date", c("y").alias("actual"))
+    held-out days, join actuals by date; ape % and CI hit per day. With
+    ``shift_days`` the whole series is fitted, as many days are forecast, and
+    each is set against the actual so many days before it."""
+    d = _buckets(series, [])
+    actual = d.select(KEY, F.date_add("date", shift_days).alias("date"), c("y").alias("actual"))
+    if shift_days:
+        fc = forecast(fit_buckets(d), shift_days, confidence)
+    else:
+        last = F.max("date").over(Window.partitionBy(KEY))
+        train = d.withColumn("m", last).filter(c("date") <= F.date_sub("m", holdout_days)).drop("m")
+        fc = forecast(fit_buckets(train), holdout_days, confidence)
     j = fc.join(actual, [KEY, "date"])
     return j.select(
         "date", c("revenue").alias("predicted"), "lower_bound", "upper_bound", "actual",
@@ -145,7 +199,7 @@ def forecast_summary(fc: DataFrame, series: DataFrame) -> DataFrame:
     """Totals of one forecast, plus first forecast vs last actual in %.
     Forecast and actual rows are unioned and reduced by one aggregate per
     series (no join between the two)."""
-    d = _daily(series, [])
+    d = _buckets(series, [])
     nul = F.lit(None).cast("double")
     u = (fc.select(KEY, "date", "revenue", (c("upper_bound") - c("lower_bound")).alias("width"),
                    F.lit(None).cast("long").alias("y"))
@@ -179,7 +233,6 @@ def forecast_error_bars(fc: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ registration
 HORIZON, CONF, HOLDOUT, DAYS = 30, 0.95, 7, 3650
-_TF = "date_key >= CAST(TIMESTAMP '2001-08-02 00:00:00' AS DATE) - INTERVAL 3650 DAY"
 
 
 def _series(spark, d):
@@ -194,39 +247,58 @@ def _fva(spark, d):
     return forecast_vs_actual(_series(spark, d), HOLDOUT, CONF)
 
 
-# Oracle pieces: the same model in DuckDB SQL.
-_DAILY = """daily AS (SELECT 'all' AS series, CAST(date_trunc('day', order_ts) AS DATE) AS date,
-                  CAST(sum(net_revenue) AS BIGINT) AS y FROM fact_sales_stream GROUP BY 2)"""
+# Oracle pieces: the model in DuckDB SQL, for a key, a unit and holidays.
+_HOLIDAYS = ["2024-01-01", "2024-01-15", "2024-02-14"]
+_HOLIDAY_SQL = "CAST(date AS DATE) IN (" + ", ".join(f"DATE '{h}'" for h in _HOLIDAYS) + ")"
 
 
-def _fit_sql(src: str) -> str:
+def _holidays(spark):
+    return spark.createDataFrame([(h,) for h in _HOLIDAYS], "date string").withColumn("date", F.to_date("date"))
+
+
+def _daily_sql(key: str = "'all'", unit: str = "day", source: str = "fact_sales_stream") -> str:
+    kind = "DATE" if unit == "day" else "TIMESTAMP"
+    return f"""daily AS (SELECT {key} AS series, CAST(date_trunc('{unit}', order_ts) AS {kind}) AS date,
+                  CAST(sum(net_revenue) AS BIGINT) AS y FROM {source} GROUP BY 1, 2)"""
+
+
+def _slot_sql(unit: str, col: str) -> str:
+    return f"dayofweek({col}) + 1" if unit == "day" else f"hour({col})"
+
+
+def _fit_sql(src: str, unit: str = "day", holidays: bool = False) -> str:
+    off = f"CASE WHEN {_HOLIDAY_SQL} THEN 1 ELSE 0 END" if holidays else "0"
     return f"""
 st AS (SELECT series, min(date) AS start, max(date) AS last FROM {src} GROUP BY 1),
-dt AS (SELECT d.*, s.start, s.last, CAST(date_diff('day', s.start, d.date) AS BIGINT) AS t
+dt AS (SELECT d.*, s.start, s.last, CAST(date_diff('{unit}', s.start, d.date) AS BIGINT) AS t
        FROM {src} d JOIN st s USING (series)),
 sums AS (SELECT series, start, last, count(*) AS n, sum(t) AS st, sum(y) AS sy, sum(t * t) AS stt,
-                sum(t * y) AS sty FROM dt GROUP BY 1, 2, 3),
+                sum(CAST(t AS HUGEINT) * y) AS sty FROM dt GROUP BY 1, 2, 3),
 fit0 AS (SELECT *, CASE WHEN n * stt - st * st <> 0
                    THEN CAST(n * sty - st * sy AS DOUBLE) / CAST(n * stt - st * st AS DOUBLE) ELSE 0.0 END AS slope
          FROM sums),
 fit AS (SELECT *, (CAST(sy AS DOUBLE) - slope * CAST(st AS DOUBLE)) / n AS intercept FROM fit0),
-wd AS (SELECT d.series, dayofweek(d.date) + 1 AS wd, count(*) AS nw, sum(t) AS stw, sum(y) AS syw
+wd AS (SELECT d.series, {_slot_sql(unit, 'd.date')} AS wd, count(*) AS nw, sum(t) AS stw, sum(y) AS syw
        FROM dt d GROUP BY 1, 2),
 eff AS (SELECT w.series, w.wd, (CAST(syw AS DOUBLE) - f.intercept * nw - f.slope * CAST(stw AS DOUBLE)) / nw AS effect
         FROM wd w JOIN fit f USING (series)),
-sig AS (SELECT d.series, coalesce(stddev_samp(d.y - (f.intercept + f.slope * d.t + e.effect)), 0.0) AS sigma
-        FROM dt d JOIN fit f USING (series) JOIN eff e ON e.series = d.series AND e.wd = dayofweek(d.date) + 1
-        GROUP BY 1)"""
+res AS (SELECT d.series, d.y - (f.intercept + f.slope * d.t + e.effect) AS r, {off} AS off
+        FROM dt d JOIN fit f USING (series) JOIN eff e ON e.series = d.series AND e.wd = {_slot_sql(unit, 'd.date')}),
+hol AS (SELECT series, coalesce(avg(r) FILTER (off = 1), 0.0) AS hol FROM res GROUP BY 1),
+sig AS (SELECT series, coalesce(stddev_samp(r - off * hol), 0.0) AS sigma, any_value(hol) AS hol
+        FROM res JOIN hol USING (series) GROUP BY 1)"""
 
 
-def _fc_sql(horizon: int, conf: float) -> str:
+def _fc_sql(horizon: int, conf: float, unit: str = "day", holidays: bool = False) -> str:
     z = Z_BY_CONFIDENCE[conf]
+    off = f"CASE WHEN {_HOLIDAY_SQL} THEN hol ELSE 0 END" if holidays else "0"
+    later = "CAST(f.last + CAST(h AS INTEGER) AS DATE)" if unit == "day" else f"f.last + to_{unit}s(CAST(h AS INTEGER))"
     return f"""
-fch AS (SELECT f.*, s.sigma, h, CAST(f.last + CAST(h AS INTEGER) AS DATE) AS date
+fch AS (SELECT f.*, s.sigma, s.hol, h, {later} AS date
         FROM fit f JOIN sig s USING (series), (SELECT unnest(generate_series(1, {horizon})) AS h)),
 fcv AS (SELECT series, date, n, sigma,
-               intercept + slope * CAST(date_diff('day', start, date) AS DOUBLE)
-                 + coalesce((SELECT effect FROM eff e WHERE e.series = fch.series AND e.wd = dayofweek(fch.date) + 1), 0.0)
+               intercept + slope * CAST(date_diff('{unit}', start, date) AS DOUBLE)
+                 + coalesce((SELECT effect FROM eff e WHERE e.series = fch.series AND e.wd = {_slot_sql(unit, 'fch.date')}), 0.0) + {off}
                  AS v FROM fch),
 fc AS (SELECT series, date, round(v, 0) AS revenue,
               round(v - CAST({z} AS DOUBLE) * sigma * sqrt(CAST(1 AS DOUBLE) + CAST(1 AS DOUBLE) / n), 0) AS lower_bound,
@@ -234,6 +306,7 @@ fc AS (SELECT series, date, round(v, 0) AS revenue,
        FROM fcv)"""
 
 
+_DAILY = _daily_sql()
 _FC_SQL = f"WITH {_DAILY}, {_fit_sql('daily')}, {_fc_sql(HORIZON, CONF)}"
 _FVA_SQL = (f"WITH {_DAILY}, train AS (SELECT * FROM daily WHERE date <= (SELECT max(date) FROM daily) - {HOLDOUT}),"
             f" {_fit_sql('train')}, {_fc_sql(HOLDOUT, CONF)},"
@@ -249,41 +322,84 @@ def _nest(sql_with: str, final: str) -> str:
     return with_ctes("").rstrip() + ",\n" + sql_with[len("WITH "):] + "\n" + final
 
 
+_FIT_SQL = """
+SELECT f.series, f.start, f.last, f.n, CAST(round(CAST(f.slope AS DECIMAL(38, 12)), 6) AS DOUBLE) AS slope,
+       CAST(round(CAST(f.intercept AS DECIMAL(38, 12)), 2) AS DOUBLE) AS intercept,
+       CAST(round(CAST(s.sigma AS DECIMAL(38, 12)), 2) AS DOUBLE) AS sigma FROM fit f JOIN sig s USING (series)"""
+
+
+def _fit_row(fit: DataFrame) -> DataFrame:
+    return fit.select(KEY, "start", "last", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"),
+                      F.round("sigma", 2).alias("sigma"))
+
+
+def _keyed(spark, d, key, unit="day"):
+    """Series per category or per product of the streamed sales."""
+    lk = lake(spark, d)
+    sales = lk.table("fact_sales_stream")
+    if key == "category":
+        sales = sales.join(lk.table("dim_products").select("product_id", "category"), "product_id")
+    return revenue_series(sales, unit=unit, keys=[key])
+
+
+_BY_CATEGORY = "(SELECT s.order_ts, s.net_revenue, p.category FROM fact_sales_stream s JOIN s_products p USING (product_id))"
+for _key, _source in (("category", _BY_CATEGORY), ("product_id", "fact_sales_stream")):
+    _name = "category" if _key == "category" else "product"
+    _with = f"WITH {_daily_sql(_key, source=_source)}, {_fit_sql('daily')}, {_fc_sql(HORIZON, CONF)}"
+    register(f"forecast_fit_by_{_name}", _nest(_with, _FIT_SQL))(
+        lambda spark, d, k=_key: _fit_row(forecast_fit(_keyed(spark, d, k), [k])))
+    register(f"forecast_by_{_name}", _nest(_with, "SELECT * FROM fc"))(
+        lambda spark, d, k=_key: forecast(forecast_fit(_keyed(spark, d, k), [k]), HORIZON, CONF))
+
+register("forecast_hourly", _nest(f"WITH {_daily_sql(unit='hour')}, {_fit_sql('daily', 'hour')}, {_fc_sql(48, CONF, 'hour')}", "SELECT * FROM fc"))(
+    lambda spark, d: forecast(forecast_fit(revenue_series(lake(spark, d).table("fact_sales_stream"), unit="hour"), unit="hour"), 48, CONF, "hour"))
+
+register("forecast_with_holidays", _nest(f"WITH {_DAILY}, {_fit_sql('daily', holidays=True)}, {_fc_sql(HORIZON, CONF, holidays=True)}", "SELECT * FROM fc"))(
+    lambda spark, d: forecast(forecast_fit(_series(spark, d), holidays=_holidays(spark)), HORIZON, CONF, holidays=_holidays(spark)))
+
+register("forecast_vs_actual_shifted", _nest(f"WITH {_DAILY}, {_fit_sql('daily')}, {_fc_sql(30, CONF)}", """
+SELECT fc.date, fc.revenue AS predicted, fc.lower_bound, fc.upper_bound, d.y AS actual,
+       abs(fc.revenue - d.y) / nullif(d.y, 0) * 100 AS mape_pct,
+       CASE WHEN d.y >= fc.lower_bound AND d.y <= fc.upper_bound THEN 'Within CI' ELSE 'Outside CI' END AS ci_hit
+FROM fc JOIN daily d ON d.date + 30 = fc.date"""))(
+    lambda spark, d: forecast_vs_actual(_series(spark, d), confidence=CONF, shift_days=30))
+
 register("revenue_series", with_ctes("""
 SELECT date_trunc('day', order_ts) AS time_bucket, CAST(sum(net_revenue) AS BIGINT) AS net_revenue
 FROM fact_sales_stream GROUP BY 1"""))(lambda spark, d: _series(spark, d))
 
-register("forecast_fit", _nest(_FC_SQL, """
-SELECT f.series, f.start, f.last, f.n, CAST(round(CAST(f.slope AS DECIMAL(38, 12)), 6) AS DOUBLE) AS slope,
-       CAST(round(CAST(f.intercept AS DECIMAL(38, 12)), 2) AS DOUBLE) AS intercept,
-       CAST(round(CAST(s.sigma AS DECIMAL(38, 12)), 2) AS DOUBLE) AS sigma FROM fit f JOIN sig s USING (series)"""))(
-    lambda spark, d: forecast_fit(_series(spark, d)).select(
-        KEY, "start", "last", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"),
-        F.round("sigma", 2).alias("sigma")))
+register("forecast_fit", _nest(_FC_SQL, _FIT_SQL))(lambda spark, d: _fit_row(forecast_fit(_series(spark, d))))
 
 register("forecast", _nest(_FC_SQL, "SELECT * FROM fc"))(lambda spark, d: _fc(spark, d))
 
-register("history", with_ctes(f"""
-SELECT date_key AS date, CAST(sum(net_revenue) AS BIGINT) AS revenue, CAST(sum(gross_profit) AS BIGINT) AS gross_profit,
-       {avg_pct_sql('gross_margin_pct')} AS avg_margin, count(DISTINCT order_id) AS orders
-FROM fact_sales WHERE {_TF} GROUP BY 1 ORDER BY 1"""))(
-    lambda spark, d: history(lake(spark, d).table("fact_sales"), DAYS, ORDERS_AS_OF))
+def _since(days: int) -> str:
+    return f"date_key >= DATE '{(ORDERS_AS_OF - dt.timedelta(days=days)).date()}'"
+
+
+def _sales(spark, d, days):
+    return lake(spark, d).table_since("fact_sales", days, ORDERS_AS_OF)
 
-register("forecast_vs_actual", _nest(_FVA_SQL, "SELECT * FROM fva"))(lambda spark, d: _fva(spark, d))
 
-register("category_forecast", with_ctes(f"""
+for _suffix, _days in {"": DAYS, "_30d": 30}.items():
+    register("history" + _suffix, with_ctes(f"""
+SELECT date_key AS date, CAST(sum(net_revenue) AS BIGINT) AS revenue, CAST(sum(gross_profit) AS BIGINT) AS gross_profit,
+       {avg_pct_sql('gross_margin_pct')} AS avg_margin, count(DISTINCT order_id) AS orders
+FROM fact_sales WHERE {_since(_days)} GROUP BY 1"""))(
+        lambda spark, d, days=_days: history(_sales(spark, d, days), days, ORDERS_AS_OF))
+    register("category_forecast" + _suffix, with_ctes(f"""
 SELECT category, CAST(sum(net_revenue) AS BIGINT) AS revenue_last30,
        sum(net_revenue) / count(DISTINCT date_key) AS avg_daily,
        round(sum(net_revenue) / count(DISTINCT date_key) * {HORIZON}, 0) AS projected_revenue
-FROM fact_sales WHERE {_TF} GROUP BY 1 ORDER BY 4 DESC"""))(
-    lambda spark, d: category_forecast(lake(spark, d).table("fact_sales"), HORIZON, DAYS, ORDERS_AS_OF))
-
-register("top_products_forecast", with_ctes(f"""
+FROM fact_sales WHERE {_since(_days)} GROUP BY 1"""))(
+        lambda spark, d, days=_days: category_forecast(_sales(spark, d, days), HORIZON, days, ORDERS_AS_OF))
+    register("top_products_forecast" + _suffix, with_ctes(f"""
 SELECT product_name, category, brand,
        round(sum(net_revenue) / count(DISTINCT date_key) * {HORIZON}, 0) AS projected_revenue,
        {avg_pct_sql('gross_margin_pct')} AS avg_margin
-FROM fact_sales WHERE {_TF} GROUP BY 1, 2, 3 ORDER BY 4 DESC NULLS LAST, 1, 2, 3 LIMIT 10"""))(
-    lambda spark, d: top_products_forecast(lake(spark, d).table("fact_sales"), HORIZON, DAYS, ORDERS_AS_OF))
+FROM fact_sales WHERE {_since(_days)} GROUP BY 1, 2, 3 ORDER BY 4 DESC NULLS LAST, 1, 2, 3 LIMIT 10"""))(
+        lambda spark, d, days=_days: top_products_forecast(_sales(spark, d, days), HORIZON, days, ORDERS_AS_OF))
+
+register("forecast_vs_actual", _nest(_FVA_SQL, "SELECT * FROM fva"))(lambda spark, d: _fva(spark, d))
 
 register("forecast_summary", _nest(_FC_SQL, """
 SELECT sum(revenue) AS total_forecast, avg(revenue) AS avg_daily_forecast, max(revenue) AS peak_forecast,
