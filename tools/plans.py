@@ -2,8 +2,8 @@
 
     python tools/plans.py [sf_dir]
 
-Builds the stored layers of one batch run (facts partitioned by date_key,
-Silver orders/order_items bucketed by order_id), then records for key
+Builds the stored layers of one batch run (facts partitioned by month, event
+facts by day), then records for key
 queries: joins and their strategy, exchanges, partial aggregates, pushed and
 partition filters, and read schemas. It is run twice for the fact build:
 once as planned by AQE, once with broadcast disabled (the shape a table too
@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 import sys
-import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -39,15 +38,15 @@ def main() -> None:
     from tidemart import registry
     from tidemart.lake import Lake
     from tidemart.plans.batch_run import run_batch
-    from tidemart.session import build_session
+    from tidemart.session import build_session, scratch_path
     spark = build_session("local[8]", app="tidemart-plans", shuffle_partitions=16)
-    root = tempfile.mkdtemp(prefix="tidemart-plans-")
+    root = scratch_path(spark, "plans")
     run_batch(spark, sf, root)
     registry.load_marts()
     registry.use_stored(sf, root)
     doc = ["# Physical plans of key queries", "",
            f"Generated by `tools/plans.py` on `{os.path.basename(sf)}` from the stored layers of one batch run "
-           "(facts partitioned by `date_key`, Silver orders and order_items bucketed by `order_id`). "
+           "(facts partitioned by month, event facts by day). "
            "Expression ids, plan ids and paths are elided.", ""]
 
     def section(title, df):
@@ -55,13 +54,13 @@ def main() -> None:
         doc.extend([f"## {title}", "", "```"] + facts(p) + ["```", ""])
 
     for q in ["batch_kpis", "category_revenue", "top_products", "profit_by_location", "payment_split",
-              "live_revenue_category", "stream_kpis", "low_stock_alerts", "cart_pricing", "forecast"]:
+              "live_revenue_category", "stream_kpis", "orders_per_minute_6h", "category_revenue_30d", "low_stock_alerts", "cart_pricing", "forecast"]:
         section(q, registry.QUERIES[q](spark, sf))
     lk = Lake.from_stored(spark, root)
     section("fact_sales build (AQE may broadcast small sides)", lk.build_gold("fact_sales"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    section("fact_sales build with broadcast disabled (bucketed sides, no exchange on order_id)",
+    section("fact_sales build with broadcast disabled",
             Lake.from_stored(spark, root).build_gold("fact_sales"))
     registry.use_stored(sf, None)
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "docs", "PLANS.md")
