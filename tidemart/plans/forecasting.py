@@ -91,12 +91,13 @@ def fit_buckets(d: DataFrame, unit: str = "day", holidays: DataFrame | None = No
     hol = lambda x: F.sum(F.when(c("holiday"), x.cast("decimal(38,0)")).otherwise(0))
     slots = d.groupBy(KEY, _season("date", unit).alias("wd")).agg(
         F.min("date").alias("start"), F.max("date").alias("last"), F.count("*").alias("n"), wide(i).alias("si"), wide(i * i).alias("sii"),
-        wide(y).alias("sy"), wide(i * y).alias("siy"), wide((y * y).cast("decimal(38,0)")).alias("syy"),
+        wide(y).alias("sy"), wide(i * y).alias("siy"),
+        F.var_pop("y").alias("vy"), F.covar_pop("i", "y").alias("cv"), F.var_pop("i").alias("vi"),   # about the slot's means
         F.count_if("holiday").alias("hn"), hol(i).alias("hi"), hol(y).alias("hy"))
     big = lambda x: x.cast("decimal(38,0)")
     sums = ["n", "si", "sii", "sy", "siy"]
     f = slots.groupBy(KEY).agg(F.min("start").alias("start"), F.max("last").alias("last"), *[big(F.sum(x)).alias(x) for x in sums],
-                               F.sum("hn").alias("hn"), F.collect_list(F.struct("wd", *sums, "syy", "hn", "hi", "hy")).alias("slots"))
+                               F.sum("hn").alias("hn"), F.collect_list(F.struct("wd", *sums, "vy", "cv", "vi", "hn", "hi", "hy")).alias("slots"))
     f = f.withColumn("i0", _index(c("start"), unit).cast("decimal(12,0)"))
     # sums of t = i - i0; n * sum(t * y) passes a LONG at a few thousand days of billions
     f = f.withColumns({"st": big(c("si") - c("n") * c("i0")), "stt": big(c("sii") - 2 * c("i0") * c("si") + c("n") * c("i0") * c("i0")),
@@ -107,15 +108,12 @@ def fit_buckets(d: DataFrame, unit: str = "day", holidays: DataFrame | None = No
     f = f.withColumn("intercept", (c("sy").cast("double") - c("slope") * c("st").cast("double")) / c("n"))
 
     def parts(x):
-        """Of a slot, as doubles: sums over t, its level (trend at 0 plus effect) and effect."""
-        i0 = c("i0")
-        t, tt, ty = big(x.si - x.n * i0), big(x.sii - 2 * i0 * x.si + x.n * i0 * i0), big(x.siy - i0 * x.sy)
-        ht = big(x.hi - x.hn * i0)
-        t, tt, ty, ht, sy, syy, hy = (v.cast("double") for v in (t, tt, ty, ht, x.sy, x.syy, x.hy))
-        effect = (sy - c("intercept") * x.n - c("slope") * t) / x.n
-        level = c("intercept") + effect
-        ssr = (syy - 2 * level * sy - 2 * c("slope") * ty + x.n * level * level + 2 * level * c("slope") * t + c("slope") * c("slope") * tt)
-        return effect, ssr, hy - level * x.hn - c("slope") * ht
+        """Of a slot: its effect (mean residual of the trend), the residuals'
+        squares about it, and their sum over the slot's holidays."""
+        b = c("slope")
+        t, ht = (big(v).cast("double") for v in (x.si - x.n * c("i0"), x.hi - x.hn * c("i0")))
+        effect = (x.sy.cast("double") - c("intercept") * x.n - b * t) / x.n
+        return effect, x.n * (x.vy - 2 * b * x.cv + b * b * x.vi), x.hy.cast("double") - (c("intercept") + effect) * x.hn - b * ht
 
     f = f.withColumns({
         "weekday_effect": F.map_from_entries(F.transform("slots", lambda x: F.struct(x.wd.alias("wd"), parts(x)[0].alias("effect")))),
