@@ -339,7 +339,8 @@ FROM events""")
 cte("ev", f"""
 SELECT *,
   CASE WHEN src_type = 'error' THEN CASE topic {_first_type} END
-       WHEN topic = 'ecommerce.user' THEN CASE WHEN eid % 2 = 0 THEN 'user_registered' ELSE 'user_login' END
+       WHEN topic = 'ecommerce.user' THEN ['user_registered', 'user_login', 'user_logout', 'user_login_attempt',
+            'user_login_failed'][CAST(eid % 5 AS INTEGER) + 1]
        WHEN topic = 'ecommerce.page_view' THEN ['page_viewed', 'product_viewed', 'search_performed',
             'category_filtered'][CAST(eid % 4 AS INTEGER) + 1]
        WHEN topic = 'ecommerce.cart' THEN ['item_added', 'item_qty_updated', 'item_removed'][CAST(eid % 3 AS INTEGER) + 1]

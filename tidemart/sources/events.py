@@ -39,7 +39,8 @@ _STEPS = [
         ELSE CASE cast(eid % 7 as int) {_TOPIC_CASE} END END"""),
     ("reject", "IF(event_type = 'error', cast((eid div 7) % 7 as int), -1)"),
     ("etype", f"""CASE WHEN event_type = 'error' THEN CASE topic {_FIRST_TYPE_CASE} END
-        WHEN topic = 'ecommerce.user' THEN IF(eid % 2 = 0, 'user_registered', 'user_login')
+        WHEN topic = 'ecommerce.user' THEN element_at(array('user_registered', 'user_login',
+             'user_logout', 'user_login_attempt', 'user_login_failed'), cast(eid % 5 as int) + 1)
         WHEN topic = 'ecommerce.page_view' THEN element_at(array('page_viewed', 'product_viewed',
              'search_performed', 'category_filtered'), cast(eid % 4 as int) + 1)
         WHEN topic = 'ecommerce.cart' THEN element_at(array('item_added', 'item_qty_updated',
