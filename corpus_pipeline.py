@@ -4,14 +4,14 @@ Parquet and read again by the next.
 1. language ID: documents without a determined language go; so do those
    whose language is less likely than ``MIN_LANGUAGE`` by the model.
 2. line dedup: lines found in ten or more documents are cut from the texts.
-3. SimHash near-dedup: the document of the least id stays of each group.
+3. SimHash near-dedup: of each group the row of the least id stays.
 4. benchmark decontamination: documents with a benchmark passage go.
 5. BPE encoding: the token ids of each document, and the digests of the ids
    and of the text decoded from them.
 
-Rows of one doc_id are a document each until stage 3, which keeps of a group
-those of its least id, and of several such rows one. Null ids stay only where
-their group has no other.
+Rows of one doc_id are a document each, and so are rows without one. Stage 3
+keeps one row of every group, by id (nulls last), then by a hash of the row;
+an id stays more than once where its rows are in different groups.
 """
 
 from __future__ import annotations
@@ -49,11 +49,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
-    key = F.coalesce(col("doc_id").cast("long"), F.lit(2**63 - 1))
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, MAX_BITS)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k"))
-    one = docs.withColumn("__k", key).join(stay, "__k", "left_semi").dropDuplicates(["__k"])
-    return _as_documents(one, docs)
+    return _as_documents(simhash.representatives(docs, SHINGLE_WORDS, MAX_BITS), docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,27 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(r.decoded_sha256 == hashlib.sha256(clean[i].text.encode()).hexdigest() and len(r.ids) == r.n_tokens for i, r in out.items())
 
 
+def test_pipeline_simhash_null_and_repeated_ids(spark, sf_dir):
+    """Each group keeps exactly one row: least id (nulls last); none is lost to another group's."""
+    docs = table(spark, sf_dir, "documents")
+    words = [" ".join(hashlib.sha256(f"{i} {j}".encode()).hexdigest()[:6] for j in range(60)) for i in range(12)]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, words[2]),    # three groups without an id
+            (5, words[3]), (None, words[3]),                                             # an id before none
+            (7, words[4]), (7, words[5]),                                                # one id, two groups
+            (8, words[6]), (9, words[6]), (9, words[7]),                                 # 9 is a copy in one group, clean in another
+            (2**63 - 1, words[8]), (None, words[9]), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema).repartition(5)
+    got = sorted(((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["simhash"](spark, df, sf_dir).collect()), key=repr)
+    roots = brute_components([brute_fingerprint(t or "") for _, t in rows])
+    best: dict = {}
+    for root, (i, _) in zip(roots, rows, strict=True):
+        best[root] = min(best.get(root, (True, 0)), (i is None, i or 0))
+    assert len(best) == 11 and len(got) == 11
+    assert {t for _, t in got} - {None, ""} == set(words[:10]) and sum(not t for _, t in got) == 1
+    assert sorted(((i is None, i or 0) for i, _ in got)) == sorted(best.values())
+    assert (5, words[3]) in got and (8, words[6]) in got and (9, words[7]) in got
+
+
 def test_pipeline_of_no_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for _, step in corpus_pipeline.STAGES:

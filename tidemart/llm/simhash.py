@@ -205,10 +205,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, text:
     rows cost one posting. component_id is the least id reachable (null ids
     count only where all are null). An empty table gives an empty result."""
     fps = stage(fingerprints(docs.select(col(doc_id).alias("doc_id"), col(text).alias("__text")), shingle, "__text").drop("__text"), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes, max_bits, split), "simhash-components")
-    owner = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    owner = stage(owner, "simhash-owners")
+    owner = _owners(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits, split)
     least = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     label = owner.join(least, "root").select("fp", "component_id")
     return fps.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _owners(nodes: DataFrame, max_bits: int, split: int) -> DataFrame:
+    """``nodes`` (fp, least) with the root fingerprint of their component."""
+    roots = components(links(nodes, max_bits, split), "simhash-components")
+    owner = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return stage(owner, "simhash-owners")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, text: str = "text", doc_id: str = "doc_id",
+                    split: int = SPLIT) -> DataFrame:
+    """One whole row of ``docs`` for each group of near duplicates: the one of
+    the least id (nulls last), and of several such rows the one of the least
+    row hash. A group is known by its root fingerprint, so null ids and rows
+    of one id with different texts lose nothing to each other. Rows equal in
+    every column meet in one task, where one of them stays."""
+    rest = F.to_json(F.struct(*[col(c) for c in docs.columns if c.lower() != text.lower()]))
+    keyed = docs.withColumn("__k", F.unhex(F.sha2(F.concat(F.sha2(utf8(text), 256), F.when(col(text).isNull(), "n").otherwise("t"), rest).cast("binary"), 256)))
+    fps = stage(fingerprints(keyed.select(col(doc_id).alias("__id"), "__k", col(text).alias("__text")), shingle, "__text").drop("__text"), "fingerprints")
+    order = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__k").alias("k"))
+    owner = _owners(fps.groupBy("fp").agg(F.min(order).alias("least")), max_bits, split)
+    stay = owner.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("__k"))
+    return keyed.join(stay, "__k", "left_semi").dropDuplicates(["__k"]).drop("__k")
