@@ -239,6 +239,73 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def gnu(what, kind, version, mark=":", joint=","):
+    return (f"    This {what} is free software{mark} you can redistribute it and/or modify\n    it under the terms of the GNU {kind}General Public License as published by\n    the Free Software Foundation{joint} either version {version} of the License, or\n    (at your option) any later version.\n\n"
+            f"    This {what} is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU {kind}General Public License for more details.\n")
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+"""
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the
+Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+NOTICES = [
+    ("MIT", "The MIT License (MIT)\n\n" + MIT), ("MIT", "MIT License\n" + MIT),
+    ("Apache-2.0", 'Copyright 2020 Somebody\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law'),
+    ("Apache-2.0", 'Licensed under the Apache License,\nVersion 2.0 (the\n"License"); you may not use this file except in compliance with the\nLicense. You may obtain a copy of the License at\nhttps://www.apache.org/licenses/LICENSE-2.0\n'),
+    ("GPL-2.0-or-later", gnu("program", "", "2", ";", ";")), ("GPL-3.0-or-later", gnu("program", "", "3")),
+    ("LGPL-2.1-or-later", gnu("library", "Lesser ", "2.1", ";", ";")), ("LGPL-3.0-or-later", gnu("library", "Lesser ", "3")),
+    ("LGPL-3.0-or-later", gnu("program", "Lesser ", "3")), ("AGPL-3.0-or-later", gnu("program", "Affero ", "3")),
+    ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", BSD + "   3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"),
+    ("BSD-3-Clause", BSD + "   * Neither the name of Google Inc. nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"),
+    ("BSD-3-Clause", BSD + "3. Neither the name of A. B.\nSmith & Co. Ltd. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy"),
+]
+
+
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// ", "-- "])
+def test_license_notices_as_wrapped_in_files(prefix):
+    find = licenses.finder()
+    for name, notice in NOTICES:
+        text = "\n".join((prefix + line).rstrip() for line in notice.split("\n"))
+        ids = find(licenses.sentences(text.encode()))
+        assert licenses.match_rules(ids) == [name], (name, ids)
+        whole = {"gpl-warranty"} if "GPL" in name else {"mit-grant", "mit-notice"} if name == "MIT" else {"apache-both", "apache-copy"} if name == "Apache-2.0" else set()
+        assert whole <= set(ids)
+
+
+def test_license_sentences_are_whole():
+    find = licenses.finder()
+
+    def ids(t):
+        return find(licenses.sentences(t.encode()))
+    assert ids("Neither the name of X nor that of Y.\n\nnor the names of its contributors may be used") == []
+    assert ids("Neither the name of nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.") == []
+    assert ids("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0 or not.") == []
+    assert ids("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.") == []
+    assert ids("This is not\nlicensed under the MIT License.") == [] and ids("MIT License\nAll rights reserved.") == ["mit-title", "reserved"]
+    many = "Neither the name of X. " * 20_000
+    assert ids(many) == []
+    assert all(licenses.finder()([s]) == [i] for s, i in licenses.known_sentences().items())
+
+
 # --------------------------------------------------------------- suffix dedup
 
 def brute_repeats(rows, length):

@@ -1,8 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (wrapped lines joined first), each normalised to
-its lower-case words. Known licence sentences map to an identifier; the
-sequence of a document's identifiers is then matched against ordered rules,
+A text is cut into pieces at sentence and line ends (lines that go on in lower
+case joined first), each normalised to its lower-case words. A known licence
+sentence is a run of pieces with its words, however wrapped or cut by full
+stops inside; runs map to an identifier, the longest first. The sequence of a
+document's identifiers is then matched against ordered rules,
 longest first: a rule names a licence, needs its identifiers in a row, and
 uses them up. The tables are a few kB and travel with the task; no shuffle.
 """
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 from .common import append, field, prepare, utf8
 
 # Sentences of public licences and the rules over them.
-SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
-        "LGPL-3.0-only", "AGPL-3.0-only", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0",
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0",
         "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")
 SENTENCES = {
     "mit-name": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
@@ -28,12 +30,18 @@ SENTENCES = {
     "apache-name": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");"],
     "apache-file": ["you may not use this file except in compliance with the License."],
     "apache-both": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
     "gpl3-name": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
     "gpl2-name": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."],
     "gpl2-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "gpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl21-name": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Lesser General Public License, version 2.1."],
+    "lgpl21-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-name": ["This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the GNU Lesser General Public License, version 3."],
+    "lgpl3-later": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-name": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero General Public License, version 3."],
+    "agpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
@@ -45,13 +53,18 @@ SENTENCES = {
     "unlicense-name": ["This is free and unencumbered software released into the public domain."],
     "reserved": ["All rights reserved."],
 }
+# Sentences with a name inside: identifier -> (words before it, words after it).
+SLOTS = {"bsd-endorse": ("Neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")}
 RULES = [
     ("MIT", ("mit-title", "mit-grant", "mit-notice")), ("MIT", ("mit-grant", "mit-notice")),
     ("Apache-2.0", ("apache-both", "apache-copy")), ("Apache-2.0", ("apache-name", "apache-file", "apache-copy")),
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-warranty")), ("GPL-3.0-or-later", ("gpl3-later", "gpl-warranty")),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "gpl-warranty")), ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-warranty")), ("AGPL-3.0-or-later", ("agpl3-later", "gpl-warranty")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-endorse")), ("BSD-2-Clause", ("bsd-grant",)),
     ("MIT", ("mit-name",)), ("Apache-2.0", ("apache-name",)), ("Apache-2.0", ("apache-both",)),
     ("GPL-2.0-only", ("gpl2-name",)), ("GPL-3.0-only", ("gpl3-name",)), ("GPL-2.0-or-later", ("gpl2-later",)), ("GPL-3.0-or-later", ("gpl3-later",)),
+    ("LGPL-2.1-only", ("lgpl21-name",)), ("LGPL-3.0-only", ("lgpl3-name",)), ("AGPL-3.0-only", ("agpl3-name",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)), ("LGPL-3.0-or-later", ("lgpl3-later",)), ("AGPL-3.0-or-later", ("agpl3-later",)),
     ("ISC", ("isc-grant",)), ("MPL-2.0", ("mpl2-name",)), ("CC-BY-NC-4.0", ("ccbync-name",)), ("CC-BY-4.0", ("ccby-name",)),
     ("CC-BY-SA-4.0", ("ccbysa-name",)), ("CC0-1.0", ("cc0-name",)), ("Unlicense", ("unlicense-name",)),
     *((x, (f"spdx-{x.lower()}",)) for x in SPDX),
@@ -81,6 +94,54 @@ def known_sentences() -> dict[bytes, str]:
     return out
 
 
+def finder():
+    """f(pieces) -> identifiers of the known sentences that runs of pieces
+    spell, in order; at each piece the longest run counts. A name in a slot
+    may itself be cut into pieces, but ends with its paragraph."""
+    known = known_sentences()
+    begun = {s[:k] for s in known for k, c in enumerate(s) if c == 0x20} | set(known)
+    slots = [(i, normalise(a.encode()), b" " + normalise(b.encode())) for i, (a, b) in SLOTS.items()]
+
+    def run(pieces: list[bytes], at: int) -> tuple[str | None, int]:
+        found, end, words, k = None, at + 1, pieces[at], at
+        while words in begun:
+            if words in known:
+                found, end = known[words], k + 1
+            k += 1
+            while k < len(pieces) and not pieces[k]:   # blank lines may part a sentence from its URL
+                k += 1
+            if k == len(pieces):
+                break
+            words += b" " + pieces[k]
+        return found, end
+
+    def slot(pieces: list[bytes], at: int) -> tuple[str | None, int]:
+        for i, head, tail in slots:
+            if not (pieces[at] + b" ").startswith(head + b" "):
+                continue
+            words, k = pieces[at][len(head):], at
+            while not (words.endswith(tail) and len(words) > len(tail)):
+                k += 1
+                if k == len(pieces) or not pieces[k] or (pieces[k] + b" ").startswith(head + b" "):
+                    break
+                words = (words + b" " + pieces[k])[-len(tail) - 1:]
+            else:
+                return i, k + 1
+        return None, at + 1
+
+    def f(pieces: list[bytes]) -> list[str]:
+        out, at = [], 0
+        while at < len(pieces):
+            found, end = run(pieces, at) if pieces[at] in begun else (None, at + 1)
+            if not found:
+                found, end = slot(pieces, at)
+            if found:
+                out.append(found)
+            at = end
+        return out
+    return f
+
+
 def match_rules(ids: list[str]) -> list[str]:
     """Licences by the ordered rules; identifiers in a row, each used once."""
     row, out = "," + ",,".join(ids) + "," if ids else "", []
@@ -99,10 +160,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
 
     def factory():
-        get = known_sentences().get
+        find = finder()
 
         def f(ts):
-            ids = [[i for i in map(get, sentences(t)) if i] for t in ts.to_pylist()]
+            ids = [find(sentences(t)) for t in ts.to_pylist()]
             return [pa.array(ids, pa.list_(pa.string())), pa.array([match_rules(x) for x in ids], pa.list_(pa.string()))]
         return f
 
