@@ -196,6 +196,22 @@ def test_decontamination(spark, chunk):
     assert all(r.hit_spans == [] for r in decontamination.decontaminate(df, bench.limit(0)).collect())
 
 
+def test_decontamination_chunks_are_written_passes(spark, monkeypatch):
+    """One chunk at a time in a task, and no more than one pass on disk beside the one written."""
+    live, most = [], []
+    stage, release = decontamination.stage, decontamination.release
+    monkeypatch.setattr(decontamination, "stage", lambda df, name: [stage(df, name), live.append(df), most.append(len(live)), plans.append(df)][0])
+    monkeypatch.setattr(decontamination, "release", lambda *dfs: [release(*dfs), live.pop()])
+    plans: list = []
+    docs = [f"one two three w{i} x{i} y{i}" for i in range(30)]
+    bench = spark.createDataFrame([(i, docs[i]) for i in range(0, 30, 3)], "item_id long, text string")
+    out = decontamination.decontaminate(frame(spark, docs)[0], bench, 5, chunk_bytes=60)
+    assert {r.text: r["items"] for r in out.collect()} == {t: [str(i)] if i % 3 == 0 else [] for i, t in enumerate(docs)}
+    assert len(plans) > 1 and max(most) <= 2
+    for df in [*plans, out]:
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+
+
 def test_decontamination_proximity():
     rng = random.Random(9)
     for _ in range(200):

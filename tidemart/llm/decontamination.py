@@ -1,13 +1,15 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is sharded by document: a segment (the documents of one Arrow
-batch) stores, for each test term, the posting list of its word positions. A
+The index is sharded by document and transient: a segment (the documents of
+one Arrow batch) holds in memory, for each term of the test phrases at hand,
+the posting list of its word positions, and goes with its batch; nothing of it
+is stored, and each run and chunk reads the texts and indexes them anew. A
 phrase is looked up from its rarest term: that list, shifted by the term's
 place in the phrase, is intersected with the shifted lists of the other
 terms, rarest first. Proximity matching (``slop`` > 0) lets neighbouring
 phrase words stand up to ``slop`` words further apart, in order. Segments
 never meet in a shuffle. The test phrases are broadcast in chunks of items
-of bounded size, each chunk one pass over the segments in the same stage.
+of bounded size; of several chunks, each is one written pass over the texts.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, col, field, prepare, utf8
+from .common import append, col, field, prepare, release, stage, utf8
 
 CHUNK_BYTES, PIECE = 8 << 20, 1 << 22
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -158,7 +160,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
 
     Null texts have no words. Items of null id or without words take no part;
     rows of one id are one item. ``slop`` > 0: a window also occurs with up to
-    that many other words between neighbours; then only its words are hit."""
+    that many other words between neighbours; then only its words are hit.
+
+    Items go in chunks of about ``chunk_bytes``, each broadcast by itself. Of
+    several chunks, each is a pass written to the shared folder before the
+    next is read, so the driver and the tasks hold one chunk at a time."""
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     given = items.filter(col(item_id).isNotNull()).select(col(item_id).cast("string").alias("i"), utf8(item_text).alias("t"))
@@ -166,9 +172,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     chunks = max(1, -(-total // chunk_bytes))
     fields = [field("n_words", "bigint"), field("hit_spans", "array<struct<start:bigint,end:bigint>>"), field("items", "array<string>")]
     out = docs.withColumns({"hit_spans": F.lit(None).cast(fields[1].dataType), "items": F.lit(None).cast(fields[2].dataType)})
+    before = None
     for k in range(chunks):
+        last = k == chunks - 1
         part = given if chunks == 1 else given.filter(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == k)
-        held = spark.sparkContext.broadcast([(r.i, bytes(r.t)) for r in part.toLocalIterator()])
+        rows = [(r.i, bytes(r.t)) for r in part.toLocalIterator()]
+        if not rows and not (last and before is None):
+            continue
+        held = spark.sparkContext.broadcast(rows)
 
         def factory(held=held):
             phrases = Phrases(held.value, size)
@@ -187,6 +198,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
             return f
 
         out = append(out, [utf8(text), F.col("hit_spans"), F.col("items")], fields, factory)
+        if chunks > 1:
+            out = stage(out, "decontamination-pass")
+            held.destroy()
+            if before is not None:
+                release(before)
+            before = out
     return out
 
 
