@@ -500,6 +500,19 @@ def test_line_dedup(spark, bound):
     assert line_dedup.dedup_lines(empty(spark), broadcast_bytes=bound).count() == 0
 
 
+def test_line_dedup_routed_groups_are_rows(spark, monkeypatch):
+    """Rows of null or one repeated id don't share a group of hits, nor a salt."""
+    rows = [(None if i % 3 else 5, f"mine {i % 20}\nsecond {i % 20}\nonly {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    taken: list = []
+    routed = line_dedup._routed
+    monkeypatch.setattr(line_dedup, "_routed", lambda *a: [routed(*a), taken.append(routed(*a))][0])
+    got = line_dedup.dedup_lines(df, 3, broadcast_bytes=0)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in got.collect()) == [(d, t, n) for d, t, _, n in brute_lines([(d or 0, t) for d, t in rows], 3)]
+    assert max(len(r["__hits"]) for r in taken[0].collect()) == 2
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 20_000).astype(np.uint64))
     mph = line_dedup.PerfectHash(keys)

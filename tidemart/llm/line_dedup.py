@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import append, col, field, prepare, stage, utf8
@@ -197,7 +197,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", doc_id:
 
         return append(docs, [utf8(text)], fields, factory)
     hits = _routed(docs, index, shards, text, doc_id, salts)
-    found = docs.alias("d").join(hits.alias("h"), F.col("d." + doc_id).eqNullSafe(F.col("h.__key")), "left").select("d.*", F.col("h.__hits").alias("__hits"))
+    found = docs.withColumn("__key", _row_key(text, doc_id)).join(hits, "__key", "left").drop("__key")
 
     def probing():
         def f(ts, hs):
@@ -208,9 +208,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", doc_id:
     return append(found, [utf8(text), F.col("__hits")], fields, probing, drop=("__hits",))
 
 
+def _row_key(text: str, doc_id: str) -> Column:
+    """Key of a row: rows without an id or of one id differ by their texts. Two
+    rows of one key would share their hits, which are indexed lines of either."""
+    return F.xxhash64(col(doc_id), utf8(text))
+
+
 def _routed(docs: DataFrame, index: DataFrame, shards: int, text: str, doc_id: str, salts: int) -> DataFrame:
-    """(__key, __hits): the hashes of the indexed lines of each document id,
-    found by sending each document's line hashes to their shard."""
+    """(__key, __hits): the hashes of the indexed lines of each row key, found
+    by sending each document's line hashes to their shard."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, salt, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -236,7 +242,7 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, text: str, doc_id: s
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hits, pa.binary())], names=["__key", "hit"])
 
     schema = "shard long, salt long, kind int, key long, data binary"
-    probes = docs.select(col(doc_id).cast("long").alias("key"), F.pmod(F.xxhash64(col(doc_id)), F.lit(salts)).alias("salt"), utf8(text).alias("t")).mapInArrow(explode, schema)
+    probes = docs.select(_row_key(text, doc_id).alias("key"), F.pmod(_row_key(text, doc_id), F.lit(salts)).alias("salt"), utf8(text).alias("t")).mapInArrow(explode, schema)
     arrays = index.select("shard", F.explode(F.array(*[F.lit(x).cast("long") for x in range(salts)])).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"), F.col("arrays").alias("data"))
     dealt = probes.unionByName(arrays).repartition("shard", "salt").sortWithinPartitions("salt", "shard", "kind")
     return dealt.mapInArrow(probe, "__key long, hit binary").groupBy("__key").agg(F.collect_set("hit").alias("__hits"))
