@@ -557,6 +557,36 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.fit_and_score(df, ld.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_learns_rare_words(spark):
+    """Toxic words of which each is in a few of the toxic texts count, whatever their share."""
+    rng = random.Random(21)
+    def word():
+        return "".join(rng.choices("bcdfghklmnprstvwz", k=7))
+    plain, bad = [word() for _ in range(60)], [word() for _ in range(80)]
+    rows = []
+    for i in range(1200):
+        toxic = i % 2
+        ws = rng.choices(plain, k=12) + ([bad[i // 2 % 80]] if toxic else [])
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws) + ".", toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.fit_and_score(docs, labels).collect()}
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert len(held) > 100 and sum(p == y for p, y in held) / len(held) >= 0.95
+
+
+def test_toxicity_sample_does_not_depend_on_held_out_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'awful' if i % 2 else 'lovely'} text number n{i}") for i in range(1000)], "doc_id long, text string")
+    taken: list = []
+    stage = toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: [stage(df, name), taken.append(sorted(map(tuple, df.collect()))) if name == "toxic-sample" else 0][0])
+    for least in (0, 500):  # all held-out labels, or half of them
+        labels = spark.createDataFrame([(i, i % 2) for i in range(1000) if i % 5 or i >= least], "doc_id long, toxic int")
+        toxicity.train(docs, labels, F.col("doc_id") % 5 != 0, rows=100)
+    assert taken[0] == taken[1] and 100 < len(taken[0]) < 300
+
+
 def test_toxicity_noisy_or_and_pieces(monkeypatch):
     m = toxicity.Model({b"^bad$": 6.0}, -4.0)
     t = b"good one. bad one\nbad bad! fine. " * 50
