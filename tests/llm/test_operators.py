@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemart.llm import ann, bpe, chat, components, decontamination, language_id, licenses, line_dedup, simhash, suffix_dedup, toxicity
+from tidemart.llm import ann, bpe, chat, components, decontamination, divergence, language_id, licenses, line_dedup, resampling, simhash, suffix_dedup, toxicity
 from tidemart.llm.queries import VOCABULARY
 
 WORDS = ["alpha", "Beta", "gamma", "DELTA", "eps", "zeta", "éta", "Öl", "x1", "the", "of", "日本", "ß"]
@@ -595,3 +595,104 @@ def test_toxicity_noisy_or_and_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 17)
     assert m.sentences(t).tolist() == p.tolist()
     assert [t.decode()[s["start"]:s["end"]].strip() for s in toxicity.spans(t, p, 0.5)][:2] == ["bad one", "bad bad"]
+
+
+# ---------------------------------------------------------------- resampling
+
+def _words(text, ranges="0-9a-z"):
+    return re.findall(rf"[{ranges}\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_resample(rows, target, percent, buckets, longest, least, seed):
+    def hashed(text):
+        w = _words(text)
+        return [zlib.crc32(" ".join(w[i:i + n]).encode()) % buckets for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+    s, t = [0] * buckets, [0] * buckets
+    for counts, texts_ in ((s, [x for _, x in rows]), (t, target)):
+        for x in texts_:
+            for b in hashed(x):
+                counts[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1.0) * (sum(s) + float(buckets)) / ((s[b] + 1.0) * (sum(t) + float(buckets))))) for b in range(buckets)]
+    out = []
+    for i, x in rows:
+        f = hashed(x)
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        w = sum(gain[b] for b in f)
+        out.append([i, len(_words(x)), len(f), w, w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    live = sorted((r for r in out if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[2]))
+    for k, r in enumerate(live[:len(live) * percent // 100]):
+        r[5] = k + 1
+    return out
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_resample_equals_brute_force(spark, longest):
+    rows = list(enumerate(texts(61))) + [(None, "Beta gamma " * 15), (None, None), (7, "the of the " * 9), (7, "the of the " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("weight", F.lit("own")).withColumn("__part", F.lit(1))
+    target = ["alpha Beta gamma the of", "x1 " * 40, None, "日本 ß éta"]
+    bench = spark.createDataFrame([(t,) for t in target], "text string")
+    got = resampling.resample(df, bench, 40, 500, longest, 20, 9)
+    assert got.columns == ["doc_id", "n_words", "n_features", "weight", "score", "rank"]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, brute_resample(rows, target, 40, 500, longest, 20, 9)), key=key)
+
+
+def test_resample_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert resampling.resample(none, none).count() == 0
+    one = spark.createDataFrame([(1, "a b " * 20)], "doc_id long, text string")
+    assert resampling.resample(one, none, 100).first()["rank"] == 1
+
+
+def test_joined_crc():
+    rng, join = random.Random(3), resampling.Joiner()
+    parts = [(rng.randbytes(rng.randint(0, 9)), rng.randbytes(rng.choice([0, 1, 7, 300, 70_000]))) for _ in range(60)]
+    got = join.join(np.array([zlib.crc32(a) for a, _ in parts], np.uint32), np.array([zlib.crc32(b) for _, b in parts], np.uint32), np.array([len(b) for _, b in parts]))
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in parts]
+
+
+# ---------------------------------------------------------------- divergence
+
+def brute_audit(rows, min_docs, top):
+    """rows: (lang, source, text)."""
+    docs = [(g or "", s or "", _words(x, "a-z")) for g, s, x in rows]
+    out = []
+    for lang in {g for g, _, _ in docs}:
+        seen: dict = {}
+        for g, _, w in docs:
+            for t in set(w) if g == lang else ():
+                seen[t] = seen.get(t, 0) + 1
+        kept = [t for t, n in seen.items() if n >= min_docs]
+        sources = {s for g, s, _ in docs if g == lang}
+
+        def shares(which, lang=lang, kept=kept):
+            c = {t: 0 for t in kept}
+            for g, s, w in docs:
+                for t in w if g == lang and which(s) else ():
+                    if t in c:
+                        c[t] += 1
+            n = sum(c.values())
+            return c, {t: 1 + 10**9 * (c[t] + 2) // (n + 2 * len(kept)) for t in kept}
+
+        q = shares(lambda s: True)[1]
+        p = {s: shares(lambda x, s=s: x == s) for s in sources}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pair = [("pair", o, sum(f(p[s][1][t], p[o][1][t]) for t in kept)) for o in sources if o != s]
+            term = [("term", t, f(p[s][1][t], q[t])) for t in kept if p[s][0][t] and p[s][1][t] > q[t]]
+            for part, most in ((pair, None), (term, top)):
+                ranked = sorted(part, key=lambda r: (-r[2], r[1].encode()))[:most]
+                out += [(lang, s, *r, k + 1) for k, r in enumerate(ranked)]
+    return out
+
+
+@pytest.mark.parametrize("most_terms", [10**6, 0])
+def test_audit_equals_brute_force(spark, most_terms):
+    rng = random.Random(8)
+    rows = [(rng.choice(["en", "de", None, "a\x00b"]), rng.choice(["s1", "s2", "Ö", None, "s3"]), x) for x in texts(71, 60)]
+    rows += [("en", "silent", None), ("lone", "only", "alpha"), ("two", "x", ""), ("two", "y", None)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3).withColumn("term", F.lit("own")).withColumn("n", F.lit(1))
+    got = divergence.audit(df, 3, 4, most_terms)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_audit(rows, 3, 4))
+    assert divergence.audit(df.limit(0), 3, 4, most_terms).count() == 0

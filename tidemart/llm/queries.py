@@ -7,13 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontamination, language_id, licenses, line_dedup, simhash, suffix_dedup, toxicity
+from . import ann, bpe, chat, decontamination, divergence, language_id, licenses, line_dedup, resampling, simhash, suffix_dedup, toxicity
 from .common import prepare, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 # parameters in production
 BENCHMARK_WORDS, LINE_DOCS, SHINGLE_WORDS, MAX_BITS, REPEAT_BYTES, NEAREST = 10, 10, 3, 3, 50, 20
+DRAWN_PERCENT, FEATURE_BUCKETS, LONGEST_RUN, LEAST_WORDS, SEED = 10, 10000, 1, 20, 2024
+TERM_DOCS, TOP_TERMS = 10, 10
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.fit_and_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_ann, op4_decontamination, op5_licenses, op6_suffix_dedup, op7_simhash, op8_chat, op9_line_dedup, op10_toxicity)}
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, sf_dir, "benchmark"), DRAWN_PERCENT, FEATURE_BUCKETS, LONGEST_RUN, LEAST_WORDS, SEED)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"), TERM_DOCS, TOP_TERMS)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_ann, op4_decontamination, op5_licenses, op6_suffix_dedup, op7_simhash, op8_chat, op9_line_dedup, op10_toxicity,
+                                   op12_resampling, op13_divergence)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -123,4 +136,38 @@ k AS (SELECT doc_id, x, i, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11)
 hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(hot.key) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (hot.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN hot USING (key) GROUP BY doc_id""",
+    "op12_resampling": f"""
+WITH RECURSIVE polynomial(i, k, c) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM polynomial WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM polynomial WHERE k = 8),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+word AS (SELECT DISTINCT x FROM (SELECT unnest(w) AS x FROM d UNION ALL SELECT unnest(w) FROM b)),
+byte AS (SELECT x, list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda k: CAST('0x' || h[k : k + 1] AS BIGINT))) AS bs FROM (SELECT x, hex(encode(x)) AS h FROM word)),
+bucket AS (SELECT x, xor(4294967295, list_reduce(bs, lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]))) % 10000 AS k FROM byte, crc),
+dw AS (SELECT doc_id, n, unnest(w) AS x FROM (SELECT row_number() OVER () AS n, doc_id, w FROM d)),
+s AS (SELECT k, count(*) AS s FROM dw JOIN bucket USING (x) GROUP BY k), t AS (SELECT k, count(*) AS t FROM (SELECT unnest(w) AS x FROM b) JOIN bucket USING (x) GROUP BY k),
+total AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all),
+gain AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (t_all + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (k), total),
+weighed AS (SELECT doc_id, n, sum(g) AS g FROM dw JOIN bucket USING (x) JOIN gain USING (k) GROUP BY doc_id, n),
+scored AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(g, 0) AS BIGINT) AS weight,
+           CAST(coalesce(g, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+           FROM (SELECT row_number() OVER () AS n, doc_id, w FROM d) d LEFT JOIN weighed USING (n)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS live FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= live * 10 // 100 THEN r END AS rank FROM placed""",
+    "op13_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT n, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM x GROUP BY lang, term HAVING count(DISTINCT n) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM x SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (SELECT grp.lang, grp.source, kept.term, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY grp.lang, grp.source) AS total, v FROM grp JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+p AS (SELECT lang, source, term, c, CAST(1 + CAST(1000000000 AS HUGEINT) * (c + 2) // (total + 2 * v) AS HUGEINT) AS p FROM cell),
+whole AS (SELECT lang, term, c, sum(c) OVER (PARTITION BY lang) AS total, v FROM (SELECT lang, term, sum(c) AS c FROM cnt GROUP BY lang, term) JOIN v USING (lang)),
+q AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (c + 2) // (total + 2 * v) AS HUGEINT) AS q FROM whole),
+two AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+mark AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pair UNION ALL FROM mark))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
