@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemart.llm import ann, bpe, chat, components, decontamination, divergence, language_id, licenses, line_dedup, resampling, simhash, suffix_dedup, toxicity
+from tidemart.llm import ann, bpe, chat, components, decontamination, divergence, katz, language_id, licenses, line_dedup, resampling, simhash, suffix_dedup, toxicity
 from tidemart.llm.queries import VOCABULARY
 
 WORDS = ["alpha", "Beta", "gamma", "DELTA", "eps", "zeta", "éta", "Öl", "x1", "the", "of", "日本", "ß"]
@@ -696,3 +696,108 @@ def test_audit_equals_brute_force(spark, most_terms):
     got = divergence.audit(df, 3, 4, most_terms)
     assert sorted(map(tuple, got.collect())) == sorted(brute_audit(rows, 3, 4))
     assert divergence.audit(df.limit(0), 3, 4, most_terms).count() == 0
+
+
+# ---------------------------------------------------------------------- Katz
+
+class BruteKatz:
+    """The same model by plain dictionaries of word tuples."""
+
+    def __init__(self, learnt, order):
+        self.order, self.docs = order, len(learnt)
+        self.counts = [dict() for _ in range(order + 1)]
+        for w in learnt:
+            for n in range(1, order + 1):
+                padded = (["<s>"] if n > 1 else []) + w
+                for i in range(len(padded) - n + 1):
+                    g = tuple(padded[i:i + n])
+                    self.counts[n][g] = self.counts[n].get(g, 0) + 1
+        self.total = sum(self.counts[1].values())
+        self.d = [None] + [katz.good_turing([sum(c == r for c in self.counts[n].values()) for r in range(1, katz.CUTOFF + 2)]) for n in range(1, order + 1)]
+        self.next: dict = {}
+        for n in range(1, order + 1):
+            for g, c in self.counts[n].items():
+                self.next.setdefault(g[:-1], {})[g[-1]] = c
+
+    def dis(self, n, c):
+        return (self.d[n][c] if c < len(self.d[n]) else 1.0) * c
+
+    def p(self, context, word):
+        n = len(context) + 1
+        if n == 1:
+            left = sum(c - self.dis(1, c) for c in self.counts[1].values())
+            extra = left <= 0
+            return self.dis(1, self.counts[1][(word,)]) / (self.total + extra) if (word,) in self.counts[1] else (left + extra) / (self.total + extra)
+        seen = self.next.get(context)
+        if not seen:
+            return self.p(context[1:], word)
+        left = sum(c - self.dis(n, c) for c in seen.values())
+        extra = left <= 0
+        size = sum(seen.values()) + extra
+        if word in seen:
+            return self.dis(n, seen[word]) / size
+        return (left + extra) / size / (1 - sum(self.p(context[1:], w) for w in seen)) * self.p(context[1:], word)
+
+    def score(self, w):
+        padded = ["<s>", *w]
+        return sum(math.log10(self.p(tuple(padded[max(0, i - self.order + 1):i]), padded[i])) for i in range(1, len(padded)))
+
+    def base(self, w):
+        return sum(math.log10((self.counts[1].get((x,), 0) + 0.1) / (self.total + 0.1 * (len(self.counts[1]) + 1))) for x in w)
+
+
+def _tokens(text):
+    return [x.decode() for x in (text or "").encode().lower().split()] + ["</s>"]
+
+
+@pytest.mark.parametrize(("order", "split"), [(1, 1 << 22), (2, 3), (3, 2)])
+def test_katz_equals_brute_force(spark, monkeypatch, order, split):
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 900)
+    monkeypatch.setattr(katz, "SPLIT", split)
+    rows = list(enumerate(texts(81, 60))) + [(None, "alpha beta"), (None, None), (5, "the of the"), (5, "the of the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("block", F.lit(1)).withColumn("score", F.lit("own"))
+    got = katz.fit_and_score(df, order, block_bytes=2000).collect()
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    brute = BruteKatz([_tokens(x) for i, x in rows if not held(i)], order)
+    want = sorted((i is None, i or 0, held(i), len(w), sum((t,) in brute.counts[1] for t in w), brute.total, brute.base(w), brute.score(w)) for i, w in ((i, _tokens(x)) for i, x in rows))
+    have = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+    assert [h[:6] for h in have] == [w[:6] for w in want]
+    assert np.allclose([h[6:] for h in have], [w[6:] for w in want], rtol=1e-9)
+
+
+def test_katz_probabilities_sum_to_one(spark):
+    rng = random.Random(4)
+    learnt = [" ".join(rng.choices("abcdefgh", weights=[9, 7, 5, 3, 2, 1, 1, 1], k=rng.randint(1, 12))) for _ in range(60)]
+    model = katz.train(spark.createDataFrame([(i, t) for i, t in enumerate(learnt)], "doc_id long, text string"), 2)
+    words = [*"abcdefgh", "unseen"]
+    for before in ("", "a", "h", "unseen", "a b"):
+        # p(text and one word more, without the end) from the scores of longer texts: sum over the next token
+        asked = spark.createDataFrame([(0, before)] + [(i + 1, f"{before} {w}") for i, w in enumerate(words)], "doc_id long, text string")
+        brute = BruteKatz([_tokens(t) for t in learnt], 2)
+        got = {r.doc_id: r.score for r in katz.score(asked, model).collect()}
+        last = (before.split() or ["<s>"])[-1]
+        assert math.isclose(sum(brute.p((last,), w) for w in [*words, "</s>"]), 1, rel_tol=1e-12)
+        for i, w in enumerate(words):
+            assert math.isclose(got[i + 1] - got[0], math.log10(brute.p((last,), w) * brute.p((w,), "</s>") / brute.p((last,), "</s>")), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_katz_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    model = katz.train(none, 2)
+    assert katz.fit_and_score(none, 2).count() == 0
+    r = katz.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), model).collect()
+    assert [(x.n_known, x.score, x.base_score) for x in r] == [(0, 0.0, 0.0)] * 2
+
+
+def test_good_turing_cutoffs():
+    assert katz.good_turing([100, 40, 20, 12, 8, 6]).round(4).tolist() == [1.0, *[round((((r + 1) * b / (r * a)) - 0.36) / 0.64, 4) for r, (a, b) in enumerate(zip([100, 40, 20, 12, 8], [40, 20, 12, 8, 6]), 1)]]
+    assert katz.good_turing([0, 0, 0, 0, 0, 0]).tolist() == [1.0]
+    assert katz.good_turing([5, 5, 5, 5, 5, 5]).tolist() == [1.0]
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(1)
+    for a in (np.empty(0, np.uint64), np.zeros(5, np.uint64), rng.integers(0, 2**64, 999, np.uint64), np.array([0, 2**64 - 1], np.uint64)):
+        assert (katz.unpack(katz.pack(a), np.uint64) == a).all() and (katz.unpack_sorted(katz.pack_sorted(np.sort(a)), np.uint64) == np.sort(a)).all()
+    f = rng.random(50).round(1)
+    assert (katz.unpack_few(katz.pack_few(f)) == f).all() and (katz.unpack(katz.pack(f), np.float64) == f).all()

@@ -7,13 +7,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontamination, divergence, language_id, licenses, line_dedup, resampling, simhash, suffix_dedup, toxicity
+from . import ann, bpe, chat, decontamination, divergence, katz, language_id, licenses, line_dedup, resampling, simhash, suffix_dedup, toxicity
 from .common import prepare, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 # parameters in production
 BENCHMARK_WORDS, LINE_DOCS, SHINGLE_WORDS, MAX_BITS, REPEAT_BYTES, NEAREST = 10, 10, 3, 3, 50, 20
+ORDER = 2
 DRAWN_PERCENT, FEATURE_BUCKETS, LONGEST_RUN, LEAST_WORDS, SEED = 10, 10000, 1, 20, 2024
 TERM_DOCS, TOP_TERMS = 10, 10
 
@@ -73,6 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.fit_and_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.fit_and_score(docs, ORDER).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = resampling.resample(docs, table(spark, sf_dir, "benchmark"), DRAWN_PERCENT, FEATURE_BUCKETS, LONGEST_RUN, LEAST_WORDS, SEED)
@@ -84,7 +90,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_ann, op4_decontamination, op5_licenses, op6_suffix_dedup, op7_simhash, op8_chat, op9_line_dedup, op10_toxicity,
-                                   op12_resampling, op13_divergence)}
+                                   op11_katz, op12_resampling, op13_divergence)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
