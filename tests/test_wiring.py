@@ -26,16 +26,17 @@ def test_empty_batch_is_skipped(spark):
     empty = spark.createDataFrame([], RAW_EVENT_SCHEMA)
     from tidemart.operators import stream_topics as ST
     parsed = ST.parse(empty, "ecommerce.user")
-    assert runner.process_batch(parsed, 0, "ecommerce.user", tempfile.mkdtemp()) == {}
+    assert runner.process_raw_batch(parsed, 0, "ecommerce.user", tempfile.mkdtemp()) == {}
+    assert runner.process_fact_batch(parsed, 0, "ecommerce.user", tempfile.mkdtemp()) == {}
 
 
-def test_fan_out_starts_one_query_per_topic(spark, sf_dir):
+def test_fan_out_starts_the_queries_of_each_topic(spark, sf_dir):
     from tidemart.plans.wiring import raw_files
     from tidemart.sources.io import read_raw_files_stream
     raw_dir = raw_files(spark, sf_dir)
     sources = {t: read_raw_files_stream(spark, raw_dir, 4, topic=t) for t in ALL_TOPICS}
     qs = runner.start_all(sources, tempfile.mkdtemp(), tempfile.mkdtemp(), trigger={"availableNow": True})
-    assert len(qs) == 7 and len({q.name for q in qs}) == 7
+    assert len(qs) == 14 and len({q.name for q in qs}) == 14
     for q in qs:
         q.awaitTermination()
         assert q.exception() is None

@@ -20,6 +20,7 @@ from .operators import silver as S
 from .operators import stream_topics as ST
 from .sources import adapters as A
 from .sources.events import raw_event_log
+from .streaming import segments
 
 # Default clocks of the test data (orders end 2001-08-01, events 2024-01-30).
 ORDERS_AS_OF = dt.datetime(2001, 8, 2)
@@ -63,15 +64,22 @@ class Lake:
         return self._get("raw_events", lambda: raw_event_log(self.src.t("events")))
 
     def _read(self, *parts: str) -> DataFrame:
-        df = self.spark.read.parquet(os.path.join(self.stored, *parts))
-        return df.drop("dw_loaded_at", "dw_updated_at", "quarantined_at", "run_id", FACT_MONTH)
+        return self._stored(*parts).drop("dw_loaded_at", "dw_updated_at", "quarantined_at", "run_id", FACT_MONTH)
+
+    def _stored(self, *parts: str) -> DataFrame:
+        """A stored table: plain Parquet of a batch run, or the segments of
+        the streaming job (without their batch number)."""
+        path = os.path.join(self.stored, *parts)
+        if segments.is_table(self.spark, path):
+            return segments.read(self.spark, path).drop("run_id", "batch_id")
+        return self.spark.read.parquet(path)
 
     def table_since(self, name: str, days: int, as_of: dt.datetime | None = None) -> DataFrame:
         """A fact for queries about the last ``days``: stored facts are
         pruned to the months that can hold such rows."""
         if not self.stored:
             return self.table(name)
-        df = self.spark.read.parquet(os.path.join(self.stored, "gold", name))
+        df = self._stored("gold", name)
         if FACT_MONTH in df.columns:
             first = ((as_of or dt.datetime.now()) - dt.timedelta(days=days)).date().replace(day=1)
             df = df.filter(F.col(FACT_MONTH) >= F.lit(first))

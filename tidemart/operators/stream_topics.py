@@ -300,6 +300,11 @@ def split_topic(parsed: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
     return dedup_events(good), quarantine_frame(bad, topic)
 
 
+def rejected(parsed: DataFrame, topic: str) -> DataFrame:
+    """The quarantine rows of a parsed frame."""
+    return quarantine_frame(split_valid(parsed, envelope_rules(topic) + TOPICS[topic].extra_rules())[1], topic)
+
+
 def silver_and_gold(good: DataFrame, topic: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None]:
     spec = TOPICS[topic]
     sv = spec.silver(good)

@@ -517,6 +517,81 @@ FROM ev, (SELECT unnest([0, 1]) AS copy) c
 WHERE c.copy < copies AND (reject >= 0 OR (topic = 'ecommerce.review' AND eid % 7 IN (0, 6)))""")
 
 
+# ---------------------------------------------------- the raw text of events
+def _text(**fields: str) -> list[str]:
+    """JSON members of text fields; null (and so left out) where the value is."""
+    return [f"""'"{n}":"' || ({v}) || '"'""" for n, v in fields.items()]
+
+
+def _number(**fields: str) -> list[str]:
+    return [f"""'"{n}":' || CAST(({v}) AS VARCHAR)""" for n, v in fields.items()]
+
+
+def _if(cond: str, value: str) -> str:
+    return f"CASE WHEN {cond} THEN {value} END"
+
+
+_CART_AFTER = "CASE etype WHEN 'item_added' THEN k % 4 + 1 WHEN 'item_qty_updated' THEN k % 4 + 2 ELSE 0 END"
+_CREATED = "etype = 'order_created'"
+_PRODUCT = {"product_id": f"'P' || {_vs('k')}", "product_name": f"'Product ' || {_vs('k')}"}
+_RAW_ENVELOPE = _text(
+    event_id="CASE WHEN reject <> 0 THEN event_id END",
+    event_type="CASE WHEN reject = 5 THEN 'cart_cleared' WHEN reject <> 4 THEN etype END",
+    timestamp="CASE WHEN reject = 2 THEN '2024-13-45 99:61:00' WHEN reject <> 1 THEN strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END",
+    session_id="session_id", user_id="CASE WHEN reject <> 3 THEN user_id END", user_name="' ' || user_name || ' '",
+    location="location", device_type="device_type", os="os")
+_RAW_PAYLOAD = {
+    "ecommerce.user": _text(username=f"' USER' || {_vs('uid')}", gender="['Male', 'Female', 'Other'][CAST(uid % 3 AS INTEGER) + 1]"),
+    "ecommerce.page_view": _text(
+        page_name="CASE etype WHEN 'page_viewed' THEN 'home' WHEN 'product_viewed' THEN 'product_detail' WHEN 'search_performed' THEN 'search' ELSE 'products' END",
+        product_id=_if("etype = 'product_viewed'", _PRODUCT["product_id"]), product_name=_if("etype = 'product_viewed'", _PRODUCT["product_name"]),
+        category=_if("etype IN ('product_viewed', 'category_filtered')", "category"),
+        brand=_if("etype = 'product_viewed'", f"'Brand#' || {_vs('k % 25 + 1')}"))
+        + _number(price=_if("etype = 'product_viewed'", "base_price"))
+        + _text(trigger="CASE etype WHEN 'product_viewed' THEN 'click' WHEN 'search_performed' THEN 'search_box' END",
+                search_term=_if("etype = 'search_performed'", f"' item ' || {_vs('k % 10')} || ' '"))
+        + _number(results_count=_if("etype = 'search_performed'", "k % 7")),
+    "ecommerce.cart": _text(**_PRODUCT, brand=f"'Brand#' || {_vs('k % 25 + 1')}", category="category") + _number(
+        unit_price="base_price", quantity="CASE etype WHEN 'item_added' THEN 1 WHEN 'item_qty_updated' THEN 2 ELSE -(k % 4) END",
+        cart_quantity_after=_CART_AFTER, old_quantity="k % 4", new_quantity=_CART_AFTER),
+    "ecommerce.promo": _text(
+        promo_id=_if("etype = 'promo_applied'", "['PROMO001', 'PROMO003', 'PROMO002'][CAST(k % 3 AS INTEGER) + 1]"),
+        promo_code="CASE etype WHEN 'promo_applied' THEN [' save10 ', 'spring10 ', ' Welcome10'][CAST(k % 3 AS INTEGER) + 1] "
+                   f"WHEN 'promo_removed' THEN 'SAVE10' ELSE 'bad' || {_vs('k')} END")
+        + _number(discount_percent=_if("etype = 'promo_applied'", "'10.0'")),
+    "ecommerce.order": _text(order_id=f"'SO' || {_vs('eid')}") + _number(
+        subtotal=_if(_CREATED, "sub"), shipping_fee=_if(_CREATED, "ship"), discount_amount=_if(_CREATED, "disc"),
+        total_amount="CASE etype WHEN 'order_created' THEN sub - coalesce(disc, 0) + ship WHEN 'order_paid' THEN base_price END")
+        + _text(payment_method=_if("etype IN ('order_created', 'order_paid')", "['COD', 'Credit Card', 'E-Wallet', 'Bank Transfer'][CAST(eid % 4 AS INTEGER) + 1]"),
+                promo_id=_if(f"{_CREATED} AND eid % 4 = 1", "'PROMO001'"), promo_code=_if(f"{_CREATED} AND eid % 4 = 1", "'save10'"),
+                order_status="CASE etype WHEN 'order_created' THEN 'Pending' WHEN 'order_paid' THEN 'Paid' WHEN 'order_cancelled' THEN 'Cancelled' ELSE 'Returned' END",
+                reason=_if("etype = 'order_cancelled'", "' changed mind '"))
+        + _number(items="items")
+        + _text(product_id=_if("etype = 'order_returned'", _PRODUCT["product_id"]))
+        + _number(quantity_returned=_if("etype = 'order_returned'", "1 + k % 2")),
+    "ecommerce.inventory": _text(**_PRODUCT, order_id=_if("etype IN ('stock_updated_out', 'stock_updated_in')", f"'SO' || {_vs('eid')}")) + _number(
+        quantity_sold=_if("etype = 'stock_updated_out'", "1 + k % 3"), quantity_returned=_if("etype = 'stock_updated_in'", "1 + k % 2"),
+        quantity_added=_if("etype IN ('restock_auto', 'restock_manual')", "50"),
+        stock_remaining="CASE WHEN etype = 'low_stock_alert' THEN k % 10 WHEN etype IN ('restock_auto', 'restock_manual') THEN k % 30 + 50 ELSE k % 30 END"),
+    "ecommerce.review": _text(product_id=_PRODUCT["product_id"]) + _number(rating="eid % 7", comment_length="(k % 4) * 10"),
+}
+_MEMBERS = " ".join(f"WHEN '{t}' THEN concat_ws(',', {', '.join(_RAW_ENVELOPE + p)})" for t, p in _RAW_PAYLOAD.items())
+
+cte("ev_items", """
+SELECT *, CASE WHEN eid % 9 = 0 THEN NULL WHEN eid % 4 = 1 THEN (sub * 10) // 100 ELSE 0 END AS disc, CASE WHEN sub < 10000000 THEN 15000 ELSE 0 END AS ship,
+       CASE WHEN bought THEN '[' || array_to_string(list_transform(lines, lambda j: '{"product_id":"P' || CAST((k + 7 * j) % 100 AS VARCHAR)
+            || '","product_name":"Product ' || CAST((k + 7 * j) % 100 AS VARCHAR) || '","quantity":' || CAST(1 + (k + j) % 3 AS VARCHAR)
+            || ',"unit_price":' || CAST(base_price * j AS VARCHAR) || ',"unit_cost":' || CAST(base_price * j * 7 // 10 AS VARCHAR) || '}'), ',') || ']' END AS items
+FROM (SELECT *, CASE WHEN bought THEN CAST(list_sum(list_transform(lines, lambda j: (1 + (k + j) % 3) * CAST(base_price AS BIGINT) * j)) AS BIGINT) ELSE 0 END AS sub
+      FROM (SELECT *, topic = 'ecommerce.order' AND etype = 'order_created' AND k % 23 <> 0 AS bought, range(1, 2 + k % 3) AS lines FROM ev))""")
+
+# Every delivered record, with its text.
+cte("ev_raw", f"""
+SELECT e.*, e.eid * 2 + cp.copy AS offset,
+       CASE WHEN reject = 6 THEN '{{"event_id": "EV' || {_vs('eid')} || '", broken' ELSE '{{' || CASE topic {_MEMBERS} END || '}}' END AS json_str
+FROM ev_items e, (SELECT unnest([0, 1]) AS copy) cp WHERE cp.copy < copies""")
+
+
 def with_ctes(final_sql: str) -> str:
     body = ",\n".join(f"{n} AS ({s}\n)" for n, s in CTES)
     return f"WITH {body}\n{final_sql}"

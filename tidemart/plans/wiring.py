@@ -20,7 +20,7 @@ from ..operators import silver as S
 from ..operators import stream_topics as ST
 from ..oracle.sql import AS_OF, BATCH_ID, EV_AS_OF, with_ctes
 from ..registry import lake, register
-from ..schemas import ALL_TOPICS, TOPIC_ORDER, TOPIC_USER
+from ..schemas import ALL_TOPICS, ENVELOPE_FIELDS, TOPIC_ORDER, TOPIC_SCHEMAS
 from ..session import scratch_path
 from ..sources import io
 from ..streaming import runner
@@ -54,7 +54,7 @@ def raw_files(spark: SparkSession, sf_dir: str, n_files: int | None = None) -> s
         path = _fresh(spark, "raw-events")
         raw = lake(spark, sf_dir).raw_events()
         n_files = n_files or max(4, -(-lake(spark, sf_dir).raw("events").count() // RAW_FILE_ROWS))
-        (raw.repartitionByRange(n_files, "offset").write.mode("overwrite").parquet(path))
+        io.write_raw_files(raw, path, n_files)
         _RAW_DIRS[key] = path
     return _RAW_DIRS[key]
 
@@ -77,15 +77,13 @@ register("source_jdbc", with_ctes("SELECT * FROM a_inventory"))(_jdbc)
 def _kafka_twin(spark, d):
     src = raw_files(spark, d)
     out, ck = _fresh(spark, "kafka-twin-out"), _fresh(spark, "kafka-twin-ck")
-    q = (io.read_raw_files_stream(spark, src, max_files_per_trigger=1).writeStream.format("parquet")
+    q = (io.read_raw_files_stream(spark, src, max_files_per_trigger=len(ALL_TOPICS)).writeStream.format("parquet")
          .option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out).drop("json_str")
+    return spark.read.parquet(out)
 
 
-register("source_kafka", with_ctes("""
-SELECT topic, partition, eid * 2 + cp.copy AS offset, kafka_timestamp
-FROM ev, (SELECT unnest([0, 1]) AS copy) cp WHERE cp.copy < copies"""))(_kafka_twin)
+register("source_kafka", with_ctes("SELECT topic, partition, \"offset\", kafka_timestamp, json_str FROM ev_raw"))(_kafka_twin)
 
 register("source_static_rows", with_ctes("SELECT * FROM a_promotions"))(
     lambda spark, d: lake(spark, d).src.entity("promotions"))
@@ -107,22 +105,46 @@ def _sink_table(spark, d):
 register("sink_table", with_ctes("SELECT * FROM fact_sales"))(_sink_table)
 
 
-def _sink_quarantine(spark, d):
-    path = _fresh(spark, "quarantine_orders")
-    io.write_quarantine(lake(spark, d).quarantine("orders"), path)
-    return spark.read.parquet(path).drop("quarantined_at")
+def _sink_quarantine(entity):
+    def run(spark, d):
+        path = _fresh(spark, f"quarantine_{entity}")
+        io.write_quarantine(lake(spark, d).quarantine(entity), path)
+        return spark.read.parquet(path).drop("quarantined_at")
+    return run
 
 
-register("sink_quarantine", with_ctes("SELECT * FROM q_orders"))(_sink_quarantine)
+for _e in ["users", "products", "promotions", "orders", "order_items", "inventory_logs", "reviews"]:
+    register("sink_quarantine" if _e == "orders" else f"sink_quarantine_{_e}", with_ctes(f"SELECT * FROM q_{_e}"))(_sink_quarantine(_e))
 
 
-def _stream_append(spark, d):
+def _stream_append(topic, table):
+    def run(spark, d):
+        root, ck = _fresh(spark, "stream-out"), _fresh(spark, "stream-ck")
+        runner.run_files_available_now(spark, raw_files(spark, d), root, ck, topics=[topic], steps=("facts",))
+        return runner.read_layer(spark, root, "gold", table).drop("batch_id", "run_id")
+    return run
+
+
+for _topic, _table in [(t, n) for t, spec in ST.TOPICS.items() for n in spec.gold_tables]:
+    register("sink_stream_append" if _table == "fact_orders_stream" else f"sink_stream_append_{_table}",
+             with_ctes(f"SELECT * FROM {_table}"))(_stream_append(_topic, _table))
+
+
+def _stream_quarantine_sink(spark, d):
+    """The rejects of every topic as the job stores them."""
     root, ck = _fresh(spark, "stream-out"), _fresh(spark, "stream-ck")
-    runner.run_files_available_now(spark, raw_files(spark, d), root, ck, topics=[TOPIC_ORDER])
-    return runner.read_layer(spark, root, "gold", "fact_orders_stream").drop("batch_id", "run_id")
+    runner.run_files_available_now(spark, raw_files(spark, d), root, ck, steps=("raw",))
+    out = None
+    for t in ALL_TOPICS:
+        q = runner.read_layer(spark, root, "quarantine", "events", io.topic_dir(t)).drop("batch_id", "run_id", "ingested_at")
+        out = q if out is None else out.unionByName(q)
+    return out
+
 
+register("sink_quarantine_events", with_ctes("""
+SELECT q.event_id, q.event_type, q.timestamp, q.user_id, q.source_topic, q.quarantine_reason, q.topic, q.partition, q."offset", q.kafka_timestamp, r.json_str
+FROM quarantine_events q JOIN ev_raw r ON r.topic = q.topic AND r."offset" = q."offset\""""))(_stream_quarantine_sink)
 
-register("sink_stream_append", with_ctes("SELECT * FROM fact_orders_stream"))(_stream_append)
 
 def _event_json_round_trip(spark, d):
     """Serialise the order facts to one JSON value per row, write the values,
@@ -150,12 +172,8 @@ for _e in ["products", "inventory", "promotions", "order_items", "inventory_logs
     register(f"bronze_{_e}", with_ctes(f"SELECT *, {_AUDIT}, 'postgresql.{_e}' AS source FROM a_{_e}"))(
         (lambda e: lambda spark, d: lake(spark, d).bronze(e))(_e))
 register("bronze_raw_events", with_ctes(f"""
-SELECT topic, partition, eid * 2 + cp.copy AS offset, kafka_timestamp, {EV_AS_OF} AS ingested_at,
-       CASE WHEN reject IN (0, 6) THEN NULL ELSE event_id END AS raw_event_id
-FROM ev, (SELECT unnest([0, 1]) AS copy) cp WHERE cp.copy < copies"""))(
-    # the raw text is checked through the event id it carries
-    lambda spark, d: B.bronze_raw_events(lake(spark, d).raw_events(), EVENTS_AS_OF)
-    .withColumn("raw_event_id", F.get_json_object("json_str", "$.event_id")).drop("json_str"))
+SELECT topic, partition, "offset", kafka_timestamp, json_str, {EV_AS_OF} AS ingested_at FROM ev_raw"""))(
+    lambda spark, d: B.bronze_raw_events(lake(spark, d).raw_events(), EVENTS_AS_OF))
 
 
 def dedup_two_runs(lk) -> DataFrame:
@@ -180,29 +198,61 @@ def _parsed(spark, d, topic):
     return ST.parse(raw, topic, EVENTS_AS_OF)
 
 
-_RAW_USER = f"""
-SELECT CASE WHEN reject IN (0, 6) THEN NULL ELSE event_id END AS event_id,
-       CASE WHEN reject IN (4, 6) THEN NULL WHEN reject = 5 THEN 'cart_cleared' ELSE etype END AS event_type,
-       CASE WHEN reject IN (1, 6) THEN NULL WHEN reject = 2 THEN '2024-13-45 99:61:00'
-            ELSE strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END AS timestamp,
-       CASE WHEN reject = 6 THEN NULL ELSE session_id END AS session_id,
-       CASE WHEN reject IN (3, 6) THEN NULL ELSE user_id END AS user_id,
-       CASE WHEN reject = 6 THEN NULL ELSE ' ' || user_name || ' ' END AS user_name,
-       CASE WHEN reject = 6 THEN NULL ELSE location END AS location,
-       CASE WHEN reject = 6 THEN NULL ELSE device_type END AS device_type,
-       CASE WHEN reject = 6 THEN NULL ELSE os END AS os,
-       CASE WHEN reject = 6 THEN NULL ELSE ' USER' || CAST(uid AS VARCHAR) END AS username,
-       CASE WHEN reject = 6 THEN NULL ELSE ['Male', 'Female', 'Other'][CAST(uid % 3 AS INTEGER) + 1] END AS gender,
-       topic, partition, eid * 2 + cp.copy AS offset, kafka_timestamp, {EV_AS_OF} AS ingested_at
-FROM ev, (SELECT unnest([0, 1]) AS copy) cp WHERE cp.copy < copies AND topic = 'ecommerce.user'"""
-
-register("stream_parse", with_ctes(_RAW_USER))(
-    lambda spark, d: _parsed(spark, d, TOPIC_USER).drop("json_str", ST.CORRUPT))
-
-register("stream_dedup", with_ctes(f"SELECT * FROM ({_RAW_USER}) WHERE event_id IS NOT NULL AND \"offset\" % 2 = 0 "
-                                   "AND event_type IS NOT NULL AND timestamp NOT LIKE '%-13-%' "
-                                   "AND timestamp IS NOT NULL AND user_id IS NOT NULL AND event_type <> 'cart_cleared'"))(
-    lambda spark, d: ST.split_topic(_parsed(spark, d, TOPIC_USER), TOPIC_USER)[0].drop("json_str", ST.CORRUPT))
+# What a message of any topic has, after the parse: the envelope as text, the
+# record's coordinates and its text. Null where the record couldn't be parsed.
+_WHOLE = "reject <> 6"
+_ENVELOPE_SQL = f"""
+SELECT CASE WHEN reject NOT IN (0, 6) THEN event_id END AS event_id,
+       CASE WHEN reject = 5 THEN 'cart_cleared' WHEN reject NOT IN (4, 6) THEN etype END AS event_type,
+       CASE WHEN reject = 2 THEN '2024-13-45 99:61:00' WHEN reject NOT IN (1, 6) THEN strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END AS timestamp,
+       CASE WHEN {_WHOLE} THEN session_id END AS session_id, CASE WHEN reject NOT IN (3, 6) THEN user_id END AS user_id,
+       CASE WHEN {_WHOLE} THEN ' ' || user_name || ' ' END AS user_name, CASE WHEN {_WHOLE} THEN location END AS location,
+       CASE WHEN {_WHOLE} THEN device_type END AS device_type, CASE WHEN {_WHOLE} THEN os END AS os,
+       CASE WHEN {_WHOLE} THEN json_str END AS payload, topic, partition, "offset", kafka_timestamp, json_str, {EV_AS_OF} AS ingested_at"""
+
+
+def _with_payload(parsed: DataFrame, topic: str) -> DataFrame:
+    """A parsed topic with all its parsed fields as one JSON text, which holds
+    the record's own text again if no field was lost or changed."""
+    fields = [f.name for f in TOPIC_SCHEMAS[topic].fields]
+    whole = F.to_json(F.struct(*[c(f) for f in fields]))
+    return parsed.select(*ENVELOPE_FIELDS, F.when(c(ST.CORRUPT).isNull(), whole).alias("payload"), *ST.COORDS, "json_str", "ingested_at")
+
+
+def _all_topics(one) -> DataFrame:
+    out = None
+    for t in ALL_TOPICS:
+        out = one(t) if out is None else out.unionByName(one(t))
+    return out
+
+
+register("stream_parse", with_ctes(f"{_ENVELOPE_SQL} FROM ev_raw"))(
+    lambda spark, d: _all_topics(lambda t: _with_payload(_parsed(spark, d, t), t)))
+
+_GOOD = "reject = -1 AND NOT (topic = 'ecommerce.review' AND eid % 7 IN (0, 6))"
+register("stream_dedup", with_ctes(f"{_ENVELOPE_SQL} FROM ev_raw WHERE {_GOOD} AND \"offset\" % 2 = 0"))(
+    lambda spark, d: _all_topics(lambda t: _with_payload(ST.split_topic(_parsed(spark, d, t), t)[0], t)))
+
+
+def _stream_dedup_state(spark, d):
+    """What the facts queries accept of the log, with the ids in the engine's
+    state: every valid event once, whichever delivery of it came through."""
+    runner.use_state_store(spark)
+    queries = []
+    for t in ALL_TOPICS:
+        out = _fresh(spark, f"dedup-{io.topic_dir(t)}")
+        events = runner.fresh_events(ST.parse(io.read_raw_files_stream(spark, raw_files(spark, d), 1, t), t), t)
+        q = (events.select("topic", "event_id", "event_type", "timestamp", "user_id", "json_str").writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", _fresh(spark, "dedup-ck")).trigger(availableNow=True).start())
+        queries.append((q, out))
+    for q, _ in queries:
+        q.awaitTermination()
+    return spark.read.parquet(*[out for _, out in queries])
+
+
+register("stream_dedup_state", with_ctes(f"""
+SELECT topic, event_id, etype AS event_type, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS timestamp, user_id, json_str
+FROM ev_raw WHERE {_GOOD} AND \"offset\" % 2 = 0"""))(_stream_dedup_state)
 
 
 def _validate_counts(spark, d):

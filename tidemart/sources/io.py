@@ -7,6 +7,7 @@ reference cached and counted every frame before writing it).
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -53,13 +54,31 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets
                       F.col("value").cast("string").alias("json_str"))
 
 
+def topic_dir(topic: str) -> str:
+    """One folder per topic, dots to underscores."""
+    return topic.replace(".", "_")
+
+
+#: partition column of a folder of raw record files: the topic's folder name
+FEED = "feed"
+
+
+def write_raw_files(raw: DataFrame, path: str, n_files: int) -> None:
+    """Raw records as files below one folder per topic (the Kafka source's
+    file twin), split by offset so that files are successive batches."""
+    (raw.withColumn(FEED, F.replace("topic", F.lit("."), F.lit("_"))).repartitionByRange(n_files, "offset")
+        .write.mode("append").partitionBy(FEED).parquet(path))
+
+
 def read_raw_files_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1,
                           topic: str | None = None) -> DataFrame:
     """File twin of the Kafka source: parquet files of RAW_EVENT_SCHEMA rows
-    dropped into ``path``; each trigger takes ``max_files_per_trigger``."""
-    df = (spark.readStream.schema(RAW_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-          .parquet(path))
-    return df.filter(F.col("topic") == topic) if topic else df
+    written by `write_raw_files`; each trigger takes ``max_files_per_trigger``.
+    The query of a topic lists and reads only the topic's folder."""
+    if topic:
+        path = os.path.join(path, f"{FEED}={topic_dir(topic)}")
+    df = spark.readStream.schema(RAW_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+    return df.select(*RAW_EVENT_SCHEMA.names)
 
 
 def write_kafka(df: DataFrame, servers: str, topic: str) -> None:
@@ -100,13 +119,3 @@ def write_quarantine(bad: DataFrame, path: str, quarantined_at=None) -> int:
     """Append rejects with ``quarantined_at``; an empty frame writes no rows."""
     ts = F.current_timestamp() if quarantined_at is None else F.lit(str(quarantined_at)).cast("timestamp")
     return write_table(bad.withColumn("quarantined_at", ts), path, mode="append")
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int, run_id: str = "run", by: str | None = None) -> int:
-    """Idempotent micro-batch append: rows land in ``run_id=<r>/batch_id=<n>``
-    (below ``<by>=...`` if given), and a replay of the same batch of the same
-    query overwrites only that. Batch numbers start again with a new
-    checkpoint, but its query has another id, so nothing older is touched."""
-    df = df.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(int(batch_id))})
-    return write_table(df, path, mode="overwrite", partition_by=[*([by] if by else []), "run_id", "batch_id"],
-                       own_partitions=True)

@@ -1,179 +1,171 @@
-"""Structured Streaming job: one query per topic, all layers per micro-batch.
-
-    raw topic records -> parse -> foreachBatch:
-        Bronze raw, validate -> quarantine, dedup -> Silver, Gold
-
-Layers live below ``<root>/stream``, apart from those of the batch run.
-Exactly-once effect: every sink writes its ``run_id=<query>/batch_id=<n>``
-partition with dynamic overwrite, so a micro-batch replayed after a failure
-replaces its own output instead of appending it twice (SURVEY Q15). The run
-id is the streaming query's id: it outlives restarts from a checkpoint, and a
-new checkpoint, whose batches count from 0 again, has another one. Gold is
-partitioned by ``date_key`` first, so live windows read their days only.
-
-Duplicates: the key is the event id, within a batch (first delivery wins)
-and across batches, where a stored table of seen ids is anti-joined, without
-those of the batch itself, so a replay reproduces the same rows. The table is
-partitioned by the day an id arrived; a batch reads the days of the dedup
-horizon (7 by default) by path and removes older ones, so neither its cost
-nor the listing grows with history, whatever timestamps events carry. An id
-delivered again later than the horizon after its first arrival passes. No row
-is dropped for being late: a watermark dedup would discard late events before
-any sink, so it is only used by the windowed twins, whose late rows still
-reach every layer here. Rows that fail validation are never collapsed (Q4).
-The batch is persisted once and released in ``finally``.
+"""Structured Streaming job: two queries per topic.
+
+    raw topic records -> parse -> raw query:   Bronze, validate -> quarantine
+                               -> facts query: valid -> dedup -> Silver, Gold
+
+The raw query is stateless and keeps every delivery. The facts query removes
+repeated event ids with ``dropDuplicatesWithinWatermark``: the ids are state
+of the engine, in its RocksDB store, versioned with the query's checkpoint. A
+micro-batch looks up and adds only its own ids, and the watermark removes ids
+older than the horizon (7 days by default). The watermark is on arrival time
+(the record's timestamp), never on the event's, and an arrival is taken to be
+within the horizon of the micro-batch's own clock; so the watermark can't pass
+a row, and none is dropped for being late, however old its event or how long
+it waited in the topic. Of several deliveries in one micro-batch any one stays.
+
+Layers live below ``<root>/stream`` in the layout of the batch run, as segment
+tables (`segments`): each micro-batch is committed once, a replay adds
+nothing, and small segments are merged. Gold is partitioned by ``date_key``,
+so live windows read their days only.
+
+A new checkpoint starts without ids. While another query's batches in the same
+tables are younger than the horizon, the facts query therefore also drops the
+ids that Silver holds from it (one anti-join, only then).
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import os
+import time
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import stream_topics as ST
 from ..schemas import ALL_TOPICS
-from ..sources.io import path_exists, read_raw_files_stream, write_batch
+from ..sources.io import read_raw_files_stream, topic_dir
+from . import segments
 
 c = F.col
 
-
-def topic_dir(topic: str) -> str:
-    """One folder per topic, dots to underscores."""
-    return topic.replace(".", "_")
+DEDUP_HORIZON_DAYS = 7
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def parse_stream(raw: DataFrame, topic: str) -> DataFrame:
     return ST.parse(raw, topic)
 
 
-DEDUP_HORIZON_DAYS = 7
-
-
 def stream_root(root: str) -> str:
     return os.path.join(root, "stream")
 
 
-def seen_days(spark: SparkSession, seen_path: str) -> list[str]:
-    """Arrival days (``yyyy-MM-dd``) that the seen-id state holds; at most
-    the horizon's, as older ones are removed."""
-    if not path_exists(spark, seen_path):
-        return []
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(seen_path)
-    names = [st.getPath().getName() for st in folder.getFileSystem(conf).listStatus(folder)]
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith("seen_on="))
-
-
-def drop_seen(good: DataFrame, seen_path: str, batch_id: int, run_id: str = "run", today: dt.date | None = None,
-              horizon_days: int = DEDUP_HORIZON_DAYS) -> DataFrame:
-    """Remove events whose id another batch accepted in the last ``horizon_days``."""
-    spark = good.sparkSession
-    first = ((today or dt.date.today()) - dt.timedelta(days=horizon_days)).isoformat()
-    days = [os.path.join(seen_path, f"seen_on={d}") for d in seen_days(spark, seen_path) if d >= first]
-    if not days:
-        return good
-    seen = spark.read.option("basePath", seen_path).parquet(*days)
-    own = (c("run_id").cast("string") == run_id) & (c("batch_id") >= batch_id)
-    return good.join(seen.filter(~own).select("event_id"), "event_id", "left_anti").select(*good.columns)
-
-
-def prune_seen(spark: SparkSession, seen_path: str, keep_from: str) -> int:
-    """Delete the arrival days before ``keep_from`` (``yyyy-MM-dd``), which
-    no batch reads again. Returns their number."""
-    old = [d for d in seen_days(spark, seen_path) if d < keep_from]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for d in old:
-        folder = jvm.org.apache.hadoop.fs.Path(os.path.join(seen_path, f"seen_on={d}"))
-        folder.getFileSystem(conf).delete(folder, True)
-    return len(old)
-
-
-def remember(fresh: DataFrame, seen_path: str, batch_id: int, run_id: str = "run", today: dt.date | None = None) -> None:
-    ids = fresh.select("event_id", F.lit((today or dt.date.today()).isoformat()).alias("seen_on"),
-                       F.lit(run_id).alias("run_id"), F.lit(int(batch_id)).alias("batch_id"))
-    (ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("seen_on", "run_id", "batch_id").parquet(seen_path))
-
-
-def process_batch(batch: DataFrame, batch_id: int, topic: str, root: str, run_id: str = "run",
-                  today: dt.date | None = None) -> dict[str, int]:
-    """All layers of one micro-batch of one topic; returns rows per table.
-    ``today``: the arrival day (default: the clock's)."""
-    counts: dict[str, int] = {}
+def arrival(horizon_days: int = DEDUP_HORIZON_DAYS) -> Column:
+    """When a record arrived, as far as the dedup state goes: its record
+    timestamp, but within ``horizon_days`` of the micro-batch's clock."""
+    now = F.current_timestamp()
+    return F.least(now, F.greatest(F.coalesce(c("kafka_timestamp"), now), now - F.expr(f"INTERVAL {int(horizon_days)} DAYS")))
+
+
+def fresh_events(parsed: DataFrame, topic: str, horizon_days: int = DEDUP_HORIZON_DAYS) -> DataFrame:
+    """Valid events of a parsed stream, each id once within the horizon."""
+    good = parsed.filter(ST.passes_envelope(topic)).withColumn("_arrived", arrival(horizon_days))
+    return good.withWatermark("_arrived", f"{int(horizon_days)} days").dropDuplicatesWithinWatermark(["event_id"]).drop("_arrived")
+
+
+def _in_parallel(writes: dict) -> dict[str, int]:
+    with ThreadPoolExecutor(max_workers=len(writes)) as pool:
+        futures = {n: pool.submit(w) for n, w in writes.items()}
+        return {n: f.result() for n, f in futures.items()}
+
+
+def process_raw_batch(batch: DataFrame, batch_id: int, topic: str, root: str, run_id: str = "run") -> dict[str, int]:
+    """Bronze and quarantine of one micro-batch; returns rows per table."""
     if batch.isEmpty():
-        return counts
-    root, today = stream_root(root), today or dt.date.today()
-    spark = batch.sparkSession
-    batch = batch.persist()
+        return {}
+    root, batch = stream_root(root), batch.persist()
     try:
-        counts["bronze_raw_events"] = write_batch(
-            batch.select(*ST.COORDS, "json_str", "ingested_at"),
-            os.path.join(root, "bronze", "kafka_raw_events", topic_dir(topic)), batch_id, run_id)
-        good, bad = ST.split_topic(batch, topic)
-        counts["quarantine_events"] = write_batch(
-            bad, os.path.join(root, "silver", "quarantine_events", topic_dir(topic)), batch_id, run_id)
-        seen_path = os.path.join(root, "state", "seen_event_ids", topic_dir(topic))
-        fresh = drop_seen(good, seen_path, batch_id, run_id, today).persist()
-        try:
-            remember(fresh, seen_path, batch_id, run_id, today)        # also materialises ``fresh``
-            sv, gold, _ = ST.silver_and_gold(fresh, topic)
-            spec = ST.TOPICS[topic]
-            # Silver and Gold read the persisted batch and are independent:
-            # submit their writes side by side
-            writes = {spec.silver_table: lambda: write_batch(sv, os.path.join(root, "silver", spec.silver_table), batch_id, run_id)}
-            for n, df in gold.items():
-                writes[n] = lambda n=n, df=df: write_batch(df.hint("rebalance", "date_key"), os.path.join(root, "gold", n),
-                                                           batch_id, run_id, by="date_key")
-            with ThreadPoolExecutor(max_workers=len(writes)) as pool:
-                futures = {n: pool.submit(w) for n, w in writes.items()}
-                counts.update({n: f.result() for n, f in futures.items()})
-        finally:
-            fresh.unpersist()
-        prune_seen(spark, seen_path, (today - dt.timedelta(days=DEDUP_HORIZON_DAYS)).isoformat())
+        bad = ST.rejected(batch, topic)
+        return _in_parallel({
+            "bronze_raw_events": lambda: segments.append(batch.select(*ST.COORDS, "json_str", "ingested_at"), os.path.join(root, "bronze", "kafka_raw_events", topic_dir(topic)), batch_id, run_id),
+            "quarantine_events": lambda: segments.append(bad, os.path.join(root, "quarantine", "events", topic_dir(topic)), batch_id, run_id)})
     finally:
         batch.unpersist()
-    return counts
+
+
+def unknown_to_others(fresh: DataFrame, silver_path: str, run_id: str, horizon_days: int = DEDUP_HORIZON_DAYS) -> DataFrame:
+    """Without the ids that other queries stored here within the horizon."""
+    spark = fresh.sparkSession
+    others = segments.other_runs(spark, silver_path, run_id, time.time() - horizon_days * 86400)
+    if not others:
+        return fresh
+    stored = segments.read(spark, silver_path).filter(c("run_id").isin(others)).select("event_id")
+    return fresh.join(stored, "event_id", "left_anti").select(*fresh.columns)
+
+
+def process_fact_batch(fresh: DataFrame, batch_id: int, topic: str, root: str, run_id: str = "run") -> dict[str, int]:
+    """Silver and Gold of one micro-batch of fresh events; returns rows per table."""
+    if fresh.isEmpty():
+        return {}
+    root, spec = stream_root(root), ST.TOPICS[topic]
+    silver_path = os.path.join(root, "silver", spec.silver_table)
+    fresh = unknown_to_others(fresh, silver_path, run_id).persist()
+    try:
+        sv, gold, _ = ST.silver_and_gold(fresh, topic)
+        # Silver and Gold read the persisted batch and are independent:
+        # submit their writes side by side
+        writes = {n: lambda n=n, df=df: segments.append(df, os.path.join(root, "gold", n), batch_id, run_id, by="date_key") for n, df in gold.items()}
+        writes[spec.silver_table] = lambda: segments.append(sv, silver_path, batch_id, run_id)
+        return _in_parallel(writes)
+    finally:
+        fresh.unpersist()
 
 
 def _query_id(df: DataFrame) -> str:
     """Id of the streaming query that runs this micro-batch."""
     run = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
     if not run:
-        raise RuntimeError("not called from a streaming query: pass run_id to process_batch")
+        raise RuntimeError("not called from a streaming query: pass run_id")
     return run
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """State in RocksDB, unless the session names a store of its own."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(key):
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+
+
 def start_topic(source: DataFrame, topic: str, root: str, checkpoint_root: str,
-                trigger: dict | None = None) -> StreamingQuery:
-    """Start the query of one topic (trigger default: every 60 s)."""
-    stream = parse_stream(source, topic)
-    w = (stream.writeStream.queryName(f"tidemart_{topic_dir(topic)}")
-         .foreachBatch(lambda df, bid: process_batch(df, bid, topic, root, _query_id(df)))
-         .option("checkpointLocation", os.path.join(checkpoint_root, topic_dir(topic))))
-    w = w.trigger(**(trigger or {"processingTime": "60 seconds"}))
-    return w.start()
+                trigger: dict | None = None, horizon_days: int = DEDUP_HORIZON_DAYS,
+                steps: tuple[str, ...] = ("raw", "facts")) -> list[StreamingQuery]:
+    """Start the two queries of one topic, or one of them (trigger default: every 60 s)."""
+    use_state_store(source.sparkSession)
+    parsed = parse_stream(source, topic)
+    known = {"raw": (parsed, process_raw_batch), "facts": (fresh_events(parsed, topic, horizon_days), process_fact_batch)}
+    out = []
+    for name in steps:
+        stream, step = known[name]
+        w = (stream.writeStream.queryName(f"tidemart_{topic_dir(topic)}_{name}")
+             .foreachBatch(lambda df, bid, step=step: step(df, bid, topic, root, _query_id(df)))
+             .option("checkpointLocation", os.path.join(checkpoint_root, topic_dir(topic), name)))
+        out.append(w.trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+    return out
 
 
 def start_all(sources: dict[str, DataFrame], root: str, checkpoint_root: str,
               trigger: dict | None = None) -> list[StreamingQuery]:
-    """One query per topic; the caller waits with
+    """Two queries per topic; the caller waits with
     ``spark.streams.awaitAnyTermination()``."""
-    return [start_topic(sources[t], t, root, checkpoint_root, trigger) for t in ALL_TOPICS if t in sources]
+    return [q for t in ALL_TOPICS if t in sources for q in start_topic(sources[t], t, root, checkpoint_root, trigger)]
 
 
 def run_files_available_now(spark: SparkSession, raw_dir: str, root: str, checkpoint_root: str,
-                            topics: list[str] | None = None, max_files_per_trigger: int = 1) -> None:
-    """Drain a folder of raw record files through every topic query once
+                            topics: list[str] | None = None, max_files_per_trigger: int = 1,
+                            steps: tuple[str, ...] = ("raw", "facts")) -> None:
+    """Drain a folder of raw record files through every topic's queries once
     (tests and backfills): ``availableNow`` processes what is there, in
     ``max_files_per_trigger`` steps, then stops."""
     qs = []
     for t in topics or ALL_TOPICS:
         src = read_raw_files_stream(spark, raw_dir, max_files_per_trigger, topic=t)
-        qs.append(start_topic(src, t, root, checkpoint_root, trigger={"availableNow": True}))
+        qs += start_topic(src, t, root, checkpoint_root, trigger={"availableNow": True}, steps=steps)
     for q in qs:
         q.awaitTermination()
         if q.exception():
@@ -182,4 +174,4 @@ def run_files_available_now(spark: SparkSession, raw_dir: str, root: str, checkp
 
 def read_layer(spark: SparkSession, root: str, *parts: str) -> DataFrame:
     """A layer table of the streaming job."""
-    return spark.read.parquet(os.path.join(stream_root(root), *parts))
+    return segments.read(spark, os.path.join(stream_root(root), *parts))
