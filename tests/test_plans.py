@@ -118,3 +118,17 @@ def test_forecast_plan_has_no_self_join(spark, sf_dir):
     p = _plan(registry.QUERIES["forecast"](spark, sf_dir))
     series = _plan(registry.QUERIES["revenue_series"](spark, sf_dir))
     assert p.count("Join") == series.count("Join")
+
+
+def test_lines_are_numbered_by_one_shuffle(spark, sf_dir):
+    """Numbered lines are written once; what is made of them shuffles nothing
+    more, and no window gathers the table."""
+    lk = Lake(spark, sf_dir)
+    items, logs = lk.src.entity("order_items"), lk.src.entity("inventory_logs")
+    for df in (items, logs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+        assert plan.count("Exchange") - plan.count("BroadcastExchange") == 0
+    assert lk.src.numbered() is lk.src.numbered()
+    ids = items.select("item_id").toPandas()["item_id"]
+    assert sorted(ids) == list(range(1, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() + 1))

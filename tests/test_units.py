@@ -240,3 +240,17 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_percent_of_amounts_beyond_a_long_product(spark):
+    """10,000 times the amount passes a LONG: the division is exact still."""
+    from fractions import Fraction
+    rows = [(10**15, 2 * 10**15), (2**62, 3 * 2**40), (-(10**17), 7 * 10**16), (10**15, -3 * 10**15), (10**18, 10**18 - 1), (1, 2**63 - 1), (10**15 + 1, 8 * 10**15), (5, 0), (None, 2)]
+    got = spark.createDataFrame(rows, "n long, d long").select("n", "d", pct_half_up("n", "d").alias("p")).collect()
+    for r in got:
+        if r.n is None or not r.d:
+            assert r.p is None
+            continue
+        f = Fraction(r.n, r.d) * 10000
+        want = (1 if f > 0 else -1) * int(abs(f) + Fraction(1, 2)) / 100.0
+        assert r.p == want

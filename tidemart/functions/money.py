@@ -50,9 +50,22 @@ def muldiv_half_up(a, b, den) -> Column:
 
 def pct_half_up(num, den, scale: int = 2) -> Column:
     """round(num / den * 100, scale) HALF_UP as a DOUBLE, computed exactly in
-    integers; null when den is 0."""
+    integers; null when den is 0. Amounts whose scaled product passes a LONG
+    are divided in DECIMAL(38,0); a quotient that would pass one (far beyond
+    what a DOUBLE holds exactly) is divided as a DOUBLE."""
     units = 10 ** scale
-    return div_half_up(col_(num).cast("long") * (100 * units), den) / F.lit(float(units))
+    k = 100 * units
+    n, d = col_(num).cast("long"), col_(den).cast("long")
+    small = (F.abs(n) < (1 << 61) // k) & (F.abs(d) < 1 << 61)
+    x, y = n.cast("decimal(19,0)"), d.cast("decimal(19,0)")
+    product = (F.abs(x) * F.lit(k).cast("decimal(10,0)")).cast("decimal(38,0)")
+    mag = idiv(product, F.abs(y))
+    rest = product - mag.cast("decimal(19,0)") * F.abs(y)
+    sign = (F.signum(x) * F.signum(y)).cast("long")
+    wide = sign * (mag + F.when(rest * 2 >= F.abs(y), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    fits = F.abs(n.cast("double") / d.cast("double")) < float((1 << 62) // k)
+    exact = F.when(small, div_half_up(n * k, d)).when(fits, wide)
+    return F.when(d != 0, F.coalesce(exact / F.lit(float(units)), n.cast("double") / d.cast("double") * 100))
 
 
 def pct_units(pct, scale: int = 2) -> Column:

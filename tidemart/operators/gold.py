@@ -3,9 +3,8 @@
 Joins are expressed plainly and left to Catalyst and AQE: no hint is given,
 so a side is broadcast only when its measured size is under the broadcast
 threshold and sort-merge joined otherwise. The payment and status
-dimensions are their fixed lookup rows plus any code the orders use that
-the lookup lacks; ``dim_date`` spans the dates of the data. ``as_of`` fixes
-the clock columns (SURVEY Q9).
+dimensions are fixed lookup rows; ``dim_date`` spans the dates of the data.
+``as_of`` fixes the clock columns (SURVEY Q9).
 """
 
 from __future__ import annotations

@@ -7,20 +7,20 @@ because the test tables hold no nulls. All money is LONG.
 
 Scale notes: ``orders`` joins the per-order line sums, which is a partial
 aggregate of lineitem followed by a sort-merge join on the order key;
-``order_items`` numbers lines with a window over (order key, line number) and
-adds the number of lines before that pair, from prefix sums of counts.
+lines are numbered once, by a range shuffle and the sizes of the ranges, for
+both ``order_items`` and ``inventory_logs``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import threading
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PROMOTION_SCHEMA
-
-
-#: keys of orders whose line counts one window sums up
-ORDERS_PER_RANGE = 1 << 16
+from ..session import scratch_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,43 +108,38 @@ def promotions(spark: SparkSession, customer: DataFrame) -> DataFrame:
     return seeds.unionByName(vouchers).withColumn("discount_percent", F.col("discount_percent").cast("decimal(5,2)"))
 
 
-def line_offsets(lineitem: DataFrame) -> DataFrame:
-    """(l_orderkey, l_linenumber, before): lines of smaller (order, line
-    number) pairs in the whole table.
-
-    Counts per pair are prefix-summed in three levels (pairs of an order,
-    orders of a range of keys, ranges), so no window holds more than the line
-    numbers of one order, the orders of one range, or the ranges."""
-    pairs = lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
-    pairs = pairs.withColumn("in_order", F.sum("n").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - F.col("n"))
-    per_order = pairs.groupBy("l_orderkey").agg(F.sum("n").alias("lines")).withColumn("part", F.floor(F.col("l_orderkey") / ORDERS_PER_RANGE))
-    per_order = per_order.withColumn("in_part", F.sum("lines").over(Window.partitionBy("part").orderBy("l_orderkey")) - F.col("lines"))
-    parts = per_order.groupBy("part").agg(F.sum("lines").alias("total"))
-    parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
-    order_start = per_order.join(parts, "part").select("l_orderkey", (F.col("start") + F.col("in_part")).alias("start"))
-    return pairs.join(order_start, "l_orderkey").select("l_orderkey", "l_linenumber", (F.col("start") + F.col("in_order")).alias("before"))
+_ROW_BITS = 33   # monotonically_increasing_id: partition above, row of the partition below
 
 
-def _numbered_lines(lineitem: DataFrame) -> DataFrame:
+def numbered_lines(lineitem: DataFrame, path: str) -> DataFrame:
     """Lines with a serial ``item_id``: 1, 2, ... in the order of all their
     columns, as a database sequence would give them. Nothing is packed into
-    the number, so no count of lines makes two of them equal."""
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    the number, so no count of lines makes two of them equal.
+
+    Lines are dealt to ranges and sorted there (the one shuffle; a range may
+    begin inside an order, so no order is too large), and written once below
+    ``path`` with the row's place in its range. The places of the ranges follow
+    from their sizes, one row a range."""
+    spark, order = lineitem.sparkSession, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                                           "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     q = F.col("l_quantity").cast("long")
     unit_price = F.call_function("div", F.round(F.col("l_extendedprice") * 100).cast("long"), q)
-    return lineitem.join(line_offsets(lineitem), ["l_orderkey", "l_linenumber"]).select(
-        (F.col("before") + F.row_number().over(w)).alias("item_id"),
-        "l_orderkey", "l_partkey", "l_returnflag", _ts("l_shipdate").alias("l_shipdate"),
+    (lineitem.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        F.monotonically_increasing_id().alias("place"), "l_orderkey", "l_partkey", "l_returnflag", _ts("l_shipdate").alias("l_shipdate"),
         F.when(F.col("l_orderkey") % 101 == 0, F.lit(0).cast("long")).otherwise(q).alias("quantity"),
-        unit_price.alias("unit_price"),
-    )
-
-
-def order_items(lineitem: DataFrame) -> DataFrame:
-    n = _numbered_lines(lineitem)
-    return n.select(
+        unit_price.alias("unit_price")).write.parquet(path))
+    lines = spark.read.parquet(path).withColumn("range", F.shiftrightunsigned("place", _ROW_BITS))
+    starts, before = [], 0
+    for r in sorted(lines.groupBy("range").count().collect()):
+        starts.append((r["range"], before))
+        before += r["count"]
+    first = F.broadcast(spark.createDataFrame(starts, "range long, before long"))   # one row a range
+    row = F.col("place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return lines.join(first, "range").withColumn("item_id", F.col("before") + row + 1).drop("place", "range", "before")
+
+
+def order_items(numbered: DataFrame) -> DataFrame:
+    return numbered.select(
         "item_id",
         F.concat(F.lit("ORD_"), F.col("l_orderkey").cast("string")).alias("order_id"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
@@ -188,8 +183,7 @@ def orders(orders_t: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
-def inventory_logs(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    n = _numbered_lines(lineitem)
+def inventory_logs(n: DataFrame, part: DataFrame) -> DataFrame:
     order_id = F.concat(F.lit("ORD_"), F.col("l_orderkey").cast("string"))
     product_id = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
     out = n.select(
@@ -233,6 +227,15 @@ class Sources:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._lines: DataFrame | None = None
+        self._lock = threading.Lock()
+
+    def numbered(self) -> DataFrame:
+        """The numbered lines, written once for all entities made of them."""
+        with self._lock:
+            if self._lines is None:
+                self._lines = numbered_lines(self.t("lineitem"), scratch_path(self.spark, f"numbered-lines-{uuid.uuid4().hex}"))
+            return self._lines
 
     def t(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -245,8 +248,8 @@ class Sources:
             "inventory": lambda: inventory(t("part")),
             "promotions": lambda: promotions(self.spark, t("customer")),
             "orders": lambda: orders(t("orders"), t("lineitem")),
-            "order_items": lambda: order_items(t("lineitem")),
-            "inventory_logs": lambda: inventory_logs(t("lineitem"), t("part")),
+            "order_items": lambda: order_items(self.numbered()),
+            "inventory_logs": lambda: inventory_logs(self.numbered(), t("part")),
             "reviews": lambda: reviews(t("events")),
         }[name]()
 
