@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from .common import col, prepare, release, stage, utf8
 from .language_id import remainder
 
-BLOCK_BYTES, BUCKET_TOKENS, SPLIT, CUTOFF = 8 << 20, 1 << 21, 1 << 22, 5
+BLOCK_BYTES, BUCKET_TOKENS, SPLIT, CUTOFF = 4 << 20, 1 << 21, 1 << 22, 5
 START, FIRST_ID, END = 1, 2, b""
 BASE_ADD = 0.1
 
@@ -270,11 +270,12 @@ class Block:
         """Evaluate each token at the next level from the answers."""
         counts, grams, extras, weights = self.found[4 * self.level:4 * self.level + 4]
         number = self.keys()[3]
-        count, gram = np.append(unpack(counts), 0)[number], np.append(unpack(grams), 0)[number]
         level, model = self.model.levels[self.level], self.model
+        count = np.append(unpack(counts), 0)[number]
+        gram = np.append(unpack(grams), 0)[number] if self.level + 1 < model.order else np.zeros_like(count)
         if self.level == 0:
             seen = discounted(level.discounts, count) / max(1, model.train_tokens + model.extra)
-            self.p, self.word, self.known = np.where(count > 0, seen, model.unknown), gram, count
+            self.p, self.word, self.known = np.where(count > 0, seen, model.unknown), gram, count  # ids of the words
         elif level.discounts is not None:
             at = self.context_keys()[2]
             extra, weight = np.append(unpack(extras), 0)[at], np.append(unpack(weights, np.float64), 1.0)[at]
@@ -398,8 +399,7 @@ def _fit(blocks: DataFrame, order: int) -> tuple[Model, DataFrame]:
         else:
             level.contexts = _weigh(level.grams, level.buckets, level.discounts)
         if n < order:
-            before, blocks = blocks, look_up(blocks, model)
-            release(before)
+            blocks = look_up(blocks, model, n)
     return model, blocks
 
 
@@ -415,11 +415,9 @@ def train(docs: DataFrame, order: int = 2, learns: Column | None = None, text: s
 
 # -------------------------------------------------------------------- scoring
 
-def look_up(blocks: DataFrame, model: Model) -> DataFrame:
-    """``blocks`` with the answers of the next level of ``model``."""
-    plain = model.plain()
-    reached = blocks.select(F.max(F.size("found"))).first()[0]
-    level = model.levels[(reached or 0) // 4]
+def _answers(blocks: DataFrame, model: Model, n: int) -> DataFrame:
+    """What the tables of level ``n`` say to the requests of the blocks."""
+    plain, level, top = model.plain(), model.levels[n - 1], n == model.order
     buckets = level.buckets
 
     def ask(row: dict) -> list[tuple]:
@@ -432,24 +430,24 @@ def look_up(blocks: DataFrame, model: Model) -> DataFrame:
         return out
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        empty = _Table(np.empty(0, np.uint64), None, np.empty(0, np.int64), np.empty(0))
+        now, held = None, empty
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 k = r["bucket"]
                 if k != now:
-                    now, held = k, None
+                    now, held = k, empty
                 if r["kind"] == 0:
-                    held = (unpack_sorted(r["a"], np.uint64), unpack(r["b"], np.uint64) if r["b"] is not None else None, unpack(r["n"]), unpack(r["x"], np.float64) if r["x"] is not None else None)
+                    b, x = (unpack(r[c], t) if r[c] is not None else None for c, t in (("b", np.uint64), ("x", np.float64)))
+                    held = _Table(unpack_sorted(r["a"], np.uint64), b, unpack(r["n"]), x)
                     continue
-                a = unpack_sorted(r["a"], np.uint64)
-                if k < buckets:
-                    at = _find(held, a, unpack(r["b"], np.uint64))
-                    n = np.append(held[2], 0)[at] if held else np.zeros(len(a), np.int64)
-                    out.append((r["block"], 1, k, pack(n), pack(np.where(at >= 0, FIRST_ID + at * buckets + k, 0))))
-                else:
-                    at = _find(held, a, np.zeros(len(a), np.uint64))
-                    out.append((r["block"], 2, k, pack(np.append(held[2], 0)[at] if held else np.zeros(len(a), np.int64)), pack(np.append(held[3], 1.0)[at] if held else np.ones(len(a)))))
+                at = held.find(unpack_sorted(r["a"], np.uint64), unpack(r["b"], np.uint64) if r["b"] is not None else None)
+                count = np.append(held.values[0], 0)[at]
+                if k < buckets:   # an n-gram's count and, for the next level, its id
+                    out.append((r["block"], 1, k, pack(count), None if top else pack(np.where(at >= 0, FIRST_ID + at * buckets + k, 0))))
+                else:             # a context's virtual occurrences and its weight
+                    out.append((r["block"], 2, k, pack(count), pack(np.append(held.values[1], 1.0)[at])))
             if out:
                 yield _rows(out, "block long, kind int, bucket long, n binary, x binary")
 
@@ -459,66 +457,99 @@ def look_up(blocks: DataFrame, model: Model) -> DataFrame:
     asked = tables.unionByName(_each(blocks, ask, _ASK))
     answers = stage(asked.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "block long, kind int, bucket long, n binary, x binary"), "katz-answers")
 
+    return answers
+
+
+def _assembled(blocks: DataFrame, answers: DataFrame, finish: Callable[[dict, pa.Array], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """``finish(block, its document ids)`` for each block, whose ``found`` then
+    holds the answers as well, in the order in which the block asks."""
     both = blocks.withColumn("kind", F.lit(0)).unionByName(answers, allowMissingColumns=True)
-    names, schema = blocks.columns, blocks.schema
+    names = [c for c in blocks.columns if c != "ids"]
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids, parts = None, None, []
 
         def whole() -> pa.RecordBatch:
-            found = own.column(names.index("found")).to_pylist()[0]
             for kind, kinds in ((1, (np.int64, np.int64)), (2, (np.int64, np.float64))):
                 for c, dtype in zip("nx", kinds, strict=True):
-                    found.append(pack(np.concatenate([np.empty(0, dtype)] + [unpack(p[c], dtype) for p in parts if p["kind"] == kind])))
-            return pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.binary())) if c == "found" else own.column(i) for i, c in enumerate(names)], names=names)
+                    own["found"].append(pack(np.concatenate([np.empty(0, dtype)] + [unpack(p[c], dtype) for p in parts if p["kind"] == kind and p[c] is not None])))
+            parts.clear()
+            return finish(own, ids)
 
         for b in batches:
-            small = b.select(["block", "kind", "n", "x"]).to_pylist()
-            for i, r in enumerate(small):
+            every = b.column(b.schema.names.index("ids"))
+            for i, r in enumerate(b.drop_columns(["ids"]).to_pylist()):
                 if r["kind"] == 0:
                     if own is not None:
                         yield whole()
-                    own, parts = b.select(names).slice(i, 1), []
+                    own, ids = {c: r[c] for c in names}, every.slice(i, 1)
                 else:
-                    parts.append(r)
+                    parts.append({c: r[c] for c in ("kind", "n", "x")})
         if own is not None:
             yield whole()
 
-    out = stage(both.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(assemble, schema), "katz-blocks")
-    release(answers)
+    return both.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, schema)
+
+
+def look_up(blocks: DataFrame, model: Model, n: int) -> DataFrame:
+    """``blocks``, which hold the answers below level ``n``, with those of level n."""
+    answers, schema = _answers(blocks, model, n), blocks.schema
+    kinds = {"found": pa.list_(pa.binary()), **{c: pa.int64() for c in ("block", "train_docs", "train_tokens", "n_tokens")}}
+
+    def keep(row: dict, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids if c == "ids" else pa.array([row[c]], kinds.get(c, pa.binary())) for c in schema.names], names=schema.names)
+
+    out = stage(_assembled(blocks, answers, keep, schema), "katz-blocks")
+    release(answers, blocks)
     return out
 
 
-def _find(held: tuple | None, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Place of each pair among the sorted distinct pairs of the table; -1: none."""
-    if held is None or not len(held[0]):
-        return np.full(len(a), -1, np.int64)
-    ka, kb = held[0], held[1] if held[1] is not None else np.zeros(len(held[0]), np.uint64)
-    n = len(ka)
-    order, group, _ = pairs(np.concatenate([ka, a]), np.concatenate([kb, b]))
-    at = np.empty(len(order), np.int64)
-    at[order] = group
-    place = np.full(int(group[-1]) + 1, -1, np.int64)
-    place[at[:n]] = np.arange(n)
-    return place[at[n:]]
+class _Table:
+    """The sorted pairs of one bucket, with their values."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray | None, *values: np.ndarray):
+        self.a, self.b, self.values = a, b, values
+        top, self.width = (int(a[-1]) if len(a) else 0), (int(b.max()) + 1 if b is not None and len(b) else 1)
+        self.keys = a if b is None else b if not top else a * np.uint64(self.width) + b if (top + 1) * self.width < 1 << 64 else None
+
+    def find(self, a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
+        """Place of each pair; -1: none."""
+        if not len(self.a):
+            return np.full(len(a), -1, np.int64)
+        if self.keys is None:
+            return self._merge(a, b)
+        asked, ok = a, a <= self.a[-1]
+        if b is not None:
+            ok &= b < np.uint64(min(self.width, 2**64 - 1)) if self.a[-1] else True
+            asked = a * np.uint64(self.width) + b if self.a[-1] else b
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(ok & (self.keys[at] == asked), at, -1)
+
+    def _merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`find` where pairs don't fit one number: sort both together."""
+        n = len(self.a)
+        order, group, _ = pairs(np.concatenate([self.a, a]), np.concatenate([self.b, b]))
+        at = np.empty(len(order), np.int64)
+        at[order] = group
+        place = np.full(int(group[-1]) + 1, -1, np.int64)
+        place[at[:n]] = np.arange(n)
+        return place[at[n:]]
 
 
 def _scores(blocks: DataFrame, model: Model) -> DataFrame:
+    """One row a document, from blocks that hold the answers below the last level."""
     plain, kind = model.plain(), blocks.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("learnt", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
                            *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(batch.schema.names.index("ids"))
-            for i, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
-                block = Block(row, plain)
-                base = np.log10((block.known + BASE_ADD) / (plain.train_tokens + BASE_ADD * (plain.words + 1)))
-                sums = [np.add.reduceat(x, block.starts) for x in ((block.known > 0).astype(np.int64), base, np.log10(block.p))]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 1).flatten(), pa.array(block.learns[block.starts]), pa.array(block.sizes), pa.array(sums[0]), pa.array(np.full(len(block.sizes), plain.train_tokens)),
-                                                  pa.array(sums[1]), pa.array(sums[2])], names=schema.names)
+    def evaluate(row: dict, ids: pa.Array) -> pa.RecordBatch:
+        block = Block(row, plain)
+        base = np.log10((block.known + BASE_ADD) / (plain.train_tokens + BASE_ADD * (plain.words + 1)))
+        sums = [np.add.reduceat(x, block.starts) for x in ((block.known > 0).astype(np.int64), base, np.log10(block.p))]
+        return pa.RecordBatch.from_arrays([ids.flatten(), pa.array(block.learns[block.starts]), pa.array(block.sizes), pa.array(sums[0]), pa.array(np.full(len(block.sizes), plain.train_tokens)),
+                                           pa.array(sums[1]), pa.array(sums[2])], names=schema.names)
 
-    return blocks.mapInArrow(run, schema)
+    return _assembled(blocks, _answers(blocks, model, plain.order), evaluate, schema)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -532,9 +563,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     empty result. A document is never cut: one longer than a block is a block."""
     prepare(docs.sparkSession)
     blocks = blocks_of(docs, F.lit(False), text, doc_id, block_bytes)
-    for _ in model.levels:
-        before, blocks = blocks, look_up(blocks, model)
-        release(before)
+    for n in range(1, model.order):
+        blocks = look_up(blocks, model, n)
     return _scores(blocks, model).drop("learnt")
 
 
@@ -543,6 +573,7 @@ def fit_and_score(docs: DataFrame, order: int = 2, text: str = "text", doc_id: s
     row, as `score` does, from one set of blocks; ``held_out`` marks the others."""
     prepare(docs.sparkSession)
     model, blocks = _fit(blocks_of(docs, remainder(doc_id, 10) != 0, text, doc_id, block_bytes), order)
-    before, blocks = blocks, look_up(blocks, model)
-    release(before)
-    return _scores(blocks, model).withColumn("held_out", ~F.col("learnt")).drop("learnt")
+    out = _scores(blocks, model)
+    for level in model.levels:          # all answers are written
+        release(*[t for t in (level.grams, level.contexts) if t is not None])
+    return out.withColumn("held_out", ~F.col("learnt")).drop("learnt")
