@@ -178,16 +178,19 @@ def test_money_matches_exact_fractions(spark):
 def test_line_ids_never_collide(spark):
     """250 lines of one order with two line numbers, and a two-digit line
     number beside the next order: 252 + 1 ids, all different."""
-    from tidemart.sources.adapters import inventory_logs, order_items
+    import tempfile
+
+    from tidemart.sources.adapters import inventory_logs, numbered_lines, order_items
     row = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
     import datetime as dt
     base = (1.0, 10.0, 0.0, 0.0, "R", "F", dt.date(1996, 1, 1))
     lines = [(7, 1, 1, 1 + i % 2, *base) for i in range(250)] + [(7, 1, 1, 10, *base), (8, 1, 1, 1, *base), (200000, 2, 1, 1, *base)]
     df = spark.createDataFrame(lines, row)
-    ids = [r.item_id for r in order_items(df).select("item_id").collect()]
+    numbered = numbered_lines(df, tempfile.mkdtemp() + "/lines")
+    ids = [r.item_id for r in order_items(numbered).select("item_id").collect()]
     assert sorted(ids) == list(range(1, 254))
     part = spark.createDataFrame([(1,), (2,)], "p_partkey long")
-    logs = [r.log_id for r in inventory_logs(df, part).select("log_id").collect()]
+    logs = [r.log_id for r in inventory_logs(numbered, part).select("log_id").collect()]
     assert len(set(logs)) == len(logs) == 253 * 2 + 2
 
 
@@ -254,3 +257,58 @@ def test_percent_of_amounts_beyond_a_long_product(spark):
         f = Fraction(r.n, r.d) * 10000
         want = (1 if f > 0 else -1) * int(abs(f) + Fraction(1, 2)) / 100.0
         assert r.p == want
+
+
+def _brute_split(rows):
+    """rows: (key, amount, weight, tie) -> {(key, tie): part}."""
+    out, keys = {}, {}
+    for r in rows:
+        keys.setdefault(r[0], []).append(r)
+    for key, lines in keys.items():
+        amount = lines[0][1] or 0
+        weight = [max(w or 0, 0) for _, _, w, _ in lines]
+        total = sum(weight)
+        if key is None or not total:
+            out.update({(key, t): 0 for *_, t in lines})
+            continue
+        whole = [abs(amount) * w // total for w in weight]
+        left = abs(amount) - sum(whole)
+        order = sorted(range(len(lines)), key=lambda i: (-(abs(amount) * weight[i] % total), lines[i][3]))
+        for place, i in enumerate(order):
+            out[key, lines[i][3]] = (whole[i] + (place < left)) * (1 if amount >= 0 else -1)
+    return out
+
+
+def test_parts_of_an_amount_add_up(spark):
+    """Orders of 1 to 10,000 lines, by one window and by counts alike."""
+    import random
+
+    from tidemart.functions.apportion import apportion
+    rng, rows, tie = random.Random(5), [], 0
+    for order, n in enumerate([1, 2, 3, 7, 50, 400, 3000, 10_000]):
+        same = order % 2                       # every other order has lines that are all alike, or nearly
+        amount = rng.randint(0, 10**9) if order != 4 else 10**15
+        for _ in range(n):
+            tie += 1
+            rows.append((f"o{order}", amount, 10 if same else rng.randint(1, 10**6) * (10**9 if order == 4 else 1), tie))
+    rows += [("neg", -101, 1, 1), ("neg", -101, 1, 2), ("zero", 50, 0, 3), ("null", None, 5, 4), ("some", 7, None, 5), ("some", 7, 3, 6), ("some", 7, -9, 7), (None, 5, 5, 8)]
+    want = _brute_split(rows)
+    df = spark.createDataFrame(rows, "k string, amount long, w long, tie long").repartition(3).withColumn("bucket", F.lit("own")).withColumn("m", F.lit("own"))
+    for hot, bucket in ((10**6, 10), (20, 16), (0, 1)):
+        got = apportion(df, "k", "amount", "w", "tie", "part", hot, bucket)
+        assert got.columns == [*df.columns, "part"]
+        assert {(r.k, r.tie): r.part for r in got.collect()} == want
+    for o, a in {r[0]: r[1] for r in rows if r[0] and r[0].startswith("o")}.items():
+        assert sum(p for (k, _), p in want.items() if k == o) == a
+    assert apportion(df.limit(0), "k", "amount", "w", "tie").count() == 0
+
+
+def test_a_hot_order_is_spread(spark):
+    """No window of the counted path gathers a whole order."""
+    from tidemart.functions.apportion import apportion
+    df = spark.range(5000).select(F.lit("one").alias("k"), F.lit(777).cast("long").alias("amount"), (F.col("id") % 3).alias("w"), F.col("id").alias("tie"))
+    got = apportion(df, "k", "amount", "w", "tie", "part", hot_lines=100, bucket_lines=64)
+    assert got.agg(F.sum("part")).first()[0] == 777
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x and "row_number" in x]
+    assert any("__bucket" in x for x in windows)

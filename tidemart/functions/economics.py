@@ -35,13 +35,17 @@ def line_economics(quantity, unit_price, unit_cost, discount, subtotal) -> dict[
     return {
         "gross_revenue": gross_revenue(quantity, unit_price),
         "allocated_discount": allocated_discount(discount, F.col("gross_revenue"), subtotal),
-        "net_revenue": F.col("gross_revenue") - F.col("allocated_discount"),
         "total_cost": col_(unit_cost).cast("long") * col_(quantity).cast("long"),
-        "gross_profit": F.col("net_revenue") - F.col("total_cost"),
-        "gross_margin_pct": pct_half_up(F.col("gross_profit"), F.col("net_revenue")),
+        **after_discount(),
     }
 
 
+def after_discount() -> dict[str, Column]:
+    """What follows from gross_revenue, allocated_discount and total_cost."""
+    net = F.col("gross_revenue") - F.col("allocated_discount")
+    return {"net_revenue": net, "gross_profit": net - F.col("total_cost"), "gross_margin_pct": pct_half_up(net - F.col("total_cost"), net)}
+
+
 def unit_margin_pct(unit_price, unit_cost) -> Column:
     """round((price - cost) / price * 100, 2), null when price is 0."""
     return pct_half_up(col_(unit_price).cast("long") - col_(unit_cost).cast("long"), unit_price)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.economics import line_economics, unit_margin_pct
+from ..functions.apportion import apportion
+from ..functions.economics import after_discount, line_economics, unit_margin_pct
 from ..functions.money import pct_half_up
 from ..functions.timefilter import as_of_ts
 from ..schemas import (ORDER_STATUS_ROWS, PAYMENT_METHOD_ROWS, SENTIMENT_NEGATIVE, SENTIMENT_NEUTRAL,
@@ -128,16 +129,21 @@ def fact_order_items(silver_items: DataFrame, silver_orders: DataFrame) -> DataF
         c("order_date").alias("order_created_at"))
 
 
-def fact_sales(silver_items: DataFrame, silver_orders: DataFrame, silver_products: DataFrame) -> DataFrame:
+def fact_sales(silver_items: DataFrame, silver_orders: DataFrame, silver_products: DataFrame,
+               exact_split: bool = False) -> DataFrame:
     """One row per order line, fully denormalised, with the order discount
-    allocated to lines. The reference also joined inventory without using
-    any of its columns; that join is dropped."""
+    allocated to lines: rounded line by line, or with ``exact_split`` by
+    largest remainders, so that they add up to the order's. The reference also
+    joined inventory without using any of its columns; that join is dropped."""
     o = silver_orders.select("order_id", "user_id", "promo_id", "payment_method", "order_status",
                              "order_date", "updated_at", "subtotal", "shipping_fee",
                              "discount_amount", "total_amount")
     p = silver_products.select("product_id", "product_name", "brand", "category")
     j = silver_items.join(o, "order_id", "left").join(p, "product_id", "left")
     j = j.withColumns(line_economics("quantity", "unit_price", "unit_cost", "discount_amount", "subtotal"))
+    if exact_split:
+        j = j.drop("allocated_discount")
+        j = apportion(j, "order_id", "discount_amount", "gross_revenue", "item_id").withColumns(after_discount())
     return j.select(
         "item_id", "order_id", "user_id", "product_id", "promo_id", "payment_method", "order_status",
         F.to_date("order_date").alias("date_key"),

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.economics import line_economics, unit_margin_pct
+from ..functions.apportion import apportion
+from ..functions.economics import after_discount, line_economics, unit_margin_pct
 from ..functions.quality import Rule, dedup_first, first_failure, passes, split_valid
 from ..schemas import (REASON_NULL_EVENT_ID, REASON_NULL_TIMESTAMP, REASON_NULL_USER_ID, REASON_RATING,
                        REASON_UNKNOWN_EVENT_TYPE, TOPIC_CART, TOPIC_INVENTORY, TOPIC_ORDER,
@@ -164,7 +165,7 @@ def fact_orders_stream(sv):
 def order_items_explode(sv):
     """order_created rows, one per element of ``items`` (null/empty: none)."""
     return (sv.filter(c("event_type") == "order_created")
-              .select("*", F.explode("items").alias("item"))
+              .select("*", F.posexplode("items").alias("i_line", "item"))
               .select("*", c("item.product_id").alias("i_product_id"),
                       c("item.product_name").alias("i_product_name"),
                       c("item.quantity").cast("long").alias("i_quantity"),
@@ -184,8 +185,13 @@ def fact_order_items_stream(ex):
         F.to_date("event_ts").alias("date_key"), c("event_ts").alias("order_ts"))
 
 
-def fact_sales_stream(ex):
+def fact_sales_stream(ex, exact_split: bool = False):
+    """One row per order line. ``exact_split``: the lines' discounts add up to
+    the order's (largest remainders) instead of being rounded one by one."""
     e = ex.withColumns(line_economics("i_quantity", "i_unit_price", "i_unit_cost", "discount_amount", "subtotal"))
+    if exact_split:
+        e = e.drop("allocated_discount")
+        e = apportion(e, "event_id", "discount_amount", "gross_revenue", "i_line").withColumns(after_discount())
     return e.select(
         c("event_id").alias("source_event_id"), "order_id", "user_id", "promo_id", "promo_code",
         "payment_method", "order_status", c("i_product_id").alias("product_id"),

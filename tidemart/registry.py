@@ -86,4 +86,4 @@ _table_query("stream_quarantine", _all_quarantine, "quarantine_events")
 
 def load_marts():
     """Import the query modules so they register themselves."""
-    from .plans import advisor, autoregression, commerce_ops, forecasting, live, sales, wiring  # noqa: F401
+    from .plans import advisor, autoregression, commerce_ops, exact_split, forecasting, live, sales, wiring  # noqa: F401
