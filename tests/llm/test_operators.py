@@ -322,6 +322,15 @@ def test_license_sentences_are_whole():
     assert all(licenses.finder()([s]) == [i] for s, i in licenses.known_sentences().items())
 
 
+def test_queries_of_another_dimension(spark):
+    """The candidates' dimension counts, also where most queries have another."""
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4 if i in (0, 20, 40) else 3)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.query_id for r in ann.search(df, df.filter("vec_id % 20 = 0"), 5).collect()}
+    assert got == {60, 80}
+
+
 # --------------------------------------------------------------- suffix dedup
 
 def brute_repeats(rows, length):
@@ -522,8 +531,48 @@ def test_perfect_hash():
     assert not shard.probe(keys + np.uint64(2), keys).any() and not shard.probe(keys, keys + np.uint64(1)).any()
 
 
+def test_suffix_dedup_of_rows_without_an_id(spark):
+    """Rows without an id, and rows of one id, keep what only they hold: each
+    has its own spans. Ids may be the largest and the smallest numbers."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    a, shared = text(200), text(120)
+    rows = [(1, a), (None, a), (None, text(128)), (2**63 - 1, a + text(60)), (-3, shared)]
+    rows += [(None, text(90) + (shared if i % 3 == 0 else text(50))) for i in range(120)] + [(9, text(80) + (shared if i % 2 else "")) for i in range(20)]
+    rank = {k: i for i, k in enumerate(sorted({k for k, _ in rows if k is not None}))}
+    brute = brute_repeats([(rank.get(k, 10**6), t.encode()) for k, t in rows], 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, 50).collect()))
+    want = sorted((k is None, k or 0, kept) for k, t in rows for kept in [_without(t.encode(), [x.encode() for j, x in rows if rank.get(j, 10**6) < rank.get(k, 10**6)], 50)])
+    assert got == want and brute is not None
+
+
+def _without(text: bytes, earlier: list[bytes], n: int) -> bytes:
+    known = {x[i:i + n] for x in earlier for i in range(len(x) - n + 1)}
+    gone = {j for i in range(len(text) - n + 1) if text[i:i + n] in known for j in range(i, i + n)}
+    return bytes(c for i, c in enumerate(text) if i not in gone)
+
+
 # ------------------------------------------------------------------- toxicity
 
+def test_toxicity_learns_from_long_texts(spark):
+    """Texts of any length train; the sample is bounded in rows and bytes."""
+    rng = random.Random(3)
+    plain = ["river", "stone", "green", "walk", "paper", "cloud", "seven", "garden", "window", "listen"]
+
+    def doc(toxic):
+        out = [" ".join(rng.choices(plain, k=9)) + "." for _ in range(450)]
+        if toxic:
+            out[rng.randrange(450)] = "you vilescum grubling."
+        return " ".join(out)
+
+    rows = [(i, doc(i % 2), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    got = {r.doc_id: r.predicted for r in toxicity.fit_and_score(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()}
+    assert got == {i: y for i, _, y in rows}
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abdegiklmnoprst", k=rng.randint(3, 7))) for _ in range(300)]

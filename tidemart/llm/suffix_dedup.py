@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from .common import col, field, prepare, release, stage, utf8
 
 GRAM, PIECE, SHALLOW, LAST = 24, 1 << 16, 16, 2**63 - 1
+GROUP_BYTES, BUCKET_BYTES = 64 << 20, 16 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -506,21 +507,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", doc_id
 
     Texts are UTF-8 bytes, whole; matches never cross documents; null counts
     as empty and nothing is removed from texts under ``length`` bytes. Rows of
-    one id don't remove each other's strings (they are told apart by a hash of
-    their texts); a null id counts as larger than
-    any other. ``buckets`` sets how finely anchors are dealt (twice the
-    session's shuffle partitions, unless given). An empty table gives an
-    empty result."""
+    one id don't remove each other's strings (each row has a number of its
+    own); rows without an id likewise, and they count as larger than any id.
+    ``buckets`` sets how finely anchors are dealt (unless given, one for each
+    ``BUCKET_BYTES`` of texts, at least twice the session's shuffle
+    partitions). An empty table gives an empty result."""
     if length < GRAM + 1 or length > GRAM + 127:
         raise ValueError(f"length must be between {GRAM + 1} and {GRAM + 127}")
     spark = docs.sparkSession
     prepare(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = _prime(max(2, partitions)), buckets or 2 * partitions
-    # rows of one id, if there are any, are told apart by a hash of their text
-    repeated = docs.groupBy(col(doc_id)).count().filter("count > 1").limit(1).count()
-    mark = F.hash(utf8(text)).cast("long") if repeated else F.lit(0).cast("long")
-    base = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(doc_id).cast("long"), F.lit(LAST)).alias("id"), mark.alias("th"), utf8(text).alias("b"))
+    key = col(doc_id).cast("long")
+    size, nulls, first, last = docs.agg(F.coalesce(F.sum(F.octet_length(utf8(text))), F.lit(0)), F.count_if(key.isNull()), F.min(key), F.max(key)).first()
+    groups = _prime(max(2, partitions, size // GROUP_BYTES))
+    buckets = buckets or max(2 * partitions, size // BUCKET_BYTES)
+    # null ids come after all others, so those move down by one if the largest is taken
+    order = key - 1 if nulls and last == LAST and first > -LAST - 1 else key
+    base = docs.select(col(doc_id).alias("doc_id"), F.coalesce(order, F.lit(LAST)).alias("id"), F.lit(0).cast("long").alias("th"), utf8(text).alias("b"))
+    if docs.groupBy(col(doc_id)).count().filter("count > 1").limit(1).count():
+        # rows of one id are told apart by a number each, which a written table keeps
+        base = stage(base.withColumn("th", F.monotonically_increasing_id()), "suffix-rows")
     lists = stage(_shared_anchors(base, length, buckets, groups), "suffix-anchors")
     cut = stage(_suffixes(base, lists, length, buckets, groups), "suffix-texts")
     release(lists)
