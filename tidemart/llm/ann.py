@@ -107,15 +107,17 @@ def _matrix(column, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
+def usable(vectors: DataFrame, vec_id: str, vector: str, dim: int | None = None) -> DataFrame:
     """(id, v) of the vectors that take part: not null, not zero, all
-    components finite, and of the commonest dimension (the least, if two are
-    as common); a null id takes no part."""
+    components finite, and of dimension ``dim``, by default the commonest one
+    (the least, if two are as common); a null id takes no part."""
     v = vectors.select(col(vec_id).cast("long").alias("id"), col(vector).alias("v")).filter("id is not null and v is not null and size(v) > 0")
     double = "cast(x as double)"
     v = v.filter(f"forall(v, x -> x is not null and not isnan({double}) and abs({double}) < double('infinity')) and exists(v, x -> x != 0)")
-    dims = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.filter(F.size("v") == (dims.d if dims else -1))
+    if dim is None:
+        dims = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dim = dims.d if dims else -1
+    return v.filter(F.size("v") == dim)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
@@ -125,17 +127,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     found for each row of ``queries`` (same columns), its own id left out.
     Nearest first, ties to the smaller id; all candidates if fewer than k.
     Scores are inner products in double precision. Unusable vectors (see
-    `usable`) take no part on either side; no usable vector gives no rows."""
+    `usable`) take no part on either side, nor do queries of another dimension
+    than the candidates' commonest; no usable vector gives no rows. Rows of one
+    id are vectors of their own, but a query's own id is never its answer."""
     spark = vectors.sparkSession
     prepare(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     base = stage(usable(vectors, vec_id, vector), "ann-vectors")
-    asked = stage(usable(queries, vec_id, vector), "ann-queries")
     first = base.first()
     if first is None:
         return spark.createDataFrame([], schema)
     dim = len(first.v)
-    asked = asked.filter(F.size("v") == dim)
+    asked = stage(usable(queries, vec_id, vector, dim), "ann-queries")
     stats = base.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + cast(x as double) * x)")).alias("m")).first()
     longest = float(np.sqrt(stats.m))
 
