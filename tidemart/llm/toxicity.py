@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import append, col, field, prepare, release, stage, utf8
 from .language_id import remainder
 
-TRAIN_ROWS, TRAIN_BYTES, LEAST_DOCS, LEAST_ODDS, MAX_GRAMS = 3000, 20_000, 4, 2.0, 50_000
+TRAIN_ROWS, TRAIN_BYTES, LEAST_DOCS, LEAST_ODDS, MAX_GRAMS = 3000, 256 << 20, 4, 2.0, 50_000
 ROUNDS, RATE, RIDGE, LASSO, START, NOISE = 400, 0.05, 1e-4, 2e-3, -4.0, 0.01
 GRAMS, WORDS_HELD, PIECE = (4, 5), 200_000, 1 << 22
 _TABLE = bytes(0x2E if c in b".!?\n" else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -105,24 +105,26 @@ def spans(text: bytes, p: np.ndarray, least: float) -> list[dict]:
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-          rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
-    """A model from about ``rows`` labelled documents of each label (chosen by
-    a hash of the id among the eligible ones; only texts up to ``max_bytes``,
-    each different text once). Grams count that are in LEAST_DOCS toxic texts
+          rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from about ``rows`` labelled documents of each label, fewer if
+    those would be more than ``most_bytes`` in all (chosen by a hash of the id
+    among the eligible ones, whatever their length; whole texts, each
+    different text once). Grams count that are in LEAST_DOCS toxic texts
     of the sample or more, at log odds of LEAST_ODDS or more, at most MAX_GRAMS
     of them; the fit prunes them. Ids with several labels count as toxic if any says so; null labels
     don't count. Without both labels, the model finds nothing toxic."""
     prepare(docs.sparkSession)
     marks = labels.filter(col(label).isNotNull() & col(doc_id).isNotNull()).groupBy(col(doc_id).alias("__id")).agg(F.max((col(label) > 0).cast("int")).alias("y"))
-    pool = docs.filter(eligible & col(text).isNotNull()).select(col(doc_id).alias("__id"), utf8(text).alias("t")).filter(F.length("t") <= max_bytes)
-    marks = stage(marks.join(pool.select("__id"), "__id", "left_semi"), "toxic-labels")
-    sizes = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
+    pool = docs.filter(eligible & col(text).isNotNull()).select(col(doc_id).alias("__id"), utf8(text).alias("t"))
+    sized = pool.groupBy("__id").agg(F.sum(F.octet_length("t")).alias("size"))
+    marks = stage(marks.join(sized, "__id"), "toxic-labels")
+    sizes = {r.y: (r["count"], r["size"] or 1) for r in marks.groupBy("y").agg(F.count("*").alias("count"), F.sum("size").alias("size")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         release(marks)
         return Model({}, START)
-    share = F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (y, min(1.0, rows / n))])
+    share = F.create_map(*[F.lit(x) for y, (n, size) in sizes.items() for x in (y, min(1.0, rows / n, most_bytes / size))])
     wanted = marks.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.element_at(share, F.col("y")) * (1 << 30))
-    sample = pool.join(F.broadcast(wanted), "__id").groupBy(F.md5("t").alias("h")).agg(F.first("t").alias("t"), F.max("y").alias("y"))
+    sample = pool.join(F.broadcast(wanted.select("__id", "y")), "__id").groupBy(F.md5("t").alias("h")).agg(F.first("t").alias("t"), F.max("y").alias("y"))
     sample = stage(sample.select("t", "y"), "toxic-sample")
     release(marks)
 
