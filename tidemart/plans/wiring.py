@@ -19,11 +19,13 @@ from ..operators import bronze as B
 from ..operators import silver as S
 from ..operators import stream_topics as ST
 from ..oracle.sql import AS_OF, BATCH_ID, EV_AS_OF, with_ctes
-from ..registry import lake, register
-from ..schemas import ALL_TOPICS, ENVELOPE_FIELDS, TOPIC_ORDER, TOPIC_SCHEMAS
+from ..registry import ORACLES, QUERIES, lake, register
+from ..schemas import ALL_TOPICS, ENVELOPE_FIELDS, TOPIC_CART, TOPIC_ORDER, TOPIC_SCHEMAS
 from ..session import scratch_path
 from ..sources import io
-from ..streaming import runner
+from ..streaming import carts, runner
+from . import commerce_ops, sales  # noqa: F401 - their oracles are used here
+from .catalog import SharedQueryCache
 
 c = F.col
 
@@ -74,6 +76,28 @@ def _jdbc(spark, d):
 register("source_jdbc", with_ctes("SELECT * FROM a_inventory"))(_jdbc)
 
 
+def _jdbc_incremental(spark, d):
+    """Orders arrive in two halves by key; each run reads what is new. Keys
+    are squared, so even ranges of them would be uneven parts."""
+    url = f"jdbc:derby:memory:tidemart_{uuid.uuid4().hex[:8]};create=true"
+    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = lake(spark, d).raw("orders").select((c("o_orderkey") * c("o_orderkey")).alias("order_no"), c("o_orderkey").alias("order_key"), c("o_custkey").alias("customer_key"))
+    half = rows.agg(F.max("order_key")).first()[0] // 2
+    mark, out = io.HighWaterMark(spark, _fresh(spark, "jdbc-mark")), _fresh(spark, "jdbc-new")
+    for run, part in enumerate((c("order_key") <= half, c("order_key") > half, F.lit(False))):
+        io.write_jdbc(rows.filter(part), url, "ORDERS", properties=props)
+        new, upto = io.read_jdbc_new(spark, url, "ORDERS", '"order_no"', mark, 8, props)
+        new.toDF("order_no", "order_key", "customer_key").withColumn("run", F.lit(run)).write.mode("append").parquet(out)
+        if upto is not None:
+            mark.advance(upto)
+    return spark.read.parquet(out)
+
+
+register("source_jdbc_incremental", """
+SELECT o_orderkey * o_orderkey AS order_no, o_orderkey AS order_key, o_custkey AS customer_key,
+       CAST(CASE WHEN o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders) THEN 0 ELSE 1 END AS INTEGER) AS run FROM orders""")(_jdbc_incremental)
+
+
 def _kafka_twin(spark, d):
     src = raw_files(spark, d)
     out, ck = _fresh(spark, "kafka-twin-out"), _fresh(spark, "kafka-twin-ck")
@@ -146,6 +170,34 @@ SELECT q.event_id, q.event_type, q.timestamp, q.user_id, q.source_topic, q.quara
 FROM quarantine_events q JOIN ev_raw r ON r.topic = q.topic AND r."offset" = q."offset\""""))(_stream_quarantine_sink)
 
 
+def _cart_stream(spark, d):
+    """The cart table that the stream keeps, after the whole log."""
+    root = _fresh(spark, "carts")
+    src = io.read_raw_files_stream(spark, raw_files(spark, d), 1, TOPIC_CART)
+    q = carts.start_carts(src, root, _fresh(spark, "carts-ck"), {"availableNow": True}, buckets=8)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return carts.read_carts(spark, root)
+
+
+register("cart_state_stream", ORACLES["cart_state"])(_cart_stream)
+
+
+def _cached(spark, d):
+    """A stored result, found again by its plan and the files it reads."""
+    cache = SharedQueryCache(spark, _fresh(spark, "query-cache"))
+    query = QUERIES["category_revenue"](spark, d)
+    cache.fetch(query)
+    found, hit = cache.fetch(QUERIES["category_revenue"](spark, d))
+    if not hit:
+        raise RuntimeError("the stored result was not found")
+    return found
+
+
+register("query_cached", ORACLES["category_revenue"])(_cached)
+
+
 def _event_json_round_trip(spark, d):
     """Serialise the order facts to one JSON value per row, write the values,
     read them back and parse them with the fact's own schema: the round trip

@@ -7,6 +7,7 @@ reference cached and counted every frame before writing it).
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -39,6 +40,102 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", proper
     w.save()
 
 
+class HighWaterMark:
+    """The largest key that a job has read and stored: numbered small files,
+    each renamed into place, of which the last counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _at(self, path: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        p, fs = self._at(self.path)
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def value(self) -> int | None:
+        """The newest mark, None at first."""
+        found = self._versions()
+        if not found:
+            return None
+        p, fs = self._at(os.path.join(self.path, str(found[-1])))
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["mark"]
+        finally:
+            stream.close()
+
+    def advance(self, value: int) -> None:
+        """Store a larger mark; a smaller one changes nothing."""
+        now = self.value()
+        if now is not None and value <= now:
+            return
+        found = self._versions()
+        aside, fs = self._at(os.path.join(self.path, f".{uuid.uuid4().hex}"))
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps({"mark": int(value)}).encode()))
+        out.close()
+        if not fs.rename(aside, self._at(os.path.join(self.path, str(found[-1] + 1 if found else 0)))[0]):
+            raise OSError(f"the mark below {self.path} was not stored")
+
+
+CELLS = 256
+
+
+def jdbc_splits(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int,
+                properties: dict | None = None) -> list[tuple[int, int]]:
+    """Ranges of an integer column, ends included, that hold about as many
+    rows each. The database counts rows in ``CELLS`` cells of a range; a cell
+    with more than a part's rows is counted again in cells of its own, down to
+    single values, so skewed keys give even ranges. Counts alone travel."""
+    def read(query: str) -> list:
+        r = spark.read.format("jdbc").option("url", url).option("query", query)
+        for k, v in (properties or {}).items():
+            r = r.option(k, v)
+        return r.load().collect()
+
+    def cells(lo: int, hi: int) -> list[tuple[int, int, int]]:
+        width = max(1, -(-(hi - lo + 1) // CELLS))
+        rows = read(f"SELECT cell, COUNT(*) AS n FROM (SELECT ({column} - {lo}) / {width} AS cell FROM {table} WHERE {column} BETWEEN {lo} AND {hi}) c GROUP BY cell")
+        return sorted((lo + int(r[0]) * width, min(hi, lo + (int(r[0]) + 1) * width - 1), int(r[1])) for r in rows)
+
+    found = cells(low, high)
+    most = max(1, -(-sum(n for *_, n in found) // parts))
+    while wide := [c for c in found if c[2] > most and c[1] > c[0]]:
+        found = sorted([c for c in found if c not in wide] + [x for lo, hi, _ in wide for x in cells(lo, hi)])
+    out: list[tuple[int, int]] = []
+    start, held = low, 0
+    for i, (_lo, hi, n) in enumerate(found):
+        held += n
+        following = found[i + 1][2] if i + 1 < len(found) else 0
+        if held + following > most and i + 1 < len(found):
+            out.append((start, hi))
+            start, held = hi + 1, 0
+    return [*out, (start, high)]
+
+
+def read_jdbc_new(spark: SparkSession, url: str, table: str, column: str, mark: HighWaterMark, parts: int = 8,
+                  properties: dict | None = None) -> tuple[DataFrame, int | None]:
+    """Rows whose integer ``column`` (as the database spells it) is above the mark, and the mark to store
+    (``mark.advance``) once they are written; None if there are none. The upper
+    end is fixed first, so rows added meanwhile come with the next run. Rows
+    without a key are never new. A job that fails before it stores the mark
+    reads the same rows again."""
+    above = mark.value()
+    where = f"WHERE {column} > {above}" if above is not None else f"WHERE {column} IS NOT NULL"
+    r = spark.read.format("jdbc").option("url", url).option("query", f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table} {where}")
+    for k, v in (properties or {}).items():
+        r = r.option(k, v)
+    low, high = r.load().first()
+    if high is None:
+        return spark.read.jdbc(url, table, predicates=["1 = 0"], properties=properties or {}), None
+    splits = jdbc_splits(spark, url, table, column, int(low), int(high), parts, properties)
+    return spark.read.jdbc(url, table, predicates=[f"{column} BETWEEN {a} AND {z}" for a, z in splits], properties=properties or {}), int(high)
+
+
 # ----------------------------------------------------------------- Kafka
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets_per_trigger: int = 5000,
                       starting_offsets: str = "earliest", fail_on_data_loss: bool = False) -> DataFrame:

@@ -224,3 +224,65 @@ def vacuum(spark: SparkSession, path: str, keep_seconds: float = KEEP_SECONDS) -
 def other_runs(spark: SparkSession, path: str, run_id: str, since: float) -> list[str]:
     """Runs other than ``run_id`` that committed after ``since``."""
     return sorted(r for r, x in load(spark, path).runs.items() if r != run_id and x["when"] >= since)
+
+
+# ------------------------------------------------------------- keyed tables
+BUCKET = "bucket"
+
+
+def upsert(updates: DataFrame, path: str, batch_id: int, run_id: str, keys: list[str], newest: str, buckets: int = 64) -> int:
+    """Merge one micro-batch of rows by key into a table of one row a key; of
+    two rows of a key the one with the larger ``newest`` stays, the update on
+    ties. Returns the rows of the buckets written.
+
+    Rows are dealt to ``buckets`` by a hash of the keys. Only the buckets that
+    the batch touches are read and written; a manifest says which segment holds
+    each bucket, so readers see all of a batch or nothing. A batch at or before
+    the run's last one is there already."""
+    spark, batch_id = updates.sparkSession, int(batch_id)
+    last = load(spark, path).runs.get(run_id)
+    if last and batch_id <= last["batch"]:
+        return last["rows"] if batch_id == last["batch"] else 0
+    others = [x for x in updates.columns if x not in keys]
+    updates = updates.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+    try:
+        touched = sorted(r[0] for r in updates.select(BUCKET).distinct().collect())      # at most `buckets`
+        name, done = f"{run_id}-{batch_id:012d}", {}
+
+        def merge(m: Manifest) -> None:
+            held = {s["bucket"]: s["name"] for s in m.segments}
+            version = tuple(held.get(b) for b in touched)
+            if done.get("version") != version:          # first attempt, or another writer changed these buckets
+                rows = updates.withColumn("_new", F.lit(1))
+                if any(version):
+                    old = _read_buckets(spark, path, StructType.fromJson(m.schema), {b: held[b] for b in touched if b in held})
+                    rows = rows.unionByName(old.withColumn("_new", F.lit(0)))
+                best = F.max_by(F.struct(*others), F.struct(newest, "_new")).alias("_row")
+                merged = rows.groupBy(BUCKET, *keys).agg(best).select(*keys, "_row.*", BUCKET)
+                done.update(version=version, rows=write_table(merged.hint("rebalance", BUCKET), _segment(path, name), partition_by=[BUCKET]))
+            m.schema = json.loads(updates.schema.json())
+            m.runs[run_id] = {"batch": batch_id, "rows": done["rows"], "when": time.time()}
+            m.segments = [s for s in m.segments if s["bucket"] not in touched] + [{"name": name, "bucket": b} for b in touched]
+            gone = set(held.values()) - {s["name"] for s in m.segments}
+            m.retired += [{"name": n, "when": time.time()} for n in sorted(gone)]
+
+        _update(spark, path, merge)
+        vacuum(spark, path)
+        return done["rows"]
+    finally:
+        updates.unpersist()
+
+
+def _read_buckets(spark: SparkSession, path: str, schema: StructType, held: dict[int, str]) -> DataFrame:
+    paths = [os.path.join(_segment(path, n), f"{BUCKET}={b}") for b, n in held.items()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", os.path.join(path, DATA)).parquet(*paths).select(*schema.names)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that `upsert` writes."""
+    m = load(spark, path)
+    if m.schema is None:
+        raise FileNotFoundError(path)
+    return _read_buckets(spark, path, StructType.fromJson(m.schema), {s["bucket"]: s["name"] for s in m.segments}).drop(BUCKET)
