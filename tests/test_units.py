@@ -312,3 +312,65 @@ def test_a_hot_order_is_spread(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window [" in x and "row_number" in x]
     assert any("__bucket" in x for x in windows)
+
+
+def test_top_lists_are_exact_by_proof_or_by_full_count(spark):
+    import datetime as dt
+    import random
+
+    from tidemart.plans.heavy import summaries, top_items
+    rng, start = random.Random(9), dt.datetime(2024, 1, 1)
+
+    def events(weights, n=3000):
+        names = [f"i{k}" for k in range(len(weights))]
+        rows = [(start + dt.timedelta(minutes=rng.randrange(600)), x if rng.random() > .02 else None) for x in rng.choices(names, weights, k=n)]
+        return spark.createDataFrame(rows, "event_ts timestamp, x string"), rows
+
+    skewed, even = [1000 / (k + 1) ** 2 for k in range(60)], [1] * 60
+    for weights, sure in ((skewed, True), (even, False)):
+        df, rows = events(weights)
+        for hours in (5, 24):
+            got, proven = top_items(summaries(df, "x", keep=12), df, "x", hours, 4, start + dt.timedelta(hours=10, minutes=13))
+            since = start + dt.timedelta(hours=10, minutes=13) - dt.timedelta(hours=hours)
+            counts = {}
+            for t, x in rows:
+                if x is not None and t >= since:
+                    counts[x] = counts.get(x, 0) + 1
+            assert [(r["item"], r["n"]) for r in got.collect()] == sorted(counts.items(), key=lambda r: (-r[1], r[0]))[:4]
+            assert proven == sure
+    none = df.limit(0)
+    assert top_items(summaries(none, "x"), none, "x", 5, 4, start)[0].count() == 0
+
+
+def test_autoregression_finds_its_terms_and_forecasts_better(spark):
+    """An AR(2) around a trend and a weekly pattern, and white noise beside it."""
+    import datetime as dt
+    import random
+
+    from tidemart.plans import autoregression as A
+    from tidemart.plans import forecasting as M
+    rng, n, hold, day0 = random.Random(4), 600, 14, dt.date(2020, 1, 1)
+    rows = []
+    for name, (p1, p2) in {"ar": (0.9, -0.4), "noise": (0.0, 0.0), "slow": (0.95, 0.0)}.items():
+        e = [0.0, 0.0]
+        for i in range(n):
+            e.append(p1 * e[-1] + p2 * e[-2] + rng.gauss(0, 1000))
+            rows.append((name, day0 + dt.timedelta(days=i), int(100_000 + 20 * i + 3000 * (i % 7) + e[-1])))
+    df = spark.createDataFrame(rows, "series string, date date, y long")
+    train = df.filter(F.col("date") < day0 + dt.timedelta(days=n - hold))
+    fit = A.fit_ar(train)
+    got = {r.series: r for r in fit.collect()}
+    assert got["noise"].ar_order <= 2 and got["ar"].ar_order >= 2
+    assert abs(got["ar"].phi[0] - 0.9) < 0.12 and abs(got["ar"].phi[1] + 0.4) < 0.12
+    assert 900 < got["ar"].innovation_sigma < 1100 < got["ar"].sigma
+    errors = {}
+    for name, fc in (("with", A.forecast_ar(fit, hold)), ("without", M.forecast(M.fit_buckets(train), hold))):
+        j = fc.join(df, ["series", "date"]).groupBy("series").agg(F.sqrt(F.avg((F.col("revenue") - F.col("y")) ** 2)).alias("e"))
+        errors[name] = {r.series: r.e for r in j.collect()}
+    assert errors["with"]["slow"] < errors["without"]["slow"]
+    short = A.fit_ar(df.filter(F.col("date") < day0 + dt.timedelta(days=3))).collect()
+    assert {r.ar_order for r in short} == {0}
+    # runs cut anywhere give the same sums
+    rest = A.residuals(train, M.fit_buckets(train))
+    a, b = ({(r.series, r.k): r.s for r in A.lag_products(rest, 5, block).collect()} for block in (4096, 37))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-9 * abs(a[k]) + 1e-3 for k in a)

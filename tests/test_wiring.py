@@ -3,7 +3,7 @@ import datetime as dt
 import tempfile
 
 from tidemart.operators.bronze import new_batch_id
-from tidemart.schemas import ALL_TOPICS, ENVELOPE_FIELDS, RAW_EVENT_SCHEMA, TOPIC_SCHEMAS, envelope_schema
+from tidemart.schemas import ALL_TOPICS, ENVELOPE_FIELDS, RAW_EVENT_SCHEMA, TOPIC_SCHEMAS
 from tidemart.streaming import runner
 
 
@@ -13,7 +13,7 @@ def test_batch_id_format():
 
 def test_schemas():
     assert len(ENVELOPE_FIELDS) == 9 and len(ALL_TOPICS) == 7 == len(TOPIC_SCHEMAS)
-    assert [f.name for f in envelope_schema([])] == ENVELOPE_FIELDS
+    assert all(s.names[:9] == ENVELOPE_FIELDS for s in TOPIC_SCHEMAS.values())
     assert TOPIC_SCHEMAS["ecommerce.order"]["items"].dataType.elementType.names == [
         "product_id", "product_name", "quantity", "unit_price", "unit_cost"]
 

@@ -86,5 +86,5 @@ _table_query("stream_quarantine", _all_quarantine, "quarantine_events")
 
 def load_marts():
     """Import the query modules so they register themselves."""
-    from .plans import (advisor, autoregression, commerce_ops, exact_split, forecasting, live,  # noqa: F401
+    from .plans import (advisor, autoregression, commerce_ops, exact_split, forecasting, heavy, live,  # noqa: F401
                         rollups, sales, search, wiring)
