@@ -73,8 +73,9 @@ def test_bpe_frame(spark):
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
     assert bpe.encode(empty(spark), VOCABULARY).count() == 0
-    nul = spark.createDataFrame([(None,)], "ids array<int>")
-    assert bpe.decode(nul, VOCABULARY).first().text is None
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [64, 10**9, None, -1])], "k int, ids array<int>")
+    one = bpe.Vocabulary(open(VOCABULARY, "rb").read()).decode([64])
+    assert [r.text for r in bpe.decode(odd, VOCABULARY).orderBy("k").collect()] == [None, "", one + "\ufffd" * 3]
 
 
 # ---------------------------------------------------------------- language ID
@@ -736,7 +737,15 @@ def brute_audit(rows, min_docs, top):
     return out
 
 
-@pytest.mark.parametrize("most_terms", [10**6, 0])
+def test_term_lists():
+    ts = [(t or "").encode() for t in texts(5)] + [b"", b"  ", b"x", b"", "Öl ÖL a1b".encode()]
+    for prefix in (b"", b"en\x00"):
+        got = divergence.term_lists(ts, prefix).to_pylist()
+        assert got == [[(prefix + w).decode() for w in divergence.terms(t)] for t in ts]
+    assert divergence.term_lists([], b"p").to_pylist() == []
+
+
+@pytest.mark.parametrize("most_terms", [10**6, 0, 3])
 def test_audit_equals_brute_force(spark, most_terms):
     rng = random.Random(8)
     rows = [(rng.choice(["en", "de", None, "a\x00b"]), rng.choice(["s1", "s2", "Ö", None, "s3"]), x) for x in texts(71, 60)]

@@ -160,7 +160,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep_ids: bool
 
     ``vocabulary`` is the path of a byte-level BPE file; the driver reads it
     and broadcasts it (a vocabulary is a few MB, whatever the corpus). Null
-    and empty texts have no ids."""
+    and empty texts have no ids; texts of any length are encoded whole; each
+    row by itself, also one that repeats; an empty table gives an empty result."""
     prepare(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -200,13 +201,17 @@ def _little(ids: array) -> bytes:
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``rows`` with the text of the token ids in column ``ids``; null ids give a null text."""
+    """``rows`` with the text of the token ids in column ``ids``. A null list
+    gives a null text, an empty one the empty text; an id that the vocabulary
+    lacks (or null) becomes U+FFFD, as bytes do that aren't UTF-8. Each row by
+    itself; an empty table gives an empty result."""
     prepare(rows.sparkSession)
     with open(vocabulary, "rb") as f:
         held = rows.sparkSession.sparkContext.broadcast(f.read())
 
     def factory():
         v = _vocabulary(held.value)
-        return lambda xs: [pa.array([None if x is None else v.decode(x) for x in xs.to_pylist()], pa.string())]
+        unknown = "\ufffd".encode()
+        return lambda xs: [pa.array([None if x is None else b"".join(v.bytes.get(i, unknown) for i in x).decode("utf-8", "replace") for x in xs.to_pylist()], pa.string())]
 
     return append(rows, [col(ids)], [field(text, "string")], factory)

@@ -107,8 +107,13 @@ def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from the rows of `examples` (in their
-    order there): n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, read back from the rows of `examples`: n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    The rows must come as `examples` yields them, a conversation's together
+    and in order; stored rows must be sorted so again. Null texts are empty
+    ones; a conversation without an assistant turn has no loss; all rows
+    without an id are one conversation; no rows give no result."""
     schema = T.StructType([formatted.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()),
                            T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
 

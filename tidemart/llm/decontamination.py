@@ -161,6 +161,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     Null texts have no words. Items of null id or without words take no part;
     rows of one id are one item. ``slop`` > 0: a window also occurs with up to
     that many other words between neighbours; then only its words are hit.
+    Texts of any length are read whole; each row is a document, also one that
+    repeats; without items nothing is hit; an empty table gives an empty result.
 
     Items go in chunks of about ``chunk_bytes``, each broadcast by itself. Of
     several chunks, each is a pass written to the shared folder before the

@@ -105,7 +105,8 @@ def train(docs: DataFrame, eligible: Column, text: str = "text", lang: str = "la
           rows_per_lang: int = 5000) -> Model:
     """A model from the ``eligible`` rows with text and language. About
     ``rows_per_lang`` rows of each language are used (all, if it has fewer);
-    the priors are counted over all of them."""
+    the priors are counted over all of them. More languages than the matrix
+    has room for (``MATRIX_BYTES``: 512) raise a ValueError."""
     prepare(docs.sparkSession)
     rows = docs.filter(eligible & col(text).isNotNull() & col(lang).isNotNull()).select(col(lang).cast("string").alias("lang"), col(doc_id).cast("string").alias("id"), col(text).cast("string").alias("t"))
     sizes = rows.groupBy("lang").count()
@@ -143,7 +144,9 @@ def train(docs: DataFrame, eligible: Column, text: str = "text", lang: str = "la
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (the posterior, 0 to 1) of each whole
     text; ``und`` and 0 for null texts, texts without a letter and a model
-    that learned no language. Only the text decides."""
+    that learned no language. Only the text decides: equally likely languages
+    go to the first by name, repeated rows get the same answer, texts of any
+    length are read whole, an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.matrix, model.prior))
 
     def factory():

@@ -156,7 +156,8 @@ def match_rules(ids: list[str]) -> list[str]:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with sentence_ids (identifiers of the known sentences, in
     order) and licenses (names by the rules, sorted). Null and empty texts
-    have neither. Whole texts are scanned."""
+    have neither. Texts of any length are scanned whole, each row by itself,
+    also one that repeats; an empty table gives an empty result."""
     prepare(docs.sparkSession)
 
     def factory():

@@ -203,7 +203,9 @@ def fit(names: list[bytes], y: np.ndarray, sizes: list, ids: list) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with score (0 to 1), predicted (1 from 0.5 on) and offending
     (code-point spans of the sentences of probability ``least`` or more) of
-    each whole text. Null texts and texts without words score 0."""
+    each whole text, of any length. Null texts and texts without words score
+    0; so does every text if the model learned nothing. Each row by itself,
+    also one that repeats; an empty table gives an empty result."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.scores.weights, model.bias))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
