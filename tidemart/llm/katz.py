@@ -310,7 +310,15 @@ def _each(df: DataFrame, make: Callable[[dict], list[tuple]], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
-def _by_bucket(df: DataFrame, merge: Callable[[int, list[dict]], tuple], schema: str) -> DataFrame:
+def _dealt(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """Rows dealt by a column, to as many tasks as it has ``parts`` where
+    those are more than the session's shuffle partitions (of which small ones
+    are joined), so a task's share doesn't grow with the corpus."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, by) if parts > own else df.repartition(by)
+
+
+def _by_bucket(df: DataFrame, buckets: int, merge: Callable[[int, list[dict]], tuple], schema: str) -> DataFrame:
     """``merge(bucket, rows)`` -> one row, for all rows of each bucket."""
     def run(batches):
         now, held = None, []
@@ -323,7 +331,7 @@ def _by_bucket(df: DataFrame, merge: Callable[[int, list[dict]], tuple], schema:
                 held.append(row)
         if held:
             yield _rows([merge(now, held)], schema)
-    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return _dealt(df, "bucket", buckets).sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------- training
@@ -355,7 +363,7 @@ def _count(blocks: DataFrame, model: Model) -> DataFrame:
         at = order[first]
         return (bucket, pack_sorted(a[at]), pack(b[at]), pack(n), pack_few(low[at]), len(at), np.bincount(n[n <= CUTOFF + 1], minlength=CUTOFF + 2)[1:].tolist())
 
-    return stage(_by_bucket(_each(blocks, ask, _ASK), merge, _GRAMS), "katz-grams")
+    return stage(_by_bucket(_each(blocks, ask, _ASK), plain.levels[-1].buckets, merge, _GRAMS), "katz-grams")
 
 
 def _weigh(grams: DataFrame, buckets: int, discounts: np.ndarray) -> DataFrame:
@@ -379,7 +387,7 @@ def _weigh(grams: DataFrame, buckets: int, discounts: np.ndarray) -> DataFrame:
         weight = (left + extra) / (total + extra) / np.maximum(1 - mass, np.finfo(float).tiny)
         return (bucket, 0, None, pack_sorted(values), None, pack(extra), pack(weight), None)
 
-    return stage(_by_bucket(_each(grams, part, _ASK), merge, _ASK), "katz-contexts")
+    return stage(_by_bucket(_each(grams, part, _ASK), buckets, merge, _ASK), "katz-contexts")
 
 
 def _fit(blocks: DataFrame, order: int) -> tuple[Model, DataFrame]:
@@ -455,7 +463,7 @@ def _answers(blocks: DataFrame, model: Model, n: int) -> DataFrame:
     if level.contexts is not None:
         tables = tables.unionByName(level.contexts)
     asked = tables.unionByName(_each(blocks, ask, _ASK))
-    answers = stage(asked.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "block long, kind int, bucket long, n binary, x binary"), "katz-answers")
+    answers = stage(_dealt(asked, "bucket", 2 * buckets).sortWithinPartitions("bucket", "kind").mapInArrow(answer, "block long, kind int, bucket long, n binary, x binary"), "katz-answers")
 
     return answers
 
@@ -488,7 +496,7 @@ def _assembled(blocks: DataFrame, answers: DataFrame, finish: Callable[[dict, pa
         if own is not None:
             yield whole()
 
-    return both.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, schema)
+    return _dealt(both, "block", blocks.count() // 4).sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, schema)
 
 
 def look_up(blocks: DataFrame, model: Model, n: int) -> DataFrame:
