@@ -41,6 +41,7 @@ from . import segments
 c = F.col
 
 DEDUP_HORIZON_DAYS = 7
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -76,10 +77,10 @@ def _in_parallel(writes: dict) -> dict[str, int]:
 
 def process_raw_batch(batch: DataFrame, batch_id: int, topic: str, root: str, run_id: str = "run") -> dict[str, int]:
     """Bronze and quarantine of one micro-batch; returns rows per table."""
-    if batch.isEmpty():
-        return {}
     root, batch = stream_root(root), batch.persist()
     try:
+        if batch.isEmpty():
+            return {}
         bad = ST.rejected(batch, topic)
         return _in_parallel({
             "bronze_raw_events": lambda: segments.append(batch.select(*ST.COORDS, "json_str", "ingested_at"), os.path.join(root, "bronze", "kafka_raw_events", topic_dir(topic)), batch_id, run_id),
@@ -100,13 +101,13 @@ def unknown_to_others(fresh: DataFrame, silver_path: str, run_id: str, horizon_d
 
 def process_fact_batch(fresh: DataFrame, batch_id: int, topic: str, root: str, run_id: str = "run") -> dict[str, int]:
     """Silver and Gold of one micro-batch of fresh events; returns rows per table."""
-    if fresh.isEmpty():
-        return {}
     root, spec = stream_root(root), ST.TOPICS[topic]
     silver_path = os.path.join(root, "silver", spec.silver_table)
-    fresh = unknown_to_others(fresh, silver_path, run_id).persist()
+    fresh = fresh.persist()           # before any look at it: each would run the dedup again
     try:
-        sv, gold, _ = ST.silver_and_gold(fresh, topic)
+        if fresh.isEmpty():
+            return {}
+        sv, gold, _ = ST.silver_and_gold(unknown_to_others(fresh, silver_path, run_id), topic)
         # Silver and Gold read the persisted batch and are independent:
         # submit their writes side by side
         writes = {n: lambda n=n, df=df: segments.append(df, os.path.join(root, "gold", n), batch_id, run_id, by="date_key") for n, df in gold.items()}
@@ -136,7 +137,10 @@ def start_topic(source: DataFrame, topic: str, root: str, checkpoint_root: str,
                 trigger: dict | None = None, horizon_days: int = DEDUP_HORIZON_DAYS,
                 steps: tuple[str, ...] = ("raw", "facts")) -> list[StreamingQuery]:
     """Start the two queries of one topic, or one of them (trigger default: every 60 s)."""
-    use_state_store(source.sparkSession)
+    spark = source.sparkSession
+    use_state_store(spark)
+    idle = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, "false")     # ids leave the state with the next batch that has rows
     parsed = parse_stream(source, topic)
     known = {"raw": (parsed, process_raw_batch), "facts": (fresh_events(parsed, topic, horizon_days), process_fact_batch)}
     out = []
@@ -146,6 +150,7 @@ def start_topic(source: DataFrame, topic: str, root: str, checkpoint_root: str,
              .foreachBatch(lambda df, bid, step=step: step(df, bid, topic, root, _query_id(df)))
              .option("checkpointLocation", os.path.join(checkpoint_root, topic_dir(topic), name)))
         out.append(w.trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+    spark.conf.set(IDLE_BATCHES, idle)
     return out
 
 
