@@ -69,10 +69,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
-
-
-def materialize(df):
-    """Cut lineage of a small, reused intermediate with a reliable
-    checkpoint in the shared ``spark.checkpoint.dir`` (never a local one)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
