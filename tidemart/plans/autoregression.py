@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..registry import lake, register
 from ..schemas import Z_BY_CONFIDENCE
+from ..session import written
 from . import forecasting as M
 
 c, KEY = F.col, M.KEY
@@ -89,6 +90,7 @@ def fit_ar(d: DataFrame, unit: str = "day", holidays: DataFrame | None = None, m
     coefficients), innovation_sigma and recent (the last residuals, newest
     first, at most ``max_order``). A series of fewer than 8 buckets, or one the
     fit explains exactly, has order 0."""
+    d = written(d, "buckets")     # the fit and the residuals of both uses read it
     fit = M.fit_buckets(d, unit, holidays)
     rest = residuals(d, fit, unit, holidays)
     sums = lag_products(rest, max_order).groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("sums"))
