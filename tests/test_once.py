@@ -1,6 +1,7 @@
 """What makes a table (parses, joins) runs once, and tasks hold bounded parts."""
 import glob
 import os
+from unittest.mock import Mock
 
 import pytest
 
@@ -56,3 +57,27 @@ def test_files_of_the_raw_log_are_bounded(spark, sf_dir, monkeypatch):
     got = E.queries()["stream_dedup_state"](spark, sf_dir)
     whole = E.queries()["stream_dedup"](spark, sf_dir)
     assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(r.event_id for r in whole.select("event_id").collect())
+
+
+#: rows of the events table at 6 GB (360 times sf0.1)
+LARGE_LOG = 36_000_000
+
+
+@pytest.mark.parametrize("table", ["fact_inventory_events"])
+def test_a_sink_of_a_large_log_sorts_bounded_files(spark, sf_dir, monkeypatch, table):
+    large, written = Mock(), []
+    large.raw.return_value.count.return_value = LARGE_LOG
+    with monkeypatch.context() as m:
+        m.setattr(wiring, "_RAW_DIRS", {})
+        m.setattr(wiring, "lake", lambda *_: large)
+        m.setattr(wiring.io, "write_raw_files", lambda raw, path, n: written.append(n))
+        wiring.raw_files(spark, sf_dir)
+        assert -(-LARGE_LOG // written[0]) <= 250_000
+        assert wiring.batch_files(spark, sf_dir) <= 8
+
+    monkeypatch.setattr(wiring, "RAW_FILE_ROWS", 50)
+    monkeypatch.setattr(wiring, "_RAW_DIRS", {})
+    got = E.queries()[f"sink_stream_append_{table}"](spark, sf_dir)
+    whole = lake(spark, sf_dir).table(table)
+    assert got.count() == whole.count() > 0
+    assert got.select(whole.columns).exceptAll(whole).isEmpty()
