@@ -63,7 +63,7 @@ def test_files_of_the_raw_log_are_bounded(spark, sf_dir, monkeypatch):
 LARGE_LOG = 36_000_000
 
 
-@pytest.mark.parametrize("table", ["fact_inventory_events", "fact_order_items_stream", "fact_promo_events", "fact_review_events", "fact_user_events"])
+@pytest.mark.parametrize("table", ["fact_inventory_events", "fact_order_items_stream", "fact_promo_events", "fact_review_events", "fact_user_events", "fact_sales_stream"])
 def test_a_sink_of_a_large_log_sorts_bounded_files(spark, sf_dir, monkeypatch, table):
     large, written = Mock(), []
     large.raw.return_value.count.return_value = LARGE_LOG
