@@ -156,6 +156,25 @@ def test_ann_recall_with_many_leaves_and_salts(spark, monkeypatch):
     assert np.mean([len(got[q] & {j for j, _ in near}) / 10 for q, near in want.items()]) >= 0.9
 
 
+def test_ann_plan_does_not_grow_with_the_leaves(spark, tmp_path):
+    """Blocks and salts of the leaves are rows, not literals of the driver's plans; queries are walked in groups of a block."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(2000)], "vec_id long, embedding array<double>")
+    plans = [len(ann.search(df, df.filter("vec_id % 20 = 0"), 5, leaf_rows=r)._jdf.queryExecution().optimizedPlan().toString()) for r in (1000, 10)]
+    assert plans[1] < 1.1 * plans[0]
+
+
+def test_ann_merge_leaves_out_what_cannot_enter():
+    """What is below the (k + 1)-th score so far does not enter; ties do, by id."""
+    rng, best = np.random.default_rng(7), {}
+    q, x = rng.integers(-2, 3, (9, 4)).astype(float), rng.integers(-2, 3, (300, 4)).astype(float)
+    for s in range(299, -1, -20):
+        part = np.arange(max(0, s - 19), s + 1)
+        ann._merge(best, np.arange(9), q, x[part], [[int(i)] for i in part], 5)
+    for j in range(9):
+        assert best[j] == sorted((-d, i) for i, d in enumerate((x * q[j]).sum(1).tolist()))[:6]
+
+
 def test_ann_few_or_no_vectors(spark):
     none = spark.createDataFrame([(20, None)], "vec_id long, embedding array<float>")
     assert ann.search(none, none).count() == 0

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import col, prepare, stage
 
 SAMPLE, MAX_LEAVES, LEAF, BRANCH, CALIBRATION, BLOCK, SALT_BLOCKS = 20_000, 2048, 256, 8, 200, 1024, 16
-HELD = 50_000
+HELD, PAIRS = 50_000, 16_384
 
 
 class Tree:
@@ -151,9 +151,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     n = kept.count()
 
     leaves = int(min(max_leaves, max(1, n // leaf_rows)))
-    picked = kept.filter(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))).select("v").limit(sample).toPandas()["v"]
-    fitted = np.array(list(picked) or [first.v], np.float64)
+    picked = kept.filter(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))).select("v").limit(sample).toArrow()["v"]
+    fitted = _matrix(picked, dim) if len(picked) else np.array([first.v], np.float64)
     tree = Tree(_lift(fitted, longest), leaves)
+    del picked, fitted
     held = spark.sparkContext.broadcast(tree.__dict__)
 
     def loaded() -> Tree:
@@ -177,32 +178,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
 
     out = T.StructType([T.StructField("leaf", T.LongType()), *[kept.schema[c] for c in ("v", "ids", "class")]])
     placed = stage(kept.select("v", "ids", "class").mapInArrow(assign, out), "ann-placed")
-    sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most max_leaves rows
-    blocks = {leaf: max(1, -(-c // BLOCK)) for leaf, c in sizes.items()}
-    salts = {leaf: max(1, -(-b // SALT_BLOCKS)) for leaf, b in blocks.items()}
-    lookup = F.create_map(*[F.lit(x) for leaf, b in blocks.items() for x in (leaf, b)])
-    salt_of = F.create_map(*[F.lit(x) for leaf, s in salts.items() for x in (leaf, s)])
-    packed = (placed.withColumn("block", F.pmod(F.xxhash64("class"), F.element_at(lookup, F.col("leaf"))))
-              .groupBy("leaf", "block").agg(F.collect_list(F.struct("v", "ids")).alias("held")).withColumn("salt", F.pmod(F.col("block"), F.element_at(salt_of, F.col("leaf")))))
+    # blocks and salts of each leaf: at most max_leaves rows, which stay in Spark
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("long")
+    sizes = placed.groupBy("leaf").count().select("leaf", blocks.alias("blocks"), F.greatest(F.lit(1), F.ceil(blocks / SALT_BLOCKS)).cast("long").alias("salts"))
+    sizes = F.broadcast(stage(sizes, "ann-sizes"))
+    packed = (placed.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+              .groupBy("leaf", "block", "salts").agg(F.collect_list(F.struct("v", "ids")).alias("held")).withColumn("salt", F.pmod(F.col("block"), F.col("salts"))))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of each leaf, of BLOCK queries at a time."""
         t = loaded()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q = _matrix(b.column(1), dim)
-            order = [t.visits(x, visits) for x in np.concatenate([q, np.zeros((len(q), 1))], 1)]
-            at = np.repeat(np.arange(len(q)), [len(x) for x in order])
-            for s in range(0, len(at), 4096):
-                part = pa.array(at[s:s + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([x for o in order for x in o], np.int64)[s:s + 4096]), b.column(0).take(part), b.column(1).take(part)], names=["leaf", "qid", "v"])
-
-    out = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("qid", T.LongType()), heads.schema["v"]])
+        for whole in batches:
+            for b in (whole.slice(s, BLOCK) for s in range(0, whole.num_rows, BLOCK)):
+                q = np.concatenate([_matrix(b.column(1), dim), np.zeros((b.num_rows, 1))], 1)
+                order = [t.visits(x, visits) for x in q]
+                leaf = np.concatenate(order)
+                by = np.argsort(leaf, kind="stable")
+                leaf, at = leaf[by], np.repeat(np.arange(len(q)), [len(x) for x in order])[by]
+                starts = np.append(np.flatnonzero(np.diff(leaf, prepend=-1)), len(leaf))
+                cut = np.searchsorted(starts, np.arange(0, len(leaf), PAIRS))   # leaves of about as many pairs
+                for lo, hi in zip(cut, [*cut[1:], len(starts) - 1], strict=True):
+                    if lo < hi:
+                        part = pa.array(at[starts[lo]:starts[hi]])
+                        asked_ = pa.StructArray.from_arrays([b.column(0).take(part), b.column(1).take(part)], names=["qid", "v"])
+                        lists = pa.ListArray.from_arrays(pa.array((starts[lo:hi + 1] - starts[lo]).astype(np.int32)), asked_)
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf[starts[lo:hi]]), lists], names=["leaf", "asked"])
+
+    of_leaf = T.StructType([T.StructField("qid", T.LongType()), heads.schema["v"]])
+    out = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("asked", T.ArrayType(of_leaf))])
     groups = max(1, -(-max(1, members.count()) // BLOCK))
-    walks = (heads.select("qid", "v").mapInArrow(walk, out).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(groups)))
-             .groupBy("leaf", "block").agg(F.collect_list(F.struct("qid", "v")).alias("asked")).filter(F.col("leaf").isin(list(sizes)) if len(sizes) < 64 else F.element_at(salt_of, F.col("leaf")).isNotNull())
-             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(salt_of, F.col("leaf")).cast("long") - 1))).drop("block"))
-    cells = walks.join(packed.drop("block"), ["leaf", "salt"]).select("asked", "held")
+    walks = (heads.select("qid", "v").repartition(groups, "qid").mapInArrow(walk, out).join(sizes.select("leaf", "salts"), "leaf")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts"))
+    cells = walks.join(packed.drop("block", "salts"), ["leaf", "salt"]).select("asked", "held")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
@@ -230,11 +237,15 @@ def _dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _merge(best: dict, qids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> None:
     rough = q @ x.T
-    for j, qid in enumerate(qids.tolist()):
-        near = np.arange(len(x))
+    # below the (k + 1)-th score found so far nothing enters
+    floor = np.array([-best[i][k][0] if len(best.get(i, ())) > k else -np.inf for i in qids.tolist()])
+    floor -= 1e-9 * np.where(np.isfinite(floor), np.maximum(1.0, np.abs(floor)), 0.0)
+    for j in np.flatnonzero((rough >= floor[:, None]).any(1)).tolist():
+        qid, least = int(qids[j]), floor[j]
         if len(x) > k + 1:
             cut = np.partition(rough[j], len(x) - k - 1)[len(x) - k - 1]
-            near = np.flatnonzero(rough[j] >= cut - 1e-9 * max(1.0, abs(cut)))
+            least = max(least, cut - 1e-9 * max(1.0, abs(cut)))
+        near = np.flatnonzero(rough[j] >= least)
         s = _dots(q[j], x[near])
         rows = [(-d, i) for d, at in zip(s.tolist(), near.tolist(), strict=True) for i in ids[at]]
         best[qid] = heapq.nsmallest(k + 1, best.get(qid, []) + rows)
@@ -268,8 +279,15 @@ def _exact(kept: DataFrame, q: np.ndarray, qids: list[int], k: int, dim: int, lo
 
 def _calibrated(exact: list, rows: list, tree: Tree, recall: float, k: int) -> int:
     """The fewest leaf visits, widened from one, that find the wanted part."""
-    place = {r.qid: {leaf: i for i, leaf in enumerate(tree.visits(np.append(np.array(r.v, float), 0.0), tree.leaves))} for r in rows}
-    depth = np.sort([place[r.qid][r.leaf] for r in exact])
+    held_in: dict[int, list[int]] = {}
+    for r in exact:
+        held_in.setdefault(r.qid, []).append(r.leaf)
+    depth: list[int] = []
+    for qid, v in {r.qid: r.v for r in rows}.items():   # one query's order at a time
+        place = np.empty(tree.leaves, np.int64)
+        place[tree.visits(np.append(np.array(v, float), 0.0), tree.leaves)] = np.arange(tree.leaves)
+        depth += place[held_in.get(qid, [])].tolist()
+    depth.sort()
     if not len(depth):
         return tree.leaves
     visits = 1
