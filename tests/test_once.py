@@ -1,12 +1,16 @@
 """What makes a table (parses, joins) runs once, and tasks hold bounded parts."""
+import datetime as dt
 import glob
 import os
 from unittest.mock import Mock
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tidemart.functions.apportion import apportion
+from tidemart.functions.quality import dedup_latest, dedup_latest_few
+from tidemart.operators import silver as S
 from tidemart.plans import wiring
 from tidemart.registry import lake
 from tidemart.schemas import ALL_TOPICS, TOPIC_CART
@@ -81,3 +85,36 @@ def test_a_sink_of_a_large_log_sorts_bounded_files(spark, sf_dir, monkeypatch, t
     whole = lake(spark, sf_dir).table(table)
     assert got.count() == whole.count() > 0
     assert got.select(whole.columns).exceptAll(whole).isEmpty()
+
+
+def _shuffles_of_lines(plan: str) -> list[str]:
+    """The joins of the lines, last first."""
+    joined = [line.split("(")[1].split("#")[0] for line in plan.splitlines() if "Join LeftOuter, (" in line]
+    return [k for k in joined if k in ("order_id", "product_id")]
+
+
+@pytest.mark.parametrize("name", ["fact_sales"])
+def test_lines_are_shuffled_narrow(spark, sf_dir, name):
+    """By item only where an item id repeats, by product before the columns of orders are there."""
+    df = E.queries()[name](spark, sf_dir)
+    assert _shuffles_of_lines(_optimized(df)) == ["order_id", "product_id"]
+    assert "hashpartitioning(item_id" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [100, 1, 0])
+def test_repeated_items_are_found_whatever_their_number(spark, few):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, f"O{i}", i, t) for i in range(50)] + [(7, "later", 1, t + dt.timedelta(1)), (None, "a", 1, t), (None, "b", 2, t + dt.timedelta(2)), (9, "O9", 9, t)]
+    df = spark.createDataFrame(rows, "id long, o string, q long, at timestamp").repartition(4)
+    order = [F.col("at"), F.xxhash64("id", "o", "q", "at")]
+    got = sorted(map(str, dedup_latest_few(df, "id", order, few).collect()))
+    assert got == sorted(map(str, dedup_latest(df, "id", order).collect())) and len(got) == 51
+    assert [r.o for r in dedup_latest_few(df, "id", order, few).filter("id = 7 or id is null").orderBy("id").collect()] == ["b", "later"]
+
+
+def test_items_of_one_id_keep_the_newest(spark):
+    cols = "item_id long, order_id string, product_id string, quantity long, unit_price long, unit_cost long, item_total long, ingested_at timestamp, batch_id string"
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, "O", "P", 1, 2, 1, 2, t, "b") for i in range(20)] + [(3, "O", "P", 5, 2, 1, 10, t + dt.timedelta(1), "c")]
+    got = S.dedup("order_items", spark.createDataFrame(rows, cols))
+    assert sorted((r.item_id, r.quantity) for r in got.collect()) == sorted((i, 5 if i == 3 else 1) for i in range(20))
