@@ -101,6 +101,14 @@ def test_lines_are_shuffled_narrow(spark, sf_dir, name):
     assert "hashpartitioning(item_id" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sink_table_writes_narrow_shuffles(spark, sf_dir, monkeypatch):
+    plans, write = [], wiring.io.write_table
+    monkeypatch.setattr(wiring.io, "write_table", lambda df, path: plans.append(_optimized(df)) or write(df, path))
+    got = E.queries()["sink_table"](spark, sf_dir)
+    assert [_shuffles_of_lines(p) for p in plans] == [["order_id", "product_id"]]
+    assert got.count() == lake(spark, sf_dir).silver("order_items").count() > 0
+
+
 @pytest.mark.parametrize("few", [100, 1, 0])
 def test_repeated_items_are_found_whatever_their_number(spark, few):
     t = dt.datetime(2024, 1, 1)
