@@ -2,6 +2,7 @@
 import datetime as dt
 import glob
 import os
+import time
 from unittest.mock import Mock
 
 import pytest
@@ -14,6 +15,7 @@ from tidemart.operators import silver as S
 from tidemart.plans import wiring
 from tidemart.registry import lake
 from tidemart.schemas import ALL_TOPICS, TOPIC_CART
+from tidemart.session import write_and_clean
 from tidemart.sources.io import FEED, topic_dir
 
 
@@ -93,7 +95,7 @@ def _shuffles_of_lines(plan: str) -> list[str]:
     return [k for k in joined if k in ("order_id", "product_id")]
 
 
-@pytest.mark.parametrize("name", ["fact_sales"])
+@pytest.mark.parametrize("name", ["fact_sales", "fact_sales_exact_split"])
 def test_lines_are_shuffled_narrow(spark, sf_dir, name):
     """By item only where an item id repeats, by product before the columns of orders are there."""
     df = E.queries()[name](spark, sf_dir)
@@ -126,3 +128,18 @@ def test_items_of_one_id_keep_the_newest(spark):
     rows = [(i, "O", "P", 1, 2, 1, 2, t, "b") for i in range(20)] + [(3, "O", "P", 5, 2, 1, 10, t + dt.timedelta(1), "c")]
     got = S.dedup("order_items", spark.createDataFrame(rows, cols))
     assert sorted((r.item_id, r.quantity) for r in got.collect()) == sorted((i, 5 if i == 3 else 1) for i in range(20))
+
+
+def test_shuffle_files_of_a_written_table_go(spark, tmp_path):
+    def shuffled() -> int:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(key)
+    write_and_clean(spark.range(1000).repartitionByRange(3, "id"), str(tmp_path / "t"))
+    until = time.time() + 20
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffled() <= before and spark.conf.get(key) == setting
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
